@@ -42,8 +42,10 @@ def canonical(columns, rows):
 
 def compare(spark, con, folder, name, fn, sql):
     """None if equal, else what differs."""
+    start = time.time()
     df = fn(spark, folder)
     got = [tuple(r) for r in df.collect()]
+    compare.seconds = time.time() - start
     if sql is None:
         return None, len(got)
     cursor = con.execute(sql)
@@ -85,7 +87,7 @@ def main():
             problem, n = f"{type(e).__name__}: {str(e)[:700]}", -1
         mark = "ok " if problem is None else "BAD"
         bad += problem is not None
-        print(f"{mark} {name} rows={n} {time.time() - start:.2f}s{'' if name in sqls else ' (rows only)'} {problem or ''}", flush=True)
+        print(f"{mark} {name} rows={n} {time.time() - start:.2f}s (spark {compare.seconds:.2f}s){'' if name in sqls else ' (rows only)'} {problem or ''}", flush=True)
     print(f"bad={bad}")
 
 

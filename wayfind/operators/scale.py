@@ -24,20 +24,30 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], share: int = 5_000_000) -> DataFrame:
+    """Keys that hold more than a task's share of the rows: fewer than 1000."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return counts.where(F.col("_n") > max(share, total // 1000)).drop("_n")
+
+
 def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a lookup table: broadcast if its counted size allows it.
 
-    A larger lookup is joined on ``(key, salt)``: its rows are repeated per
-    salt and the big side is spread over the salts, so that no key of the big
-    side has to fit one task.
+    For a larger lookup the hot keys of the big side are spread over salts, and
+    only the lookup rows of those keys are repeated, once per salt.
     """
     on = list(on)
     if is_small(lookup, max_rows):
         return df.join(F.broadcast(lookup), on, how)
-    salted = df.withColumn("_salt", spread(*df.columns))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot_keys(df, on).withColumn("_hot", F.lit(True)))
+    salted = df.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), spread(*df.columns)).otherwise(0)
+    )
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = lookup.join(hot, on, "left").withColumn("_salt", F.explode(salts))
+    return salted.drop("_hot").join(copies.drop("_hot"), [*on, "_salt"], how).drop("_salt")
 
 
 def spread(*cols: str) -> Column:

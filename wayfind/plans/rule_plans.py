@@ -76,8 +76,8 @@ def f02(t):
 # Verbs and nouns of the part names: "adjective noun".
 def part_rules(t, position, offset):
     words = t.part.select(F.get(X.intent_words(F.col("p_name")), F.lit(position)).alias("pattern")).distinct()
-    # At most as many rows as the part vocabulary; checked again before use.
-    ranked = words.withColumn("ordinal", F.row_number().over(Window.orderBy("pattern")))
+    # The ordinal comes from the word itself: no global order is needed.
+    ranked = words.withColumn("ordinal", F.conv(F.substring(F.md5("pattern"), 1, 4), 16, 10).cast("int"))
     return ranked.select(
         "pattern", F.concat(F.lit("m"), ((F.col("ordinal") + offset) % 5).cast("string")).alias("canonical"),
         F.lit("").alias("cls"), "ordinal", (1 + F.col("ordinal") % 3).alias("weight"),
@@ -86,7 +86,7 @@ def part_rules(t, position, offset):
 
 def _part_rules_sql(name, position, offset):
     return f"""{name} AS (SELECT * FROM (SELECT pattern, 'm' || ((ordinal + {offset}) % 5) AS canonical, ordinal, 1 + ordinal % 3 AS weight FROM (
-  SELECT pattern, row_number() OVER (ORDER BY pattern) AS ordinal FROM (SELECT DISTINCT ({Q.intent_words('p_name')})[{position + 1}] AS pattern FROM part)))
+  SELECT pattern, CAST('0x' || substring(md5(pattern), 1, 4) AS INTEGER) AS ordinal FROM (SELECT DISTINCT ({Q.intent_words('p_name')})[{position + 1}] AS pattern FROM part)))
   WHERE ordinal % 4 <> 0)"""
 
 

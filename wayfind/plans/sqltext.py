@@ -55,3 +55,72 @@ def bag(tokens: str) -> str:
 
 def joined(tokens: str, sep: str = " ") -> str:
     return f"coalesce(array_to_string({tokens}, '{sep}'), '')"
+
+
+def bag_items(tokens: str) -> str:
+    return f"CASE WHEN len(list_distinct({tokens})) > 0 THEN list_distinct({tokens}) ELSE ['none'] END"
+
+
+def placed(tokens: str) -> str:
+    return f"(SELECT unnest({tokens}) AS w, generate_subscripts({tokens}, 1) AS i)"
+
+
+def first_word(tokens: str, rules: str) -> str:
+    return (
+        f"coalesce((SELECT r.canonical FROM {placed(tokens)} x JOIN {rules} r ON r.pattern = x.w ORDER BY i LIMIT 1), 'none')"
+    )
+
+
+def action(tokens: str, verbs: str, phrase: str = "NULL") -> str:
+    return (
+        f"coalesce({phrase}, (SELECT r.canonical FROM {placed(tokens)} x JOIN {verbs} r ON r.pattern = x.w WHERE i = 1), "
+        f"(SELECT r.canonical FROM {placed(tokens)} x JOIN {verbs} r ON r.pattern = x.w ORDER BY r.weight DESC, i LIMIT 1), 'none')"
+    )
+
+
+def clean_description(col: str) -> str:
+    opening = "|".join(W.FILLER_OPENINGS)
+    cut = f"CASE WHEN contains({col}, '{W.DESCRIPTION_MARKER}') THEN regexp_replace({col}, '^.*?{W.DESCRIPTION_MARKER}[{SPACE}]*', '', 'is') ELSE {col} END"
+    return strip(f"regexp_replace({cut}, '^({opening})[,{SPACE}]*', '', 'i')")
+
+
+def double(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def all_scores(encoding, q: str = "q", c: str = "c", out: str = "scores") -> str:
+    """CTEs ending in ``out(query, candidate, score)`` for every pair of two encoded CTEs."""
+    parts, sims, joins = [], {}, ""
+    for r in encoding.roles:
+        if r.bag:
+            parts.append(
+                f"sh_{r.name} AS (SELECT a.key AS qk, b.key AS ck, count(*) AS n FROM (SELECT key, unnest({r.name}) AS w FROM {q}) a "
+                f"JOIN (SELECT key, unnest({r.name}) AS w FROM {c}) b USING (w) GROUP BY ALL)"
+            )
+            joins += f" LEFT JOIN sh_{r.name} ON sh_{r.name}.qk = {q}.key AND sh_{r.name}.ck = {c}.key"
+            sims[r.name] = (
+                f"(coalesce(sh_{r.name}.n, 0) / sqrt(CAST(len({q}.{r.name}) AS DOUBLE) * CAST(len({c}.{r.name}) AS DOUBLE)))"
+            )
+        else:
+            sims[r.name] = f"(CASE WHEN {q}.{r.name} = {c}.{r.name} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
+
+    def mean(items):
+        total = " + ".join(f"{s} * {double(w)}" for s, w in items)
+        weight = " + ".join(double(w) for _, w in items)
+        return f"(({total}) / ({weight}))"
+
+    layers = []
+    for layer in encoding.layers:
+        roles = [r for r in encoding.roles if r.layer == layer]
+        layers.append((mean([(sims[r.name], r.weight) for r in roles]), roles[0].layer_weight))
+    parts.append(
+        f"{out} AS (SELECT {q}.key AS query, {c}.key AS candidate, round({mean(layers)}, 9) AS score FROM {q} CROSS JOIN {c}{joins})"
+    )
+    return ",\n".join(parts)
+
+
+def top_k(k: int, scores: str = "scores") -> str:
+    return (
+        f"SELECT query, candidate, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank "
+        f"FROM {scores}) WHERE rank <= {k}"
+    )
