@@ -68,17 +68,10 @@ def phrase_hits(df: DataFrame, key: str, text: Column, rules: DataFrame, name: s
     texts = df.select(key, F.lower(text).alias("_text"))
     size = F.least(F.length("pattern"), F.lit(GRAM))
     keyed = rules.withColumn("_gram", F.substr("pattern", F.lit(1), size))
-    all_grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(GRAM)),
-                lambda q: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1))),
-                    lambda i: F.substr(F.col("_text"), i, q),
-                ),
-            )
-        )
-    )
+    # A look-ahead match yields every overlapping run of q characters in one pass.
+    runs = [F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
+            for q in range(1, GRAM + 1)]
+    all_grams = F.concat(*runs)
     candidates = join_lookup(texts.select(key, F.explode(all_grams).alias("_gram")), keyed, ["_gram"])
     verified = candidates.drop("_gram").dropDuplicates([key, "ordinal"]).join(texts, key).where(
         F.contains(F.col("_text"), F.col("pattern"))

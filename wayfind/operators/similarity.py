@@ -221,3 +221,11 @@ def hierarchical(role_sims: list[Column], segment_sims: list[Column], layer_sims
         + LEVEL_WEIGHTS["segment"] * mean(segment_sims)
         + LEVEL_WEIGHTS["role"] * mean(role_sims)
     )
+
+
+def shared_counts(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key: str, catalog_key: str) -> DataFrame:
+    """Number of shared tokens of every pair that has one."""
+    q = _meta(queries, query_key, encoding, "q")
+    c = _meta(catalog, catalog_key, encoding, "c")
+    grouped = _pairs(q, c, encoding).groupBy("q.key", "c.key").agg(F.count(F.lit(1)).alias("shared"))
+    return grouped.toDF("query", "candidate", "shared")

@@ -10,6 +10,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Long texts: one small file would otherwise be one task.
+KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table with fewer splits than cores; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The given tables of one folder, read on first use."""
 
@@ -20,7 +30,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return use_all_cores(df, KEYS[name]) if name in KEYS else df
 
 
 def query(name: str, sql: str | None = None):
