@@ -21,9 +21,10 @@ def eval_single(scores: DataFrame, truth: DataFrame) -> DataFrame:
     return joined.withColumn("correct", F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False)))
 
 
-def eval_multi(scores: DataFrame, truth: DataFrame, gap: float = L.GAP, ratio: float = L.RATIO) -> DataFrame:
+def eval_multi(scores: DataFrame, truth: DataFrame, gap: float = L.GAP, ratio: float = L.RATIO,
+               bound: int | None = None) -> DataFrame:
     """Per query: does the gap selection equal the expected set?"""
-    chosen = L.select_gap(scores, gap, ratio).select("query", "candidate")
+    chosen = L.select_gap(scores, gap, ratio, bound).select("query", "candidate")
     counted = S.counts(chosen, truth.select("query", F.col("expected").alias("candidate")), ["query"], "candidate")
     return S.set_equal(counted, ["query"]).withColumnRenamed("equal", "correct")
 
@@ -32,7 +33,8 @@ def topk_accuracy(scores: DataFrame, truth: DataFrame, ks: Sequence[int], skip:
     """Share of queries whose expected candidate ranks within each ``k``."""
     if skip is not None:
         truth = truth.where(F.col("expected") != skip)
-    found = L.rank(scores).join(
+    # Only the first max(ks) ranks matter.
+    found = L.top_k(scores, max(ks)).join(
         truth.select("query", F.col("expected").alias("candidate")), ["query", "candidate"]
     ).select("query", "rank")
     joined = truth.join(found, "query", "left")

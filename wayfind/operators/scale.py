@@ -65,12 +65,15 @@ class Ordered:
     carried forward through a small table (at most ~1000 pieces in all).
 
     ``split_on`` is a numeric expression that never decreases in the order.
+    ``bound`` is a proven number of rows that no key exceeds; it saves the count.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], split_on: Column,
-                 share: int = 5_000_000):
+                 share: int = 5_000_000, bound: int | None = None):
         self.keys, self.order = list(keys), list(order)
-        self.pieces = None
+        if bound is not None and bound <= share:
+            self.df, self.group = df, self.keys
+            return
         counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
         total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
         limit = max(share, (total or 0) // 1000)
@@ -164,6 +167,10 @@ class Ordered:
         self.df = self.df.withColumn(name, F.col(f"{name}.v"))
         return self
 
+    def with_column(self, name: str, value: Column) -> Ordered:
+        self.df = self.df.withColumn(name, value)
+        return self
+
     def result(self) -> DataFrame:
         return self.df.drop("_piece")
 

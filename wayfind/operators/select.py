@@ -11,17 +11,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.operators.scale import Ordered
+
 
 def by_score(query: str = "query", tie: str = "candidate") -> Window:
     return Window.partitionBy(query).orderBy(F.desc("score"), tie)
 
 
-def rank(scores: DataFrame, query: str = "query", tie: str = "candidate") -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(by_score(query, tie)))
+def _in_order(scores: DataFrame, bound: int | None) -> Ordered:
+    """Candidates of each query from the best down.
+
+    ``bound`` is the size of the catalog where it is known.
+    """
+    return Ordered(
+        scores.withColumn("_down", -F.col("score")), ["query"], ["_down", "candidate"], F.col("_down"), bound=bound
+    )
+
+
+def rank(scores: DataFrame, bound: int | None = None) -> DataFrame:
+    """Full ranking per query."""
+    return _in_order(scores, bound).row_number("rank").result().drop("_down")
 
 
 def top_k(scores: DataFrame, k: int, query: str = "query", tie: str = "candidate") -> DataFrame:
-    return rank(scores, query, tie).where(F.col("rank") <= k)
+    ranked = scores.withColumn("rank", F.row_number().over(by_score(query, tie)))
+    return ranked.where(F.col("rank") <= k)
 
 
 def narrow(scores: DataFrame, queries: DataFrame, fallback: DataFrame, k: int = 3, threshold: float = 0.05) -> DataFrame:
@@ -41,26 +55,24 @@ def narrow(scores: DataFrame, queries: DataFrame, fallback: DataFrame, k: int =
 GAP, RATIO = 0.75, 0.20
 
 
-def select_gap(scores: DataFrame, gap: float = GAP, ratio: float = RATIO) -> DataFrame:
+def select_gap(scores: DataFrame, gap: float = GAP, ratio: float = RATIO, bound: int | None = None) -> DataFrame:
     """Take ranked candidates until the first large drop.
 
     Stops at a relative drop above ``gap``, a share of the best below ``ratio``
     or a previous score of 0 or less.  Nothing is taken if the best is 0 or less,
     except for a lone candidate.
     """
-    ordered = by_score()
-    prev, best = F.lag("score").over(ordered), F.first("score").over(ordered)
-    size = F.count(F.lit(1)).over(Window.partitionBy("query"))
-    df = scores.withColumn("_prev", prev).withColumn("_best", best).withColumn("_size", size)
+    best = scores.groupBy("query").agg(F.max("score").alias("_best"), F.count(F.lit(1)).alias("_size"))
+    ordered = _in_order(scores.join(best, "query"), bound)
+    ordered.row_number("rank").previous("_prev", F.col("score"))
     drop = F.try_divide(F.col("_prev") - F.col("score"), F.col("_prev")) > gap
     low = F.try_divide(F.col("score"), F.col("_best")) < ratio
-    stop = F.when(F.col("_prev").isNull(), (F.col("_best") <= 0) & (F.col("_size") > 1)).otherwise(
+    stop = F.when(F.col("rank") == 1, (F.col("_best") <= 0) & (F.col("_size") > 1)).otherwise(
         (F.col("_prev") <= 0) | F.coalesce(drop, F.lit(True)) | F.coalesce(low, F.lit(True))
     )
-    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    stopped = F.max(stop.cast("int")).over(running)
-    kept = df.withColumn("_stop", stopped).withColumn("rank", F.row_number().over(ordered)).where("_stop = 0")
-    return kept.drop("_prev", "_best", "_size", "_stop")
+    ordered.with_column("_stop", stop.cast("int")).running("_stopped", F.col("_stop"))
+    kept = ordered.result().where(F.col("_stopped") == 0)
+    return kept.drop("_prev", "_best", "_size", "_stop", "_stopped", "_down")
 
 
 def prune_classes(scores: DataFrame, cls: str, delta: float = 0.15) -> DataFrame:

@@ -262,11 +262,14 @@ def flatten_tree(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
 
 
 def tree_contents(paths: DataFrame) -> DataFrame:
-    """One row per directory: its path and the names of its files and folders."""
-    parent = F.slice("path", 1, F.size("path") - 1)
-    child = paths.where(F.size("path") > 1).select(
-        F.array_join(parent, "/").alias("path"), F.element_at("path", -1).alias("name"), "kind"
+    """Number of files and folders per directory path.
+
+    The names stay in long form (:func:`flatten_tree`): a directory may hold any
+    number of them.
+    """
+    parent = F.array_join(F.slice("path", 1, F.size("path") - 1), "/").alias("path")
+    child = paths.where(F.size("path") > 1).select(parent, "kind")
+    return child.groupBy("path").agg(
+        F.count(F.when(F.col("kind") == "file", 1)).alias("n_files"),
+        F.count(F.when(F.col("kind") == "directory", 1)).alias("n_dirs"),
     )
-    def names(kind: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("name"))))
-    return child.groupBy("path").agg(names("file").alias("files"), names("directory").alias("dirs"))

@@ -24,9 +24,14 @@ from wayfind.plans.similarity_plans import (
 RANKED = f"{EMBEDDING_SCORES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM escores)"
 
 
+def label_count(t):
+    """Size of the label catalog: no query has more candidates."""
+    return t.embeddings.select("label").distinct().count()
+
+
 @query("w01_rank", f"WITH {RANKED} SELECT * FROM ranked")
 def w01(t):
-    return L.rank(embedding_scores(t))
+    return L.rank(embedding_scores(t), label_count(t))
 
 
 @query("w02_top_k", f"WITH {RANKED} SELECT * FROM ranked WHERE rank <= 3")
@@ -59,7 +64,7 @@ r AS (SELECT *, max(CAST(stop AS INTEGER)) OVER (PARTITION BY query ORDER BY ran
 SELECT query, candidate, score, rank FROM r WHERE stopped = 0
 """)
 def w04(t):
-    return L.select_gap(embedding_scores(t))
+    return L.select_gap(embedding_scores(t), bound=label_count(t))
 
 
 @query("w05_prune_classes", f"""
@@ -229,7 +234,7 @@ r AS (SELECT query, candidate FROM (SELECT *, max(CAST(stop AS INTEGER)) OVER (P
 SELECT t.query, coalesce((SELECT list(candidate ORDER BY candidate) FROM r WHERE r.query = t.query) = [expected], false) AS correct FROM truth t
 """)
 def k02(t):
-    return K.eval_multi(embedding_scores(t), embedding_truth(t), 0.2, 0.8)
+    return K.eval_multi(embedding_scores(t), embedding_truth(t), 0.2, 0.8, label_count(t))
 
 
 @query("k04_topk_accuracy", f"""
