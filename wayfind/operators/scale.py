@@ -177,4 +177,4 @@ class Ordered:
 
 def micros(col: str) -> Column:
     """A timestamp as a number for ``split_on``."""
-    return F.unix_micros(F.col(col))
+    return F.unix_micros(F.col(col).cast("timestamp"))

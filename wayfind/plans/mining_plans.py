@@ -111,9 +111,9 @@ ml AS (SELECT func, string_agg(token, ' ' ORDER BY rank) AS m FROM mk WHERE rank
 @query("b03_exemplars", f"""
 WITH {CATALOG}, {MINED_TOP},
 ds AS (SELECT df.*, {Q.joined('diff')} AS d, m FROM df LEFT JOIN ml USING (func)),
-dn AS (SELECT func, string_agg(w, ' ' ORDER BY i) AS both FROM (SELECT func, w, min(i) AS i FROM (SELECT func, unnest(list_concat(nt, diff)) AS w, generate_subscripts(list_concat(nt, diff), 1) AS i FROM df) GROUP BY func, w) GROUP BY func)
+dn AS (SELECT func, string_agg(w, ' ' ORDER BY i) AS nd FROM (SELECT func, w, min(i) AS i FROM (SELECT func, unnest(list_concat(nt, diff)) AS w, generate_subscripts(list_concat(nt, diff), 1) AS i FROM df) GROUP BY func, w) GROUP BY func)
 SELECT cls AS class_name, cls || '.' || func AS function_name, func AS raw_name, action, 'none' AS target, {Q.joined('nt')} AS function_name_bow, lang || ' text' AS parameters_bow, v AS variant,
- CASE v WHEN 1 THEN concat(action, ' ', d, ' ', d, ' ', d, ' ', lang) WHEN 2 THEN concat(action, ' ', both, ' ', both, ' ', lang)
+ CASE v WHEN 1 THEN concat(action, ' ', d, ' ', d, ' ', d, ' ', lang) WHEN 2 THEN concat(action, ' ', nd, ' ', nd, ' ', lang)
   ELSE CASE WHEN m IS NOT NULL THEN concat(action, ' ', m, ' ', m, ' ', d, ' ', lang) ELSE concat(action, ' ', lang, ' text ', d, ' ', d, ' ', lang) END END AS description
 FROM ds LEFT JOIN dn USING (func), (VALUES (1), (2), (3)) x(v)
 """)
