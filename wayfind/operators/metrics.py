@@ -59,8 +59,13 @@ def nearest_rank(values: DataFrame, by: Sequence[str], value: str, q: float) ->
     Equal values are counted first; the running count survives a hot group.
     """
     counted = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    totals = counted.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    running = Ordered(counted, by, [value], F.col(value)).running("_upto", F.col("_c")).result()
+    return nearest_rank_counted(counted, by, value, "_c", q)
+
+
+def nearest_rank_counted(counted: DataFrame, by: Sequence[str], value: str, count: str, q: float) -> DataFrame:
+    """The same from values that are counted already, one row per distinct value."""
+    totals = counted.groupBy(*by).agg(F.sum(count).alias("_n"))
+    running = Ordered(counted, by, [value], F.col(value)).running("_upto", F.col(count)).result()
     reached = join_lookup(running, totals, by).where(F.col("_upto") >= F.ceil(F.lit(q) * F.col("_n")))
     return reached.groupBy(*by).agg(F.min(value).alias("quantile"))
 

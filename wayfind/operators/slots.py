@@ -7,6 +7,7 @@ order.  Values are strings; the type of a slot stays in its schema.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,11 +36,22 @@ def number_text(raw: Column, integer: Column) -> Column:
     return F.when(integer, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
 
 
-def anchor_raw(text: Column, param: Column) -> Column:
-    """The number next to a part of the parameter's name, before or after it."""
+def anchor_raw(text: Column, param: Column | str) -> Column:
+    """The number next to a part of the parameter's name, before or after it.
+
+    A name given as a plain string makes the patterns literals of the plan,
+    compiled once; a name out of the row is looked for in the text first, so that
+    a pattern is only built where it can match.
+    """
     lowered = F.lower(text)
+    if isinstance(param, str):
+        words = re.sub("[^a-z0-9 ]", "", param.lower().replace("_", " ")).split()
+        return F.coalesce(
+            *[F.nullif(F.regexp_extract(lowered, rf"\b{w}\s*(?:of|is|=|:|\()?\s*({NUMBER})", 1), F.lit("")) for w in words],
+            *[F.nullif(F.regexp_extract(lowered, rf"({NUMBER})\s*(?:for|as|is)\s*{w}\b", 1), F.lit("")) for w in words],
+        )
     clean = F.regexp_replace(F.regexp_replace(F.lower(param), "_", " "), "[^a-z0-9 ]", "")
-    parts = F.filter(F.split(clean, " +"), lambda p: p != "")
+    parts = F.filter(F.split(clean, " +"), lambda p: (p != "") & F.contains(lowered, p))
     after = F.transform(parts, lambda p: _extract(
         lowered, F.concat(F.lit(r"\b"), p, F.lit(rf"\s*(?:of|is|=|:|\()?\s*({NUMBER})"))))
     before = F.transform(parts, lambda p: _extract(
@@ -47,7 +59,7 @@ def anchor_raw(text: Column, param: Column) -> Column:
     return F.coalesce(_first(after), _first(before))
 
 
-def anchor_number(text: Column, param: Column, integer: Column) -> Column:
+def anchor_number(text: Column, param: Column | str, integer: Column) -> Column:
     return number_text(anchor_raw(text, param), integer)
 
 
@@ -77,7 +89,8 @@ def bool_value(text: Column, param: Column, default: Column) -> Column:
     """``true``/``false``: said next to the name, name present, or the default."""
     lowered = F.lower(text)
     clean = F.replace(F.lower(param), F.lit("_"), F.lit(" "))
-    said = _first(F.transform(F.split(clean, " "), lambda p: _extract(
+    present = F.filter(F.split(clean, " "), lambda p: F.contains(lowered, p))
+    said = _first(F.transform(present, lambda p: _extract(
         lowered, F.concat(F.lit(r"\b"), p, F.lit(r"\s*(?:is|=|:)?\s*(true|false|yes|no)\b")))))
     explicit = F.when(said.isNotNull(), F.when(said.isin("true", "yes"), "true").otherwise("false"))
     return F.coalesce(explicit, F.when(F.contains(lowered, clean), F.lit("true")), default)
@@ -128,8 +141,8 @@ def extract_args(queries: DataFrame, key: str, text: str, schema: str) -> DataFr
     t = F.col(text)
     named = F.transform(schema, lambda p: F.struct(p.alias("p"), named_value(t, p).alias("v")))
     df = queries.select(key, text, named.alias("_n"))
-    open_numeric = F.filter("_n", lambda s: s["v"].isNull() & s["p.required"] & s["p.type"].isin(*NUMERIC))
-    df = df.withColumn("_open", F.transform(open_numeric, lambda s: s["p.name"]))
+    open_numeric = F.filter("_n", lambda s: s["v"].isNull() & s["p"]["required"] & s["p"]["type"].isin(*NUMERIC))
+    df = df.withColumn("_open", F.transform(open_numeric, lambda s: s["p"]["name"]))
     df = df.withColumn("_num", all_numbers(t))
     rows = df.select(key, text, "_open", "_num", F.explode("_n").alias("s"))
     place = F.array_position("_open", F.col("s.p.name"))

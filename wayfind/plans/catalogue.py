@@ -6,7 +6,7 @@ from importlib import import_module
 
 from wayfind.plans import registry
 
-MODULES = ("text_plans", "rule_plans", "similarity_plans", "join_plans", "metric_plans", "set_plans", "select_plans", "session_plans", "mining_plans", "retrieval_plans", "slot_plans")
+MODULES = ("text_plans", "rule_plans", "similarity_plans", "join_plans", "metric_plans", "set_plans", "select_plans", "session_plans", "mining_plans", "retrieval_plans", "slot_plans", "source_plans")
 
 
 def _load() -> None:

@@ -10,8 +10,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-# Long texts: one small file would otherwise be one task.
-KEYS = {"documents": "doc_id", "pages": "page_id"}
+# Tables with costly expressions per row: one small file would be one task.
+KEYS = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey"}
 
 
 def use_all_cores(df: DataFrame, key: str) -> DataFrame:

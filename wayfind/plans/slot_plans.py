@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from wayfind.operators import slots as V
 from wayfind.plans import sqltext as Q
-from wayfind.plans.registry import query
+from wayfind.plans.registry import query, use_all_cores
 
-KEY = ["l_orderkey", "l_linenumber"]
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def sentences(t):
@@ -20,10 +20,10 @@ def sentences(t):
         F.lit(", weight "), (F.col("l_partkey") % 9).cast("string"), F.lit(" then 'f"), (F.col("l_suppkey") % 4).cast("string"), F.lit(".txt' to \"d"),
         (F.col("l_partkey") % 3).cast("string"), F.lit('" by Rail'),
     )
-    return t.lineitem.select("*", text.alias("text"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
+    return use_all_cores(t.lineitem, "l_orderkey").select("*", text.alias("text"), F.concat_ws("-", *KEY).alias("key"))
 
 
-SENTENCES = """s AS (SELECT *, l_orderkey || '-' || l_linenumber AS key, 'Move base of ' || CAST(l_quantity AS BIGINT) || ' and ' || l_linenumber || ' for height with tax_rate=' || l_tax ||
+SENTENCES = """s AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, 'Move base of ' || CAST(l_quantity AS BIGINT) || ' and ' || l_linenumber || ' for height with tax_rate=' || l_tax ||
  CASE l_returnflag WHEN 'A' THEN ', verbose is no' WHEN 'N' THEN ', Verbose' ELSE '' END || ', weight ' || (l_partkey % 9) || ' then ''f' || (l_suppkey % 4) || '.txt'' to "d' || (l_partkey % 3) || '" by Rail' AS text FROM lineitem)"""
 
 
@@ -33,12 +33,10 @@ UNION ALL SELECT key, 'height', CAST(l_linenumber AS VARCHAR) FROM s UNION ALL S
 UNION ALL SELECT key, 'Weight', CAST(l_partkey % 9 AS VARCHAR) || '.0' FROM s
 """)
 def v01(t):
-    params = F.array(*[
-        F.struct(F.lit(n).alias("n"), F.lit(i).alias("i")) for n, i in (("base_size", True), ("height", True), ("rate", False), ("Weight", False), ("colour", True))
-    ])
-    rows = sentences(t).select("key", "text", F.explode(params).alias("p"))
-    value = V.anchor_number(F.regexp_replace("text", "tax_rate", "tax rate"), F.col("p.n"), F.col("p.i"))
-    return rows.select("key", F.col("p.n").alias("param"), value.alias("value")).where("value is not null")
+    params = (("base_size", True), ("height", True), ("rate", False), ("Weight", False), ("colour", True))
+    text = F.regexp_replace("text", "tax_rate", "tax rate")
+    values = F.array(*[F.struct(F.lit(n).alias("param"), V.anchor_number(text, n, F.lit(i)).alias("value")) for n, i in params])
+    return sentences(t).select("key", F.explode(values).alias("v")).select("key", "v.param", "v.value").where("value is not null")
 
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -182,7 +180,7 @@ def v09(t):
 WITH {FILLED} SELECT key, l_returnflag IN ('A', 'N') OR l_linestatus = 'F' AS complete FROM s
 """)
 def v10(t):
-    base = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), "l_linestatus")
+    base = t.lineitem.select(F.concat_ws("-", *KEY).alias("key"), "l_linestatus")
     slots = F.when(F.col("l_linestatus") == "F", F.array(F.lit("source"), F.lit("lines"))).otherwise(F.array(F.lit("source"), F.lit("all")))
     required = base.select("key", F.explode(slots).alias("slot"))
     return V.slots_complete(required, filled(t), "key")
