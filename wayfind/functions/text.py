@@ -17,6 +17,11 @@ from wayfind.functions import words as W
 SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     return F.regexp_replace(col, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -89,14 +94,17 @@ def bag(tokens: Column) -> Column:
 
 def bag_items(tokens: Column) -> Column:
     """The bag as an array: distinct tokens, or the single token ``none``."""
-    distinct = F.array_distinct(tokens)
-    return F.when(F.size(distinct) > 0, distinct).otherwise(F.array(F.lit("none")))
+    return let(F.array_distinct(tokens), lambda d: F.when(F.size(d) > 0, d).otherwise(F.array(F.lit("none"))))
 
 
 def what_tokens(tokens: Column) -> Column:
     """Tokens without framing words; all tokens if nothing else is left."""
-    what = F.filter(tokens, lambda w: ~w.isin(list(W.HOW_WORDS)))
-    return F.when(F.size(what) > 0, what).otherwise(tokens)
+
+    def chosen(all_tokens: Column) -> Column:
+        what = F.filter(all_tokens, lambda w: ~w.isin(list(W.HOW_WORDS)))
+        return F.when(F.size(what) > 0, what).otherwise(all_tokens)
+
+    return let(tokens, chosen)
 
 
 def clean_description(col: Column, last_marker: bool = False) -> Column:

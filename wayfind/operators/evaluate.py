@@ -57,14 +57,14 @@ def confusion(flagged: DataFrame, truth: DataFrame, on: str, predicted: str, act
     return counts.withColumn("accuracy", M.ratio(F.col("true_positive") + F.col("true_negative"), F.col("total")))
 
 
-def contains_any(pairs: DataFrame, key: str, response: Column, truth: Column) -> DataFrame:
+def contains_any(pairs: DataFrame, key: str, response: Column, truth: Column, *more: Column) -> DataFrame:
     """Does the response contain any of its truths, both in comparable form?
 
-    An empty truth never counts.
+    An empty truth never counts.  ``more`` are further aggregates per key.
     """
     wanted = X.comparable(truth)
     hit = (F.length(wanted) > 0) & F.contains(X.comparable(response), wanted)
-    return pairs.groupBy(key).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("contained"))
+    return pairs.groupBy(key).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("contained"), *more)
 
 
 def turn_analysis(counted: DataFrame, entry: str, turn: Sequence[str], cls: Column) -> DataFrame:

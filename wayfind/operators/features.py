@@ -97,7 +97,7 @@ def pattern_encoding(layers=(0.45, 0.35, 0.20), roles=None) -> Encoding:
 
 
 def _or(first: Column, second: Column) -> Column:
-    return F.when(F.size(first) > 0, first).otherwise(second)
+    return X.let(first, lambda f: F.when(F.size(f) > 0, f).otherwise(second))
 
 
 def encode_functions(catalog: DataFrame, key: str, verbs: DataFrame, nouns: DataFrame) -> DataFrame:
@@ -164,7 +164,8 @@ def encode_class_functions(catalog: DataFrame, key: str, intents: DataFrame, tar
     df = catalog.withColumn("func", C.bare_name(F.col("name")))
     df = join_lookup(df, intents, ["cls", "func"], "left")
     df = join_lookup(df, target_defaults, ["cls"], "left")
-    desc = X.tokenize(X.clean_description(F.coalesce("description", F.lit(""))))
+    df = df.withColumn("_desc", X.tokenize(X.clean_description(F.coalesce("description", F.lit("")))))
+    desc = F.col("_desc")
     name = X.tokenize(X.split_name(F.col("func")))
     params = S.param_tokens(F.col("props"), with_type=False)
     return df.select(

@@ -85,7 +85,7 @@ def exemplars(catalog: DataFrame, mined: DataFrame, order: str) -> DataFrame:
         F.col("cls").alias("class_name"), C.qualify(F.col("cls"), F.col("func").cast("string")).alias("function_name"),
         F.col("func").alias("raw_name"), "action", "target",
         X.bag(F.col("name_tokens")).alias("function_name_bow"), X.bag(F.col("param_tokens")).alias("parameters_bow"),
-        F.explode(variants).alias("v"),
+        F.explode_outer(variants).alias("v"),
     ).select("class_name", "function_name", "raw_name", "action", "target", "function_name_bow", "parameters_bow",
              "v.variant", "v.description")
 

@@ -26,7 +26,8 @@ def text_windows(clauses: Column, size: int = WINDOW) -> Column:
 def document_windows(documents: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
     """Windows inside each document, as a projection: ``(key, pos, passage)``."""
     clauses = documents.select(key, X.clauses(F.col(text)).alias("_c"))
-    return clauses.select(key, F.posexplode(text_windows(F.col("_c"), size)).alias("pos", "passage"))
+    rows = clauses.select(key, F.posexplode_outer(text_windows(F.col("_c"), size)).alias("pos", "passage"))
+    return rows.where(F.col("pos").isNotNull())
 
 
 def conversation_windows(utterances: DataFrame, key: str, order: Sequence[str], split_on: Column, text: str,
@@ -37,10 +38,10 @@ def conversation_windows(utterances: DataFrame, key: str, order: Sequence[str],
     ``size`` windows it is part of, so that a group never has more than ``size``
     rows.
     """
-    parts = utterances.select(key, *order, split_on.alias("_at"), X.clauses(F.col(text)).alias("_c")).where(F.size("_c") > 0)
+    parts = utterances.select(key, *order, split_on.alias("_at"), X.clauses(F.col(text)).alias("_c"))
     numbered = Ordered(parts, [key], order, F.col("_at")).running("_upto", F.size("_c")).result()
-    clauses = numbered.select(key, (F.col("_upto") - F.size("_c")).alias("_from"), F.posexplode("_c").alias("_i", "clause"))
-    clauses = clauses.select(key, (F.col("_from") + F.col("_i")).alias("pos"), "clause")
+    clauses = numbered.select(key, (F.col("_upto") - F.size("_c")).alias("_from"), F.posexplode_outer("_c").alias("_i", "clause"))
+    clauses = clauses.where(F.col("_i").isNotNull()).select(key, (F.col("_from") + F.col("_i")).alias("pos"), "clause")
     members = clauses.select(
         key, "pos", "clause",
         F.explode(F.sequence(F.greatest(F.col("pos") - (size - 1), F.lit(0)), F.col("pos"))).alias("start"),

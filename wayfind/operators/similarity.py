@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.operators.features import Encoding
-from wayfind.operators.scale import join_lookup
+from wayfind.operators.scale import BROADCAST_ROWS, join_lookup, rows_if_small
 
 DIGITS = 9
 
@@ -149,17 +149,26 @@ def _representatives(q: DataFrame, c: DataFrame, encoding: Encoding, k: int) ->
     )
     few = first_k(c.select("c"), constant)
     candidates = first_k(few.select("c", masked("c").alias("_test")), F.col("_test"))
-    wanted = q.select("q", masked("q").alias("_test"))
-    return join_lookup(wanted, candidates, ["_test"]).select("q", "c", F.lit(None).cast("int").alias("role"))
+    rows = rows_if_small(candidates, BROADCAST_ROWS)
+    if rows is not None:
+        # Held as rows, so that the catalog is not encoded once more for them.
+        candidates = candidates.sparkSession.createDataFrame(rows, candidates.schema)
+        wanted = q.select("q", masked("q").alias("_test"))
+        pairs = wanted.join(F.broadcast(candidates), "_test")
+    else:
+        pairs = join_lookup(q.select("q", masked("q").alias("_test")), candidates, ["_test"])
+    return pairs.select("q", "c", F.lit(None).cast("int").alias("role"))
 
 
 def top_k(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key: str, catalog_key: str,
-          k: int) -> DataFrame:
+          k: int, many_copies: bool = False) -> DataFrame:
     """Best ``k`` of the whole catalog per query: ``(query, candidate, score, rank)``.
 
-    Equal scores rank by catalog key.
+    Equal scores rank by catalog key.  Encoded tables must hold every role.
+    ``many_copies`` first reduces a catalog of few distinct encodings; for one of
+    mostly distinct texts that would only shuffle the texts.
     """
-    few = distinct_catalog(catalog, catalog_key, encoding, k)
+    few = distinct_catalog(catalog, catalog_key, encoding, k) if many_copies else catalog
     q = _meta(queries, query_key, encoding, "q")
     c = _meta(few, catalog_key, encoding, "c")
     pairs = _pairs(q, c, encoding).unionByName(_representatives(q, c, encoding, k))
@@ -173,9 +182,10 @@ def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def best_score(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key: str, catalog_key: str) -> DataFrame:
+def best_score(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key: str, catalog_key: str,
+               many_copies: bool = False) -> DataFrame:
     """Best score of every query over the catalog, never below 0."""
-    best = top_k(queries, catalog, encoding, query_key, catalog_key, 1)
+    best = top_k(queries, catalog, encoding, query_key, catalog_key, 1, many_copies)
     per_query = best.groupBy("query").agg(F.max("score").alias("best"))
     keys = queries.select(F.col(query_key).alias("query"))
     return keys.join(per_query, "query", "left").select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,18 @@ NUMBER = r"-?\d+\.?\d*"
 NUMERIC = ("integer", "number", "float")
 
 
+@dataclass(frozen=True)
+class Param:
+    """A parameter of a schema that is known when the job is written."""
+
+    name: str
+    type: str | None = "string"
+    enum: tuple[str, ...] | None = None
+    item_type: str | None = None
+    default: str | None = None
+    required: bool = True
+
+
 def _extract(text: Column, pattern: Column) -> Column:
     """First group of a pattern built from row values; null without a match."""
     found = F.call_function("regexp_extract", text, pattern, F.lit(1))
@@ -133,30 +146,56 @@ def named_value(text: Column, p: Column) -> Column:
     return F.coalesce(F.when(p["enum"].isNotNull(), enum_match(text, p["enum"])), by_type)
 
 
-def extract_args(queries: DataFrame, key: str, text: str, schema: str) -> DataFrame:
+def known_value(text: Column, p: Param) -> Column:
+    """:func:`named_value` of a known parameter: only its own branch is planned."""
+    kind = p.type or "string"
+    value = F.lit(None).cast("string")
+    if kind in ("integer", "int", "number", "float"):
+        value = anchor_number(text, p.name, F.lit(kind in ("integer", "int")))
+    elif kind == "boolean":
+        value = bool_value(text, F.lit(p.name), F.lit(p.default).cast("string"))
+    elif kind == "array":
+        value = F.to_json(array_value(text, F.lit(p.item_type or "string")))
+    elif kind == "string":
+        value = F.coalesce(quoted_value(text), anchor_raw(text, p.name))
+    if p.enum is None:
+        return value
+    return F.coalesce(enum_match(text, F.array(*[F.lit(e) for e in p.enum])), value)
+
+
+def extract_args(queries: DataFrame, key: str, text: str, schema: str | Sequence[Param]) -> DataFrame:
     """Three passes: named or enum, numbers by position, string fallback.
 
-    Returns ``(key, param, value, pass)`` for every parameter that got a value.
+    ``schema`` is the column that holds each query's own schema, or the one schema
+    of all queries (its patterns are then compiled once).  Returns
+    ``(key, param, value, pass)`` for every parameter that got a value.
     """
     t = F.col(text)
-    named = F.transform(schema, lambda p: F.struct(p.alias("p"), named_value(t, p).alias("v")))
-    df = queries.select(key, text, named.alias("_n"))
-    open_numeric = F.filter("_n", lambda s: s["v"].isNull() & s["p"]["required"] & s["p"]["type"].isin(*NUMERIC))
-    df = df.withColumn("_open", F.transform(open_numeric, lambda s: s["p"]["name"]))
-    df = df.withColumn("_num", all_numbers(t))
-    rows = df.select(key, text, "_open", "_num", F.explode("_n").alias("s"))
-    place = F.array_position("_open", F.col("s.p.name"))
-    raw = F.when(place > 0, F.get("_num", (place - 1).cast("int")))
-    positional = number_text(raw, F.col("s.p.type") == "integer")
+    if isinstance(schema, str):
+        filled = F.transform(schema, lambda p: F.struct(
+            p["name"].alias("name"), p["type"].alias("type"), p["enum"].isNotNull().alias("listed"),
+            p["required"].alias("required"), named_value(t, p).alias("v")))
+    else:
+        filled = F.array(*[F.struct(
+            F.lit(p.name).alias("name"), F.lit(p.type).cast("string").alias("type"), F.lit(p.enum is not None).alias("listed"),
+            F.lit(p.required).alias("required"), known_value(t, p).alias("v")) for p in schema])
+    df = queries.select(key, text, filled.alias("_n"))
+    open_numeric = F.filter("_n", lambda s: s["v"].isNull() & s["required"] & s["type"].isin(*NUMERIC))
+    df = df.withColumn("_open", F.transform(open_numeric, lambda s: s["name"]))
+    # The array is never empty. A plain explode would make Spark test that with a
+    # filter below, which computes all values a second time.
+    rows = df.select(key, text, "_open", F.explode_outer("_n").alias("s"))
+    place = F.array_position("_open", F.col("s.name"))
+    # Only open parameters look for numbers again.
+    raw = F.when(place > 0, F.get(all_numbers(t), (place - 1).cast("int")))
+    positional = number_text(raw, F.col("s.type") == "integer")
     fallback = F.when(
-        F.col("s.p.required") & (F.coalesce("s.p.type", F.lit("string")) == "string") & F.col("s.p.enum").isNull(),
+        F.col("s.v").isNull() & F.col("s.required") & (F.coalesce("s.type", F.lit("string")) == "string") & ~F.col("s.listed"),
         capital_word(t),
     )
-    stage = (
-        F.when(F.col("s.v").isNotNull(), "named").when(positional.isNotNull(), "positional").when(fallback.isNotNull(), "fallback")
-    )
-    out = rows.select(key, F.col("s.p.name").alias("param"), F.coalesce("s.v", positional, fallback).alias("value"), stage.alias("pass"))
-    return out.where(F.col("value").isNotNull())
+    staged = rows.select(key, F.col("s.name").alias("param"), F.col("s.v").alias("_a"), positional.alias("_b"), fallback.alias("_c"))
+    stage = F.when(F.col("_a").isNotNull(), "named").when(F.col("_b").isNotNull(), "positional").when(F.col("_c").isNotNull(), "fallback")
+    return staged.select(key, "param", F.coalesce("_a", "_b", "_c").alias("value"), stage.alias("pass")).where(F.col("value").isNotNull())
 
 
 FOLDER_NAMES = ("folder", "dir_name", "directory")
@@ -246,7 +285,7 @@ def fill_slots(queries: DataFrame, key: str, text: str, slots: Mapping[str, Mapp
         )
         for slot, rule in slots.items()
     ]
-    rows = queries.select(key, F.explode(F.array(*filled)).alias("f")).select(key, "f.slot", "f.value")
+    rows = queries.select(key, F.explode_outer(F.array(*filled)).alias("f")).select(key, "f.slot", "f.value")
     return rows.where(F.col("value").isNotNull())
 
 

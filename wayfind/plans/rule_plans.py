@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as X
@@ -21,15 +20,9 @@ def word_rules(t, n=N_RULES):
         .groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "pattern").limit(n)
     )
-    # The limit above bounds this window to n rows.
-    ranked = top.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("n"), "pattern")))
-    return ranked.select(
-        "pattern",
-        F.concat(F.lit("a"), (F.col("ordinal") % 7).cast("string")).alias("canonical"),
-        F.concat(F.lit("c"), (F.col("ordinal") % 4).cast("string")).alias("cls"),
-        "ordinal",
-        (1 + F.col("ordinal") % 5).alias("weight"),
-    )
+    # A rule table is kept as rows (here n): every use would count the words again.
+    rows = [(r["pattern"], f"a{i % 7}", f"c{i % 4}", i, 1 + i % 5) for i, r in enumerate(top.collect(), 1)]
+    return t.spark.createDataFrame(rows, "pattern string, canonical string, cls string, ordinal int, weight int")
 
 
 CLASSES = ["c0", "c1", "c2", "c3"]

@@ -206,10 +206,9 @@ def flagship(t):
     top = S.top_k(benchmark_words(t), document_words(t), E.MEMORY, "item_id", "doc_id", 3)
     texts = top.join(t.documents.select(F.col("doc_id").alias("candidate"), F.col("text").alias("found")), "candidate")
     texts = texts.join(t.benchmark.select(F.col("item_id").alias("query"), "text"), "query")
-    contained = K.contains_any(texts, "query", F.col("found"), F.col("text"))
-    best = top.groupBy("query").agg(F.max("score").alias("best"))
+    judged = K.contains_any(texts, "query", F.col("found"), F.col("text"), F.max("score").alias("best"))
     band = F.when(F.col("best") >= 0.5, "high").when(F.col("best") >= 0.3, "middle").otherwise("low")
-    return M.accuracy(contained.join(best, "query").withColumn("band", band), ["band"], "contained")
+    return M.accuracy(judged.withColumn("band", band), ["band"], "contained")
 
 
 TRUTH = "truth AS (SELECT vec_id AS query, label AS expected FROM embeddings)"

@@ -36,7 +36,7 @@ def v01(t):
     params = (("base_size", True), ("height", True), ("rate", False), ("Weight", False), ("colour", True))
     text = F.regexp_replace("text", "tax_rate", "tax rate")
     values = F.array(*[F.struct(F.lit(n).alias("param"), V.anchor_number(text, n, F.lit(i)).alias("value")) for n, i in params])
-    return sentences(t).select("key", F.explode(values).alias("v")).select("key", "v.param", "v.value").where("value is not null")
+    return sentences(t).select("key", F.explode_outer(values).alias("v")).select("key", "v.param", "v.value").where("value is not null")
 
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -99,22 +99,29 @@ def v06(t):
     return t.conversations.select("conv_id", "turn", V.string_value(F.col("text")).alias("value"))
 
 
-def schema():
-    def p(name, kind, required=True, enum=None, item=None, default=None):
-        s = lambda v: F.lit(v).cast("string")
-        return F.struct(
-            s(name).alias("name"), s(kind).alias("type"),
-            (F.array(*[F.lit(e) for e in enum]) if enum else F.lit(None).cast("array<string>")).alias("enum"),
-            s(item).alias("item_type"), s(default).alias("default"), F.lit(required).alias("required"),
-        )
+SCHEMA = (
+    V.Param("base", "integer"),
+    V.Param("flag", "string", enum=("Verbose", "Silent")),
+    V.Param("place", "string"),
+    V.Param("speed", "number"),
+    V.Param("depth", "integer"),
+    V.Param("extra", "integer", required=False),
+    V.Param("dry_run", "boolean", default="false"),
+    V.Param("parts", "array", item_type="integer"),
+)
 
-    return F.array(
-        p("base", "integer"), p("flag", "string", enum=("Verbose", "Silent")), p("place", "string"), p("speed", "number"), p("depth", "integer"),
-        p("extra", "integer", required=False), p("dry_run", "boolean", default="false"), p("parts", "array", item="integer"),
-    ).cast(V.SCHEMA)
 
+def schema_column():
+    """The same schema as a value of the row."""
+    s = lambda v: F.lit(v).cast("string")
+    return F.array(*[F.struct(
+        s(p.name).alias("name"), s(p.type).alias("type"),
+        (F.array(*[F.lit(e) for e in p.enum]) if p.enum else F.lit(None).cast("array<string>")).alias("enum"),
+        s(p.item_type).alias("item_type"), s(p.default).alias("default"), F.lit(p.required).alias("required"),
+    ) for p in SCHEMA]).cast(V.SCHEMA)
 
-@query("v07_extract_args", f"""
+
+ARGS = f"""
 WITH {SENTENCES}, n AS (SELECT *, regexp_extract_all(text, '-?\\d+\\.?\\d*') AS nums FROM s)
 SELECT key, 'base' AS param, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value, 'named' AS pass FROM n
 UNION ALL SELECT key, 'flag', CASE WHEN l_returnflag IN ('A', 'N') THEN 'Verbose' ELSE 'd' || (l_partkey % 3) END, 'named' FROM n
@@ -123,9 +130,17 @@ UNION ALL SELECT key, 'speed', CAST(CAST(nums[1] AS DOUBLE) AS VARCHAR), 'positi
 UNION ALL SELECT key, 'depth', CAST(CAST(trunc(CAST(nums[2] AS DOUBLE)) AS BIGINT) AS VARCHAR), 'positional' FROM n
 UNION ALL SELECT key, 'dry_run', 'false', 'named' FROM n
 UNION ALL SELECT key, 'parts', '[' || array_to_string(list_transform(nums, lambda n: '"' || CAST(trunc(CAST(n AS DOUBLE)) AS BIGINT) || '"'), ',') || ']', 'named' FROM n
-""")
+"""
+
+
+@query("v07_extract_args", ARGS)
 def v07(t):
-    return V.extract_args(sentences(t).withColumn("schema", schema()), "key", "text", "schema")
+    return V.extract_args(sentences(t), "key", "text", SCHEMA)
+
+
+@query("v07_extract_args_row_schema", ARGS)
+def v07_rows(t):
+    return V.extract_args(sentences(t).withColumn("schema", schema_column()), "key", "text", "schema")
 
 
 @query("v08_param_hints", f"""

@@ -56,16 +56,17 @@ def s03(t):
 def entries(t):
     """Conversations as benchmark entries, their question in one of three shapes.
 
-    Turns are numbered; two messages make a turn.
+    Two messages make a turn.  An entry is one JSON line, so a conversation is cut
+    into entries of 64 messages.
     """
     message = F.struct("role", F.col("text").alias("content"))
-    pairs = t.conversations.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair")).agg(
+    conv = t.conversations.withColumn("conv_id", F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 64)))
+    pairs = conv.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair")).agg(
         F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("ms"))
     pairs = pairs.select("conv_id", "pair", F.transform("ms", lambda m: m["m"]).alias("ms"))
-    # An entry is one JSON line: its turns are together by definition.
     whole = pairs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pair", "ms"))).alias("ps"))
     nested = F.transform("ps", lambda p: p["ms"])
-    shape = F.col("conv_id") % 3
+    shape = F.substring_index("conv_id", "-", 1).cast("bigint") % 3
     question = (
         F.when(shape == 0, F.to_json(nested)).when(shape == 1, F.to_json(F.flatten(nested)))
         .otherwise(F.get(F.get(nested, F.lit(0)), F.lit(0))["content"])
@@ -73,10 +74,11 @@ def entries(t):
     return whole.select("conv_id", question.alias("question"))
 
 
-UTT = """utt AS (
- SELECT conv_id, turn // 2 AS turn, turn % 2 AS msg, role, text AS content FROM conversations WHERE conv_id % 3 = 0
- UNION ALL SELECT conv_id, 0, turn, role, text FROM conversations WHERE conv_id % 3 = 1
- UNION ALL SELECT conv_id, 0, 0, 'user', arg_min(text, turn) FROM conversations WHERE conv_id % 3 = 2 GROUP BY conv_id)"""
+UTT = """cv AS (SELECT conv_id || '-' || (turn // 64) AS conv_id, conv_id % 3 AS shape, turn, role, text FROM conversations),
+utt AS (
+ SELECT conv_id, turn % 64 // 2 AS turn, turn % 2 AS msg, role, text AS content FROM cv WHERE shape = 0
+ UNION ALL SELECT conv_id, 0, turn % 64, role, text FROM cv WHERE shape = 1
+ UNION ALL SELECT conv_id, 0, 0, 'user', arg_min(text, turn) FROM cv WHERE shape = 2 GROUP BY conv_id)"""
 
 
 def utterances(t):

@@ -83,5 +83,7 @@ def summary(categories: DataFrame, composite: DataFrame) -> DataFrame:
     entries = F.array_sort(F.collect_list(F.struct("category", F.struct(*fields).alias("v"))))
     by_category = categories.agg(F.map_from_entries(entries).alias("categories"))
     overall = composite.agg(F.first(F.struct(*composite.columns)).alias("scores"))
-    both = by_category.withColumn("_k", F.lit(1)).join(overall.withColumn("_k", F.lit(1)), "_k")
+    both = by_category.unionByName(overall, allowMissingColumns=True).agg(
+        F.first("categories", ignorenulls=True).alias("categories"), F.first("scores", ignorenulls=True).alias("scores")
+    )
     return both.select(F.to_json(F.struct("categories", "scores")).alias("document"))
