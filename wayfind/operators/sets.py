@@ -16,10 +16,10 @@ from wayfind.operators.metrics import ratio
 
 def counts(pred: DataFrame, truth: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     """Occurrences of each name on both sides: ``(by, name, n_pred, n_true)``."""
-    both = pred.select(*by, name, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(
-        truth.select(*by, name, F.lit(0).alias("p"), F.lit(1).alias("t"))
+    both = pred.select(*by, name, F.lit(1).alias("_p"), F.lit(0).alias("_t")).unionByName(
+        truth.select(*by, name, F.lit(0).alias("_p"), F.lit(1).alias("_t"))
     )
-    return both.groupBy(*by, name).agg(F.sum("p").alias("n_pred"), F.sum("t").alias("n_true"))
+    return both.groupBy(*by, name).agg(F.sum("_p").alias("n_pred"), F.sum("_t").alias("n_true"))
 
 
 def set_equal(counted: DataFrame, by: Sequence[str]) -> DataFrame:
