@@ -15,7 +15,7 @@ def one(spark, text, fn):
     (lambda t: V.anchor_number(t, "x", F.lit(False)), "x=-2", "-2.0"),
     (lambda t: V.anchor_number(t, "y", F.lit(True)), "nothing", None),
     (lambda t: V.enum_match(t, F.array(F.lit("kilo"), F.lit("meter"))), "in METERS", "meter"),
-    (lambda t: V.enum_match(t, F.array(F.lit("kilogram"), F.lit("m"))), "a gram", "kilogram"),
+    (lambda t: V.enum_match(t, F.array(F.lit("kilogram"), F.lit("zz"))), "a gram", "kilogram"),
     (lambda t: V.bool_value(t, F.lit("dry_run"), F.lit("x")), "run is no", "false"),
     (lambda t: V.bool_value(t, F.lit("dry_run"), F.lit("x")), "a dry run", "true"),
     (lambda t: V.bool_value(t, F.lit("dry_run"), F.lit("x")), "go", "x"),

@@ -49,7 +49,7 @@ def test_stored_upsert_leaves_other_classes_alone(spark, tmp_path):
     K.upsert_catalog(spark, path, spark.createDataFrame([("a", "f", 5, 2), ("a", "h", 6, 2), ("a", "f", 4, 1)], schema), ["class_dir", "func_name"])
     assert rows(K.read_catalog(spark, path).select("class_dir", "func_name", "v")) == [("a", "f", 5), ("a", "h", 6), ("b", "g", 1)]
     plan = K.read_catalog(spark, path, ["a"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [class_dir" in plan
+    assert "PartitionFilters: [isnotnull(class_dir" in plan
 
 
 def events(spark):

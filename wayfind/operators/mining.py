@@ -12,7 +12,7 @@ from wayfind.functions import schema as SC
 from wayfind.functions import text as X
 from wayfind.operators import metrics as M
 from wayfind.operators import select as L
-from wayfind.operators.scale import Ordered, join_lookup
+from wayfind.operators.scale import Ordered, hold_if_small, join_lookup
 
 LONG_TURN = 4_096
 PATTERN_VARIANTS = 9
@@ -21,7 +21,7 @@ PATTERN_VARIANTS = 9
 def mine_queries(queries: DataFrame, calls: DataFrame, turn: Sequence[str], call: str) -> DataFrame:
     """One ``(func, query)`` row per expected call of a turn with a user query."""
     named = calls.withColumn("func", C.call_head(F.col(call)))
-    return named.join(queries.where(F.length("query") > 0), list(turn))
+    return join_lookup(named, queries.where(F.length("query") > 0), turn)
 
 
 def exemplar_intent(functions: DataFrame, class_map: DataFrame, global_map: DataFrame) -> DataFrame:
@@ -197,5 +197,6 @@ def task_sequence(best: DataFrame, tasks: DataFrame, threshold: float = TASK_THR
 
     ``best(query, candidate, score)`` with one row per query.
     """
-    joined = best.join(tasks.select(F.col("task").alias("candidate"), "functions"), "candidate")
+    names = tasks.select(F.col("task").alias("candidate"), "functions")
+    joined = names.join(hold_if_small(best), "candidate")
     return joined.select("query", F.when(F.col("score") >= threshold, F.col("functions")).alias("functions"), "score")

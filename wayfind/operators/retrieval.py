@@ -11,7 +11,7 @@ from wayfind.functions import text as X
 from wayfind.operators import evaluate as K
 from wayfind.operators import similarity as S
 from wayfind.operators.features import MEMORY
-from wayfind.operators.scale import Ordered
+from wayfind.operators.scale import Ordered, hold_if_small
 
 WINDOW, TOP = 3, 50
 
@@ -77,7 +77,7 @@ def answer(hits: DataFrame, windows: DataFrame, key: Column) -> DataFrame:
     """
     texts = windows.select(key.alias("candidate"), "passage")
     rows = F.array_sort(F.collect_list(F.struct("rank", "passage")))
-    joined = hits.join(texts, "candidate").groupBy("query").agg(
+    joined = texts.join(hold_if_small(hits), "candidate").groupBy("query").agg(
         F.array_join(F.transform(rows, lambda r: r["passage"]), " ").alias("answer")
     )
     return joined

@@ -209,11 +209,11 @@ def is_suppressed(action_col: Column, target_col: Column) -> Column:
 
 
 def keep_available(candidates: DataFrame, available: DataFrame, on: Sequence[str]) -> DataFrame:
-    return candidates.join(available, list(on), "left_semi")
+    return join_lookup(candidates, available, on, "left_semi")
 
 
 def exclude(candidates: DataFrame, excluded: DataFrame, on: Sequence[str]) -> DataFrame:
-    return candidates.join(excluded, list(on), "left_anti")
+    return join_lookup(candidates, excluded, on, "left_anti")
 
 
 def apply_exclusion(candidates: DataFrame, pairs: DataFrame, query: str = "query", func: str = "func",

@@ -20,6 +20,15 @@ def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
     return rows if len(rows) <= max_rows else None
 
 
+def hold_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table that fits ``max_rows``, computed once, as broadcast rows.
+
+    A larger one is returned as it is.
+    """
+    rows = rows_if_small(df, max_rows)
+    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 

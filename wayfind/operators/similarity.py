@@ -25,33 +25,40 @@ from wayfind.operators.scale import BROADCAST_ROWS, join_lookup, rows_if_small
 DIGITS = 9
 
 
-def _meta(df: DataFrame, key: str, encoding: Encoding, name: str) -> DataFrame:
-    """``(name: struct(key, categories, bag sizes, none flags), bags)``."""
-    fields = [F.col(key).alias("key")]
-    for r in encoding.categories:
-        fields.append(F.col(r.name).alias(r.name))
+def _names(encoding: Encoding, side: str) -> list[str]:
+    """Columns of a side that travel with its tokens: key, categories, bag sizes."""
+    names = [f"{side}_key", *[f"{side}_{r.name}" for r in encoding.categories]]
+    for r in encoding.bags:
+        names += [f"{side}_{r.name}_size", f"{side}_{r.name}_none"]
+    return names
+
+
+def _side(df: DataFrame, key: str, encoding: Encoding, side: str) -> DataFrame:
+    """One side of a comparison: the columns of :func:`_names` and the bags."""
+    cols = [F.col(key).alias(f"{side}_key")]
+    cols += [F.col(r.name).alias(f"{side}_{r.name}") for r in encoding.roles]
     for r in encoding.bags:
-        fields.append(F.size(r.name).alias(f"{r.name}_size"))
-        fields.append(F.array_contains(r.name, "none").alias(f"{r.name}_none"))
-    return df.select(F.struct(*fields).alias(name), *[r.name for r in encoding.bags])
+        cols.append(F.size(r.name).alias(f"{side}_{r.name}_size"))
+        cols.append(F.array_contains(r.name, "none").alias(f"{side}_{r.name}_none"))
+    return df.select(*cols)
 
 
-def _postings(meta: DataFrame, encoding: Encoding, name: str) -> DataFrame:
+def _postings(df: DataFrame, encoding: Encoding, side: str) -> DataFrame:
     """One row per indexed ``(role, token)`` of a key."""
 
     def indexed(number: int, bag: str) -> Column:
         items = F.coalesce(F.array_remove(bag, "none"), F.array().cast("array<string>"))
         return F.transform(items, lambda w: F.struct(F.lit(number).alias("role"), w.alias("token")))
 
-    tokens = [indexed(i, r.name) for i, r in enumerate(encoding.bags)]
-    return meta.select(name, F.explode(F.concat(*tokens)).alias("p")).select(name, "p.role", "p.token")
+    tokens = [indexed(i, f"{side}_{r.name}") for i, r in enumerate(encoding.bags)]
+    names = _names(encoding, side)
+    return df.select(*names, F.explode(F.concat(*tokens)).alias("p")).select(*names, "p.role", "p.token")
 
 
-def _pairs(queries: DataFrame, catalog: DataFrame, encoding: Encoding) -> DataFrame:
-    """``(q, c, role)``: one row per shared token."""
-    q = _postings(queries, encoding, "q")
-    c = _postings(catalog, encoding, "c")
-    return join_lookup(c, q, ["role", "token"]).select("q", "c", "role")
+def _pairs(q: DataFrame, c: DataFrame, encoding: Encoding) -> DataFrame:
+    """Both sides and the role: one row per shared token."""
+    shared = join_lookup(_postings(c, encoding, "c"), _postings(q, encoding, "q"), ["role", "token"])
+    return shared.select(*_names(encoding, "q"), *_names(encoding, "c"), "role")
 
 
 def bag_similarity(shared: Column, size_a: Column, size_b: Column) -> Column:
@@ -78,18 +85,18 @@ def _scored(pairs: DataFrame, encoding: Encoding) -> DataFrame:
     counts = [
         F.count(F.when(F.col("role") == i, 1)).alias(f"_n{i}") for i, _ in enumerate(encoding.bags)
     ]
-    grouped = pairs.groupBy("q", "c").agg(*counts)
+    grouped = pairs.groupBy(*_names(encoding, "q"), *_names(encoding, "c")).agg(*counts)
     sims = {}
     for i, r in enumerate(encoding.bags):
-        both_none = (F.col(f"q.{r.name}_none") & F.col(f"c.{r.name}_none")).cast("int")
+        both_none = (F.col(f"q_{r.name}_none") & F.col(f"c_{r.name}_none")).cast("int")
         sims[r.name] = bag_similarity(
-            F.col(f"_n{i}") + both_none, F.col(f"q.{r.name}_size"), F.col(f"c.{r.name}_size")
+            F.col(f"_n{i}") + both_none, F.col(f"q_{r.name}_size"), F.col(f"c_{r.name}_size")
         )
     for r in encoding.categories:
-        sims[r.name] = (F.col(f"q.{r.name}") == F.col(f"c.{r.name}")).cast("double")
+        sims[r.name] = (F.col(f"q_{r.name}") == F.col(f"c_{r.name}")).cast("double")
     return grouped.select(
-        F.col("q.key").alias("query"),
-        F.col("c.key").alias("candidate"),
+        F.col("q_key").alias("query"),
+        F.col("c_key").alias("candidate"),
         F.round(layered(sims, encoding), DIGITS).alias("score"),
     )
 
@@ -97,8 +104,8 @@ def _scored(pairs: DataFrame, encoding: Encoding) -> DataFrame:
 def score_overlapping(queries: DataFrame, catalog: DataFrame, encoding: Encoding,
                       query_key: str, catalog_key: str) -> DataFrame:
     """Scores of all pairs that share at least one token."""
-    q = _meta(queries, query_key, encoding, "q")
-    c = _meta(catalog, catalog_key, encoding, "c")
+    q = _side(queries, query_key, encoding, "q")
+    c = _side(catalog, catalog_key, encoding, "c")
     return _scored(_pairs(q, c, encoding), encoding)
 
 
@@ -132,32 +139,33 @@ def _representatives(q: DataFrame, c: DataFrame, encoding: Encoding, k: int) ->
                 if not used:
                     continue
                 if is_bag:
-                    valid = valid & F.coalesce(F.col(f"{side}.{name}_none"), F.lit(False))
+                    valid = valid & F.coalesce(F.col(f"{side}_{name}_none"), F.lit(False))
                 else:
-                    valid = valid & F.col(f"{side}.{name}").isNotNull()
-                    values.append(F.col(f"{side}.{name}"))
+                    valid = valid & F.col(f"{side}_{name}").isNotNull()
+                    values.append(F.col(f"{side}_{name}"))
             label = "".join("1" if used else "0" for used in mask)
             options.append(F.when(valid, F.concat_ws("\x01", F.lit(label), *values)))
         return F.explode(F.filter(F.array(*options), lambda o: o.isNotNull()))
 
     def first_k(df: DataFrame, by: Column) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(by).orderBy("c.key"))
+        rank = F.row_number().over(Window.partitionBy(by).orderBy("c_key"))
         return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
     constant = F.concat_ws(
-        "\x01", *[F.coalesce(F.col(f"c.{n}{'_none' if bag else ''}").cast("string"), F.lit("\x02")) for n, bag in tests]
+        "\x01", *[F.coalesce(F.col(f"c_{n}{'_none' if bag else ''}").cast("string"), F.lit("\x02")) for n, bag in tests]
     )
-    few = first_k(c.select("c"), constant)
-    candidates = first_k(few.select("c", masked("c").alias("_test")), F.col("_test"))
+    c_names, q_names = _names(encoding, "c"), _names(encoding, "q")
+    few = first_k(c.select(*c_names), constant)
+    candidates = first_k(few.select(*c_names, masked("c").alias("_test")), F.col("_test"))
+    wanted = q.select(*q_names, masked("q").alias("_test"))
     rows = rows_if_small(candidates, BROADCAST_ROWS)
-    if rows is not None:
-        # Held as rows, so that the catalog is not encoded once more for them.
-        candidates = candidates.sparkSession.createDataFrame(rows, candidates.schema)
-        wanted = q.select("q", masked("q").alias("_test"))
-        pairs = wanted.join(F.broadcast(candidates), "_test")
+    if rows is None:
+        pairs = join_lookup(wanted, candidates, ["_test"])
     else:
-        pairs = join_lookup(q.select("q", masked("q").alias("_test")), candidates, ["_test"])
-    return pairs.select("q", "c", F.lit(None).cast("int").alias("role"))
+        # Held as rows, so that the catalog is not encoded once more for them.
+        held = candidates.sparkSession.createDataFrame(rows, candidates.schema)
+        pairs = wanted.join(F.broadcast(held), "_test")
+    return pairs.select(*q_names, *c_names, F.lit(None).cast("int").alias("role"))
 
 
 def top_k(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key: str, catalog_key: str,
@@ -169,10 +177,15 @@ def top_k(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key:
     mostly distinct texts that would only shuffle the texts.
     """
     few = distinct_catalog(catalog, catalog_key, encoding, k) if many_copies else catalog
-    q = _meta(queries, query_key, encoding, "q")
-    c = _meta(few, catalog_key, encoding, "c")
-    pairs = _pairs(q, c, encoding).unionByName(_representatives(q, c, encoding, k))
-    return ranked(_scored(pairs, encoding), k)
+    q = _side(queries, query_key, encoding, "q")
+    c = _side(few, catalog_key, encoding, "c")
+    found = ranked(_scored(_pairs(q, c, encoding), encoding), k).drop("rank")
+    # A representative that does share tokens gets its lower, token-free score
+    # here. If its real score belongs to the top k it is in ``found`` as well and
+    # the maximum is right; if not, k better pairs are in front of either score.
+    few_more = _scored(_representatives(q, c, encoding, k), encoding)
+    both = found.unionByName(few_more).groupBy("query", "candidate").agg(F.max("score").alias("score"))
+    return ranked(both, k)
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -235,7 +248,7 @@ def hierarchical(role_sims: list[Column], segment_sims: list[Column], layer_sims
 
 def shared_counts(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key: str, catalog_key: str) -> DataFrame:
     """Number of shared tokens of every pair that has one."""
-    q = _meta(queries, query_key, encoding, "q")
-    c = _meta(catalog, catalog_key, encoding, "c")
-    grouped = _pairs(q, c, encoding).groupBy("q.key", "c.key").agg(F.count(F.lit(1)).alias("shared"))
+    q = _side(queries, query_key, encoding, "q")
+    c = _side(catalog, catalog_key, encoding, "c")
+    grouped = _pairs(q, c, encoding).groupBy("q_key", "c_key").agg(F.count(F.lit(1)).alias("shared"))
     return grouped.toDF("query", "candidate", "shared")

@@ -26,6 +26,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._made = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A small table that one query uses several times."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

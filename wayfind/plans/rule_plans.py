@@ -15,6 +15,10 @@ N_RULES = 60
 
 def word_rules(t, n=N_RULES):
     """Rules from the ``n`` most frequent document words."""
+    return t.once(f"word_rules_{n}", lambda: _word_rules(t, n))
+
+
+def _word_rules(t, n):
     top = (
         t.documents.select(F.explode(X.tokenize(F.col("text"))).alias("pattern"))
         .groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))

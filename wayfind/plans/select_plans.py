@@ -12,7 +12,7 @@ from wayfind.operators import metrics as M
 from wayfind.operators import select as L
 from wayfind.operators import session as T
 from wayfind.operators import similarity as S
-from wayfind.operators.scale import Ordered, micros
+from wayfind.operators.scale import Ordered, hold_if_small, micros
 from wayfind.plans import sqltext as Q
 from wayfind.plans.join_plans import NUMBERED, numbered
 from wayfind.plans.registry import query
@@ -204,7 +204,7 @@ def flagship(t):
     Ranking works on keys only; the texts join back after the cut.
     """
     top = S.top_k(benchmark_words(t), document_words(t), E.MEMORY, "item_id", "doc_id", 3)
-    texts = top.join(t.documents.select(F.col("doc_id").alias("candidate"), F.col("text").alias("found")), "candidate")
+    texts = t.documents.select(F.col("doc_id").alias("candidate"), F.col("text").alias("found")).join(hold_if_small(top), "candidate")
     texts = texts.join(t.benchmark.select(F.col("item_id").alias("query"), "text"), "query")
     judged = K.contains_any(texts, "query", F.col("found"), F.col("text"), F.max("score").alias("best"))
     band = F.when(F.col("best") >= 0.5, "high").when(F.col("best") >= 0.3, "middle").otherwise("low")
