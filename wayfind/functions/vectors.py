@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wayfind.functions.text import let
+
 BITS_PER_BLOCK = 128
 
 
@@ -28,8 +30,8 @@ def _sign(hex_digits: Column, position: Column) -> Column:
 
 def symbol(seed: int, token: Column, dim: int = BITS_PER_BLOCK) -> Column:
     """The +-1 vector of a token."""
-    digits = symbol_bits(seed, token, dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _sign(digits, i))
+    positions = F.sequence(F.lit(0), F.lit(dim - 1))
+    return let(symbol_bits(seed, token, dim), lambda digits: F.transform(positions, lambda i: _sign(digits, i)))
 
 
 def add(a: Column, b: Column) -> Column:

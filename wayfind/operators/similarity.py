@@ -14,7 +14,6 @@ representatives, which is exact for a top-k (see :func:`top_k`).
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,20 +131,25 @@ def _representatives(q: DataFrame, c: DataFrame, encoding: Encoding, k: int) ->
     tests = [(r.name, False) for r in encoding.categories] + [(r.name, True) for r in encoding.bags]
 
     def masked(side: str) -> Column:
-        options = []
-        for mask in product((False, True), repeat=len(tests)):
-            values, valid = [], F.lit(True)
-            for used, (name, is_bag) in zip(mask, tests):
-                if not used:
-                    continue
-                if is_bag:
-                    valid = valid & F.coalesce(F.col(f"{side}_{name}_none"), F.lit(False))
-                else:
-                    valid = valid & F.col(f"{side}_{name}").isNotNull()
-                    values.append(F.col(f"{side}_{name}"))
-            label = "".join("1" if used else "0" for used in mask)
-            options.append(F.when(valid, F.concat_ws("\x01", F.lit(label), *values)))
-        return F.explode(F.filter(F.array(*options), lambda o: o.isNotNull()))
+        """One row per subset of tests the side can pass, as a text key."""
+        placed = F.array(*[
+            F.struct(
+                F.lit(i).alias("i"),
+                (F.when(F.col(f"{side}_{name}_none"), F.lit("")) if is_bag else F.col(f"{side}_{name}")).alias("v"),
+            )
+            for i, (name, is_bag) in enumerate(tests)
+        ])
+
+        def used(subset: Column, p: Column) -> Column:
+            return F.call_function("shiftright", subset, p["i"]).bitwiseAND(F.lit(1)) == 1
+
+        def key(subset: Column) -> Column:
+            valid = F.forall(placed, lambda p: ~used(subset, p) | p["v"].isNotNull())
+            values = F.transform(placed, lambda p: F.when(used(subset, p), p["v"]))
+            return F.when(valid, F.concat_ws("\x01", subset.cast("string"), values))
+
+        subsets = F.sequence(F.lit(0), F.lit(2 ** len(tests) - 1))
+        return F.explode(F.filter(F.transform(subsets, key), lambda o: o.isNotNull()))
 
     def first_k(df: DataFrame, by: Column) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(by).orderBy("c_key"))

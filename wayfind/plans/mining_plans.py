@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wayfind.config import checkpointed
 from wayfind.functions import text as X
 from wayfind.functions import words as W
 from wayfind.operators import features as E
@@ -235,7 +236,8 @@ WITH {TURNS}, {_pattern_sql()}, {PATTERN_ROLES}, {Q.all_scores(E.pattern_encodin
 def e04(t):
     """Match each distinct query of the first day to the pattern exemplars."""
     ex = pattern_exemplars(t).withColumn("key", F.concat("pattern", F.lit("__v"), "variant"))
-    catalog = E.encode_exemplars(ex, "key", with_domain=True)
+    # Mining costs far more than its result: keep the encoded exemplars.
+    catalog = checkpointed(E.encode_exemplars(ex, "key", with_domain=True))
     queries = turn_queries(t).where("day = 1").select("query", "action", "target", "domain").distinct()
-    queries = E.encode_pattern_queries(queries.withColumn("key", F.concat_ws("/", "query", "target", "domain")), "query")
+    queries = checkpointed(E.encode_pattern_queries(queries.withColumn("key", F.concat_ws("/", "query", "target", "domain")), "query"))
     return S.top_k(queries, catalog, E.pattern_encoding(), "key", "key", 3)
