@@ -23,7 +23,6 @@ from wayfind.plans.similarity_plans import WORDS_SQL, benchmark_words, document_
 from wayfind.plans.text_plans import EVENT_CALL, event_call
 
 TURN = ["user_id", "day"]
-ORDER = F.struct("user_id", "day")
 
 
 def turn_queries(t):

@@ -41,7 +41,10 @@ def w11_documents(t):
     return P.document_windows(t.documents, "doc_id", "text").withColumn("pos", F.col("pos").cast("bigint"))
 
 
-KEY = F.format_string("%019d-%09d", F.col("doc_id"), F.col("pos"))
+def window_key():
+    return F.format_string("%019d-%09d", F.col("doc_id"), F.col("pos"))
+
+
 SCORES = f"""{WINDOWS},
 wt AS (SELECT printf('%019d-%09d', doc_id, pos) AS key, list_distinct({_mem('passage')}) AS words FROM win), c AS (SELECT * FROM wt WHERE len(words) > 0),
 qt AS (SELECT item_id AS key, list_distinct({_mem('text')}) AS words FROM benchmark), q AS (SELECT * FROM qt WHERE len(words) > 0),
@@ -50,7 +53,7 @@ qt AS (SELECT item_id AS key, list_distinct({_mem('text')}) AS words FROM benchm
 
 def hits(t, k):
     windows = P.document_windows(t.documents, "doc_id", "text")
-    return P.retrieve(windows, KEY, t.benchmark, "item_id", "text", k)
+    return P.retrieve(windows, window_key(), t.benchmark, "item_id", "text", k)
 
 
 @query("e19_window_scores", f"WITH {SCORES} {Q.top_k(50)}")
@@ -63,7 +66,7 @@ answers AS (SELECT query, string_agg(passage, ' ' ORDER BY rank) AS answer FROM
 
 
 def answers(t):
-    return P.answer(hits(t, 50), P.document_windows(t.documents, "doc_id", "text"), KEY)
+    return P.answer(hits(t, 50), P.document_windows(t.documents, "doc_id", "text"), window_key())
 
 
 @query("w12_answer", f"WITH {ANSWERS} SELECT * FROM answers")
