@@ -8,7 +8,10 @@ from wayfind.operators import slots as V
 from wayfind.plans import sqltext as Q
 from wayfind.plans.registry import query, use_all_cores
 
-KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+def line_key():
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("key")
 
 
 def sentences(t):
@@ -20,10 +23,10 @@ def sentences(t):
         F.lit(", weight "), (F.col("l_partkey") % 9).cast("string"), F.lit(" then 'f"), (F.col("l_suppkey") % 4).cast("string"), F.lit(".txt' to \"d"),
         (F.col("l_partkey") % 3).cast("string"), F.lit('" by Rail'),
     )
-    return use_all_cores(t.lineitem, "l_orderkey").select("*", text.alias("text"), F.concat_ws("-", *KEY).alias("key"))
+    return use_all_cores(t.lineitem, "l_orderkey").select("*", text.alias("text"), line_key())
 
 
-SENTENCES = """s AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, 'Move base of ' || CAST(l_quantity AS BIGINT) || ' and ' || l_linenumber || ' for height with tax_rate=' || l_tax ||
+SENTENCES = """s AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS key, 'Move base of ' || CAST(l_quantity AS BIGINT) || ' and ' || l_linenumber || ' for height with tax_rate=' || l_tax ||
  CASE l_returnflag WHEN 'A' THEN ', verbose is no' WHEN 'N' THEN ', Verbose' ELSE '' END || ', weight ' || (l_partkey % 9) || ' then ''f' || (l_suppkey % 4) || '.txt'' to "d' || (l_partkey % 3) || '" by Rail' AS text FROM lineitem)"""
 
 
@@ -195,7 +198,7 @@ def v09(t):
 WITH {FILLED} SELECT key, l_returnflag IN ('A', 'N') OR l_linestatus = 'F' AS complete FROM s
 """)
 def v10(t):
-    base = t.lineitem.select(F.concat_ws("-", *KEY).alias("key"), "l_linestatus")
+    base = t.lineitem.select(line_key(), "l_linestatus")
     slots = F.when(F.col("l_linestatus") == "F", F.array(F.lit("source"), F.lit("lines"))).otherwise(F.array(F.lit("source"), F.lit("all")))
     required = base.select("key", F.explode(slots).alias("slot"))
     return V.slots_complete(required, filled(t), "key")
