@@ -200,21 +200,26 @@ COSINE = "list_sum(list_transform(list_zip(a, b), lambda p: CAST(p[1] AS DOUBLE)
 MAX_LABELS = 1_000
 
 
-def embedding_scores(t):
+def embedding_scores(t, max_labels=MAX_LABELS):
     """Cosine of every vector to every label centroid: ``(query, candidate, score)``.
 
-    Up to ``MAX_LABELS`` centroids are folded into the plan as one array, so that
-    a projection scores a vector against all of them.  More labels than that are
-    scored from exploded dimensions: an equi-join on the dimension.
+    The centroids are folded into the plan as arrays of about ``max_labels``, so
+    that a projection scores a vector against all of an array: no join, no shuffle.
     """
     means = centroids(t)
-    rows = rows_if_small(means, MAX_LABELS)
     vectors = t.embeddings.select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("v"))
-    if rows is None:
-        a = vectors.select("query", V.norm(F.col("v")).alias("na"), F.posexplode("v").alias("dim", "x"))
-        b = means.select(F.col("label").alias("candidate"), V.norm(F.col("centroid")).alias("nb"), F.posexplode("centroid").alias("dim", "y"))
-        dots = a.join(b, "dim").groupBy("query", "candidate", "na", "nb").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-        return dots.select("query", "candidate", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 9).alias("score"))
+    rows = rows_if_small(means, max_labels)
+    if rows is not None:
+        return _against(vectors, rows)
+    slices = -(-t.embeddings.select("label").distinct().count() // max_labels)
+    scored = None
+    for i in range(slices):
+        part = _against(vectors, means.where(F.pmod(F.xxhash64("label"), F.lit(slices)) == i).collect())
+        scored = part if scored is None else scored.unionByName(part)
+    return scored
+
+
+def _against(vectors, rows):
     table = F.from_json(
         F.lit(json.dumps([{"label": r["label"], "centroid": r["centroid"]} for r in rows])),
         "array<struct<label:int,centroid:array<double>>>",
