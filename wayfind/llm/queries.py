@@ -6,14 +6,41 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfind.llm import exact_dedup, packing, piece_codec
+from wayfind.llm import exact_dedup, packing, piece_codec, quality, toxicity
+from wayfind.llm.common import fold
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
+
+
+def scored(docs: DataFrame, score, folds: int, held: int, threshold: float) -> DataFrame:
+    """doc_id, whether its fold was held out of learning, the score, and the decision."""
+    return docs.select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"),
+        score(F.col("text")).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = quality.fit(docs, labels(spark, folder), fold(F.col("doc_id"), 4) != 2)
+    return scored(docs, quality.scorer(model), 4, 2, quality.THRESHOLD)
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = toxicity.fit(docs, labels(spark, folder), fold(F.col("doc_id"), 3) != 1)
+    return scored(docs, toxicity.scorer(model), 3, 1, toxicity.THRESHOLD)
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
@@ -28,6 +55,8 @@ def op10_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op1_quality,
+        op2_toxicity,
         op6_exact_dedup,
         op9_packing,
         op10_piece_codec,
