@@ -123,17 +123,25 @@ def logistic_curve(margin: np.ndarray, label: np.ndarray, share: float) -> tuple
     zeros = max(1, int((label <= 0).sum()))
     weight = np.where(label > 0, share / ones, (1 - share) / zeros) * len(label)
     target = np.where(label > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -500, 500)))
-        g = weight * (p - target)
-        h = weight * p * (1 - p) + 1e-9
-        grad = np.array([(g * margin).sum() + 1e-3 * a, g.sum()])
-        hess = np.array([[(h * margin * margin).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
+
+    def loss(at: np.ndarray) -> float:
+        z = at[0] * margin + at[1]
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum() + 0.5 * ridge * at[0] ** 2)
+
+    ridge = 1e-3 * len(label)
+    at = np.array([0.0, np.log(share / (1 - share)) if 0 < share < 1 else 0.0])
+    for _ in range(100):  # Newton steps, halved until they help
+        p = 1 / (1 + np.exp(-np.clip(at[0] * margin + at[1], -500, 500)))
+        g, h = weight * (p - target), weight * p * (1 - p) + 1e-9
+        grad = np.array([(g * margin).sum() + ridge * at[0], g.sum()])
+        hess = np.array([[(h * margin * margin).sum() + ridge, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-6]])
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+        if size <= 1e-6 or np.abs(step).max() < 1e-6:
             break
+    a, b = at
     return max(float(a), 0.0), float(b)
 
 

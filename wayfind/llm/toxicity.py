@@ -204,14 +204,14 @@ class ToxicityModel:
     shift: float
 
     def evidence(self, texts: list[str], channel: Channel) -> np.ndarray:
-        """Summed weight of each text's toxic features, on a log scale."""
+        """Each text's toxic features on a log scale; cubed weights keep many weak ones below one strong one."""
         total = np.zeros(len(texts))
         if len(self.keys):
             rows, feats = self._found(texts, channel)
             at = np.minimum(np.searchsorted(self.keys, feats), len(self.keys) - 1)
             hit = self.keys[at] == feats
-            total = np.bincount(rows[hit], self.weights[at[hit]], len(texts))
-        return np.log1p(total)
+            total = np.bincount(rows[hit], self.weights[at[hit]] ** 3, len(texts))
+        return np.log1p(total / 50)
 
     def _found(self, texts: list[str], channel: Channel) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of (row, known feature); words without one are dropped before they are spread over rows."""
@@ -275,10 +275,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
 
     bad = (F.col("bad") + 0.1) / (total[True] + 0.2)
     fine = (F.col("fine") + 0.1) / (total[False] + 0.2)
+    doubt = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("fine") + 0.5))  # one standard error: a few chance finds weigh little
     weighed = (
         texts.mapInPandas(count, "f bigint, bad bigint, fine bigint")
         .groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
-        .where("bad >= 4").withColumn("w", F.log(bad / fine)).where("w > 2.5").select("f", "w")
+        .where("bad >= 4").withColumn("w", F.log(bad / fine) - doubt).where("w > 2.5").select("f", "w")
     )
     found = sorted((r.f & (1 << 64) - 1, r.w) for r in weighed.collect())  # bounded by the sample's own words
     toxic = ToxicityModel(model, np.array([f for f, _ in found], dtype=np.uint64), np.array([w for _, w in found]), 0.0, 0.0)
