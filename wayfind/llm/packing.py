@@ -13,6 +13,7 @@ at powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 LENGTH = 2048
 SEGMENTS = 256
 BLOCK_TOKENS = 8_000_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_200_000
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 END_ID = 1
 
 
@@ -172,24 +174,61 @@ class WordTokens:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are its words' ids in order.  Only characters that the tokenizer and this
-    class both take as white space cut words here.
+    class both take as white space cut words here.  New words are encoded many
+    at a time, with a mark between them whose ids are known.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        mark = self._ids(self.MARK)
+        # A mark of several ids could not be told from a text's: then words are encoded one by one.
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for k in range(0, len(words), 2000):
-            part = words[k:k + 2000]
-            for word, coded in zip(part, encode(part, add_special_tokens=False)):
-                self.known[word] = np.array(coded.ids, dtype="<u4").tobytes()
+        plain = [w for w in words if self.mark is not None and self.MARK not in w]
+        for k in range(0, len(plain), 500):
+            part = plain[k:k + 500]
+            ids = self._ids(f" {self.MARK} ".join(part))
+            cut = np.flatnonzero(ids == self.mark)
+            if len(cut) != len(part) - 1:
+                raise ValueError("the tokenizer joins words across white space")
+            raw = ids.tobytes()
+            starts, ends = [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), len(raw)]
+            for word, a, b in zip(part, starts, ends):
+                self.known[word] = raw[a:b]
+        for word in words:
+            if word not in self.known:
+                self.known[word] = self._ids(word).tobytes()
+
+    def _add(self, words: list[str]) -> None:
+        """Learn new words; closing points and commas after a letter are words of their own to the tokenizer."""
+        known = self.known
+        tailed, fresh = [], {}
+        for word in words:
+            if word not in known:
+                core = word.rstrip(".,")
+                if len(core) < len(word) and core[-1:].lower()[-1:].isalpha():
+                    tailed.append((word, core))
+                    word = word[len(core):]
+                    fresh.update((w, None) for w in (core, word) if w not in known)
+                else:
+                    fresh[word] = None
+        self._learn(list(fresh))
+        for word, core in tailed:
+            known[word] = known[core] + known[word[len(core):]]
 
     def encode(self, text: str) -> bytes:
+        if not BEYOND_LATIN.search(text):
+            text = text.lower()  # the tokenizer does the same; for other scripts it is left to it
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.known
         try:
@@ -197,7 +236,7 @@ class WordTokens:
         except KeyError:
             if len(known) > CACHED_WORDS:
                 known.clear()
-            self._learn([w for w in dict.fromkeys(words) if w not in known])
+            self._add(list(dict.fromkeys(words)))
             return b"".join([known[w] for w in words])
 
 
