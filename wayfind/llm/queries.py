@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import exact_dedup, packing, piece_codec, quality, toxicity
+from wayfind.llm import exact_dedup, fingerprints, packing, piece_codec, quality, toxicity
 from wayfind.llm.common import fold
 
 
@@ -41,6 +41,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored(docs, toxicity.scorer(model), 3, 1, toxicity.THRESHOLD)
 
 
+def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, folder))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality,
         op2_toxicity,
+        op4_order_minhash,
         op6_exact_dedup,
         op9_packing,
         op10_piece_codec,
