@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -240,6 +241,12 @@ class WordTokens:
             return b"".join([known[w] for w in words])
 
 
+@cache
+def tokens_of(path: str) -> WordTokens:
+    """One tokenizer per Python worker: later tasks find the words it knows."""
+    return WordTokens(path)
+
+
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -255,7 +262,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = tokens_of(tokenizer)
         end = np.array([END_ID], dtype="<u4").tobytes()
         task = TaskContext.get()
         next_id = (task.partitionId() if task else 0) << 36

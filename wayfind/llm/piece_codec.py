@@ -15,13 +15,14 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHED_PARTS = 400_000
+CACHED_PARTS = 1_000_000
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -53,37 +54,42 @@ class PieceModel:
                 self.ids[piece] = i
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space sign after another character: texts can't be cut into parts")
-        self.parts: dict[str, tuple[bytes, bytes, int]] = {}
+        #: Pieces by falling score: what is joined first.
+        self.place = {p: -self.scores[i] for p, i in self.ids.items()}
+        #: Neighbours inside some piece; between any others a part can be cut without changing its ids.
+        self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.cores: dict[str, tuple[int, ...]] = {}
+        self.text_of = [str(i).encode() for i in range(len(self.bytes_of))]
+        self.parts: dict[str, tuple[bytes, bytes]] = {}
 
     def encode_part(self, part: str) -> list[int]:
         """Ids of one part, its spaces already shown as signs."""
-        ids, scores = self.ids, self.scores
+        ids, place, push, pop = self.ids, self.place, heapq.heappush, heapq.heappop
         symbols: list[str] = list(part)
         size = len(symbols)
-        before, after = list(range(-1, size - 1)), [*range(1, size), -1]
-        agenda: list[tuple[float, int, int]] = []
-
-        def offer(left: int, right: int) -> None:
-            found = ids.get(symbols[left] + symbols[right])
-            if found is not None:
-                heapq.heappush(agenda, (-scores[found], left, len(symbols[left]) + len(symbols[right])))
-
-        for k in range(size - 1):
-            offer(k, k + 1)
+        before, after = list(range(-1, size)), [*range(1, size), -1]
+        # the place of a pair's join in score order, the pair's left side, and the join
+        agenda = [(place[j], k, j) for k, j in enumerate(map(str.__add__, symbols, symbols[1:])) if j in place]
+        heapq.heapify(agenda)
         while agenda:
-            _, left, width = heapq.heappop(agenda)
+            _, left, join = pop(agenda)
             right = after[left]
             # a pair is stale when one of its sides has been joined meanwhile
-            if not symbols[left] or right < 0 or len(symbols[left]) + len(symbols[right]) != width:
+            if right < 0 or not symbols[left] or len(symbols[left]) + len(symbols[right]) != len(join):
                 continue
-            symbols[left] += symbols[right]
+            symbols[left] = join
             symbols[right] = ""
-            after[left] = after[right]
-            if after[left] >= 0:
-                before[after[left]] = left
-                offer(left, after[left])
-            if before[left] >= 0:
-                offer(before[left], left)
+            after[left] = right = after[right]
+            if right >= 0:
+                before[right] = left
+                other = join + symbols[right]
+                if other in place:
+                    push(agenda, (place[other], left, other))
+            left = before[left]
+            if left >= 0:
+                other = symbols[left] + join
+                if other in place:
+                    push(agenda, (place[other], left, other))
         out: list[int] = []
         for symbol in symbols:
             if symbol:
@@ -102,29 +108,49 @@ class PieceModel:
 
     @staticmethod
     def split(text: str) -> list[str]:
-        """The parts of a text: each starts with the sign of its last space before it."""
+        """The parts of a text, each without the sign of its last space.
+
+        A part is a word, or a run of more space signs and the word after it;
+        what is left at the end is a run of signs alone.
+        """
         if not text:
             return []
-        words = (" " + text).replace(SPACE, " ").split(" ")
-        if "" not in words[1:]:
-            return [SPACE + w for w in words[1:]]
+        words = (text.replace(SPACE, " ") if SPACE in text else text).split(" ")
+        if "" not in words:
+            return words
         out, signs = [], ""
-        for word in words[1:]:
-            signs += SPACE
+        for word in words[:-1]:
             if word:
                 out.append(signs + word)
                 signs = ""
-        return [*out, signs] if signs else out
+            else:
+                signs += SPACE
+        return [*out, signs + words[-1]]
 
     def learn(self, parts: list[str]) -> None:
         """Encode new parts, and hold each against the library."""
-        # The library puts a space in front by itself.
-        expected = self.library.encode([p[1:] if len(p) > 1 else " " for p in parts], num_threads=1)
+        # The library puts a space in front by itself; of an empty text it makes nothing.
+        expected = self.library.encode(parts, num_threads=1)
         for part, theirs in zip(parts, expected):
-            ours = self.encode_part(part)
-            if len(part) > 1 and ours != theirs:
+            ours = self._encode_tailed(SPACE + part)
+            if part and ours != theirs:
                 raise ValueError(f"the library encodes {part!r} as {theirs}, not {ours}")
-            self.parts[part] = (" ".join(map(str, ours)).encode(), b"".join(self.bytes_of[i] for i in ours), len(ours))
+            self.parts[part] = (b" ".join([self.text_of[i] for i in ours]), b"".join([self.bytes_of[i] for i in ours]))
+
+    def _encode_tailed(self, part: str) -> list[int]:
+        """``encode_part``, with a word before its closing point or comma looked up by itself."""
+        core = part.rstrip(".,")
+        if core == part or not core or core[-1] + part[len(core)] in self.inside:
+            return self.encode_part(part)
+        if len(self.cores) > CACHED_PARTS // 2:
+            self.cores.clear()
+        out: list[int] = []
+        for piece in (core, part[len(core):]):
+            found = self.cores.get(piece)
+            if found is None:
+                found = self.cores[piece] = tuple(self.encode_part(piece))
+            out.extend(found)
+        return out
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, SHA-256 of the ids as text, SHA-256 of the decoded text."""
@@ -139,11 +165,17 @@ class PieceModel:
             coded = [known[p] for p in parts]
         ids = b" ".join([*[c[0] for c in coded], str(self.end).encode()])
         raw = self._shown(b"".join([c[1] for c in coded]))
-        return 1 + sum([c[2] for c in coded]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()
+        return ids.count(b" ") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text and the end id."""
-        return [i for part in self.split(text) for i in self.encode_part(part)] + [self.end]
+        return [i for part in self.split(text) for i in self.encode_part(SPACE + part)] + [self.end]
+
+
+@cache
+def model_of(path: str) -> PieceModel:
+    """One model per Python worker: later tasks find the parts it knows."""
+    return PieceModel(path)
 
 
 def encoded_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +187,7 @@ def encoded_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = PieceModel(model)
+        codec = model_of(model)
         for texts in batches:
             yield pd.DataFrame([codec.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -168,7 +200,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     @F.pandas_udf("ids array<int>, decoded string")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = PieceModel(model)
+        codec = model_of(model)
         for texts in batches:
             ids = [codec.encode(t) for t in texts]
             yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(i).decode() for i in ids]})
