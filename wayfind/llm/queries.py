@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import exact_dedup, fingerprints, packing, piece_codec, quality, toxicity
+from wayfind.llm import exact_dedup, fingerprints, language_id, packing, piece_codec, quality, toxicity
 from wayfind.llm.common import fold
 
 
@@ -41,6 +41,13 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored(docs, toxicity.scorer(model), 3, 1, toxicity.THRESHOLD)
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    predict = language_id.predictor(language_id.fit(docs, fold(F.col("doc_id"), 4) != 2))
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return docs.select("doc_id", held_out, predict(F.col("text")).alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score")
+
+
 def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, folder))
 
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality,
         op2_toxicity,
+        op3_language_id,
         op4_order_minhash,
         op6_exact_dedup,
         op9_packing,
