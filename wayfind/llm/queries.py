@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import exact_dedup, fingerprints, language_id, packing, piece_codec, quality, toxicity
+from wayfind.llm import dart_minhash, exact_dedup, fingerprints, language_id, packing, piece_codec, quality, toxicity
 from wayfind.llm.common import fold
 
 
@@ -52,6 +52,10 @@ def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, folder))
 
 
+def op5_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return dart_minhash.near_classes(documents(spark, folder))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_toxicity,
         op3_language_id,
         op4_order_minhash,
+        op5_dart_minhash,
         op6_exact_dedup,
         op9_packing,
         op10_piece_codec,
