@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import dart_minhash, exact_dedup, fingerprints, language_id, packing, piece_codec, quality, toxicity
+from wayfind.llm import dart_minhash, exact_dedup, fingerprints, language_id, packing, piece_codec, quality, suffix_dedup, toxicity
 from wayfind.llm.common import fold
 
 
@@ -60,6 +60,11 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(documents(spark, folder))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_order_minhash,
         op5_dart_minhash,
         op6_exact_dedup,
+        op8_suffix_dedup,
         op9_packing,
         op10_piece_codec,
     )
