@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHED_PARTS = 1_000_000
+CACHED_PARTS = 1_600_000
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -60,7 +60,9 @@ class PieceModel:
         self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.cores: dict[str, tuple[int, ...]] = {}
         self.text_of = [str(i).encode() for i in range(len(self.bytes_of))]
-        self.parts: dict[str, tuple[bytes, bytes]] = {}
+        #: Ids of known parts as text; and the decoded bytes of those that do not decode to themselves.
+        self.parts: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
 
     def encode_part(self, part: str) -> list[int]:
         """Ids of one part, its spaces already shown as signs."""
@@ -135,7 +137,10 @@ class PieceModel:
             ours = self._encode_tailed(SPACE + part)
             if part and ours != theirs:
                 raise ValueError(f"the library encodes {part!r} as {theirs}, not {ours}")
-            self.parts[part] = (b" ".join([self.text_of[i] for i in ours]), b"".join([self.bytes_of[i] for i in ours]))
+            self.parts[part] = b" ".join([self.text_of[i] for i in ours])
+            raw = b"".join([self.bytes_of[i] for i in ours])
+            if raw != b" " + part.replace(SPACE, " ").encode():
+                self.odd[part] = raw
 
     def _encode_tailed(self, part: str) -> list[int]:
         """``encode_part``, with a word before its closing point or comma looked up by itself."""
@@ -161,10 +166,15 @@ class PieceModel:
         except KeyError:
             if len(known) > CACHED_PARTS:
                 known.clear()
+                self.odd.clear()
             self.learn([p for p in dict.fromkeys(parts) if p not in known])
             coded = [known[p] for p in parts]
-        ids = b" ".join([*[c[0] for c in coded], str(self.end).encode()])
-        raw = self._shown(b"".join([c[1] for c in coded]))
+        coded.append(self.text_of[self.end])
+        ids = b" ".join(coded)
+        if self.odd and any(p in self.odd for p in parts):
+            raw = self._shown(b"".join([self.odd.get(p) or b" " + p.replace(SPACE, " ").encode() for p in parts]))
+        else:
+            raw = text.replace(SPACE, " ").encode()
         return ids.count(b" ") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()
 
     def encode(self, text: str) -> list[int]:
