@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import dart_minhash, exact_dedup, fingerprints, language_id, packing, piece_codec, quality, suffix_dedup, toxicity
+from wayfind.llm import dart_minhash, exact_dedup, fingerprints, language_id, packing, piece_codec, quality, suffix_dedup, tool_calls, toxicity
 from wayfind.llm.common import fold
 
 
@@ -60,6 +60,12 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
+def op7_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    turns = spark.read.parquet(f"{folder.rstrip('/')}/conversations.parquet")
+    linked = tool_calls.linked_calls(*tool_calls.calls_of_conversations(turns))
+    return linked.select(F.col("conv").alias("conv_id"), F.col("id").alias("call_id"), "ordinal", "valid", F.size("errors").cast("bigint").alias("n_errors"), "message")
+
+
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(documents(spark, folder))
     return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_order_minhash,
         op5_dart_minhash,
         op6_exact_dedup,
+        op7_tool_calls,
         op8_suffix_dedup,
         op9_packing,
         op10_piece_codec,
@@ -94,4 +101,46 @@ SQL = {
             SELECT coalesce(text, '') AS body, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1
         ) g ON coalesce(d.text, '') = g.body
     """,
+    "op7_tool_calls": """
+        WITH calls AS (
+            SELECT conv_id, turn, text, coalesce(length(text), 0) AS n FROM conversations WHERE role = 'user'
+        ), edged AS (
+            SELECT *, n % 11 = 0 AND EXISTS (SELECT 1 FROM calls d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 2) AS behind
+            FROM calls c
+        ), keyed AS (
+            -- a run of calls that each wait for the next but one ends with a call that doesn't
+            SELECT *, min(CASE WHEN NOT behind THEN turn END) OVER (
+                PARTITION BY conv_id, turn % 2 ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last
+            FROM edged
+        ), numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY last, last - turn, turn) - 1 AS ordinal FROM keyed
+        ), checked AS (
+            SELECT *,
+                'call_' || turn AS call_id,
+                CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'note' END AS name,
+                CASE
+                    WHEN n % 3 = 0 AND n % 5 = 0 THEN json_object('limit', n::VARCHAR, 'query', text)
+                    WHEN n % 3 = 0 THEN json_object('limit', n, 'query', text)
+                    WHEN n % 3 = 1 AND n % 7 = 0 THEN json_object('exact', n > 99)
+                    WHEN n % 3 = 1 THEN json_object('exact', n > 99, 'key', text)
+                    WHEN n % 4 = 0 THEN json_object('extra', 1, 'text', text)
+                    ELSE json_object('text', text)
+                END AS arguments,
+                CASE
+                    WHEN n % 3 = 0 THEN list_filter([CASE WHEN text IS NULL THEN 'missing query' END, CASE WHEN n % 5 = 0 THEN 'not integer limit' END], lambda x: x IS NOT NULL)
+                    WHEN n % 3 = 1 AND (n % 7 = 0 OR text IS NULL) THEN ['missing key']
+                    WHEN n % 3 = 2 THEN list_filter([CASE WHEN text IS NULL THEN 'missing text' END, CASE WHEN n % 4 = 0 THEN 'unknown extra' END], lambda x: x IS NOT NULL)
+                    ELSE []::VARCHAR[]
+                END AS errors
+            FROM numbered
+        ), answers AS (
+            SELECT conv_id, 'call_' || (turn - 1) AS call_id, min(text) AS result FROM conversations WHERE role = 'assistant' GROUP BY 1, 2
+        )
+        SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, c.ordinal AS ordinal,
+            c.conv_id IS NOT NULL AND len(c.errors) = 0 AS valid,
+            CASE WHEN c.conv_id IS NULL THEN 1 ELSE len(c.errors) END::BIGINT AS n_errors,
+            json_object('arguments', c.arguments, 'errors', CASE WHEN c.conv_id IS NULL THEN ['no call'] ELSE c.errors END,
+                'id', coalesce(c.call_id, a.call_id), 'name', c.name, 'ordinal', c.ordinal, 'result', a.result)::VARCHAR AS message
+        FROM checked c FULL JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
+    """,
 }
