@@ -261,43 +261,66 @@ def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     return linked(links)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per document: id, ``class_id``, ``class_size``, ``kept``.
+def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, text, label) of every row, and per class ``class_size`` and its first member ``top``; a null id is -2^63.
 
-    Equal texts are one class, and so are texts joined by links of a weighted
-    Jaccard of ``threshold`` or more over runs of five lower-case words.  Null
-    text is empty; empty texts are equal to each other and like no other.  The
-    class is named by its least id, whose row is ``kept`` (all rows with that
-    id and its text, if rows repeat).  A null id takes part as the id
-    -2^63 and is given back as null.  An empty table gives no rows.
+    ``text`` is a hash of the whole text: an id may stand for several texts.
     """
-    base = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("body"),
-    )
+    base = docs.select(_id(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     hashed = base.select("id", F.unhex(F.sha2("body", 256)).alias("sha"))
     # Exact copies first: one representative per text, counted before the shuffle.
     texts = stored(hashed.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     shared = texts.where("n > 1").select("sha", "rep")
-    alone = F.xxhash64("sha")
-    members = stored(hashed.join(small_side(shared), "sha", "left").select("id", F.coalesce("rep", "id").alias("rep"), alone.alias("text")))
-    # An id may stand for several texts: representatives are told apart by id and text.
-    reps = texts.select("rep", F.xxhash64("sha").alias("text")).withColumn("first", F.lit(True))
+    members = stored(
+        hashed.join(small_side(shared), "sha", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.xxhash64("sha").alias("text"))
+    )
+    # Nodes are representatives; where one id represents several texts, the text takes part in the node's name.
     repeated = texts.groupBy("rep").count().where("count > 1").limit(1).count() > 0
-    key = F.xxhash64("rep", "text") if repeated else F.col("rep")
-    own = F.xxhash64("id", F.xxhash64(F.unhex(F.sha2("body", 256)))) if repeated else F.col("id")
-    chosen = base.select(own.alias("id"), "body").join(small_side(reps.select(key.alias("id")), 1_000_000), "id", "left_semi")
-    chosen = chosen.dropDuplicates(["id"]) if repeated or base.count() != hashed.select("id").distinct().count() else chosen
-    links = near_links(chosen, threshold)
-    labels = components(links)
-    found = members.withColumn("node", key).join(small_side(labels.select(F.col("id").alias("node"), "label")), "node", "left")
-    found = found.withColumn("label", F.coalesce("label", "node"))
+    node = lambda of, text: F.xxhash64(of, text) if repeated else of
+    reps = texts.select(node(F.col("rep"), F.xxhash64("sha")).alias("id"))
+    own = node(F.col("id"), F.xxhash64(F.unhex(F.sha2("body", 256))))
+    # Most rows are representatives, so only the others are told: a copy's id, or a repeated row.
+    chosen = base.select(own.alias("id"), "body")
+    if members.count() > texts.count():
+        chosen = chosen.join(small_side(reps, 1_000_000), "id", "left_semi").dropDuplicates(["id"])
+    labels = components(near_links(chosen, threshold))
+    found = members.withColumn("node", node(F.col("rep"), F.col("text")))
+    found = found.join(small_side(labels.select(F.col("id").alias("node"), "label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct("id", "text")).alias("top"))
-    joined = found.join(small_side(stored(sizes.where("class_size > 1"))), "label", "left")
+    return found.join(small_side(stored(sizes.where("class_size > 1"))), "label", "left")
+
+
+def _id(id_col: str):
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
+
+
+def _kept():
+    return F.col("top").isNull() | ((F.col("top.id") == F.col("id")) & (F.col("top.text") == F.col("text")))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """One row per document: id, ``class_id``, ``class_size``, ``kept``.
+
+    Equal texts are one class, and so are texts joined by links of a weighted
+    Jaccard of ``threshold`` or more over runs of five lower-case words.  Null
+    text is empty; empty texts are equal to each other and like no other.  The
+    class is named by its least id, whose row is ``kept`` (all rows with that
+    id and its text, if rows repeat).  A null id is less than any other.  An
+    empty table gives no rows.
+    """
+    joined = classes(docs, id_col, text_col, threshold)
     back = lambda c: F.when(c != -(1 << 63), c)
     return joined.select(
         back(F.col("id")).alias(id_col),
         back(F.coalesce("top.id", "id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"),
-        (F.col("top").isNull() | ((F.col("top.id") == F.col("id")) & (F.col("top.text") == F.col("text")))).alias("kept"),
+        _kept().alias("kept"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """The ``kept`` rows of ``near_classes``, all columns as they came; of repeated rows with one id and text all stay."""
+    dropped = stored(classes(docs, id_col, text_col, threshold).where(~_kept()).select(F.col("id").alias("_id"), F.col("text").alias("_text")).distinct())
+    text = F.xxhash64(F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)))
+    own = F.coalesce(docs[id_col].cast("bigint"), F.lit(-(1 << 63)))
+    return docs.join(small_side(dropped), (own == F.col("_id")) & (text == F.col("_text")), "left_anti")

@@ -332,21 +332,15 @@ def cut_out(raw: list[bytes], whole: list[np.ndarray], single: list[np.ndarray])
     return out
 
 
-RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the bytes that stay.
-
-    A byte goes if a 50-byte string over it also starts in a document with a
-    smaller id, judged on the texts as they are.  Null text is empty.  Rows with
-    equal ids are one document in this, so they never take from each other; a
-    null id is larger than any other.  Texts under 50 bytes stay.  Copies of a
-    whole text are found by SHA-256 first and take no part after that.
-    """
+def _cut_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row as ``row`` with ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes."""
     base = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("body"),
+        F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"),
     )
     long = F.octet_length("body") >= LENGTH
     total = base.agg(F.sum(F.octet_length("body"))).first()[0] or 0
@@ -355,17 +349,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         base.where(long).select(sha.alias("sha"), "id").groupBy("sha").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("sha", "lead")
     )
-    marked = base.withColumn("sha", sha).join(small_side(shared), "sha", "left")
+    marked = base.withColumn("sha", sha).join(small_side(shared), "sha", "left").drop("sha")
     later = F.col("lead").isNotNull() & (F.col("id") > F.col("lead"))
-    copies = marked.where(later).select("id", "body")
-    own = marked.where(F.coalesce(~later, F.lit(True))).select("id", "body")
+    copies = marked.where(later)
+    own = marked.where(~later)
 
     bits = lambda rows: max(0, math.ceil(math.log2(max(1, rows / SHARD_STRETCHES))) + 2)
-    found = stored(repeats(own.where(long), all_stretches, bits(total * 0.075), True))
+    found = stored(repeats(own.where(long).select("id", "body"), all_stretches, bits(total * 0.075), True))
     ends = found.where("kind = 1").groupBy(F.col("doc").alias("id")).agg(F.collect_list("names").alias("ends"))
     number = found.where("kind = 1").agg(F.sum(F.octet_length("names"))).first()[0] or 0
     ids = stored(found.where("kind = 1").select(F.col("doc").alias("id")).distinct())
-    ended = own.where(long).join(small_side(ids), "id", "left_semi").join(ends, "id")
+    ended = own.where(long).select("id", "body").join(small_side(ids), "id", "left_semi").join(ends, "id")
     strings = stored(repeats(ended, strings_of_ends, bits(number / 8 * PLACES / 2), False))
     names = found.where("kind = 0").select("doc", "names", F.lit(0).alias("kind")).unionByName(strings.select("doc", "names", F.lit(1).alias("kind")))
     marks = names.groupBy(F.col("doc").alias("id")).agg(
@@ -374,16 +368,47 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     touched = small_side(stored(names.select(F.col("doc").alias("id")).distinct()))
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part, raw in _cut(batch):
-                rows = cut_out(raw, [_joined(x) for x in part["whole"]], [_joined(x) for x in part["single"]])
-                yield pd.DataFrame([(i, *r) for i, r in zip(part["id"], rows)], columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+    @F.pandas_udf(CUT)
+    def cut(bodies: pd.Series, whole: pd.Series, single: pd.Series) -> pd.DataFrame:
+        raw = [t.encode() for t in bodies]
+        rows = []
+        for a, b in slices(map(len, raw), SLICE_BYTES, 20_000):
+            rows += cut_out(raw[a:b], [_joined(x) for x in whole[a:b]], [_joined(x) for x in single[a:b]])
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in CUT.split(", ")])
 
     size = F.octet_length("body").cast("bigint")
     zero = F.lit(0).cast("bigint")
-    cut = own.join(touched, "id", "left_semi").join(marks, "id").mapInPandas(apply, RESULT)
-    plain = own.join(touched, "id", "left_anti").select("id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("body").cast("binary").alias("kept"))
-    gone = copies.select("id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(b"").cast("binary").alias("kept"))
-    out = cut.unionByName(plain).unionByName(gone)
-    return out.select(F.when(F.col("id") != (1 << 63) - 1, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+    out = own.join(touched, "id", "left_semi").join(marks, "id").withColumn("r", cut("body", "whole", "single")).select("row", "r.*")
+    plain = own.join(touched, "id", "left_anti").select("row", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("body").cast("binary").alias("kept"))
+    gone = copies.select("row", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(b"").cast("binary").alias("kept"))
+    return out.unionByName(plain).unionByName(gone)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the bytes that stay.
+
+    A byte goes if a 50-byte string over it also starts in a document with a
+    smaller id, judged on the texts as they are.  Null text is empty.  Rows with
+    equal ids are one document in this, so they never take from each other; a
+    null id is larger than any other.  Texts under 50 bytes stay.  Copies of a
+    whole text are found by SHA-256 first and take no part after that.  An empty
+    table gives no rows.
+    """
+    return _cut_docs(docs, id_col, text_col).select(F.col(f"row.`{id_col}`").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns, with the text that stays; a character that lost some of its bytes goes as a whole.
+
+    A text from which nothing is cut stays as it is, null included.
+    """
+
+    @F.pandas_udf("string")
+    def readable(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    cut = _cut_docs(docs.withColumn("_was_null", docs[text_col].isNull()) if "_was_null" not in docs.columns else docs, id_col, text_col)
+    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(readable(F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.lit(b"").cast("binary"))))
+    if "_was_null" not in docs.columns:
+        text = F.when(~F.col("row._was_null"), text)
+    return cut.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
