@@ -10,8 +10,9 @@ texts.  Only about K log K darts are thrown for a text, whatever its length.
 
 Bands of a signature meet in buckets.  In each bucket all members are held
 against its most connected one, and the links verified exactly.  Where members
-of a bucket are not in one class after that, the pairs across classes are
-verified too, after finer bands have split large buckets.
+of a bucket are not in one class after that, those outside its largest class
+are held against all others, in bounded blocks that give links only; finer
+bands split very large buckets first.
 """
 
 from __future__ import annotations
@@ -140,14 +141,10 @@ def numbered(text: str) -> np.ndarray:
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) or not len(b):
-        return 0.0
-    if min(len(a), len(b)) < 0.5 * max(len(a), len(b)):
-        return min(len(a), len(b)) / max(len(a), len(b))  # an upper bound, below any threshold in use
-    both = np.concatenate([a, b])
-    both.sort()
+    """Of two ``numbered`` sets; 0 if one is empty."""
+    both = np.sort(np.concatenate([a, b]))
     common = int((both[1:] == both[:-1]).sum())
-    return common / (len(a) + len(b) - common)
+    return common / (len(both) - common) if common else 0.0
 
 
 def band_table(docs: DataFrame, seed: int) -> DataFrame:
@@ -164,28 +161,78 @@ def band_table(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInPandas(run, "id bigint, keys array<bigint>")
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted 64-bit hashes."""
+    return np.ascontiguousarray((numbers >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view(np.uint64)
+
+
 def set_table(docs: DataFrame) -> DataFrame:
     """(id, packed numbered shingles) of every row of (id, body)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "packed": [numbered(t).tobytes() for t in batch["body"]]})
+            yield pd.DataFrame({"id": batch["id"], "packed": [packed(numbered(t)) for t in batch["body"]]})
 
     return docs.mapInPandas(run, "id bigint, packed binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose exact weighted Jaccard reaches ``threshold``."""
+def links_of_group(ids: np.ndarray, labels: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links of the asking members to members of other classes, one for each pair of classes that meet.
 
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= threshold for p, q in zip(x, y)], dtype=bool)
+    The members' elements are sorted once; a member's common elements with all
+    others are counted from the places of its own.
+    """
+    sizes = np.array([len(x) for x in sets])
+    element = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    label, out = labels.copy(), []
+    for q in np.flatnonzero(asks):
+        if not (label != label[q]).any():
+            break
+        low, high = np.searchsorted(element, sets[q], "left"), np.searchsorted(element, sets[q], "right")
+        n = high - low
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        common = np.bincount(owner[place], minlength=len(sets))
+        alike = (common >= threshold * (sizes + sizes[q] - common) - 1e-9) & (common > 0) & (label != label[q])
+        for other in np.flatnonzero(alike):
+            if label[other] != label[q]:
+                out.append((int(min(ids[q], ids[other])), int(max(ids[q], ids[other]))))
+                label[label == label[other]] = label[q]
+    return out
 
-    return (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
-        .where(alike("x", "y")).select("a", "b")
-    )
+
+def links_in_groups(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) inside the groups of (g, id, label, asks): groups are bounded, and come one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+
+        def told() -> list[tuple[int, int]]:
+            ids, labels, asks = (np.array([h[k] for h in held]) for k in (1, 2, 3))
+            return links_of_group(ids, labels, asks, [unpacked(h[4]) for h in held], threshold)
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in batch.itertuples(index=False, name=None):
+                if held and row[0] != held[0][0]:
+                    out += told()
+                    held.clear()
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+        if held:
+            yield pd.DataFrame(told(), columns=["a", "b"])
+
+    full = rows.join(sets, "id").select("g", "id", "label", "asks", "packed")
+    return full.repartition("g").sortWithinPartitions("g", "id").mapInPandas(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,10 +260,47 @@ def linked(links: list[DataFrame]) -> DataFrame:
     return out
 
 
-CROSS_SHARE = 16
+BLOCK = 1_000
+LARGE = 50_000
 LEVELS = 6
 
 
+def _block(of: str, blocks):
+    return F.pmod(F.xxhash64(of), blocks)
+
+
+def star_groups(rows: DataFrame) -> DataFrame:
+    """Groups of a star and up to about ``BLOCK`` members that share a bucket with it; the star asks."""
+    degree = rows.groupBy("id").agg(F.sum("n").alias("degree"))
+    stars = rows.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"))).alias("top"))
+    stars = stars.select("key", (-F.col("top.back")).alias("star"))
+    pairs = stored(rows.join(stars, "key").where("id <> star").select("star", "id").distinct())
+    counts = pairs.groupBy("star").agg(F.count(F.lit(1)).alias("m"))
+    blocks = F.floor(F.col("m") / BLOCK) + 1
+    members = pairs.join(counts, "star").select(F.xxhash64("star", _block("id", blocks)).alias("g"), "star", "id")
+    heads = members.groupBy("g").agg(F.first("star").alias("id"))
+    return members.select("g", "id", F.col("id").alias("label"), F.lit(False).alias("asks")).unionByName(
+        heads.select("g", "id", F.col("id").alias("label"), F.lit(True).alias("asks"))
+    )
+
+
+def mixed_groups(rows: DataFrame) -> DataFrame:
+    """Groups of the members (key, id, label, n) of mixed buckets; all outside a bucket's largest class ask.
+
+    A bucket of more than ``BLOCK`` members is cut into blocks, and each two
+    blocks make a group.
+    """
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"))
+    blocks = F.floor(F.col("n") / BLOCK) + 1
+    told = rows.join(most, "key").withColumn("blocks", blocks).withColumn("mine", _block("id", blocks))
+    told = told.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return told.select(
+        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "id", "label",
+        (F.col("label") != F.col("most.label")).alias("asks"),
+    )
+
+
 def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Links (a, b) that join all rows of (id, body), distinct in both, into their classes of similar texts."""
     keyed = stored(band_table(docs, 0))
@@ -227,35 +311,27 @@ def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     sets = stored(set_table(docs.join(small_side(ids), "id")))
     links: list[DataFrame] = []
     for level in range(LEVELS):
-        # The most connected member of each bucket, held against all others.
-        degree = rows.groupBy("id").agg(F.sum("n").alias("degree"))
-        stars = rows.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"))).alias("top"))
-        stars = stars.select("key", (-F.col("top.back")).alias("star"))
-        pairs = rows.join(stars, "key").where("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b")).distinct()
-        links.append(stored(verified(pairs, sets, threshold)))
+        links.append(stored(links_in_groups(star_groups(rows), sets, threshold)))
         labels = components(linked(links))
-        # Buckets whose members are not all in one class.
-        marked = rows.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        sizes = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        left = stored(sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same")).where("n * n > same"))
+        # Buckets whose members are not all in one class; of those with the same members one is enough.
+        marked = rows.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+        left = marked.groupBy("key").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("all"),
+        ).where("low < high")
+        left = stored(left.groupBy("c", "all").agg(F.min("key").alias("key")).select("key"))
         if not left.limit(1).count():
             break
-        open_rows = marked.join(small_side(left), "key")
+        mixed_rows = stored(marked.join(small_side(left), "key"))
         last = level == LEVELS - 1
-        light = F.lit(True) if last else (F.col("n") * F.col("n") - F.col("same")) / 2 <= CROSS_SHARE * F.col("n")
-        few = open_rows.where(light).select("key", "id", "label")
-        other = few.select("key", F.col("id").alias("id2"), F.col("label").alias("label2"))
-        pairs = few.join(other, "key").where("label < label2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        links.append(stored(verified(pairs, sets, threshold)))
-        if last:
-            break
-        many = stored(open_rows.where(~light).select("key", "id"))
-        again = stored(many.select("id").distinct())
-        if not again.limit(1).count():
+        few = mixed_rows if last else mixed_rows.where(F.col("n") <= LARGE)
+        links.append(stored(links_in_groups(mixed_groups(few), sets, threshold)))
+        many = mixed_rows.where(F.col("n") > LARGE).select("key", "id")
+        again = many.select("id").distinct()
+        if last or not many.limit(1).count():
             break
-        # Large mixed buckets are split by bands of a new signature.
-        finer = band_table(docs.join(small_side(again), "id"), level + 1).select("id", F.explode("keys").alias("finer"))
-        rows = many.join(finer, "id").select("id", F.xxhash64("key", "finer").alias("key"))
+        # Very large mixed buckets are split by bands of a new signature.
+        finer = band_table(docs.join(small_side(stored(again)), "id"), level + 1).select("id", F.explode("keys").alias("finer"))
+        rows = stored(many.join(finer, "id").select("id", F.xxhash64("key", "finer").alias("key")))
         met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = stored(rows.join(met, "key"))
     return linked(links)
