@@ -9,10 +9,11 @@ a text switches languages; a text's language is the one with the largest sum.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,11 @@ UNKNOWN = "und"
 OUTER = " .,;:?!\"'()[]{}<>%&*$#|~^=/\\-_`0123456789"
 
 
+CACHED_WORDS = 700_000
+#: Scores of known words by model, one model at a time.
+_KNOWN: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
+
+
 def core(word: str) -> str:
     """The word without outer signs, in lower case; empty without a letter."""
     inner = word.strip(OUTER).lower()
@@ -37,10 +43,10 @@ def core(word: str) -> str:
 
 
 def word_features(word: str, lexicon: dict[str, str]) -> list[int]:
-    """Hashed features of one ``core`` word: affixes, two- and three-letter runs, the word, its lexicon entry."""
+    """Hashed features of one ``core`` word: affixes, three-letter runs, the word, its lexicon entry."""
     marked = f"<{word}>"
     names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3, 4)]
-    names += [marked[k:k + 2] for k in range(len(marked) - 1)] + [marked[k:k + 3] for k in range(len(marked) - 2)]
+    names += [marked[k:k + 3] for k in range(len(marked) - 2)]
     names.append(f"w{word}")
     entry = lexicon.get(word)
     if entry:
@@ -91,6 +97,29 @@ class LanguageModel:
     transition: np.ndarray
     first: np.ndarray
     lexicon: dict[str, str]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def cached_scores(self, words: list[str]) -> np.ndarray:
+        """``word_scores``, with those of earlier texts of this Python worker looked up."""
+        if self.name not in _KNOWN:
+            _KNOWN.clear()
+            _KNOWN[self.name] = ({}, [np.zeros((0, len(self.languages)))])
+        known, tables = _KNOWN[self.name]
+        fresh = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(fresh) > CACHED_WORDS:
+            known.clear()
+            tables[0] = tables[0][:0]
+            fresh = list(dict.fromkeys(words))
+        if fresh:
+            start = len(known)
+            known.update((w, start + k) for k, w in enumerate(fresh))
+            table = tables[0]
+            if len(table) < len(known):  # room for twice as many
+                table = np.zeros((2 * len(known), len(self.languages)))
+                table[:start] = tables[0][:start]
+                tables[0] = table
+            table[start:len(known)] = self.word_scores(fresh)
+        return tables[0][np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))]
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Label scores of ``core`` words; an empty one scores nothing."""
@@ -110,7 +139,7 @@ class LanguageModel:
         cores = [core(w) for w in distinct]
         worded = np.array([bool(c) for c in cores], dtype=bool)
         closing = np.array([w[-1:] in ".!?" for w in distinct], dtype=bool)
-        scores = self.word_scores(cores)
+        scores = self.cached_scores(cores)
         if not len(code):
             return row, np.zeros((0, len(self.languages)))
         chain = np.zeros(len(code), dtype=np.int64)
