@@ -37,9 +37,9 @@ LENGTH = 50
 GRAM = 24
 PLACES = LENGTH - GRAM + 1
 HALF = (LENGTH - GRAM) // 2
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 SHARD_STRETCHES = 1_500_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _M[0])
