@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import mixed, slices, small_side, stored
+from wayfind.llm.common import free_name, mixed, slices, small_side, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -396,7 +396,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """The ``kept`` rows of ``near_classes``, all columns as they came; of repeated rows with one id and text all stay."""
-    dropped = stored(classes(docs, id_col, text_col, threshold).where(~_kept()).select(F.col("id").alias("_id"), F.col("text").alias("_text")).distinct())
-    text = F.xxhash64(F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)))
-    own = F.coalesce(docs[id_col].cast("bigint"), F.lit(-(1 << 63)))
-    return docs.join(small_side(dropped), (own == F.col("_id")) & (text == F.col("_text")), "left_anti")
+    at, of = free_name(docs, "_class_id"), free_name(docs, "_class_text")
+    dropped = classes(docs, id_col, text_col, threshold).where(~_kept()).select(F.col("id").alias(at), F.col("text").alias(of))
+    text = F.xxhash64(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    return docs.join(small_side(stored(dropped.distinct())), (_id(id_col) == F.col(at)) & (text == F.col(of)), "left_anti")

@@ -119,6 +119,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], label: np.ndarray, ratio: np
 
 def logistic_curve(margin: np.ndarray, label: np.ndarray, share: float) -> tuple[float, float]:
     """Slope and shift of the probability of label 1, classes weighted to ``share`` of label 1."""
+    if not len(label):
+        return 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
     ones = max(1, int((label > 0).sum()))
     zeros = max(1, int((label <= 0).sum()))
     weight = np.where(label > 0, share / ones, (1 - share) / zeros) * len(label)

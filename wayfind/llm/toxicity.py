@@ -35,7 +35,7 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "*": "aeiou",
 }
-SAME, SWAPPED, REPEATED, SPACED, LITERAL = -0.02, -2.5, -2.0, -2.0, -6.0
+SAME, SWAPPED, REPEATED, SPACED, MEANT, LITERAL = -0.02, -2.5, -2.0, -2.0, -4.0, -6.0
 
 OUTER = " \t\r\n.,;:?!\"'()[]{}<>%&*$#|~^=/\\-_`"
 SINGLES = re.compile(r"(?<!\S)[^\W_](?:(?:[ .\-_*]|\.\s)[^\W_](?![^\W_])){2,}(?:[.,!?;:]*)(?!\S)")
@@ -98,28 +98,32 @@ class Channel:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
 
-    def lattice(self, signs: str) -> list[list[tuple[str, float]]]:
-        """For each sign what it may stand for: a letter, "" (nothing) or " " (a gap), with its cost."""
+    def lattice(self, signs: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+        """For each sign what it may stand for: a letter, "" (nothing) or " " (a gap), with its cost.
+
+        Between ``spaced`` single signs a gap is more likely put in than meant.
+        """
         out: list[list[tuple[str, float]]] = []
         for k, sign in enumerate(signs):
             arcs = []
             if sign.isalpha():
                 arcs.append((sign, SAME))
             else:
-                arcs.append((" ", SAME if GAPS.fullmatch(sign) else LITERAL))
+                gap = bool(GAPS.fullmatch(sign))
+                arcs.append((" ", (MEANT if spaced else SAME) if gap else LITERAL))
                 arcs += [(c, SWAPPED) for c in LOOKALIKES.get(sign, "")]
-                if GAPS.fullmatch(sign):
-                    arcs.append(("", SPACED))
+                if gap:
+                    arcs.append(("", SAME if spaced else SPACED))
             if k and sign == signs[k - 1]:
                 arcs.append(("", REPEATED / 4 if k > 1 and sign == signs[k - 2] else REPEATED))
             out.append(arcs)
         return out
 
-    def decode(self, signs: str) -> str:
+    def decode(self, signs: str, spaced: bool = False) -> str:
         """The most likely text behind ``signs`` (lower case), by Viterbi over the last two symbols."""
         model = self.model
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(GAP, GAP): (0.0, None)}
-        for arcs in self.lattice(signs):
+        for arcs in self.lattice(signs, spaced):
             reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in best.items():
                 for letter, price in arcs:
@@ -156,7 +160,7 @@ class Channel:
 
     def restore_spaced(self, text: str) -> list[str]:
         """What runs of single signs may spell together."""
-        return [self.decode(run.group().lower().strip(OUTER)) for run in SINGLES.finditer(text)]
+        return [self.decode(run.group().lower().strip(OUTER), True) for run in SINGLES.finditer(text)]
 
 
 def _tripled(word: str) -> bool:
