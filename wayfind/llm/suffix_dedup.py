@@ -37,7 +37,7 @@ LENGTH = 50
 GRAM = 24
 PLACES = LENGTH - GRAM + 1
 HALF = (LENGTH - GRAM) // 2
-FLUSH = 1_000_000
+FLUSH = 500_000
 SHARD_STRETCHES = 1_500_000
 SLICE_BYTES = 1_000_000
 
