@@ -61,11 +61,11 @@ def test_session_stream_over_several_batches_equals_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.ROCKSDB)
     df = events(spark)
     source = str(tmp_path / "in")
-    for part in range(4):
+    for part in (2, 0, 3, 1):  # not the order of the times
         df.where(F.floor(F.col("ts") / 5) == part).coalesce(1).write.mode("append").parquet(source)
     stream = io.file_stream(spark, source, df.schema, files_per_trigger=1)
     io.drain(sessions.session_stream(stream), str(tmp_path), lambda b, n: io.replace_batch(b, n, str(tmp_path / "out")))
-    got = rows(spark.read.parquet(str(tmp_path / "out")).select("conversation", "turn", "path", "called"))
+    got = rows(sessions.current(spark.read.parquet(str(tmp_path / "out"))).select("conversation", "turn", "path", "called"))
     numbered = df.withColumn("turn", F.col("ts") + 1)
     paths = T.working_path(numbered, "conversation", "turn", F.col("folder"))
     called = T.called_before(numbered, "conversation", "func", "turn")
@@ -80,6 +80,16 @@ def test_metrics_stream_counts_a_repeated_result_once(spark, tmp_path):
     df.where("id < 4").coalesce(1).write.parquet(source)
     df.coalesce(1).write.mode("append").parquet(source)
     stream = io.file_stream(spark, source, df.schema, files_per_trigger=1)
-    path = metrics.metrics_stream(stream, "id", "at", "cat", "ok", "s", str(tmp_path))
+    path = metrics.metrics_stream(stream, "id", "cat", "ok", "s", str(tmp_path))
     row = metrics.report(spark.read.parquet(path), "cat", "ok", "s").first()
     assert (row.total, row.correct, row.mean, row.p95) == (6, 3, 1.0, 2.0)
+
+
+def test_metrics_stream_counts_late_results(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for k, day in enumerate((100, 0, 50)):
+        late = spark.range(k * 100, k * 100 + 100).select("id", F.date_add(F.lit("2024-01-01"), day).alias("at"), F.lit("k").alias("cat"), F.lit(True).alias("ok"), F.lit(1.0).alias("s"))
+        late.coalesce(1).write.mode("append").parquet(source)
+    stream = io.file_stream(spark, source, late.schema, files_per_trigger=1)
+    path = metrics.metrics_stream(stream, "id", "cat", "ok", "s", str(tmp_path))
+    assert metrics.report(spark.read.parquet(path), "cat", "ok", "s").first().total == 300

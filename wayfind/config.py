@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,18 +28,29 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "way
 def checkpointed(df):
     """Cut lineage in the reliable checkpoint folder the cluster names.
 
-    The folder is read from ``spark.checkpoint.dir``.  Only a session without
-    one (local tests) gets a folder of its own.
+    The folder is read from ``spark.checkpoint.dir``, see :func:`_root`.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="wayfind-checkpoint-"))
+        context.setCheckpointDir(_root(df.sparkSession))
     return df.checkpoint()
 
 
+def _root(spark: SparkSession) -> str:
+    """The folder that all executors share.
+
+    Only a session that runs in one process may leave it out; a cluster without
+    it is an error, as executors would write to disks of their own.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="wayfind-")
+    return root
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for tables a job writes, next to the cluster's checkpoints."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    root = configured or tempfile.mkdtemp(prefix="wayfind-")
-    return f"{root.rstrip('/')}/wayfind-{uuid.uuid4().hex}"
+    return f"{_root(spark).rstrip('/')}/wayfind-{uuid.uuid4().hex}"

@@ -115,8 +115,7 @@ def clean_description(col: Column, last_marker: bool = False) -> Column:
     lead = ".*" if last_marker else ".*?"
     cut = F.regexp_replace(col, rf"(?is)^{lead}{W.DESCRIPTION_MARKER}[{SPACE}]*", "")
     text = F.when(F.contains(col, F.lit(W.DESCRIPTION_MARKER)), cut).otherwise(col)
-    opening = "|".join(W.FILLER_OPENINGS)
-    return strip(F.regexp_replace(text, rf"(?i)^({opening})[,{SPACE}]*", ""))
+    return strip(F.regexp_replace(text, rf"(?i)^{W.FILLER_OPENING}[,{SPACE}]*", ""))
 
 
 def find_all(col: Column, pattern: str, group: int = 0) -> Column:
@@ -162,7 +161,7 @@ def entities(col: Column) -> Column:
     )
 
 
-# Clause boundaries of passage retrieval.
+# Clause boundaries of passage retrieval.
 SENTENCE_BREAK = rf"(?<=[.!?])[{SPACE}]+(?=[A-Z])|\n[{SPACE}]*\n"
 CLAUSE_BREAK = (
     rf"[;—–][{SPACE}]*|,[{SPACE}]+(?:and|but|so|or|because|which|where|who|although)[{SPACE}]+"

@@ -99,26 +99,29 @@ def turn_patterns(turns: DataFrame, calls: DataFrame, turn: Sequence[str], func:
                   split_on: Column, long_turn: int = LONG_TURN) -> DataFrame:
     """Turns with their pattern: ordered function names as ``a|b|c``, ``[]`` for none.
 
-    A turn with more than ``long_turn`` calls is not gathered in one row; its key
-    is the number of calls and an order-sensitive hash, which identifies the
-    sequence just as well.
+    The names of a turn with more than ``long_turn`` calls are joined in blocks of
+    that many, and the blocks in order: the pattern has one form at every size.
     """
     turn = list(turn)
     named = calls.select(*turn, *order, F.col(func).alias("_f"), split_on.alias("_at"))
     sizes = named.groupBy(*turn).agg(F.count(F.lit(1)).alias("_n"))
     long = sizes.where(F.col("_n") > long_turn)
     short = named
-    hashed = None
+    blocks = None
     if not long.isEmpty():
         many = named.join(long, turn)
         short = named.join(long.select(*turn), turn, "left_anti")
         placed = Ordered(many, turn, order, F.col("_at")).row_number("_pos").result()
-        half = F.xxhash64("_pos", "_f").cast("decimal(38,0)")
-        hashed = placed.groupBy(*turn).agg(F.concat_ws(":", F.lit("#"), F.count(F.lit(1)), F.sum(half)).alias("pattern"))
+        part = F.array_sort(F.collect_list(F.struct("_pos", "_f")))
+        blocks = placed.groupBy(*turn, F.floor((F.col("_pos") - 1) / long_turn).alias("_block")).agg(
+            F.array_join(F.transform(part, lambda r: r["_f"]), "|").alias("_text")
+        )
+        parts = F.array_sort(F.collect_list(F.struct("_block", "_text")))
+        blocks = blocks.groupBy(*turn).agg(F.array_join(F.transform(parts, lambda r: r["_text"]), "|").alias("pattern"))
     rows = F.array_sort(F.collect_list(F.struct(*order, "_f")))
     keyed = short.groupBy(*turn).agg(F.array_join(F.transform(rows, lambda r: r["_f"]), "|").alias("pattern"))
-    if hashed is not None:
-        keyed = keyed.unionByName(hashed)
+    if blocks is not None:
+        keyed = keyed.unionByName(blocks)
     return turns.join(keyed, turn, "left").withColumn("pattern", F.coalesce("pattern", F.lit(L.EMPTY_PATTERN)))
 
 

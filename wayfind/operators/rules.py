@@ -29,18 +29,20 @@ GRAM = 4
 
 
 def rule_table(df: DataFrame) -> DataFrame:
-    """Fill in the optional columns of a rule table."""
+    """Fill in the optional columns of a rule table; a rule without a pattern hits nothing.
+
+    A rule given twice is one rule; rules that differ in any column all count.
+    """
     defaults = {"cls": F.lit(""), "weight": F.lit(1)}
     for name, value in defaults.items():
         if name not in df.columns:
             df = df.withColumn(name, value)
-    return df.select(
-        "pattern", "canonical", "cls", F.col("ordinal").cast("int"), F.col("weight").cast("int")
-    )
+    rules = df.select("pattern", "canonical", "cls", F.col("ordinal").cast("int"), F.col("weight").cast("int"))
+    return rules.where(F.length("pattern") > 0)
 
 
 def _literal(rows: list[Row]) -> Column:
-    ordered = sorted(rows, key=lambda r: r["ordinal"])
+    ordered = sorted(dict.fromkeys(rows), key=lambda r: r["ordinal"])
     return F.from_json(F.lit(json.dumps([r.asDict() for r in ordered])), RULE_TYPE)
 
 
@@ -67,13 +69,13 @@ def phrase_hits(df: DataFrame, key: str, text: Column, rules: DataFrame, name: s
         return lowered.withColumn(name, F.transform(found, lambda r: _hit(r, F.lit(0)))).drop("_text")
     texts = df.select(key, F.lower(text).alias("_text"))
     size = F.least(F.length("pattern"), F.lit(GRAM))
-    keyed = rules.withColumn("_gram", F.substr("pattern", F.lit(1), size))
+    keyed = rules.distinct().withColumn("_gram", F.substr("pattern", F.lit(1), size))
     # A look-ahead match yields every overlapping run of q characters in one pass.
     runs = [F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
             for q in range(1, GRAM + 1)]
     all_grams = F.concat(*runs)
     candidates = join_lookup(texts.select(key, F.explode(all_grams).alias("_gram")), keyed, ["_gram"])
-    verified = candidates.drop("_gram").dropDuplicates([key, "ordinal"]).join(texts, key).where(
+    verified = candidates.drop("_gram").dropDuplicates([key, *COLUMNS]).join(texts, key).where(
         F.contains(F.col("_text"), F.col("pattern"))
     )
     return _attach(df, key, verified.withColumn("pos", F.lit(0)), name)
@@ -101,7 +103,7 @@ def word_hits(df: DataFrame, key: str, tokens: Column, rules: DataFrame, name: s
         )
         return df.withColumn(name, hits)
     placed = df.select(key, F.posexplode(tokens).alias("pos", "pattern"))
-    return _attach(df, key, join_lookup(placed, rules, ["pattern"]), name)
+    return _attach(df, key, join_lookup(placed, rules.distinct(), ["pattern"]), name)
 
 
 def _attach(df: DataFrame, key: str, hits: DataFrame, name: str) -> DataFrame:

@@ -106,19 +106,20 @@ def called_before(calls: DataFrame, key: str, func: str, position: str) -> DataF
 
 
 def history(utterances: DataFrame, key: str, position: str, value: Column, block: int = BLOCK) -> DataFrame:
-    """What was said before each turn of a conversation.
+    """What was said before each turn of a conversation, in ``recent``, whatever its length.
 
-    ``recent`` holds the earlier values of the turn's own block of ``block``
-    turns, ``blocks_before`` says how many full blocks lie behind it (their values
-    are the rows of :func:`history_blocks`).  A conversation of at most ``block``
-    turns has its whole history in ``recent``; a longer one is not copied again
-    and again into every row.
+    The turn's own block of ``block`` turns is a window; the full blocks before
+    it are gathered once each and put in front.  Positions count from 1.
     """
     placed = utterances.withColumn("_block", F.floor((F.col(position) - 1) / block))
     before = Window.partitionBy(key, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("recent", F.collect_list(value).over(before)).withColumn(
-        "blocks_before", F.col("_block").cast("bigint")
-    ).drop("_block")
+    placed = placed.withColumn("_own", F.collect_list(value).over(before))
+    full = history_blocks(utterances, key, position, value, block).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("block", "values"))).alias("_full")
+    )
+    joined = placed.join(full, key, "left")
+    earlier = F.flatten(F.transform(F.filter("_full", lambda b: b["block"] < F.col("_block")), lambda b: b["values"]))
+    return joined.withColumn("recent", F.concat(earlier, "_own")).drop("_block", "_own", "_full")
 
 
 def history_blocks(utterances: DataFrame, key: str, position: str, value: Column, block: int = BLOCK) -> DataFrame:
@@ -127,23 +128,23 @@ def history_blocks(utterances: DataFrame, key: str, position: str, value: Column
     return utterances.groupBy(key, number).agg(F.transform(rows, lambda r: r["v"]).alias("values"))
 
 
-def holdout(turns: DataFrame, added: DataFrame, key: str, position: str, query: str, split_on: Column) -> DataFrame:
+def holdout(turns: DataFrame, added: DataFrame, key: str, position: str, query: str, split_on: Column,
+            opening: str = "Added functions: {}", replay: str = "; open request: {}", nothing: str = "; no open request") -> DataFrame:
     """Turns at which held-out functions come back, and the turn before each.
 
     ``added(key, position, names)``: the functions that return at a turn.  Such a
     turn replays the query before it; the turn in front of it is a hold-out turn.
+    The text is ``opening`` with the names, then ``replay`` with that query, or
+    ``nothing`` if there is none.
     """
     joined = turns.join(added, [key, position], "left")
     ordered = Ordered(joined, [key], [position], split_on)
     ordered = ordered.previous("_prev", F.col(query)).following("_next", F.col("names").isNotNull())
     df = ordered.result()
-    opening = F.concat(F.lit("New tools are now available: "), "names", F.lit(". "))
-    replay = F.when(
-        F.length(F.coalesce("_prev", F.lit(""))) > 0,
-        F.concat(opening, F.lit('The user previously requested: "'), "_prev",
-                 F.lit('" Please fulfill this request now using the available tools.')),
-    ).otherwise(F.concat(opening, F.lit("Please use them to fulfill the user's most recent request.")))
-    return df.withColumn("text", F.when(F.col("names").isNotNull(), replay).otherwise(F.col(query))).withColumn(
+    told = lambda text, col: F.replace(F.lit(text), F.lit("{}"), F.col(col))
+    asked = F.length(F.coalesce("_prev", F.lit(""))) > 0
+    full = F.concat(told(opening, "names"), F.when(asked, told(replay, "_prev")).otherwise(F.lit(nothing)))
+    return df.withColumn("text", F.when(F.col("names").isNotNull(), full).otherwise(F.col(query))).withColumn(
         "is_holdout", F.coalesce("_next", F.lit(False))
     ).drop("_prev", "_next")
 
@@ -242,23 +243,28 @@ def turn_context(path: Column, files: Column, dirs: Column, scores: Column, patt
     )
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def flatten_tree(nodes: DataFrame) -> DataFrame:
     """Path of every node of a parent table ``(node, parent, name, kind)``.
 
     One join per level, until a level is empty; the root nodes have no parent.
+    A node that is its own ancestor is an error.
     """
-    level = nodes.where(F.col("parent").isNull()).select("node", "kind", F.array("name").alias("path"))
-    found = level
-    for _ in range(max_depth):
-        level = checkpointed(
-            nodes.select("node", F.col("parent"), "name", "kind").join(
-                level.select(F.col("node").alias("parent"), "path"), "parent"
-            ).select("node", "kind", F.concat("path", F.array("name")).alias("path"))
+    level = nodes.where(F.col("parent").isNull()).select("node", "kind", F.array("name").alias("path"), F.array("node").alias("_above"))
+    found = level.drop("_above")
+    while True:
+        below = nodes.select("node", F.col("parent"), "name", "kind").join(
+            level.select(F.col("node").alias("parent"), "path", "_above"), "parent"
         )
+        again = F.array_contains("_above", F.col("node"))
+        level = checkpointed(below.select(
+            "node", "kind", F.concat("path", F.array("name")).alias("path"), F.concat("_above", F.array("node")).alias("_above"), again.alias("_again")
+        ))
+        if not level.where("_again").isEmpty():
+            raise ValueError("the tree has a cycle")
+        level = level.drop("_again")
         if level.isEmpty():
             return found
-        found = found.unionByName(level)
-    raise ValueError("the tree is deeper than max_depth, or has a cycle")
+        found = found.unionByName(level.drop("_above"))
 
 
 def tree_contents(paths: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """B-*: exemplar, pattern and test mining; G-12; E-04, E-06.
 
-A turn is a conversation's day: its query is phrased after the first event, its
+A turn is a conversation's day (days since 1970): its query is phrased after the first event, its
 calls are the events with a large value.
 """
 
@@ -27,7 +27,7 @@ TURN = ["user_id", "day"]
 
 def turn_queries(t):
     first = F.min_by(F.struct("event_type", F.get_json_object("props", "$.k").cast("int").alias("k")), F.struct("ts", "event_id"))
-    turns = t.events.groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(first.alias("f"))
+    turns = t.events.groupBy("user_id", F.unix_date(F.to_date("ts")).alias("day")).agg(first.alias("f"))
     kind = F.col("f.event_type")
     text = F.concat(F.lit("Please "), kind, F.lit(" with "), F.col("f.k") % 4, F.lit(' "'), kind, F.lit('.txt" now'))
     action = F.when(kind == "error", "none").otherwise(F.concat(F.lit("do_"), kind))
@@ -39,14 +39,14 @@ def turn_queries(t):
 
 def turn_calls(t):
     return t.events.where("value > 18").select(
-        "user_id", F.dayofmonth("ts").alias("day"), "ts", "event_id", event_call().alias("call"), F.col("event_type").alias("func"),
+        "user_id", F.unix_date(F.to_date("ts")).alias("day"), "ts", "event_id", event_call().alias("call"), F.col("event_type").alias("func"),
     )
 
 
-TURNS = f"""f AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS day, arg_min(event_type, (ts, event_id)) AS kind, arg_min(CAST(json_extract_string(props, '$.k') AS INTEGER), (ts, event_id)) AS k FROM events GROUP BY ALL),
+TURNS = f"""f AS (SELECT user_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day, arg_min(event_type, (ts, event_id)) AS kind, arg_min(CAST(json_extract_string(props, '$.k') AS INTEGER), (ts, event_id)) AS k FROM events GROUP BY ALL),
 tq AS (SELECT user_id, day, 'Please ' || kind || ' with ' || (k % 4) || ' "' || kind || '.txt" now' AS query, CASE WHEN kind = 'error' THEN 'none' ELSE 'do_' || kind END AS action, 't' || (k % 2) AS target,
   CASE WHEN kind = 'view' THEN 'none' ELSE 'd' || (k % 3) END AS domain FROM f),
-tc AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS day, ts, event_id, event_type AS func, {EVENT_CALL} AS call FROM events WHERE value > 18),
+tc AS (SELECT user_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day, ts, event_id, event_type AS func, {EVENT_CALL} AS call FROM events WHERE value > 18),
 pt AS (SELECT tq.*, coalesce(p, '[]') AS pattern FROM tq LEFT JOIN (SELECT user_id, day, string_agg(func, '|' ORDER BY ts, event_id) AS p FROM tc GROUP BY ALL) USING (user_id, day))"""
 
 
@@ -150,7 +150,7 @@ def _pattern_sql():
         f"list_concat(list_concat({Q.tokenize('query', stop)}, regexp_extract_all(query, '\"([^\"]*)\"', 1)), "
         "list_concat(regexp_extract_all(query, '''([^'']*)''', 1), regexp_extract_all(query, '\\b\\d+\\.?\\d*\\b')))"
     )
-    return f"""x AS (SELECT *, (user_id * 100 + day) AS o FROM pt),
+    return f"""x AS (SELECT *, (user_id * 100000 + day) AS o FROM pt),
 dv AS (SELECT pattern, domain, count(*) AS n, min(o) AS f FROM x WHERE domain <> 'none' GROUP BY ALL),
 vt AS (SELECT pattern, coalesce((SELECT domain FROM dv WHERE dv.pattern = p.pattern ORDER BY n DESC, f LIMIT 1), 'none') AS domain FROM (SELECT DISTINCT pattern FROM x) p),
 fs AS (SELECT pattern, arg_min(query, o) AS query, arg_min(action, o) AS action, arg_min(target, o) AS target FROM x GROUP BY pattern),
@@ -171,7 +171,7 @@ def b06(t):
 
 def pattern_exemplars(t):
     turns = patterned(t)
-    votes = M.vote(turns.select("pattern", "domain", (F.col("user_id") * 100 + F.col("day")).alias("o")), "pattern", "domain", "o")
+    votes = M.vote(turns.select("pattern", "domain", (F.col("user_id") * 100_000 + F.col("day")).alias("o")), "pattern", "domain", "o")
     return B.pattern_exemplars(turns, "ord", votes)
 
 
@@ -224,7 +224,7 @@ _TOK = Q.tokenize("query", W.STOP_WORDS + W.PATTERN_EXTRA_STOP_WORDS)
 
 PATTERN_ROLES = f"""c AS (SELECT pattern || '__v' || variant AS key, action, target, domain, list_distinct(string_split(description, ' ')) AS description, list_distinct(string_split(parameters_bow, ' ')) AS parameters,
   list_distinct(string_split(function_name_bow, ' ')) AS function_names FROM ex),
-qq AS (SELECT DISTINCT query, action, target, domain FROM pt WHERE day = 1),
+qq AS (SELECT DISTINCT query, action, target, domain FROM pt),
 q AS (SELECT query || '/' || target || '/' || domain AS key, action, target, domain, {Q.bag_items(_TOK)} AS description,
   list_distinct(list_concat(list_concat({_TOK}, regexp_extract_all(query, '"([^"]*)"', 1)), regexp_extract_all(query, '\\b\\d+\\.?\\d*\\b'))) AS parameters, ['none'] AS function_names FROM qq)"""
 
@@ -233,10 +233,10 @@ q AS (SELECT query || '/' || target || '/' || domain AS key, action, target, dom
 WITH {TURNS}, {_pattern_sql()}, {PATTERN_ROLES}, {Q.all_scores(E.pattern_encoding())} {Q.top_k(3)}
 """)
 def e04(t):
-    """Match each distinct query of the first day to the pattern exemplars."""
+    """Match each distinct query to the pattern exemplars."""
     ex = pattern_exemplars(t).withColumn("key", F.concat("pattern", F.lit("__v"), "variant"))
     # Mining costs far more than its result: keep the encoded exemplars.
     catalog = checkpointed(E.encode_exemplars(ex, "key", with_domain=True))
-    queries = turn_queries(t).where("day = 1").select("query", "action", "target", "domain").distinct()
+    queries = turn_queries(t).select("query", "action", "target", "domain").distinct()
     queries = checkpointed(E.encode_pattern_queries(queries.withColumn("key", F.concat_ws("/", "query", "target", "domain")), "query"))
     return S.top_k(queries, catalog, E.pattern_encoding(), "key", "key", 3)

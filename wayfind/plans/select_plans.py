@@ -150,19 +150,27 @@ def utterances(t):
 
 
 @query("w14_history", """
-SELECT conv_id, turn, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history, CAST(0 AS BIGINT) AS blocks_before FROM conversations
+SELECT conv_id, turn, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM conversations
 """)
 def w14(t):
     hist = T.history(utterances(t), "conv_id", "pos", F.col("text"))
-    return hist.select("conv_id", "turn", F.array_join("recent", "\n").alias("history"), "blocks_before")
+    return hist.select("conv_id", "turn", F.array_join("recent", "\n").alias("history"))
+
+
+@query("w14_history_long", f"""
+WITH {NUMBERED} SELECT user_id, turn, coalesce(string_agg(event_type, '|') OVER (PARTITION BY user_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM ev
+""")
+def w14_long(t):
+    """Every event of a user is a turn: histories that run over several blocks."""
+    hist = T.history(numbered(t), "user_id", "turn", F.col("event_type"), block=16)
+    return hist.select("user_id", "turn", F.array_join("recent", "|").alias("history"))
 
 
 @query("w15_holdout", f"""
 WITH {NUMBERED}, a AS (SELECT user_id, turn, 'f' || (turn % 3) AS names FROM ev WHERE event_type = 'signup'),
 j AS (SELECT e.user_id, e.turn, e.event_type || ' ' || e.event_id AS q, names FROM ev e LEFT JOIN a USING (user_id, turn)),
 l AS (SELECT *, lag(q) OVER w AS prev, lead(names IS NOT NULL) OVER w AS nxt FROM j WINDOW w AS (PARTITION BY user_id ORDER BY turn))
-SELECT user_id, turn, CASE WHEN names IS NULL THEN q WHEN prev IS NULL THEN 'New tools are now available: ' || names || '. Please use them to fulfill the user''s most recent request.'
-  ELSE 'New tools are now available: ' || names || '. The user previously requested: "' || prev || '" Please fulfill this request now using the available tools.' END AS text, coalesce(nxt, false) AS is_holdout FROM l
+SELECT user_id, turn, CASE WHEN names IS NULL THEN q ELSE 'Added functions: ' || names || coalesce('; open request: ' || prev, '; no open request') END AS text, coalesce(nxt, false) AS is_holdout FROM l
 """)
 def w15(t):
     ev = numbered(t)

@@ -102,11 +102,11 @@ CHAINS = (("purchase", "signup", True), ("purchase", "view", False), ("error", "
 
 
 def days(t):
-    return t.events.select("user_id", F.dayofmonth("ts").alias("day"), F.col("event_type").alias("func"), "value")
+    return t.events.select("user_id", F.unix_date(F.to_date("ts")).alias("day"), F.col("event_type").alias("func"), "value")
 
 
 @query("t05_inject_prerequisites", f"""
-WITH d AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS day, event_type AS func, value FROM events), c AS (SELECT DISTINCT user_id, day, func FROM d),
+WITH d AS (SELECT user_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day, event_type AS func, value FROM events), c AS (SELECT DISTINCT user_id, day, func FROM d),
 r(func, prereq, one_shot) AS (VALUES {", ".join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in CHAINS)}),
 f AS (SELECT user_id, func, min(day) AS first FROM d GROUP BY ALL), av AS (SELECT DISTINCT user_id, func FROM d WHERE value > 20)
 SELECT DISTINCT user_id, day, prereq FROM c JOIN r USING (func)

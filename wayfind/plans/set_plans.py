@@ -17,11 +17,11 @@ TURN = ["user_id", "day"]
 
 
 def sides(t):
-    ev = t.events.select("user_id", F.dayofmonth("ts").alias("day"), F.col("event_type").alias("func"), "ts", "event_id", "value")
+    ev = t.events.select("user_id", F.unix_date(F.to_date("ts")).alias("day"), F.col("event_type").alias("func"), "ts", "event_id", "value")
     return ev.where("value < 14").drop("value"), ev.where("event_id % 4 <> 0").drop("value")
 
 
-SIDES = """ev AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS day, event_type AS func, ts, event_id, value FROM events),
+SIDES = """ev AS (SELECT user_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day, event_type AS func, ts, event_id, value FROM events),
 pred AS (SELECT * FROM ev WHERE value < 14), truth AS (SELECT * FROM ev WHERE event_id % 4 <> 0),
 cnt AS (SELECT user_id, day, func, CAST(sum(p) AS BIGINT) AS n_pred, CAST(sum(t) AS BIGINT) AS n_true FROM (
   SELECT user_id, day, func, 1 AS p, 0 AS t FROM pred UNION ALL SELECT user_id, day, func, 0, 1 FROM truth) GROUP BY ALL)"""
@@ -33,8 +33,8 @@ def counted(t):
 
 @query("x01_union_categories", "SELECT event_type AS category, event_id, user_id FROM events")
 def x01(t):
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    parts = [t.events.where(F.col("event_type") == k).select(F.lit(k).alias("category"), "event_id", "user_id") for k in kinds]
+    kinds = [r[0] for r in t.events.select("event_type").distinct().collect()]  # one part per category
+    parts = [t.events.where(F.col("event_type").eqNullSafe(F.lit(k))).select(F.lit(k).alias("category"), "event_id", "user_id") for k in kinds]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

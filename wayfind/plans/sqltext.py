@@ -79,9 +79,8 @@ def action(tokens: str, verbs: str, phrase: str = "NULL") -> str:
 
 
 def clean_description(col: str) -> str:
-    opening = "|".join(W.FILLER_OPENINGS)
     cut = f"CASE WHEN contains({col}, '{W.DESCRIPTION_MARKER}') THEN regexp_replace({col}, '^.*?{W.DESCRIPTION_MARKER}[{SPACE}]*', '', 'is') ELSE {col} END"
-    return strip(f"regexp_replace({cut}, '^({opening})[,{SPACE}]*', '', 'i')")
+    return strip(f"regexp_replace({cut}, '^{W.FILLER_OPENING}[,{SPACE}]*', '', 'i')")
 
 
 def double(x: float) -> str:

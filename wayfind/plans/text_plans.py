@@ -64,11 +64,8 @@ def p06(t):
     )
 
 
-_FILLER = "|".join(W.FILLER_OPENINGS)
-
-
 @query("p07_clean_description", f"""
-SELECT page_id, lang_form, {Q.strip(f"regexp_replace(cut, '^({_FILLER})[,{Q.SPACE}]*', '', 'i')")} AS cleaned FROM (
+SELECT page_id, lang_form, {Q.strip(f"regexp_replace(cut, '^{W.FILLER_OPENING}[,{Q.SPACE}]*', '', 'i')")} AS cleaned FROM (
   SELECT page_id, 'first' AS lang_form, CASE WHEN contains(d, 'Tool description:')
       THEN regexp_replace(d, '^.*?Tool description:[{Q.SPACE}]*', '', 'is') ELSE d END AS cut
   FROM (SELECT page_id, 'This tool belongs to ' || url || '. Tool description: Returns the ' || html AS d FROM pages)

@@ -12,29 +12,33 @@ from wayfind.sources import catalog as C
 from wayfind.streaming.io import drain, replace_batch
 
 
-def metrics_stream(results: DataFrame, entry: str, time: str, category: str, correct: str, latency: str, folder: str,
-                   delay: str = "1 hour") -> str:
-    """Counts per ``(category, correct, latency)``, updated as results complete.
+def metrics_stream(results: DataFrame, entry: str, category: str, correct: str, latency: str, folder: str) -> str:
+    """Results as they complete, each entry once, in a table that grows by a part per batch.
 
-    Counts are all a report needs (accuracy, mean, quantiles).  A result that is
-    delivered twice within ``delay`` counts once.  The state holds distinct values,
-    not results.
+    An entry that is delivered again is known from the table, however late it
+    comes, so no result is dropped for its time and no state is held in memory.
     """
-    out = f"{folder}/counts"
-    once = results.withWatermark(time, delay).dropDuplicatesWithinWatermark([entry])
-    counts = once.groupBy(category, correct, latency).agg(F.count(F.lit(1)).alias("n"))
-    drain(counts, folder, lambda batch, number: replace_batch(batch, number, out), "update")
+    out = f"{folder}/results"
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = batch.select(entry, category, correct, latency).dropDuplicates([entry])
+        if number:
+            known = batch.sparkSession.read.parquet(out).where(F.col("batch") < number).select(entry)
+            fresh = fresh.join(known, entry, "left_anti")
+        replace_batch(fresh, number, out)
+
+    drain(results, folder, each)
     return out
 
 
-def report(counts: DataFrame, category: str, correct: str, latency: str) -> DataFrame:
-    """Accuracy, mean and p95 from the latest state of the counts."""
-    newest = C.latest(counts, [category, correct, latency], ["batch"])
-    sums = newest.groupBy(category).agg(
+def report(results: DataFrame, category: str, correct: str, latency: str) -> DataFrame:
+    """Accuracy, mean and p95 of the results so far."""
+    counts = results.groupBy(category, correct, latency).agg(F.count(F.lit(1)).alias("n"))
+    sums = counts.groupBy(category).agg(
         F.sum("n").alias("total"), F.sum(F.when(F.col(correct), F.col("n")).otherwise(0)).alias("correct"),
         F.try_divide(F.sum(F.col(latency) * F.col("n")), F.sum("n")).alias("mean"),
     ).withColumn("accuracy", M.ratio(F.col("correct"), F.col("total")))
-    p95 = M.nearest_rank_counted(newest.groupBy(category, latency).agg(F.sum("n").alias("n")), [category], latency, "n", 0.95)
+    p95 = M.nearest_rank_counted(counts.groupBy(category, latency).agg(F.sum("n").alias("n")), [category], latency, "n", 0.95)
     return sums.join(p95.withColumnRenamed("quantile", "p95"), category)
 
 

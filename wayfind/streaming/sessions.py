@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from wayfind.sources.catalog import latest
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 OUTPUT = T.StructType([
@@ -21,40 +24,38 @@ OUTPUT = T.StructType([
 
 
 class Sessions(StatefulProcessor):
-    """Working path, functions called before, and number of calls so far."""
+    """Working path, functions called before, and number of calls, in the order of the calls' times.
+
+    The state is a conversation's calls.  Calls that arrive late take their place
+    in the order, and every call from there on is told again.
+    """
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        text = T.StructType([T.StructField("v", T.StringType())])
-        number = T.StructType([T.StructField("v", T.LongType())])
-        self.path = handle.getListState("path", text, self.ttl_ms)
-        self.called = handle.getMapState("called", text, number, self.ttl_ms)
-        self.turn = handle.getValueState("turn", number, self.ttl_ms)
+        call = T.StructType([
+            T.StructField("at", T.LongType()), T.StructField("event_id", T.LongType()),
+            T.StructField("func", T.StringType()), T.StructField("folder", T.StringType()),
+        ])
+        self.calls = handle.getListState("calls", call, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch is bounded by the trigger; only its order has to be set.
-        calls = pd.concat(rows).sort_values(["ts", "event_id"])
-        path = [v for (v,) in self.path.get()]
-        called = {k[0] for k in self.called.keys()}
-        turn = self.turn.get()[0] if self.turn.exists() else 0
+        new = [c for part in rows for c in part[["at", "event_id", "func", "folder"]].itertuples(index=False, name=None)]
+        first = min(c[:2] for c in new)
+        path: list[str] = []
+        called: set[str] = set()
         out = []
-        for call in calls.itertuples(index=False):
-            turn += 1
-            if call.folder == "..":
+        calls = sorted([*self.calls.get(), *new], key=lambda c: tuple(c[:2]))
+        for turn, (at, event_id, func, folder) in enumerate(calls, 1):
+            if folder == "..":
                 path = path[:-1]
-            elif call.folder and call.folder != ".":
-                path = [*path, call.folder]
-            out.append((key[0], call.event_id, turn, "/".join(path), "|".join(sorted(called))))
-            if call.func not in called:
-                called.add(call.func)
-                self.called.updateValue((call.func,), (turn,))
-        if path:
-            self.path.put([(p,) for p in path])
-        else:
-            self.path.clear()
-        self.turn.update((turn,))
+            elif folder and folder != ".":
+                path = [*path, folder]
+            if (at, event_id) >= first:
+                out.append((key[0], event_id, turn, "/".join(path), "|".join(sorted(called))))
+            called.add(func)
+        self.calls.appendList(new)
         yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
 
     def close(self) -> None:
@@ -64,10 +65,18 @@ class Sessions(StatefulProcessor):
 def session_stream(calls: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """State after every call of ``calls(conversation, event_id, ts, func, folder)``.
 
+    A call is told again when an earlier one arrives after it: per call the row
+    of the latest batch holds, see :func:`current`.
     Needs the RocksDB state store (see :data:`ROCKSDB`).  ``ttl_ms`` drops the
     state of conversations that have gone quiet.
     """
+    calls = calls.select("conversation", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "func", "folder")
     return calls.groupBy("conversation").transformWithStateInPandas(
         statefulProcessor=Sessions(ttl_ms), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )
+
+
+def current(states: DataFrame) -> DataFrame:
+    """The latest state of every call, from the rows of all batches."""
+    return latest(states, ["conversation", "call"], ["batch"]).drop("batch")
