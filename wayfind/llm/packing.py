@@ -181,12 +181,13 @@ class WordTokens:
 
     MARK = "\x01"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.cached = cached
         mark = self._ids(self.MARK)
         # A mark of several ids could not be told from a text's: then words are encoded one by one.
         self.mark = int(mark[0]) if len(mark) == 1 else None
@@ -235,23 +236,23 @@ class WordTokens:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) > CACHED_WORDS:
+            if len(known) > self.cached:
                 known.clear()
             self._add(list(dict.fromkeys(words)))
             return b"".join([known[w] for w in words])
 
 
 @cache
-def tokens_of(path: str) -> WordTokens:
-    """One tokenizer per Python worker: later tasks find the words it knows."""
-    return WordTokens(path)
+def tokens_of(path: str, cached: int = CACHED_WORDS) -> WordTokens:
+    """One tokenizer per Python worker: later tasks find the words it knows (about 200 bytes each)."""
+    return WordTokens(path, cached)
 
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-           length: int = LENGTH, segments: int = SEGMENTS) -> DataFrame:
+           length: int = LENGTH, segments: int = SEGMENTS, cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece of ``docs``, packed into sequences of at most ``length`` tokens.
 
     A document is its token ids and an end id; null text is empty, so it is the
@@ -259,10 +260,11 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     ``BLOCK_TOKENS`` tokens as it reads, so nothing is shuffled and memory is
     bounded; a block leaves no padding.  Repeated rows are packed each by
     itself, with their id; a null id stays null.  An empty table gives no rows.
+    A Python worker remembers the ids of up to ``cached_words`` words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokens_of(tokenizer)
+        words = tokens_of(tokenizer, cached_words)
         end = np.array([END_ID], dtype="<u4").tobytes()
         task = TaskContext.get()
         next_id = (task.partitionId() if task else 0) << 36

@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["_text"].tolist()
-            for a, b in slices(map(len, texts), 2_000_000, 128):
+            for a, b in slices(map(len, texts), 500_000, 64):
                 yield pd.DataFrame({"id": batch["_id"][a:b], "y": batch["_y"][a:b], "bits": [np.packbits(f).tobytes() for f in indicators(texts[a:b])]})
 
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -204,7 +204,7 @@ def scorer(model: QualityModel):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = batch.tolist()
-            parts = [model.scores(indicators(texts[a:b])) for a, b in slices(map(len, texts), 2_000_000, 256)]
+            parts = [model.scores(indicators(texts[a:b])) for a, b in slices(map(len, texts), 500_000, 64)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return lambda text: score(F.coalesce(text, F.lit("")))
