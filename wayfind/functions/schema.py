@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.config import checkpointed
 from wayfind.functions import text as X
 from wayfind.functions import words as W
 
@@ -78,6 +79,34 @@ def normal_type(col: Column) -> Column:
     return expr
 
 
+SPEC = "struct<type:string,properties:map<string,string>,items:struct<type:string>>"
+
+
+def nested_types(df: DataFrame, key: str, spec: str) -> DataFrame:
+    """Normal type of every property of JSON schemas: ``(key, path, type_name)``.
+
+    ``spec`` holds ``{name: {type, properties, items}}`` as JSON text.  Inside
+    arrays and objects their properties are visited level by level, as far as
+    there are any; without properties the type of ``items`` is given as
+    ``path.items``.
+    """
+    level = df.select(key, F.lit("").alias("_above"), F.from_json(spec, "map<string,string>").alias("_props"))
+    found = None
+    while True:
+        one = level.select(key, "_above", F.explode("_props").alias("_name", "_text"))
+        one = one.select(key, F.concat("_above", "_name").alias("path"), F.from_json("_text", SPEC).alias("_s"))
+        typed = checkpointed(one.withColumn("type_name", normal_type(F.col("_s.type"))))
+        if typed.isEmpty():
+            return found if found is not None else typed.select(key, "path", "type_name")
+        inside = typed.where(F.col("type_name").isin("array", "object"))
+        items = inside.where(F.col("_s.properties").isNull() & F.col("_s.items").isNotNull())
+        rows = typed.select(key, "path", "type_name").unionByName(
+            items.select(key, F.concat("path", F.lit(".items")).alias("path"), normal_type(F.col("_s.items.type")).alias("type_name"))
+        )
+        found = rows if found is None else found.unionByName(rows)
+        level = inside.select(key, F.concat("path", F.lit(".")).alias("_above"), F.col("_s.properties").alias("_props"))
+
+
 def coerce(value: Column, type_name: Column) -> Column:
     """Text form of a value cast to its schema type; the raw text if that fails."""
     integer = F.when(value.rlike(r"^\s*[+-]?\d{1,18}\s*$"), F.trim(value).cast("bigint").cast("string"))

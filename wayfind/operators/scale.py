@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-SALTS = 16
 
 
 def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
@@ -34,10 +33,11 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int = 5_000_000) -> DataFrame:
-    """Keys that hold more than a task's share of the rows: fewer than 1000."""
+    """Keys that hold more than a task's share of the rows (fewer than 1000), and in ``_salts`` how many shares."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    return counts.where(F.col("_n") > max(share, total // 1000)).drop("_n")
+    limit = max(share, total // 1000)
+    return counts.where(F.col("_n") > limit).withColumn("_salts", F.ceil(F.col("_n") / limit).cast("int")).drop("_n")
 
 
 def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
@@ -50,18 +50,18 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str =
     on = list(on)
     if is_small(lookup, max_rows):
         return df.join(F.broadcast(lookup), on, how)
-    hot = F.broadcast(hot_keys(df, on).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(df, on))
     salted = df.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread(*df.columns)).otherwise(0)
+        "_salt", F.when(F.col("_salts").isNotNull(), spread(F.col("_salts"), *df.columns)).otherwise(0)
     )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
     copies = lookup.join(hot, on, "left").withColumn("_salt", F.explode(salts))
-    return salted.drop("_hot").join(copies.drop("_hot"), [*on, "_salt"], how).drop("_salt")
+    return salted.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
-def spread(*cols: str) -> Column:
+def spread(salts: Column, *cols: str) -> Column:
     """A salt derived from the row itself, so that a re-run task repeats it."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(SALTS)).cast("int")
+    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), salts).cast("int")
 
 
 class Ordered:

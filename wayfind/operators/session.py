@@ -221,11 +221,13 @@ def mentions(text: Column, files: Column, dirs: Column) -> tuple[Column, Column]
     )
 
 
-def turn_context(path: Column, files: Column, dirs: Column, scores: Column, pattern: Column) -> Column:
-    """Context lines of a turn: path, up to 15 names each, top scores, pattern.
+def turn_context(path: Column, files: Column, dirs: Column, scores: Column, pattern: Column, pattern_score: Column,
+                 threshold: float = 0.45, names: int | None = None) -> Column:
+    """Context lines of a turn: path, names, top scores, and the pattern with its score.
 
     ``scores``: ranked ``array<struct<name, score>>``; only the five best above
-    0.10 are shown.
+    0.10 are shown.  The pattern is shown if its score reaches ``threshold``.
+    ``names`` shortens the lists of files and folders; all are shown without it.
     """
     shown = F.filter(F.slice(scores, 1, 5), lambda s: s["score"] > 0.10)
     parts = F.transform(shown, lambda s: F.concat(C.bare_name(s["name"]), F.lit(" ("), F.format_number(s["score"], 2), F.lit(")")))
@@ -236,10 +238,11 @@ def turn_context(path: Column, files: Column, dirs: Column, scores: Column, patt
     return F.concat_ws(
         "\n",
         F.concat(F.lit("CWD: /"), F.array_join(path, "/")),
-        line("Files: ", F.slice(files, 1, 15)),
-        line("Dirs: ", F.slice(dirs, 1, 15)),
+        line("Files: ", files if names is None else F.slice(files, 1, names)),
+        line("Dirs: ", dirs if names is None else F.slice(dirs, 1, names)),
         line("Routing: ", parts),
-        F.when(pattern.isNotNull(), F.concat(F.lit("Pattern: "), F.replace(pattern, F.lit("|"), F.lit(" → ")))),
+        F.when(pattern_score >= threshold, F.concat(
+            F.lit("Pattern: "), F.replace(pattern, F.lit("|"), F.lit(" → ")), F.lit(" ("), F.format_number(pattern_score, 2), F.lit(")"))),
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wayfind.functions import text as X
 
 SCHEMA = "array<struct<name:string,type:string,enum:array<string>,item_type:string,default:string,required:boolean>>"
+# Fixed value: a number in a sentence.
 NUMBER = r"-?\d+\.?\d*"
 NUMERIC = ("integer", "number", "float")
 
@@ -198,6 +199,13 @@ def extract_args(queries: DataFrame, key: str, text: str, schema: str | Sequence
     return staged.select(key, "param", F.coalesce("_a", "_b", "_c").alias("value"), stage.alias("pass")).where(F.col("value").isNotNull())
 
 
+def path_tokens(text: Column) -> Column:
+    """Words that look like paths: they hold a dot or a slash, closing signs and quotes aside."""
+    words = F.transform(X.split_space(text), lambda w: F.regexp_replace(w, r"^['\"(]+|[\s'\").,;:!?]+$", ""))
+    return F.filter(words, lambda w: F.contains(w, F.lit(".")) | F.contains(w, F.lit("/")))
+
+
+# Kinds of parameter names.
 FOLDER_NAMES = ("folder", "dir_name", "directory")
 NAME_PARTS = ("file", "name", "source", "destination", "folder", "dir")
 TEXT_PARTS = ("content", "text", "pattern", "keyword")
@@ -229,6 +237,7 @@ def param_hint(text: Column, path_tokens: Column, param: Column, kind: Column) -
     )
 
 
+# Fixed value: words between what is moved and where to.
 TRANSFER = r"(?i)\s(?:to|into|as)\s"
 
 

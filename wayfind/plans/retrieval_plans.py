@@ -10,7 +10,7 @@ from wayfind.operators import evaluate as K
 from wayfind.operators import features as E
 from wayfind.operators import retrieval as P
 from wayfind.operators import similarity as S
-from wayfind.operators.scale import join_lookup
+from wayfind.operators.scale import hold_if_small, join_lookup
 from wayfind.plans import sqltext as Q
 from wayfind.plans.registry import query
 from wayfind.plans.text_plans import CLAUSES_SQL
@@ -66,7 +66,10 @@ answers AS (SELECT query, string_agg(passage, ' ' ORDER BY rank) AS answer FROM
 
 
 def answers(t):
-    return P.answer(hits(t, 50), P.document_windows(t.documents, "doc_id", "text"), window_key())
+    """Only the documents that were hit are cut into windows again: their ids are in the candidates' keys."""
+    found = hold_if_small(hits(t, 50))
+    ids = found.select(F.substring("candidate", 1, 19).cast("bigint").alias("doc_id")).distinct()
+    return P.answer(found, P.document_windows(t.documents.join(ids, "doc_id", "left_semi"), "doc_id", "text"), window_key())
 
 
 @query("w12_answer", f"WITH {ANSWERS} SELECT * FROM answers")

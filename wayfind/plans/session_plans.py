@@ -201,7 +201,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_
 rt AS (SELECT user_id, string_agg(event_type || ' (' || printf('%.2f', s) || ')', ', ' ORDER BY r) AS line FROM rk WHERE r <= 5 AND s > 0.10 GROUP BY user_id),
 nm AS (SELECT user_id, string_agg(event_type, ', ' ORDER BY event_type) AS names FROM sc GROUP BY user_id)
 SELECT user_id, turn, concat_ws(chr(10), 'CWD: /' || {Q.joined('path', '/')}, 'Files: ' || names, 'Routing: ' || line,
-  CASE WHEN turn % 2 = 0 THEN 'Pattern: click → view' END) AS context FROM walk LEFT JOIN nm USING (user_id) LEFT JOIN rt USING (user_id) WHERE turn > 0
+  CASE WHEN turn % 2 = 0 AND turn % 10 >= 5 THEN 'Pattern: click → view (' || printf('%.2f', (turn % 10) / 10) || ')' END) AS context FROM walk LEFT JOIN nm USING (user_id) LEFT JOIN rt USING (user_id) WHERE turn > 0
 """)
 def t10(t):
     best = t.events.groupBy("user_id", "event_type").agg((F.max("value") / 100).alias("s"))
@@ -211,7 +211,7 @@ def t10(t):
     none = F.array().cast("array<string>")
     pattern = F.when(F.col("turn") % 2 == 0, "click|view")
     rows = paths(t).join(per_user, "user_id")
-    return rows.select("user_id", "turn", T.turn_context(F.col("path"), F.col("names"), none, F.col("scores"), pattern).alias("context"))
+    return rows.select("user_id", "turn", T.turn_context(F.col("path"), F.col("names"), none, F.col("scores"), pattern, (F.col("turn") % 10) / 10).alias("context"))
 
 
 @query("t11_transitions", f"""

@@ -159,6 +159,18 @@ def v08(t):
     return rows.select("key", F.col("p.n").alias("param"), V.param_hint(F.col("text"), none, F.col("p.n"), F.col("p.k")).alias("hint")).where("hint is not null")
 
 
+@query("v08_path_hints", """
+WITH s AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS key, 'logs/f' || (l_suppkey % 4) || '.txt' AS file, 'd' || (l_partkey % 3) || '/out' AS place FROM lineitem)
+SELECT key, 'folder' AS param, place AS hint FROM s UNION ALL SELECT key, 'file_name', file FROM s
+""")
+def v08_paths(t):
+    """Paths that stand in the sentence without quotes."""
+    text = F.concat(F.lit("Copy logs/f"), F.col("l_suppkey") % 4, F.lit(".txt, then sort it, into d"), F.col("l_partkey") % 3, F.lit("/out. Thanks!"))
+    rows = t.lineitem.select(line_key(), text.alias("text")).select("key", "text", F.explode(F.array(F.lit("folder"), F.lit("file_name"))).alias("param"))
+    hint = V.param_hint(F.col("text"), V.path_tokens(F.col("text")), F.col("param"), F.lit("string"))
+    return rows.select("key", "param", hint.alias("hint"))
+
+
 SLOTS = {
     "source": {"strategies": ["positional_before_transfer", "state_match:items", "quoted:0"]},
     "destination": {"strategies": ["positional_after_transfer", "state_match:places", "quoted:1"]},

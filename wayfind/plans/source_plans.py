@@ -39,6 +39,23 @@ def s01(t):
     return J.read_jsonl(t.spark, path, CONVERSATION)
 
 
+@query("s01_read_ragged", """
+SELECT CAST(conv_id AS VARCHAR) AS id, arg_min(text, turn) FILTER (WHERE turn = 0) AS first, CAST(count(*) AS BIGINT) AS messages FROM conversations GROUP BY conv_id
+""")
+def s01_ragged(t):
+    """One line per conversation; its question is a list of turns, a list of messages, or a text, with blank lines between."""
+    path = shared_folder(t.spark)
+    message = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
+    lists = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("ms"))
+    flat = F.to_json(F.transform("ms", lambda m: m["m"]))
+    nested = F.concat(F.lit("["), flat, F.lit("]"))
+    text = F.concat(F.lit('{"id":"'), "conv_id", F.lit('","question":'), F.when(F.col("conv_id") % 2 == 0, flat).otherwise(nested), F.lit("}"))
+    lists.select(F.concat(text, F.lit("\n")).alias("value")).write.text(path)
+    found = J.messages(J.read_ragged(t.spark, path, "id string, question string"), "id", J.turns_of(F.col("question")))
+    first = F.min_by("content", "msg")
+    return found.groupBy("id").agg(first.alias("first"), F.count(F.lit(1)).alias("messages"))
+
+
 @query("s02_read_slice", "SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn LIMIT 50 OFFSET 20")
 def s02(t):
     rows = t.conversations.withColumn("at", F.struct("conv_id", "turn"))

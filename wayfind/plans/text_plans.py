@@ -299,6 +299,24 @@ def p19(t):
     return t.orders.select("o_orderkey", S.normal_type(raw).alias("type_name"), S.normal_type(item).alias("item_type"))
 
 
+_NORMAL = f"MAP {{{', '.join(f"'{k}': '{v}'" for k, v in W.TYPE_NAMES.items())}}}"
+
+
+@query("p19_nested_types", f"""
+WITH r AS (SELECT o_orderkey, {Q.words_list(_RAW_TYPES)}[1 + o_custkey % 13] AS raw, {Q.words_list(_RAW_TYPES)}[1 + o_orderkey % 13] AS item FROM orders),
+n AS (SELECT o_orderkey, coalesce(map_extract({_NORMAL}, raw)[1], 'string') AS raw, coalesce(map_extract({_NORMAL}, item)[1], 'string') AS item FROM r)
+SELECT o_orderkey, 'a' AS path, raw AS type_name FROM n UNION ALL SELECT o_orderkey, 'd', 'array' FROM n UNION ALL SELECT o_orderkey, 'd.items', item FROM n
+UNION ALL SELECT o_orderkey, 'a.b', item FROM n WHERE raw IN ('array', 'object') UNION ALL SELECT o_orderkey, 'a.c', 'string' FROM n WHERE raw IN ('array', 'object')
+UNION ALL SELECT o_orderkey, 'a.b.x', raw FROM n WHERE raw IN ('array', 'object') AND item IN ('array', 'object')
+""")
+def p19_nested(t):
+    names = F.array(*[F.lit(n) for n in _RAW_TYPES])
+    raw, item = (F.get(names, (F.col(c) % 13).cast("int")) for c in ("o_custkey", "o_orderkey"))
+    spec = F.format_string(
+        '{"a":{"type":"%1$s","properties":{"b":{"type":"%2$s","properties":{"x":{"type":"%1$s"}}},"c":{}}},"d":{"type":"list","items":{"type":"%2$s"}}}', raw, item)
+    return S.nested_types(t.orders.select("o_orderkey", spec.alias("spec")), "o_orderkey", "spec")
+
+
 @query("p20_name_surgery", """
 SELECT 's' || s_suppkey AS key, s_name || '.n' || s_nationkey AS full_name, 'n' || s_nationkey AS bare, s_name AS class_name,
   s_name AS base, s_name || '.get' AS qualified, s_name || '.x' AS dotted FROM supplier
