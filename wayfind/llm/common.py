@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -93,6 +95,13 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return row, code.astype(np.int64), distinct
 
 
+def give_back() -> None:
+    """Return what a task no longer needs to the system: a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix (the published splitmix64 finaliser), element by element."""
     x = np.asarray(x, dtype=np.uint64)

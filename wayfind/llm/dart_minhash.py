@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import free_name, mixed, slices, small_side, stored
+from wayfind.llm.common import free_name, give_back, mixed, slices, small_side, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -157,6 +157,7 @@ def band_table(docs: DataFrame, seed: int) -> DataFrame:
                 signed = signatures(texts[a:b], K, seed)
                 full = signed.any(axis=1)
                 yield pd.DataFrame({"id": batch["id"].to_numpy()[a:b][full], "keys": list(bands(signed[full]))})
+        give_back()
 
     return docs.mapInPandas(run, "id bigint, keys array<bigint>")
 
@@ -178,6 +179,7 @@ def set_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "packed": [packed(numbered(t)) for t in batch["body"]]})
+        give_back()
 
     return docs.mapInPandas(run, "id bigint, packed binary")
 
@@ -230,6 +232,7 @@ def links_in_groups(rows: DataFrame, sets: DataFrame, threshold: float) -> DataF
                 yield pd.DataFrame(out, columns=["a", "b"])
         if held:
             yield pd.DataFrame(told(), columns=["a", "b"])
+        give_back()
 
     full = rows.join(sets, "id").select("g", "id", "label", "asks", "packed")
     return full.repartition("g").sortWithinPartitions("g", "id").mapInPandas(run, "a bigint, b bigint")

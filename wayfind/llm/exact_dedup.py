@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import free_name, small_side, stored
+from wayfind.llm.common import free_name, give_back, small_side, stored
 
 SHARD_ROWS = 500_000
 FLUSH_ROWS = 2_000_000
@@ -114,6 +114,7 @@ def repeated_fingerprints(prints: DataFrame, rows: int, quotient_bits: int = 20)
             if sum(map(len, held)) >= FLUSH_ROWS:
                 yield from flush()
         yield from flush()
+        give_back()
 
     def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Merges as they come, two of like size at a time: never more than the shard's distinct fingerprints.
@@ -132,6 +133,7 @@ def repeated_fingerprints(prints: DataFrame, rows: int, quotient_bits: int = 20)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(whole.fingerprints()[more].view(np.int64)), pa.array(whole.counts[more])], names=["print", "n"]
             )
+        give_back()
 
     shards = prints.select("print").mapInArrow(
         build, "shard int, slots binary, runs binary, remainders binary, counts binary"

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.llm.common import give_back
+
 LENGTH = 2048
 SEGMENTS = 256
 BLOCK_TOKENS = 8_000_000
@@ -297,5 +299,6 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     yield flush()
         if ids:
             yield flush()
+        give_back()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)

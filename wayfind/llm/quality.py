@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import mixed, sample_by_hash, slices, words_of
+from wayfind.llm.common import give_back, mixed, sample_by_hash, slices, words_of
 
 WIDTH = 1 << 15
 TRAIN_PER_CLASS = 2_000
@@ -206,5 +206,6 @@ def scorer(model: QualityModel):
             texts = batch.tolist()
             parts = [model.scores(indicators(texts[a:b])) for a, b in slices(map(len, texts), 500_000, 64)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        give_back()
 
     return lambda text: score(F.coalesce(text, F.lit("")))

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import mixed, slices, small_side, stored
+from wayfind.llm.common import give_back, mixed, slices, small_side, stored
 
 LENGTH = 50
 GRAM = 24
@@ -237,6 +237,7 @@ def repeats(docs: DataFrame, entries, shard_bits: int, keep_ends: bool) -> DataF
                     yield from flush()
         if held:
             yield from flush()
+        give_back()
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = LevelFamily()
@@ -258,6 +259,7 @@ def repeats(docs: DataFrame, entries, shard_bits: int, keep_ends: bool) -> DataF
                     yield from told(_unplaned(row["again_doc"], np.int64), np.frombuffer(row["again_name"], np.uint64), 0)
         if keep_ends:
             yield from told(*family.ends(), 1)
+        give_back()
 
     return docs.mapInPandas(build, SHARDED).groupBy("shard").applyInArrow(scan, FOUND)
 
@@ -374,6 +376,7 @@ def _cut_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows = []
         for a, b in slices(map(len, raw), SLICE_BYTES, 20_000):
             rows += cut_out(raw[a:b], [_joined(x) for x in whole[a:b]], [_joined(x) for x in single[a:b]])
+        give_back()
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CUT.split(", ")])
 
     size = F.octet_length("body").cast("bigint")
