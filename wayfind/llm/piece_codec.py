@@ -69,7 +69,8 @@ class PieceModel:
         ids, place, push, pop = self.ids, self.place, heapq.heappush, heapq.heappop
         symbols: list[str] = list(part)
         size = len(symbols)
-        before, after = list(range(-1, size)), [*range(1, size), -1]
+        before, after = list(range(-1, size)), list(range(1, size + 1))
+        after[-1:] = [-1]
         # the place of a pair's join in score order, the pair's left side, and the join
         agenda = [(place[j], k, j) for k, j in enumerate(map(str.__add__, symbols, symbols[1:])) if j in place]
         heapq.heapify(agenda)
@@ -93,10 +94,14 @@ class PieceModel:
                 if other in place:
                     push(agenda, (place[other], left, other))
         out: list[int] = []
-        for symbol in symbols:
-            if symbol:
-                found = ids.get(symbol)
-                out.extend([found] if found is not None else [self.byte_ids[b] for b in symbol.encode()])
+        at = 0 if size else -1
+        while at >= 0:
+            symbol = symbols[at]
+            if symbol in ids:
+                out.append(ids[symbol])
+            else:
+                out.extend([self.byte_ids[b] for b in symbol.encode()])
+            at = after[at]
         return out
 
     def decode(self, ids: list[int]) -> bytes:
