@@ -24,7 +24,7 @@ M = 32  # a power of two
 FEW_WORDS = 8
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
-TASK_ROWS = 20_000
+TASK_ROWS = 4_000
 
 
 def tokens(text: Column) -> Column:
