@@ -18,12 +18,12 @@ def _no_tokens() -> Column:
     return F.array().cast("array<string>")
 
 
-def param_tokens(props: Column, with_type: bool = True) -> Column:
-    """Tokens of every parameter: name, first 8 enum values, description, type."""
+def param_tokens(props: Column, with_type: bool = True, enums: int | None = None) -> Column:
+    """Tokens of every parameter: name, (the first ``enums``) enum values, description, type."""
 
     def of_one(entry: Column) -> Column:
         spec = entry["value"]
-        enum = F.flatten(F.transform(F.slice(spec["enum"], 1, 8), lambda v: X.tokenize(v)))
+        enum = F.flatten(F.transform(X.leading(spec["enum"], enums), lambda v: X.tokenize(v)))
         parts = [
             X.split_space(X.split_name(entry["key"])),
             F.coalesce(enum, _no_tokens()),
@@ -37,14 +37,14 @@ def param_tokens(props: Column, with_type: bool = True) -> Column:
     return X.without(F.flatten(F.transform(F.map_entries(props), of_one)), W.STOP_WORDS)
 
 
-def param_names(props: Column) -> Column:
-    """Name tokens of all parameters, then 5 words of each description."""
+def param_names(props: Column, words: int | None = None) -> Column:
+    """Name tokens of all parameters, then (the first ``words``) words of each description."""
     entries = F.map_entries(props)
     names = F.flatten(F.transform(entries, lambda e: X.split_space(X.split_name(e["key"]))))
     described = F.flatten(
         F.transform(
             entries,
-            lambda e: F.coalesce(F.slice(X.generic_tokens(e["value"]["description"]), 1, 5), _no_tokens()),
+            lambda e: F.coalesce(X.leading(X.generic_tokens(e["value"]["description"]), words), _no_tokens()),
         )
     )
     return X.without(F.concat(names, described), W.STOP_WORDS + W.GENERIC_WORDS)
@@ -54,13 +54,13 @@ def param_types(props: Column) -> Column:
     return F.transform(F.map_values(props), lambda s: F.coalesce(s["type"], F.lit("string")))
 
 
-def param_entities(props: Column) -> Column:
-    """Description words (5), enum values (8) and default of each parameter."""
+def param_entities(props: Column, words: int | None = None, enums: int | None = None) -> Column:
+    """(The first) description words, enum values and the default of each parameter."""
 
     def of_one(spec: Column) -> Column:
         return F.concat(
-            F.coalesce(F.slice(X.tokenize(spec["description"]), 1, 5), _no_tokens()),
-            F.coalesce(F.transform(F.slice(spec["enum"], 1, 8), F.lower), _no_tokens()),
+            F.coalesce(X.leading(X.tokenize(spec["description"]), words), _no_tokens()),
+            F.coalesce(F.transform(X.leading(spec["enum"], enums), F.lower), _no_tokens()),
             F.when(spec["default"].isNotNull(), F.array(F.lower(spec["default"]))).otherwise(_no_tokens()),
         )
 

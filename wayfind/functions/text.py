@@ -118,6 +118,11 @@ def clean_description(col: Column, last_marker: bool = False) -> Column:
     return strip(F.regexp_replace(text, rf"(?i)^{W.FILLER_OPENING}[,{SPACE}]*", ""))
 
 
+def leading(items: Column, n: int | None) -> Column:
+    """The first ``n`` items of an array; all without ``n``."""
+    return items if n is None else F.slice(items, 1, n)
+
+
 def find_all(col: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(group))
 

@@ -100,17 +100,18 @@ def _or(first: Column, second: Column) -> Column:
     return X.let(first, lambda f: F.when(F.size(f) > 0, f).otherwise(second))
 
 
-def encode_functions(catalog: DataFrame, key: str, verbs: DataFrame, nouns: DataFrame) -> DataFrame:
+def encode_functions(catalog: DataFrame, key: str, verbs: DataFrame, nouns: DataFrame, head: int | None = None) -> DataFrame:
     """Catalog ``(key, name, description, props)`` -> GENERIC roles.
 
     In a dotted name the last part leads the action text, the class prefix stays
-    out of the target text, and only the last part feeds the name bag.
+    out of the target text, and only the last part feeds the name bag.  ``head``
+    takes only so many characters of a description for action and target.
     """
     dotted = F.contains("name", F.lit("."))
     last = X.split_name(C.bare_name(F.col("name")))
     full = X.split_name(F.col("name"))
     desc = X.clean_description(F.coalesce("description", F.lit("")))
-    start = F.substring("_desc", 1, 100)
+    start = F.col("_desc") if head is None else F.substring("_desc", 1, head)
     df = (
         catalog.withColumn("_desc", desc)
         .withColumn("_last", F.when(dotted, last).otherwise(""))
@@ -204,10 +205,11 @@ def encode_exemplars(exemplars: DataFrame, key: str, with_domain: bool = False)
     )
 
 
-def encode_unified(catalog: DataFrame, key: str, targets: tuple[str, ...]) -> DataFrame:
+def encode_unified(catalog: DataFrame, key: str, targets: tuple[str, ...], words: int | None = None) -> DataFrame:
     """Catalog -> UNIFIED roles; the bare name is the action.
 
     The target is the first listed noun found in the description or the name.
+    ``words`` takes only so many description words as keywords.
     """
     bare = C.bare_name(F.col("name"))
     desc = X.clean_description(F.coalesce("description", F.lit("")), last_marker=True)
@@ -222,20 +224,20 @@ def encode_unified(catalog: DataFrame, key: str, targets: tuple[str, ...]) -> Da
         F.col("_bare").alias("action"),
         F.coalesce(F.get(found, F.lit(0)), F.lit("none")).alias("target"),
         X.bag_items(F.concat(tokens, name_words)).alias("description"),
-        X.bag_items(F.concat(X.tokenize(X.split_name(F.col("_bare"))), F.slice(tokens, 1, 10))).alias("keywords"),
+        X.bag_items(F.concat(X.tokenize(X.split_name(F.col("_bare"))), X.leading(tokens, words))).alias("keywords"),
         X.bag_items(F.flatten(F.transform(F.map_keys(props), lambda k: X.split_space(X.split_name(k))))).alias("param_names"),
         X.bag_items(S.param_types(props)).alias("param_types"),
         X.bag_items(S.param_entities(props)).alias("entities"),
     )
 
 
-def encode_relevance_functions(catalog: DataFrame, key: str) -> DataFrame:
-    """Catalog -> RELEVANCE roles (first 10 description words)."""
+def encode_relevance_functions(catalog: DataFrame, key: str, words: int | None = None) -> DataFrame:
+    """Catalog -> RELEVANCE roles, of (the first ``words``) description words."""
     return catalog.select(
         key,
         X.bag_items(S.param_names(F.col("props"))).alias("param_tokens"),
         X.bag_items(X.generic_tokens(X.split_name(F.col("name")))).alias("name_tokens"),
-        X.bag_items(F.slice(X.generic_tokens(F.col("description")), 1, 10)).alias("desc_tokens"),
+        X.bag_items(X.leading(X.generic_tokens(F.col("description")), words)).alias("desc_tokens"),
     )
 
 

@@ -37,32 +37,32 @@ def exemplar_intent(functions: DataFrame, class_map: DataFrame, global_map: Data
     )
 
 
-def differing_words(catalog: DataFrame, cls: str, tokens: str) -> DataFrame:
+def differing_words(catalog: DataFrame, cls: str, tokens: str, fallback: int | None = None) -> DataFrame:
     """Description tokens that are not shared by the whole class.
 
-    Falls back to the first five tokens.  The shared tokens of a class are at
+    Falls back to (the first ``fallback``) tokens.  The shared tokens of a class are at
     most the tokens of one description.
     """
     shared = M.shared_tokens(catalog, cls, F.array_distinct(tokens)).groupBy(cls).agg(F.collect_list("token").alias("_shared"))
     df = join_lookup(catalog, shared, [cls], "left")
     common = F.coalesce("_shared", F.array().cast("array<string>"))
     diff = F.filter(tokens, lambda w: ~F.array_contains(common, w))
-    return df.withColumn("diff", F.when(F.size(diff) > 0, diff).otherwise(F.slice(tokens, 1, 5)))
+    return df.withColumn("diff", F.when(F.size(diff) > 0, diff).otherwise(X.leading(F.col(tokens), fallback)))
 
 
 def _words(*parts: Column) -> Column:
     return F.concat(*[p if i == 0 else F.concat(F.lit(" "), p) for i, p in enumerate(parts)])
 
 
-def exemplars(catalog: DataFrame, mined: DataFrame, order: str) -> DataFrame:
+def exemplars(catalog: DataFrame, mined: DataFrame, order: str, fallback: int | None = None, params: int | None = None) -> DataFrame:
     """Three exemplars per function.
 
     ``catalog(cls, func, action, target, name_tokens, tokens, param_tokens,
     class_words)``, ``mined(func, query, order)``.  Variant 1 repeats the differing
     words, variant 2 name and differing words, variant 3 the frequent words of
-    mined queries or, without any, the parameters.
+    mined queries or, without any, (the first ``params``) parameter words.
     """
-    df = differing_words(catalog, "cls", "tokens")
+    df = differing_words(catalog, "cls", "tokens", fallback)
     shared = df.select("func", F.explode(F.coalesce("_shared", F.array().cast("array<string>"))).alias("token"))
     top = M.top_tokens(mined, "func", order, X.tokenize(F.col("query")), shared)
     per_func = top.groupBy("func").agg(
@@ -72,11 +72,11 @@ def exemplars(catalog: DataFrame, mined: DataFrame, order: str) -> DataFrame:
     diff = F.array_join("diff", " ")
     both = F.array_join(F.array_distinct(F.concat("name_tokens", "diff")), " ")
     mined_words = F.array_join("_mined", " ")
-    params = F.array_join(F.slice("param_tokens", 1, 8), " ")
+    named = F.array_join(X.leading(F.col("param_tokens"), params), " ")
     first = _words(F.col("action"), diff, diff, diff, F.col("class_words"))
     second = _words(F.col("action"), both, both, F.col("class_words"))
     third = F.when(F.size("_mined") > 0, _words(F.col("action"), mined_words, mined_words, diff, F.col("class_words"))).otherwise(
-        _words(F.col("action"), params, diff, diff, F.col("class_words"))
+        _words(F.col("action"), named, diff, diff, F.col("class_words"))
     )
     variants = F.array(*[
         F.struct(F.lit(i).alias("variant"), d.alias("description")) for i, d in ((1, first), (2, second), (3, third))

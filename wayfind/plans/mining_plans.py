@@ -92,7 +92,7 @@ def document_queries(t):
 CATALOG = f"""dc AS (SELECT source || '/' || lang AS cls, doc_id AS func, 'a' || (doc_id % 5) AS action, {Q.tokenize('source')} AS nt, {Q.tokenize(Q.clean_description('text'))} AS tk, lang FROM documents),
 shared AS (SELECT cls, token FROM (SELECT cls, unnest(list_distinct(tk)) AS token FROM dc) JOIN (SELECT cls, count(*) AS size FROM dc GROUP BY cls) USING (cls) GROUP BY cls, token, size HAVING count(*) = size AND size > 1),
 sl AS (SELECT cls, list(token) AS s FROM shared GROUP BY cls),
-df AS (SELECT dc.*, coalesce(s, []) AS s, CASE WHEN len(list_filter(tk, lambda w: not list_contains(coalesce(s, []), w))) > 0 THEN list_filter(tk, lambda w: not list_contains(coalesce(s, []), w)) ELSE list_slice(tk, 1, 5) END AS diff FROM dc LEFT JOIN sl USING (cls))"""
+df AS (SELECT dc.*, coalesce(s, []) AS s, CASE WHEN len(list_filter(tk, lambda w: not list_contains(coalesce(s, []), w))) > 0 THEN list_filter(tk, lambda w: not list_contains(coalesce(s, []), w)) ELSE tk END AS diff FROM dc LEFT JOIN sl USING (cls))"""
 
 
 @query("g12_differing_words", f"WITH {CATALOG} SELECT func, {Q.joined('diff')} AS diff FROM df")

@@ -115,7 +115,7 @@ def f03(t):
 
 @query("f04_extract_action", f"""
 WITH {WORDS},
-ph AS (SELECT d.doc_id, (SELECT canonical FROM rules r WHERE contains(lower(d.lang || d.source || substring(d.text, 1, 100)), r.pattern) AND length(r.pattern) > 5 ORDER BY length(r.pattern) DESC, ordinal LIMIT 1) AS c FROM documents d)
+ph AS (SELECT d.doc_id, (SELECT canonical FROM rules r WHERE contains(lower(d.lang || d.source || d.text), r.pattern) AND length(r.pattern) > 5 ORDER BY length(r.pattern) DESC, ordinal LIMIT 1) AS c FROM documents d)
 SELECT d.doc_id, coalesce(ph.c, (SELECT canonical FROM whits h WHERE h.doc_id = d.doc_id AND pos = 0),
   (SELECT canonical FROM whits h WHERE h.doc_id = d.doc_id ORDER BY weight DESC, pos LIMIT 1), 'none') AS action
 FROM documents d JOIN ph USING (doc_id)
@@ -123,7 +123,7 @@ FROM documents d JOIN ph USING (doc_id)
 def f04(t):
     rules = word_rules(t)
     docs = t.documents.select(
-        "doc_id", F.concat("lang", "source", F.substring("text", 1, 100)).alias("head"),
+        "doc_id", F.concat("lang", "source", F.col("text")).alias("head"),
         X.tokenize_spaced(F.col("text")).alias("tokens"),
     )
     hit = R.phrase_hits(docs, "doc_id", F.col("head"), rules.where(F.length("pattern") > 5), "phrases")

@@ -48,7 +48,7 @@ def part_queries(t):
 PART_QUERIES = "pq AS (SELECT DISTINCT 'please find the ' || p_name || ' in ' || p_type AS text FROM part)"
 
 FUNCTIONS_SQL = f"""d AS (SELECT p_partkey, p_name, p_type, p_brand, p_size, {_LAST} AS last, {_FULL} AS full_name, {_CLEAN} AS descr FROM part),
-aw AS (SELECT *, {Q.intent_words("last || ' ' || full_name || ' ' || substring(descr, 1, 100)")} AS a, {Q.intent_words("last || ' ' || substring(descr, 1, 100)")} AS g FROM d),
+aw AS (SELECT *, {Q.intent_words("last || ' ' || full_name || ' ' || descr")} AS a, {Q.intent_words("last || ' ' || descr")} AS g FROM d),
 cat AS (SELECT p_partkey AS key, {Q.action('a', 'verbs')} AS action, {Q.first_word('g', 'nouns')} AS target,
   {Q.bag_items(Q.tokenize('last'))} AS function_name, {Q.bag_items(Q.tokenize('descr'))} AS description, {Q.bag_items(PARAM_TOKENS_SQL)} AS parameters FROM aw)"""
 
@@ -130,9 +130,9 @@ _U = ["description", "keywords", "param_names", "param_types", "entities"]
 WITH d AS (SELECT p_partkey, p_type, p_brand, p_size, p_name, replace(p_name, ' ', '_') AS bare, {_LAST} AS last, {_CLEAN} AS descr FROM part)
 SELECT p_partkey AS key, bare AS action, coalesce(list_filter({Q.words_list(NOUNS)}, lambda n: contains(lower(descr), n) or contains(lower(bare), n))[1], 'none') AS target, {_bags_sql(_U)} FROM (
  SELECT *, {Q.bag_items(f"list_concat({Q.tokenize('descr')}, string_split(last, ' '))")} AS description,
-  {Q.bag_items(f"list_concat({Q.tokenize('last')}, list_slice({Q.tokenize('descr')}, 1, 10))")} AS keywords,
+  {Q.bag_items(f"list_concat({Q.tokenize('last')}, {Q.tokenize('descr')})")} AS keywords,
   ['part', 'key', 'brand', 'name', 'size', 'a'] AS param_names, ['integer', 'string', 'float'] AS param_types,
-  {Q.bag_items("list_concat(list_concat(list_slice(" + Q.tokenize("'The key of the ' || p_name") + ", 1, 5), [lower(p_brand), lower(p_type), 'any-brand']), list_concat(list_slice(" + Q.tokenize("'Value of size for the ' || p_type || ' ' || p_name || ' part in a box'") + ", 1, 5), [CAST(p_size AS VARCHAR)]))")} AS entities FROM d)
+  {Q.bag_items("list_concat(list_concat(" + Q.tokenize("'The key of the ' || p_name") + ", [lower(p_brand), lower(p_type), 'any-brand']), list_concat(" + Q.tokenize("'Value of size for the ' || p_type || ' ' || p_name || ' part in a box'") + ", [CAST(p_size AS VARCHAR)]))")} AS entities FROM d)
 """)
 def e05(t):
     enc = E.encode_unified(part_catalog(t), "p_partkey", NOUNS)
@@ -274,7 +274,7 @@ def e12(t):
 
 
 DOC_FUNCTIONS_SQL = f"""dd AS (SELECT doc_id, {Q.split_name("source || '.' || lang")} AS full_name, {Q.split_name('lang')} AS last, {Q.clean_description('text')} AS descr FROM documents),
-dw AS (SELECT *, {Q.intent_words("last || ' ' || full_name || ' ' || substring(descr, 1, 100)")} AS a, {Q.intent_words("last || ' ' || substring(descr, 1, 100)")} AS g FROM dd),
+dw AS (SELECT *, {Q.intent_words("last || ' ' || full_name || ' ' || descr")} AS a, {Q.intent_words("last || ' ' || descr")} AS g FROM dd),
 c AS (SELECT doc_id AS key, {Q.action('a', 'rules')} AS action, {Q.first_word('g', 'rules')} AS target,
   {Q.bag_items(Q.tokenize('last'))} AS function_name, {Q.bag_items(Q.tokenize('descr'))} AS description, ['none'] AS parameters FROM dw)"""
 
@@ -349,7 +349,7 @@ def e14(t):
 _GEN = W.STOP_WORDS + W.GENERIC_WORDS
 RELEVANCE_SQL = f"""WITH q AS (SELECT item_id AS key, {Q.bag_items(Q.tokenize('text', _GEN))} AS param_tokens, {Q.bag_items(Q.tokenize('text', _GEN))} AS name_tokens, {Q.bag_items(Q.tokenize('text', _GEN))} AS desc_tokens FROM benchmark),
 c AS (SELECT doc_id AS key, ['none'] AS param_tokens, {Q.bag_items(Q.tokenize(Q.split_name("source || '.' || lang"), _GEN))} AS name_tokens,
-  {Q.bag_items(f"list_slice({Q.tokenize('text', _GEN)}, 1, 10)")} AS desc_tokens FROM documents),
+  {Q.bag_items(f"{Q.tokenize('text', _GEN)}")} AS desc_tokens FROM documents),
 {Q.all_scores(E.RELEVANCE)},
 best AS (SELECT query, greatest(max(score), 0.0::DOUBLE) AS score FROM scores GROUP BY query)"""
 
@@ -368,7 +368,7 @@ def e15(t):
 SIDECAR_SQL = f"""WITH {PART_WORDS}, {PART_QUERIES},
 q AS (SELECT text AS key, {Q.bag_items(Q.tokenize('text'))} AS name_tokens, {Q.first_word(Q.intent_words('text'), 'nouns')} AS target, {Q.bag_items(Q.tokenize('text', W.STOP_WORDS + W.FILLER_WORDS))} AS description_nouns FROM pq),
 cd AS (SELECT p_partkey, {_FULL} AS full_name, {_DESC} AS descr FROM part),
-c AS (SELECT p_partkey AS key, {Q.bag_items(Q.tokenize('full_name'))} AS name_tokens, {Q.first_word(Q.intent_words("full_name || ' ' || substring(descr, 1, 100)"), 'nouns')} AS target,
+c AS (SELECT p_partkey AS key, {Q.bag_items(Q.tokenize('full_name'))} AS name_tokens, {Q.first_word(Q.intent_words("full_name || ' ' || descr"), 'nouns')} AS target,
   {Q.bag_items(Q.tokenize('descr', W.STOP_WORDS + W.FILLER_WORDS))} AS description_nouns FROM cd),
 {Q.all_scores(E.SIDECAR)},
 best AS (SELECT query, greatest(max(score), 0.0::DOUBLE) AS score FROM scores GROUP BY query)"""
@@ -378,7 +378,7 @@ def sidecar_scores(t):
     nouns = part_rules(t, 1, 2)
     q = R.word_hits(part_queries(t), "key", X.intent_words(F.col("text")), nouns, "n")
     q = E.encode_sidecar(q, "key", F.col("text"), F.col("text"), R.first_word(F.col("n")))
-    words = F.concat_ws(" ", X.split_name(F.col("name")), F.substring("description", 1, 100))
+    words = F.concat_ws(" ", X.split_name(F.col("name")), F.col("description"))
     c = R.word_hits(part_catalog(t), "p_partkey", X.intent_words(words), nouns, "n")
     c = E.encode_sidecar(c, "p_partkey", X.split_name(F.col("name")), F.col("description"), R.first_word(F.col("n")))
     return S.best_score(q, c, E.SIDECAR, "key", "p_partkey", many_copies=True)

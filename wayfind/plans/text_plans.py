@@ -143,7 +143,7 @@ _GENERIC = W.STOP_WORDS + W.GENERIC_WORDS
 
 @query("p09_param_names", f"""
 SELECT p_partkey, {Q.joined(Q.without(_cat("['part','key','brand','name','size','a']",
-    f"list_slice({Q.tokenize(_KEY_DESC, _GENERIC)}, 1, 5)", f"list_slice({Q.tokenize(_SIZE_DESC, _GENERIC)}, 1, 5)"), _GENERIC))} AS tokens
+    f"{Q.tokenize(_KEY_DESC, _GENERIC)}", f"{Q.tokenize(_SIZE_DESC, _GENERIC)}"), _GENERIC))} AS tokens
 FROM part
 """)
 def p09(t):
@@ -152,8 +152,8 @@ def p09(t):
 
 @query("p10_param_types", f"""
 SELECT p_partkey, 'integer string float string' AS types,
-  {Q.joined(_cat(f"list_slice({Q.tokenize(_KEY_DESC)}, 1, 5)", "[lower(p_brand), lower(p_type), 'any-brand']",
-                 f"list_slice({Q.tokenize(_SIZE_DESC)}, 1, 5)", "[CAST(p_size AS VARCHAR)]"))} AS entities
+  {Q.joined(_cat(f"{Q.tokenize(_KEY_DESC)}", "[lower(p_brand), lower(p_type), 'any-brand']",
+                 f"{Q.tokenize(_SIZE_DESC)}", "[CAST(p_size AS VARCHAR)]"))} AS entities
 FROM part
 """)
 def p10(t):
