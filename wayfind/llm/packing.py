@@ -12,6 +12,7 @@ at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -193,15 +194,43 @@ class WordTokens:
         mark = self._ids(self.MARK)
         # A mark of several ids could not be told from a text's: then words are encoded one by one.
         self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.lean = self._lean(path)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def _lean(self, path: str):
+        """The same model for words of plain lower-case letters, without the steps that leave those as they are."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        kinds = tuple(
+            [step["type"] for step in (spec.get(kind) or {}).get(many, [])]
+            for kind, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))
+        )
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            return None
+        spec["normalizer"], spec["added_tokens"] = None, []
+        spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        return Tokenizer.from_str(json.dumps(spec))
+
+    def _ids(self, text: str, tokenizer=None) -> np.ndarray:
+        tokenizer = tokenizer or self.tokenizer
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        return np.array(encode([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
+        known = self.known
         plain = [w for w in words if self.mark is not None and self.MARK not in w]
-        for k in range(0, len(plain), 500):
-            part = plain[k:k + 500]
-            ids = self._ids(f" {self.MARK} ".join(part))
+        letters = [w for w in plain if w.isalpha() and w.islower() and not BEYOND_LATIN.search(w)] if self.lean else []
+        self._learn_joined(letters, self.lean)
+        self._learn_joined([w for w in plain if w not in known], self.tokenizer)
+        for word in words:
+            if word not in known:
+                known[word] = self._ids(word).tobytes()
+
+    def _learn_joined(self, words: list[str], tokenizer) -> None:
+        for k in range(0, len(words), 500):
+            part = words[k:k + 500]
+            ids = self._ids(f" {self.MARK} ".join(part), tokenizer)
             cut = np.flatnonzero(ids == self.mark)
             if len(cut) != len(part) - 1:
                 raise ValueError("the tokenizer joins words across white space")
@@ -209,9 +238,6 @@ class WordTokens:
             starts, ends = [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), len(raw)]
             for word, a, b in zip(part, starts, ends):
                 self.known[word] = raw[a:b]
-        for word in words:
-            if word not in self.known:
-                self.known[word] = self._ids(word).tobytes()
 
     def _add(self, words: list[str]) -> None:
         """Learn new words; closing points and commas after a letter are words of their own to the tokenizer."""
@@ -231,7 +257,7 @@ class WordTokens:
             known[word] = known[core] + known[word[len(core):]]
 
     def encode(self, text: str) -> bytes:
-        if not BEYOND_LATIN.search(text):
+        if text.isascii() or not BEYOND_LATIN.search(text):
             text = text.lower()  # the tokenizer does the same; for other scripts it is left to it
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.known
