@@ -12,6 +12,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A narrow table that is used more than once, kept by the executors; what one of them loses is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 SMALL_ROWS = 250_000
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import free_name, give_back, mixed, slices, small_side, stored
+from wayfind.llm.common import free_name, give_back, held, mixed, slices, small_side, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -215,22 +215,22 @@ def links_in_groups(rows: DataFrame, sets: DataFrame, threshold: float) -> DataF
     """Links (a, b) inside the groups of (g, id, label, asks): groups are bounded, and come one after the other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+        group: list[tuple] = []
 
         def told() -> list[tuple[int, int]]:
-            ids, labels, asks = (np.array([h[k] for h in held]) for k in (1, 2, 3))
-            return links_of_group(ids, labels, asks, [unpacked(h[4]) for h in held], threshold)
+            ids, labels, asks = (np.array([h[k] for h in group]) for k in (1, 2, 3))
+            return links_of_group(ids, labels, asks, [unpacked(h[4]) for h in group], threshold)
 
         for batch in batches:
             out: list[tuple[int, int]] = []
             for row in batch.itertuples(index=False, name=None):
-                if held and row[0] != held[0][0]:
+                if group and row[0] != group[0][0]:
                     out += told()
-                    held.clear()
-                held.append(row)
+                    group.clear()
+                group.append(row)
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
-        if held:
+        if group:
             yield pd.DataFrame(told(), columns=["a", "b"])
         give_back()
 
@@ -277,7 +277,7 @@ def star_groups(rows: DataFrame) -> DataFrame:
     degree = rows.groupBy("id").agg(F.sum("n").alias("degree"))
     stars = rows.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("back"))).alias("top"))
     stars = stars.select("key", (-F.col("top.back")).alias("star"))
-    pairs = stored(rows.join(stars, "key").where("id <> star").select("star", "id").distinct())
+    pairs = held(rows.join(stars, "key").where("id <> star").select("star", "id").distinct())
     counts = pairs.groupBy("star").agg(F.count(F.lit(1)).alias("m"))
     blocks = F.floor(F.col("m") / BLOCK) + 1
     members = pairs.join(counts, "star").select(F.xxhash64("star", _block("id", blocks)).alias("g"), "star", "id")
@@ -309,25 +309,25 @@ def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     keyed = stored(band_table(docs, 0))
     rows = keyed.select("id", F.explode("keys").alias("key"))
     met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = stored(rows.join(small_side(stored(met)), "key"))
-    ids = stored(rows.select("id").distinct())
+    rows = stored(rows.join(small_side(held(met)), "key"))
+    ids = held(rows.select("id").distinct())
     sets = stored(set_table(docs.join(small_side(ids), "id")))
     links: list[DataFrame] = []
     for level in range(LEVELS):
-        links.append(stored(links_in_groups(star_groups(rows), sets, threshold)))
+        links.append(held(links_in_groups(star_groups(rows), sets, threshold)))
         labels = components(linked(links))
         # Buckets whose members are not all in one class; of those with the same members one is enough.
         marked = rows.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
         left = marked.groupBy("key").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("all"),
         ).where("low < high")
-        left = stored(left.groupBy("c", "all").agg(F.min("key").alias("key")).select("key"))
+        left = held(left.groupBy("c", "all").agg(F.min("key").alias("key")).select("key"))
         if not left.limit(1).count():
             break
-        mixed_rows = stored(marked.join(small_side(left), "key"))
+        mixed_rows = held(marked.join(small_side(left), "key"))
         last = level == LEVELS - 1
         few = mixed_rows if last else mixed_rows.where(F.col("n") <= LARGE)
-        links.append(stored(links_in_groups(mixed_groups(few), sets, threshold)))
+        links.append(held(links_in_groups(mixed_groups(few), sets, threshold)))
         many = mixed_rows.where(F.col("n") > LARGE).select("key", "id")
         again = many.select("id").distinct()
         if last or not many.limit(1).count():
@@ -366,7 +366,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     found = members.withColumn("node", node(F.col("rep"), F.col("text")))
     found = found.join(small_side(labels.select(F.col("id").alias("node"), "label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct("id", "text")).alias("top"))
-    return found.join(small_side(stored(sizes.where("class_size > 1"))), "label", "left")
+    return found.join(small_side(held(sizes.where("class_size > 1"))), "label", "left")
 
 
 def _id(id_col: str):
@@ -402,4 +402,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at, of = free_name(docs, "_class_id"), free_name(docs, "_class_text")
     dropped = classes(docs, id_col, text_col, threshold).where(~_kept()).select(F.col("id").alias(at), F.col("text").alias(of))
     text = F.xxhash64(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    return docs.join(small_side(stored(dropped.distinct())), (_id(id_col) == F.col(at)) & (text == F.col(of)), "left_anti")
+    return docs.join(small_side(held(dropped.distinct())), (_id(id_col) == F.col(at)) & (text == F.col(of)), "left_anti")

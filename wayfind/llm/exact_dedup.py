@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import free_name, give_back, small_side, stored
+from wayfind.llm.common import free_name, give_back, held, small_side
 
 SHARD_ROWS = 500_000
 FLUSH_ROWS = 2_000_000
@@ -92,11 +92,11 @@ def repeated_fingerprints(prints: DataFrame, rows: int, quotient_bits: int = 20)
     shard_bits = min(quotient_bits, max(4, math.ceil(math.log2(max(1, rows / SHARD_ROWS))) + 1))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        kept: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                whole = CountingQuotientFilter.of(np.concatenate(held), quotient_bits)
+            if kept:
+                whole = CountingQuotientFilter.of(np.concatenate(kept), quotient_bits)
                 width = 1 << (quotient_bits - shard_bits)
                 out = []
                 for k in range(1 << shard_bits):
@@ -107,11 +107,11 @@ def repeated_fingerprints(prints: DataFrame, rows: int, quotient_bits: int = 20)
                     [pa.array(column, kind) for column, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))],
                     names=["shard", "slots", "runs", "remainders", "counts"],
                 )
-                held.clear()
+                kept.clear()
 
         for batch in batches:
-            held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            if sum(map(len, held)) >= FLUSH_ROWS:
+            kept.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            if sum(map(len, kept)) >= FLUSH_ROWS:
                 yield from flush()
         yield from flush()
         give_back()
@@ -152,7 +152,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     prints = base.select(F.xxhash64("body").alias("print"))
-    suspects = stored(repeated_fingerprints(prints, prints.count()).select("print"))
+    suspects = held(repeated_fingerprints(prints, prints.count()).select("print"))
     hashed = base.select("id", F.xxhash64("body").alias("print"), F.sha2("body", 256).alias("sha"))
     # Byte verification: the grouping key is the text itself, combined before the shuffle.
     groups = (
@@ -162,7 +162,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("print", F.sha2("body", 256).alias("sha"), "keep_id", "group_size")
     )
-    joined = hashed.join(small_side(stored(groups)), ["print", "sha"], "left")
+    joined = hashed.join(small_side(held(groups)), ["print", "sha"], "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
@@ -182,7 +182,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     flag, at = free_name(docs, "_kept"), free_name(docs, "_print")
     body = F.coalesce(F.col(text_col), F.lit(""))
-    suspects = stored(repeated_fingerprints(docs.select(F.xxhash64(body).alias("print")), docs.count()))
+    suspects = held(repeated_fingerprints(docs.select(F.xxhash64(body).alias("print")), docs.count()))
     suspects = suspects.select(F.col("print").alias(at), F.lit(True).alias(flag))
     marked = docs.withColumn(at, F.xxhash64(body)).join(small_side(suspects), at, "left")
     alone = marked.where(F.col(flag).isNull()).drop(at, flag)

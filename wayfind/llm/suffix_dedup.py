@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import give_back, mixed, slices, small_side, stored
+from wayfind.llm.common import give_back, held, mixed, slices, small_side, stored
 
 LENGTH = 50
 GRAM = 24
@@ -209,11 +209,11 @@ def repeats(docs: DataFrame, entries, shard_bits: int, keep_ends: bool) -> DataF
     """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[Run] = []
+        runs: list[Run] = []
 
         def flush() -> Iterator[pd.DataFrame]:
-            run, again_doc, again_name = first_of_each(tuple(np.concatenate(x) for x in zip(*held)))
-            held.clear()
+            run, again_doc, again_name = first_of_each(tuple(np.concatenate(x) for x in zip(*runs)))
+            runs.clear()
             shard = (mixed(run[1]) >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(run[0]), np.int64)
             order = np.argsort(shard, kind="stable")
             cut = np.searchsorted(shard[order], np.arange((1 << shard_bits) + 1))
@@ -232,10 +232,10 @@ def repeats(docs: DataFrame, entries, shard_bits: int, keep_ends: bool) -> DataF
 
         for batch in batches:
             for run in entries(batch):
-                held.append(run)
-                if sum(len(r[0]) for r in held) >= FLUSH:
+                runs.append(run)
+                if sum(len(r[0]) for r in runs) >= FLUSH:
                     yield from flush()
-        if held:
+        if runs:
             yield from flush()
         give_back()
 
@@ -347,7 +347,7 @@ def _cut_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     long = F.octet_length("body") >= LENGTH
     total = base.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     sha = F.unhex(F.sha2("body", 256))
-    shared = stored(
+    shared = held(
         base.where(long).select(sha.alias("sha"), "id").groupBy("sha").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("sha", "lead")
     )
@@ -360,7 +360,7 @@ def _cut_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = stored(repeats(own.where(long).select("id", "body"), all_stretches, bits(total * 0.075), True))
     ends = found.where("kind = 1").groupBy(F.col("doc").alias("id")).agg(F.collect_list("names").alias("ends"))
     number = found.where("kind = 1").agg(F.sum(F.octet_length("names"))).first()[0] or 0
-    ids = stored(found.where("kind = 1").select(F.col("doc").alias("id")).distinct())
+    ids = held(found.where("kind = 1").select(F.col("doc").alias("id")).distinct())
     ended = own.where(long).select("id", "body").join(small_side(ids), "id", "left_semi").join(ends, "id")
     strings = stored(repeats(ended, strings_of_ends, bits(number / 8 * PLACES / 2), False))
     names = found.where("kind = 0").select("doc", "names", F.lit(0).alias("kind")).unionByName(strings.select("doc", "names", F.lit(1).alias("kind")))
@@ -368,7 +368,7 @@ def _cut_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.collect_list(F.when(F.col("kind") == 0, F.col("names"))).alias("whole"),
         F.collect_list(F.when(F.col("kind") == 1, F.col("names"))).alias("single"),
     )
-    touched = small_side(stored(names.select(F.col("doc").alias("id")).distinct()))
+    touched = small_side(held(names.select(F.col("doc").alias("id")).distinct()))
 
     @F.pandas_udf(CUT)
     def cut(bodies: pd.Series, whole: pd.Series, single: pd.Series) -> pd.DataFrame:
