@@ -36,8 +36,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, packed into sequences of 2048 tokens; workers that ran other stages remember fewer words."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=250_000)
+    """Pieces of what is left, packed into sequences of 2048 tokens; workers that run all stages don't keep the tokenizer."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=False)
 
 
 STAGES = [

@@ -153,7 +153,7 @@ def band_table(docs: DataFrame, seed: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["body"].tolist()
-            for a, b in slices(map(len, texts), 2_000_000, 500):
+            for a, b in slices(map(len, texts), 500_000, 200):
                 signed = signatures(texts[a:b], K, seed)
                 full = signed.any(axis=1)
                 yield pd.DataFrame({"id": batch["id"].to_numpy()[a:b][full], "keys": list(bands(signed[full]))})
@@ -178,7 +178,9 @@ def set_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "packed": [packed(numbered(t)) for t in batch["body"]]})
+            for a in range(0, len(batch), 1_000):
+                part = batch.iloc[a:a + 1_000]
+                yield pd.DataFrame({"id": part["id"], "packed": [packed(numbered(t)) for t in part["body"]]})
         give_back()
 
     return docs.mapInPandas(run, "id bigint, packed binary")

@@ -39,7 +39,7 @@ PLACES = LENGTH - GRAM + 1
 HALF = (LENGTH - GRAM) // 2
 FLUSH = 500_000
 SHARD_STRETCHES = 1_500_000
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 300_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _M[0])
@@ -287,9 +287,9 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _cut(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    raw = [t.encode() for t in batch["body"]]
-    for a, b in slices(map(len, raw), SLICE_BYTES, 20_000):
-        yield batch.iloc[a:b], raw[a:b]
+    for a, b in slices(map(len, batch["body"]), SLICE_BYTES, 20_000):
+        part = batch.iloc[a:b]
+        yield part, [t.encode() for t in part["body"]]
 
 
 def all_stretches(batch: pd.DataFrame) -> Iterator[Run]:
