@@ -109,6 +109,25 @@ def test_spaced_words_are_restored(channel):
     assert channel.restore_spaced("a plain text") == []
 
 
+@pytest.mark.parametrize("hidden,meant", [
+    ("mooron", "moron"), ("sstupid", "stupid"), ("clownn", "clown"), ("$tupid", "stupid"), ("!diot", "idiot"),
+    ("the_fine_day_and_the_moron_saw_" * 5 + "clown", "moron"), ("the.fine.day.and.the.tr@sh." * 4 + "day", "trash"),
+    ("mo" + "o" * 90 + "ron", "moron"),
+])
+def test_doubled_outer_and_long_words_are_restored(channel, hidden, meant):
+    assert meant in channel.restore_word(hidden).split()
+
+
+@pytest.mark.parametrize("text", ["t r @ s h", "t  r  a  s  h", "so t\tr\na s h.", "t * r * a * s * h", "t r 4 $ h", "t-r-@-s-h!"])
+def test_spaced_signs_of_every_kind_are_restored(channel, text):
+    assert any("trash" in s.split() for s in channel.restore_spaced(text))
+
+
+def test_long_runs_of_single_signs_take_linear_time(channel):
+    assert channel.restore_spaced("a.* " * 20_000 + "b-cd")
+    assert len(channel.restore_word("1@*" * 5_000)) > 0
+
+
 def test_hidden_toxic_words_count(spark):
     plain = [(k, f"{prose(20, k)} moron {prose(10, k + 500)}") for k in range(30)] + [(k, prose(30, k)) for k in range(30, 90)]
     docs = spark.createDataFrame([*plain, (100, f"{prose(10, 7)} m0r0n x"), (101, prose(10, 7) + " m o r o n x"), (102, prose(12, 7))], "doc_id bigint, text string")

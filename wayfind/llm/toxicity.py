@@ -38,8 +38,16 @@ LOOKALIKES = {
 SAME, SWAPPED, REPEATED, SPACED, MEANT, LITERAL = -0.02, -2.5, -2.0, -2.0, -4.0, -6.0
 
 OUTER = " \t\r\n.,;:?!\"'()[]{}<>%&*$#|~^=/\\-_`"
-SINGLES = re.compile(r"(?<!\S)[^\W_](?:(?:[ .\-_*]|\.\s)[^\W_](?![^\W_])){2,}(?:[.,!?;:]*)(?!\S)")
-GAPS = re.compile(r"[ .\-_*]+")
+EDGE = "".join(c for c in OUTER if c not in LOOKALIKES)
+DOUBLED, TRIPLED = re.compile(r"(.)\1", re.S), re.compile(r"(.)\1\1", re.S)
+# Single letters, digits and look-alikes with white space or one separator between them; a star by itself is a sign, beside one a separator.
+_STAR = r"(?<![^\s.\-_])\*(?![^\s.\-_])"
+_SIGNS = r"[^\W_]|[" + re.escape("".join(c for c in LOOKALIKES if not c.isalnum() and c != "*")) + "]"
+_SIGN = rf"(?:{_SIGNS}|{_STAR})"
+_BETWEEN = rf"(?:\s*(?:[.\-_]|(?!{_STAR})\*)\s*|\s+)"
+SINGLES = re.compile(rf"(?<!\S){_SIGN}(?:{_BETWEEN}{_SIGN}(?!(?![!¡]){_SIGN})){{2,}}(?:[.,!?;:]*)(?!\S)")
+GAPS = re.compile(r"[\s.\-_*]+")
+UNDECIDED = 1_024  # signs after which the best path so far is taken, if no two plain letters decided it before
 
 
 def symbol(char: str) -> int:
@@ -98,12 +106,11 @@ class Channel:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
 
-    def lattice(self, signs: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    def lattice(self, signs: str, spaced: bool = False) -> Iterator[list[tuple[str, float]]]:
         """For each sign what it may stand for: a letter, "" (nothing) or " " (a gap), with its cost.
 
         Between ``spaced`` single signs a gap is more likely put in than meant.
         """
-        out: list[list[tuple[str, float]]] = []
         for k, sign in enumerate(signs):
             arcs = []
             if sign.isalpha():
@@ -116,14 +123,14 @@ class Channel:
                     arcs.append(("", SAME if spaced else SPACED))
             if k and sign == signs[k - 1]:
                 arcs.append(("", REPEATED / 4 if k > 1 and sign == signs[k - 2] else REPEATED))
-            out.append(arcs)
-        return out
+            yield arcs
 
     def decode(self, signs: str, spaced: bool = False) -> str:
         """The most likely text behind ``signs`` (lower case), by Viterbi over the last two symbols."""
-        model = self.model
+        model, out = self.model, []
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(GAP, GAP): (0.0, None)}
-        for arcs in self.lattice(signs, spaced):
+        decided = 0
+        for k, arcs in enumerate(self.lattice(signs, spaced)):
             reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in best.items():
                 for letter, price in arcs:
@@ -135,36 +142,43 @@ class Channel:
                     if state not in reached or total > reached[state][0]:
                         reached[state] = (total, way)
             best = reached
+            if k - decided >= UNDECIDED:
+                best = dict([max(best.items(), key=lambda x: (x[1][0], x[0]))])
+            if len(best) == 1:  # all paths run through this state: what is before it is decided
+                [(state, (total, path))] = best.items()
+                out += _letters(path)
+                best, decided = {state: (total, None)}, k
         (a, b), (_, path) = max(best.items(), key=lambda x: (x[1][0] + model[x[0][0]][x[0][1]][GAP], x[0]))
-        out = []
-        while path is not None:
-            letter, path = path
-            out.append(letter)
-        return "".join(reversed(out))
+        return "".join(out + _letters(path))
 
     def restore_word(self, word: str) -> str:
-        """One white-space word: plain ones as they are, lower case and without outer signs."""
+        """One white-space word of any length: plain ones as they are, lower case and without outer signs.
+
+        Doubled letters, numbers and outer look-alikes may also be meant as
+        written, so that both readings are given.
+        """
         low = word.lower()
-        core = low.strip(OUTER)
-        if core.isalpha() and not _tripled(core):
-            return core
-        lead = low.lstrip(" .,;:?\"'()[]{}<>%&#~^=/\\-_`")
-        whole = lead.rstrip(" .,;:?\"'()[]{}<>%&#~^=/\\-_`") if any(s in LOOKALIKES for s in (lead[:1], lead[-1:])) and len(core) < len(lead) <= len(core) + 2 else core
-        letters = sum(c.isalpha() for c in whole)
-        if not letters or len(whole) > 64 or len(whole) < 3:
-            return core
-        if whole != core and not any(c in LOOKALIKES for c in core):  # an outer sign alone is punctuation first
-            a, b = self.decode(core) if not core.isalpha() or _tripled(core) else core, self.decode(whole)
-            return f"{a} {b}"
-        return self.decode(whole)
+        core, whole = low.strip(OUTER), low.strip(EDGE)
+        found = [core]
+        if core and (not core.isalpha() or DOUBLED.search(core)):
+            literal = core.isalpha() and not TRIPLED.search(core) or not any(map(str.isalpha, core))
+            found = [core, self.decode(core)] if literal else [self.decode(core)]
+        if whole != core:
+            found.append(self.decode(whole))
+        return " ".join(dict.fromkeys(found))
 
     def restore_spaced(self, text: str) -> list[str]:
-        """What runs of single signs may spell together."""
-        return [self.decode(run.group().lower().strip(OUTER), True) for run in SINGLES.finditer(text)]
+        """What runs of single signs may spell together, also with their outer look-alikes as letters."""
+        runs = [run.group().lower() for run in SINGLES.finditer(text)]
+        return [self.decode(r, True) for run in runs for r in dict.fromkeys([run.strip(OUTER), run.strip(EDGE)])]
 
 
-def _tripled(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+def _letters(path: tuple | None) -> list[str]:
+    out = []
+    while path is not None:
+        letter, path = path
+        out.append(letter)
+    return out[::-1]
 
 
 def features(restored: str) -> list[int]:
