@@ -255,6 +255,24 @@ def test_likeness_falls_with_edits_and_with_moves(spark):
     assert near[4] < near[3] < 1.0  # the same words in another order
 
 
+@pytest.mark.parametrize("before,after", [
+    ("kan lora miti tes shalem ond kavo lon", "kan lora miti tes shalem rud tera"),  # eight words, and seven
+    (prose(9, 11), " ".join(prose(9, 11).split()[:5] + prose(4, 12).split())),
+    ("今日は天気がいいので散歩に行きました。", "今日は天気がいいので家で本を読みます。"),
+    ("日本語 " * 9 + "今日は天気がいい", "日本語 " * 6 + "今日は天気がいい"),
+    ("abcdef", "abcdez"),
+])
+def test_short_and_unspaced_texts_share_runs(spark, before, after):
+    one = spark.createDataFrame([(before, after)], "a string, b string")
+    both = fingerprints.with_fingerprint(fingerprints.with_fingerprint(one, F.col("a"), "f"), F.col("b"), "g")
+    assert 0.0 < both.select(fingerprints.likeness(F.col("f"), F.col("g"))).first()[0] < 1.0
+
+
+def test_runs_take_whole_code_points(spark):
+    one = spark.createDataFrame([("\U0001f600é\n" * 20,), ("",), ("x",)], "t string")
+    assert [len(r[0]) for r in one.select(fingerprints.runs(F.col("t"))).collect()] == [60, 1, 1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab é", max_size=130), max_size=6))
 def test_stretches_cover_every_string_once(texts):

@@ -1,8 +1,8 @@
 """Order MinHash fingerprints, in SQL functions only.
 
-The tokens of a text are its words (its characters where it has few words).
-Runs of ``K`` tokens are numbered by occurrence, so that each is distinct, and
-hashed with that number.  Each of ``M`` permutations selects the ``L`` smallest;
+The runs of a text are the ``K`` characters up to each of its characters (fewer
+at its start), at every size and in every script.  They are numbered by
+occurrence, so that each is distinct, and hashed with that number.  Each of ``M`` permutations selects the ``L`` smallest;
 these are put back into their order in the text and hashed as a tuple.  Two
 fingerprints are alike in the share of equal tuples, which falls both when the
 content and when its order changes, as edit distance does.
@@ -18,26 +18,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 5
+K = 10
 L = 2
 M = 32  # a power of two
-FEW_WORDS = 8
+NEAR = 64
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
 TASK_ROWS = 4_000
 
 
-def tokens(text: Column) -> Column:
-    words = F.split(F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")), " ")
-    return F.when(F.size(words) >= FEW_WORDS, words).otherwise(F.split(text, ""))
-
-
-def runs(found: Column, k: int = K) -> Column:
-    """Hashes of the runs of ``k`` tokens in text order; a shorter text is one run."""
-    last = F.size(found) - k
-    return F.when(last < 0, F.array(F.xxhash64(F.array_join(found, "\x01")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(found, i + j) for j in range(k)]))
-    )
+def runs(text: Column, k: int = K) -> Column:
+    """Hashes of the ``k`` characters up to each one, in text order; an empty text has one empty run."""
+    padded = F.concat(F.lit("\x01" * (k - 1)), text)
+    found = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))  # takes one code point at a time
+    return F.transform(F.when(text == "", F.array(F.lit(""))).otherwise(found), lambda x: F.xxhash64(x))
 
 
 def _packed(value: Column, place: Column) -> Column:
@@ -48,43 +42,40 @@ def _packed(value: Column, place: Column) -> Column:
 def with_fingerprint(df: DataFrame, text: Column, name: str, k: int = K, l: int = L, m: int = M) -> DataFrame:  # noqa: E741
     """Add ``name``: an array of ``m`` tuple hashes, null for a null text.
 
-    Places beyond 16.7 million tokens wrap, which only changes the order in
+    Places beyond 16.7 million characters wrap, which only changes the order in
     which such runs are hashed.
     """
-    t, r, s, b, u, w = (f"_{name}_{x}" for x in "trsbuw")
-    df = df.withColumn(t, tokens(text)).withColumn(r, runs(F.col(t), k))
+    r, s, d, b, e, u, w, o = (f"_{name}_{x}" for x in "rsdbeuwo")
+    part = (1 << 64) // m  # of all hashes, from one start to the next
+    df = df.withColumn(r, runs(text, k))
     df = df.withColumn(s, F.sort_array(F.transform(F.col(r), lambda x, i: _packed(x, i.cast("bigint")))))
     n = F.size(s)
-    # where a new run starts in the sorted order, and the end; left out where no run repeats
-    heads = F.concat(
-        F.filter(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: (i == 0) | (F.shiftright(F.get(F.col(s), i), PLACE_BITS) != F.shiftright(F.get(F.col(s), i - 1), PLACE_BITS)),
-        ),
-        F.array(n),
-    )
-    df = df.withColumn(b, F.when(F.size(F.array_distinct(F.col(r))) < n, heads))
-    numbers = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size(b) - 2),
-        lambda j: F.sequence(F.lit(0), F.get(F.col(b), j + 1) - F.get(F.col(b), j) - 1),
-    ))
+    # Only the first hashes after a start are ever looked at: of many, those near one are kept, some NEAR after each
+    # start. That one of them has fewer than two has a chance of 1e-25.
+    df = df.withColumn(e, F.when(n <= m * NEAR, F.lit(part)).otherwise((F.lit(float(part * m * NEAR)) / n).cast("bigint")))
+    near = lambda v: v.bitwiseAND(F.lit(part - 1)) < F.col(e)
+    run = lambda v: F.shiftright(v, PLACE_BITS)
+    # runs that were there before, and where each new one of these starts, and the end
+    df = df.withColumn(d, F.filter(F.col(s), lambda v, i: (i > 0) & (run(F.get(F.col(s), i - 1)) == run(v))))
+    heads = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda i: (i == 0) | (run(F.get(F.col(d), i)) != run(F.get(F.col(d), i - 1))))
+    df = df.withColumn(b, F.when(F.size(d) > 0, F.concat(heads, F.array(F.size(d)))))
+    numbers = F.flatten(F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda j: F.sequence(F.lit(1), F.get(F.col(b), j + 1) - F.get(F.col(b), j))))
     # one number per (run, occurrence), with its place in the text; the first occurrence keeps the run's hash
-    numbered = F.sort_array(F.zip_with(
-        F.col(s), numbers,
-        lambda v, o: F.when(o == 0, v).otherwise(_packed(F.xxhash64(F.shiftright(v, PLACE_BITS), o), v)),
-    ))
-    df = df.withColumn(u, F.when(F.col(b).isNull(), F.col(s)).otherwise(numbered))
-    starts = [(-1 << 63) + seed * ((1 << 64) // m) for seed in range(m)]
+    again = F.filter(F.zip_with(F.col(d), numbers, lambda v, k: _packed(F.xxhash64(run(v), k), v)), near)
+    first = F.filter(F.col(s), lambda v, i: near(v) & ((i == 0) | (run(F.get(F.col(s), i - 1)) != run(v))))
+    df = df.withColumn(u, F.sort_array(F.when(F.col(b).isNull(), first).otherwise(F.concat(first, again))))
+    n = F.size(u)
+    starts = [(-1 << 63) + seed * part for seed in range(m)]
     with_starts = F.sort_array(F.concat(F.col(u), F.array(*[F.lit(x).cast("bigint") for x in starts])))
-    df = df.withColumn(w, with_starts)
-    around = F.concat(F.col(u), F.slice(F.col(u), 1, l))
+    df = df.withColumn(w, with_starts).withColumn(o, F.concat(F.col(u), F.slice(F.col(u), 1, l)))
     tuples = []
     for seed, start in enumerate(starts):
         below = (F.array_position(F.col(w), F.lit(start).cast("bigint")) - 1 - seed).cast("int")
-        first = F.slice(around, F.when(below >= n, 1).otherwise(below + 1), l)
-        places = F.sort_array(F.transform(first, lambda x: x.bitwiseAND(F.lit(PLACE).cast("bigint"))))
+        at = F.when(below >= n, 0).otherwise(below)
+        found = F.array_compact(F.array(*[F.get(F.col(o), at + j).bitwiseAND(F.lit(PLACE).cast("bigint")) for j in range(l)]))
+        places = F.sort_array(found)
         tuples.append(F.xxhash64(F.transform(places, lambda p: F.get(F.col(r), p.cast("int")))))
-    return df.withColumn(name, F.when(text.isNotNull(), F.array(*tuples))).drop(t, r, s, b, u, w)
+    return df.withColumn(name, F.when(text.isNotNull(), F.array(*tuples))).drop(r, s, d, b, e, u, w, o)
 
 
 def likeness(a: Column, b: Column) -> Column:
