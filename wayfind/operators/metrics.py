@@ -159,23 +159,26 @@ def compare_versions(rows: DataFrame, by: str, version: str, value: Column, old,
 
 
 def top_tokens(queries: DataFrame, func: str, order: str, tokens: Column, shared: DataFrame,
-               first: int = 10, cut: int = 15, keep: int = 8) -> DataFrame:
-    """Frequent tokens of the first queries of each function.
+               first: int | None = None, cut: int | None = None, keep: int | None = None) -> DataFrame:
+    """Frequent tokens of the queries of each function.
 
-    Count over the first ``first`` queries, cut at ``cut`` by count (first seen
-    breaks ties), then drop the shared tokens and keep ``keep``.
+    Count over (the first ``first``) queries, (cut at ``cut``) by count (first seen
+    breaks ties), then drop the shared tokens and keep all (``keep``).
     """
-    rank = F.row_number().over(Window.partitionBy(func).orderBy(order))
-    head = queries.withColumn("_q", rank).where(F.col("_q") <= first)
+    head = queries.withColumn("_q", F.col(order))
+    if first is not None:
+        head = head.withColumn("_q", F.row_number().over(Window.partitionBy(func).orderBy(order))).where(F.col("_q") <= first)
     placed = head.select(func, "_q", F.posexplode(tokens).alias("_pos", "token"))
     counted = placed.groupBy(func, "token").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_q", "_pos")).alias("_seen")
     )
     by_count = Window.partitionBy(func).orderBy(F.desc("n"), "_seen")
-    cut_rows = counted.withColumn("_r", F.row_number().over(by_count)).where(F.col("_r") <= cut)
+    cut_rows = counted.withColumn("_r", F.row_number().over(by_count))
+    cut_rows = cut_rows if cut is None else cut_rows.where(F.col("_r") <= cut)
     left = cut_rows.join(shared.select(func, "token"), [func, "token"], "left_anti")
     again = F.row_number().over(Window.partitionBy(func).orderBy("_r"))
-    return left.withColumn("rank", again).where(F.col("rank") <= keep).select(func, "token", "n", "rank")
+    placed = left.withColumn("rank", again).select(func, "token", "n", "rank")
+    return placed if keep is None else placed.where(F.col("rank") <= keep)
 
 
 def shared_tokens(catalog: DataFrame, cls: str, distinct_tokens: Column) -> DataFrame:

@@ -15,7 +15,6 @@ from wayfind.operators import select as L
 from wayfind.operators.scale import Ordered, hold_if_small, join_lookup
 
 LONG_TURN = 4_096
-PATTERN_VARIANTS = 9
 
 
 def mine_queries(queries: DataFrame, calls: DataFrame, turn: Sequence[str], call: str) -> DataFrame:
@@ -54,18 +53,20 @@ def _words(*parts: Column) -> Column:
     return F.concat(*[p if i == 0 else F.concat(F.lit(" "), p) for i, p in enumerate(parts)])
 
 
-def exemplars(catalog: DataFrame, mined: DataFrame, order: str, fallback: int | None = None, params: int | None = None) -> DataFrame:
+def exemplars(catalog: DataFrame, mined: DataFrame, order: str, fallback: int | None = None, params: int | None = None,
+              top: Sequence[int | None] = (None, None, None)) -> DataFrame:
     """Three exemplars per function.
 
     ``catalog(cls, func, action, target, name_tokens, tokens, param_tokens,
     class_words)``, ``mined(func, query, order)``.  Variant 1 repeats the differing
     words, variant 2 name and differing words, variant 3 the frequent words of
-    mined queries or, without any, (the first ``params``) parameter words.
+    mined queries or, without any, (the first ``params``) parameter words.  ``top``
+    holds the limits of :func:`metrics.top_tokens`.
     """
     df = differing_words(catalog, "cls", "tokens", fallback)
     shared = df.select("func", F.explode(F.coalesce("_shared", F.array().cast("array<string>"))).alias("token"))
-    top = M.top_tokens(mined, "func", order, X.tokenize(F.col("query")), shared)
-    per_func = top.groupBy("func").agg(
+    frequent = M.top_tokens(mined, "func", order, X.tokenize(F.col("query")), shared, *top)
+    per_func = frequent.groupBy("func").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda r: r["token"]).alias("_mined")
     )
     df = df.join(per_func, "func", "left")
@@ -139,12 +140,12 @@ def pattern_words(pattern: Column) -> Column:
     return F.when(pattern == L.EMPTY_PATTERN, "none").otherwise(X.bag(words))
 
 
-def pattern_exemplars(turns: DataFrame, order: str, votes: DataFrame, variants: int = PATTERN_VARIANTS) -> DataFrame:
+def pattern_exemplars(turns: DataFrame, order: str, votes: DataFrame, variants: int | None = None) -> DataFrame:
     """Exemplars of every pattern.
 
     ``turns(pattern, query, order, action, target, domain)``.  Variant 1 describes
-    the first query, variant 2 the functions, variants from 3 on the first
-    distinct queries.  ``votes(pattern, domain)`` holds the voted domain.
+    the first query, variant 2 the functions, variants from 3 on all
+    (the first ``variants``) distinct queries.  ``votes(pattern, domain)`` holds the voted domain.
     """
     valid = turns.where(F.length(F.trim("query")) > 0)
     firsts = valid.groupBy("pattern").agg(F.min_by(F.struct("query", "action", "target"), order).alias("f"))
@@ -173,7 +174,8 @@ def pattern_exemplars(turns: DataFrame, order: str, votes: DataFrame, variants:
         F.min_by(F.struct("query", "action", "target", "domain"), order).alias("q"), F.min(order).alias("candidate_order")
     ).select("pattern", "candidate_order", "q.query", "q.action", "q.target", "q.domain")
     ranked = distinct.withColumn("score", F.lit(0.0)).withColumnRenamed("pattern", "_p")
-    kept = L.top_k(ranked, variants, "_p", "candidate_order").withColumnRenamed("_p", "pattern")
+    placed = ranked.withColumn("rank", F.row_number().over(L.by_score("_p", "candidate_order")))
+    kept = (placed if variants is None else placed.where(F.col("rank") <= variants)).withColumnRenamed("_p", "pattern")
     return described(base, F.lit(1)).unionByName(second).unionByName(described(kept, F.col("rank") + 2))
 
 

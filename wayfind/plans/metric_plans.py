@@ -150,6 +150,19 @@ lft AS (SELECT cls, token, n, row_number() OVER (PARTITION BY cls ORDER BY r) AS
 SELECT * FROM lft WHERE rank <= 8
 """)
 def g10(t):
+    docs = document_class(t)
+    shared = M.shared_tokens(docs, "cls", F.array_distinct("t"))
+    return M.top_tokens(docs, "cls", "doc_id", F.col("t"), shared, first=10, cut=15, keep=8)
+
+
+@query("g10_top_tokens_all", f"""
+WITH tk AS (SELECT source || '/' || lang AS cls, doc_id, {Q.tokenize('text')} AS t FROM documents),
+shared AS (SELECT cls, token FROM (SELECT cls, unnest(list_distinct(t)) AS token FROM tk) JOIN (SELECT cls, count(*) AS size FROM tk GROUP BY cls) USING (cls) GROUP BY cls, token, size HAVING count(*) = size AND size > 1),
+pos AS (SELECT cls, doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM tk),
+cnt AS (SELECT cls, token, count(*) AS n, min((doc_id, i)) AS seen FROM pos GROUP BY ALL)
+SELECT cls, token, n, row_number() OVER (PARTITION BY cls ORDER BY n DESC, seen) AS rank FROM cnt ANTI JOIN shared USING (cls, token)
+""")
+def g10_all(t):
     docs = document_class(t)
     shared = M.shared_tokens(docs, "cls", F.array_distinct("t"))
     return M.top_tokens(docs, "cls", "doc_id", F.col("t"), shared)

@@ -118,7 +118,7 @@ SELECT cls AS class_name, cls || '.' || func AS function_name, func AS raw_name,
 FROM ds LEFT JOIN dn USING (func), (VALUES (1), (2), (3)) x(v)
 """)
 def b03(t):
-    return B.exemplars(document_catalog(t), document_queries(t), "ord")
+    return B.exemplars(document_catalog(t), document_queries(t), "ord", top=(10, 15, 8))
 
 
 @query("b04_test_pairs", f"""
@@ -169,10 +169,15 @@ def b06(t):
     return pattern_exemplars(t)
 
 
-def pattern_exemplars(t):
+@query("b06_pattern_exemplars_all", f"WITH {TURNS}, {_pattern_sql().replace(' WHERE r <= 9', '')} SELECT * FROM ex")
+def b06_all(t):
+    return pattern_exemplars(t, None)
+
+
+def pattern_exemplars(t, variants=9):
     turns = patterned(t)
     votes = M.vote(turns.select("pattern", "domain", (F.col("user_id") * 100_000 + F.col("day")).alias("o")), "pattern", "domain", "o")
-    return B.pattern_exemplars(turns, "ord", votes)
+    return B.pattern_exemplars(turns, "ord", votes, variants)
 
 
 @query("b07_pattern_tests", f"WITH {TURNS} SELECT query, pattern AS expected, 'c' || (user_id % 4) AS category, 'u' || user_id AS entry_id, day AS turn_idx FROM pt")
