@@ -160,6 +160,18 @@ def test_long_conversations_are_ordered_in_spans(spark, monkeypatch):
     assert all(place[c[1]] > place[d] for c in calls for d in c[5] or [])
 
 
+def test_repeated_results_keep_a_row_each(spark):
+    results = [(1, "a", "y", "n"), (1, "a", "x", "n"), (1, "a", "x", "n"), (1, "a", None, "n"), (1, "z", "v", "n"), (1, "z", "w", "n"), (1, None, "s", "n"), (1, None, "t", "n")]
+    calls = spark.createDataFrame([(1, "a", 0, "g", "{}", None, "own", "own")], CALLS)
+    results = spark.createDataFrame(results, "conv bigint, id string, content string, name string")
+    schemas = spark.createDataFrame(SCHEMAS, "name string, param string, type string, required boolean")
+    rows = collected(tool_calls.linked_calls(calls, results, schemas, every_result=True))
+    found = sorted((str(r["id"]), str(json.loads(r["message"])["result"]), r["ordinal"], r["valid"], r["errors"]) for r in rows)
+    assert [f[:2] for f in found] == [("None", "s"), ("None", "t"), ("a", "None"), ("a", "x"), ("a", "x"), ("a", "y"), ("z", "v"), ("z", "w")]
+    assert [f[4] for f in found if f[0] != "a"] == [["no call"], ["no call"], ["no call"], ["repeated result"]]
+    assert sorted(f[4] for f in found if f[0] == "a") == [[], *[["repeated result"]] * 3] and sum(f[3] for f in found) == 1
+
+
 def test_no_calls_at_all(spark):
     turns = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert tool_calls.linked_calls(*tool_calls.calls_of_conversations(turns)).count() == 0

@@ -62,7 +62,7 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     turns = spark.read.parquet(f"{folder.rstrip('/')}/conversations.parquet")
-    linked = tool_calls.linked_calls(*tool_calls.calls_of_conversations(turns))
+    linked = tool_calls.linked_calls(*tool_calls.calls_of_conversations(turns), every_result=True)
     return linked.select(F.col("conv").alias("conv_id"), F.col("id").alias("call_id"), "ordinal", "valid", F.size("errors").cast("bigint").alias("n_errors"), "message")
 
 

@@ -115,17 +115,19 @@ def with_ordinal(df: DataFrame) -> DataFrame:
     return left.join(spans, same).select(*[left[c] for c in df.columns if c != "_span"], (F.col("_skip") + F.col("_rank")).cast("bigint").alias("ordinal"))
 
 
-def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, every_result: bool = False) -> DataFrame:
     """One row per call: conv, id, ``ordinal``, ``valid``, ``errors`` and ``message``; then results without a call.
 
     ``calls``: conv, id, pos, name, arguments (JSON text), after (ids it depends
     on).  ``results``: conv, id, content.  Other columns are left out.  Of
-    several results with one id the least content is taken.  Repeated calls keep
-    a row each, with the error ``repeated id``.  Null conversations are one
+    several results with one id the least content is linked; the others keep a
+    row each if ``every_result``, with the error ``repeated result``.  Repeated calls keep a row
+    each, with the error ``repeated id``.  Null conversations are one
     conversation.  A call without id is never linked (``no id``) and has the
     place of its position.  A result without a call has a null ordinal and the
-    error ``no call``.  Dependencies on unknown ids, on the call itself or
-    around a cycle are errors and don't order.
+    error ``no call``, and so has each result without id if
+    ``every_result``.  Dependencies on
+    unknown ids, on the call itself or around a cycle are errors and don't order.
     """
     conv = F.coalesce(F.col("conv").cast("string"), F.lit(""))
     calls = calls.select(
@@ -134,6 +136,12 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
     )
     given = results.select(F.col("conv").alias("_conv2"), conv.alias("conv"), F.col("id").cast("string").alias("id"), "content")
     answers = given.groupBy("conv", "id").agg(F.first("_conv2").alias("_conv2"), F.min("content").alias("content")).withColumn("answered", F.lit(True))
+    # what is left of equal ids: all results but one copy of the linked content
+    counted = given.groupBy("conv", "id", "content").agg(F.first("_conv2").alias("_conv2"), F.count(F.lit(1)).alias("n"))
+    low = answers.select(F.col("conv").alias("_c"), F.col("id").alias("_i"), F.col("content").alias("_low"))
+    counted = counted.join(low, F.col("conv").eqNullSafe(F.col("_c")) & F.col("id").eqNullSafe(F.col("_i")))
+    spare = F.col("n") - F.col("content").eqNullSafe(F.col("_low")).cast("int")
+    again = counted.where(spare > 0).select("conv", "id", "_conv2", "content", F.explode(F.sequence(F.lit(1).cast("bigint"), spare)).alias("_copy")).drop("_copy")
     keys, cyclic = topological_keys(calls.where("id is not null"))
     known = calls.where("id is not null").groupBy("conv", "id").agg(F.count(F.lit(1)).alias("copies"))
     checked = with_errors(calls, schemas)
@@ -156,6 +164,8 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
     df = with_ordinal(df.select("_conv", "conv", "id", "pos", "name", "arguments", "at", "hops", "errors"))
     both = df.withColumn("called", F.lit(True)).join(answers, ["conv", "id"], "full")
     both = both.withColumn("errors", F.when(F.col("called").isNull(), F.array(F.lit("no call"))).otherwise(F.col("errors")))
+    again = again.withColumn("errors", F.array(F.when(F.col("id").isNull(), "no call").otherwise("repeated result")))
+    both = both.unionByName(again, allowMissingColumns=True) if every_result else both
     message = F.to_json(F.struct(
         F.coalesce(F.try_parse_json("arguments"), F.try_parse_json(F.lit("null"))).alias("arguments"),
         "errors", "id", "name", F.col("ordinal"), F.col("content").alias("result"),
