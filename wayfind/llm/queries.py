@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm import dart_minhash, exact_dedup, fingerprints, language_id, packing, piece_codec, quality, suffix_dedup, tool_calls, toxicity
+from wayfind.llm import dart_minhash, exact_dedup, fingerprints, language_id, merkle, packing, personal_data, piece_codec, prefix_trie, quality, reference_sql, suffix_dedup, tool_calls, toxicity
 from wayfind.llm.common import fold
 
 
@@ -79,6 +79,31 @@ def op10_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.encoded_digests(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.with_spans(documents(spark, folder).select("doc_id", "text"), "found").drop("text")
+    base = personal_data.base_only(F.col("found"))
+    return found.select(
+        "doc_id", *[personal_data.counted(base, kind).alias(f"n_{kind}") for kind in personal_data.BASE],
+        F.sha2(personal_data.listed(base), 256).alias("base_sha256"), personal_data.listed(F.col("found")).alias("spans"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{folder.rstrip('/')}/conversations.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    # Tampering lower-cases the letters A to Z of some texts.
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaves = docs.select(
+        F.col("source").alias("grp"), F.col("doc_id").alias("ord"), merkle.sealed(*fields).alias("leaf"),
+        F.when(fold(F.col("doc_id"), 5) == 0, merkle.sealed(*fields[:-1], lowered)).alias("changed"),
+    )
+    return merkle.manifest(leaves).withColumnRenamed("ord", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality,
@@ -91,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_packing,
         op10_piece_codec,
+        op11_personal_data,
+        op12_prefix_trie,
+        op13_merkle_manifest,
     )
 }
 
@@ -143,4 +171,6 @@ SQL = {
                 'id', coalesce(c.call_id, a.call_id), 'name', c.name, 'ordinal', c.ordinal, 'result', a.result)::VARCHAR AS message
         FROM checked c FULL JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
     """,
+    "op12_prefix_trie": reference_sql.TRIE,
+    "op13_merkle_manifest": reference_sql.manifest(),
 }
