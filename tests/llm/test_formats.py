@@ -166,7 +166,7 @@ def test_repeated_results_keep_a_row_each(spark):
     results = spark.createDataFrame(results, "conv bigint, id string, content string, name string")
     schemas = spark.createDataFrame(SCHEMAS, "name string, param string, type string, required boolean")
     rows = collected(tool_calls.linked_calls(calls, results, schemas, every_result=True))
-    found = sorted((str(r["id"]), str(json.loads(r["message"])["result"]), r["ordinal"], r["valid"], r["errors"]) for r in rows)
+    found = sorted((str(r["id"]), str(json.loads(r["message"])["result"]), -1 if r["ordinal"] is None else r["ordinal"], r["valid"], r["errors"]) for r in rows)
     assert [f[:2] for f in found] == [("None", "s"), ("None", "t"), ("a", "None"), ("a", "x"), ("a", "x"), ("a", "y"), ("z", "v"), ("z", "w")]
     assert [f[4] for f in found if f[0] != "a"] == [["no call"], ["no call"], ["no call"], ["repeated result"]]
     assert sorted(f[4] for f in found if f[0] == "a") == [[], *[["repeated result"]] * 3] and sum(f[3] for f in found) == 1

@@ -156,6 +156,8 @@ def band_table(docs: DataFrame, seed: int) -> DataFrame:
             for a, b in slices(map(len, texts), 500_000, 200):
                 signed = signatures(texts[a:b], K, seed)
                 full = signed.any(axis=1)
+                if not full.any():
+                    continue  # a slice of texts without a word
                 yield pd.DataFrame({"id": batch["id"].to_numpy()[a:b][full], "keys": list(bands(signed[full]))})
         give_back()
 

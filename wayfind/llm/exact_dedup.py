@@ -181,14 +181,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text one stays.
     """
     flag, at = free_name(docs, "_kept"), free_name(docs, "_print")
-    body = F.coalesce(F.col(text_col), F.lit(""))
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     suspects = held(repeated_fingerprints(docs.select(F.xxhash64(body).alias("print")), docs.count()))
     suspects = suspects.select(F.col("print").alias(at), F.lit(True).alias(flag))
     marked = docs.withColumn(at, F.xxhash64(body)).join(small_side(suspects), at, "left")
     alone = marked.where(F.col(flag).isNull()).drop(at, flag)
-    row = F.struct(*[F.col(c) for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     copies = (
         marked.where(F.col(flag)).groupBy(body.alias("_body"))
-        .agg(F.max_by(row, F.struct(F.col(id_col), F.xxhash64(row))).alias("_row")).select("_row.*")
+        .agg(F.max_by(row, F.struct(F.col(f"`{id_col}`"), F.xxhash64(row))).alias("_row")).select("_row.*")
     )
     return alone.unionByName(copies)

@@ -27,16 +27,17 @@ THRESHOLD = 0.5
 NEAR = 40
 SPANS = "array<struct<kind string, start bigint, end bigint, score double>>"
 
-# Patterns start where a run of their first characters starts and never give characters back, so a
-# long run of digits or letters is read once.
+# Numbers are looked for where a run of digits starts, once per text; patterns never give characters back,
+# so that a long run is read once.
+RUN = re.compile(r"[0-9]+")
 EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 NAME_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
-NATIONAL_ID = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
-LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]{1,2}[0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,2}(?![0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+NATIONAL_ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
+LOCAL_PHONE = re.compile(r"(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]{1,2}[0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,2}(?![0-9])")
 WORD = re.compile(r"[^\W\d_]+")
 
 # Words that stand beside a value, by kind: fixed values in English, German, French and Spanish.
@@ -83,7 +84,10 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
-def emails(text: str) -> Iterator[tuple[int, int]]:
+Found = Iterator[tuple[int, int]]
+
+
+def emails(text: str, runs: list[int]) -> Found:
     at, used = text.find("@"), 0
     while at >= 0:
         start = at
@@ -96,16 +100,25 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", used)
 
 
-def ips(text: str) -> Iterator[tuple[int, int]]:
-    for m in IP.finditer(text):
+def _matches(pattern: re.Pattern, text: str, starts: list[int]) -> Iterator[re.Match]:
+    """Matches at the starts, those inside the one before left out."""
+    used = 0
+    for start in starts:
+        if start >= used and (m := pattern.match(text, start)):
+            used = m.end()
+            yield m
+
+
+def ips(text: str, runs: list[int]) -> Found:
+    for m in _matches(IP, text, runs):
         parts = [p.lstrip("0") for p in m.group().split(".")]
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
             yield m.span()
 
 
-def _cards(least: int, most: int) -> Callable[[str], Iterator[tuple[int, int]]]:
-    def found(text: str) -> Iterator[tuple[int, int]]:
-        for m in CARD.finditer(text):
+def _cards(least: int, most: int) -> Callable[[str, list[int]], Found]:
+    def found(text: str, runs: list[int]) -> Found:
+        for m in _matches(CARD, text, runs):
             if m.end() - m.start() >= least:
                 digits = digits_of(m.group())
                 if least <= len(digits) <= most and luhn(digits):
@@ -114,16 +127,17 @@ def _cards(least: int, most: int) -> Callable[[str], Iterator[tuple[int, int]]]:
     return found
 
 
-def phones(text: str) -> Iterator[tuple[int, int]]:
+def phones(text: str, runs: list[int]) -> Found:
     if "+" in text:
         for m in PHONE.finditer(text):
             if 8 <= len(digits_of(m.group())) <= 15:
                 yield m.span()
 
 
-def ibans(text: str) -> Iterator[tuple[int, int]]:
+def ibans(text: str, runs: list[int]) -> Found:
     """The longest end that the check confirms; a code ends where a word ends."""
-    for m in IBAN.finditer(text):
+    starts = [r - 2 for r in runs if r >= 2 and "A" <= text[r - 1] <= "Z" and "A" <= text[r - 2] <= "Z" and not (r > 2 and text[r - 3].isalnum())]
+    for m in _matches(IBAN, text, starts):
         for end in range(m.end(), m.start() + 14, -1):
             if (end == len(text) or not text[end].isalnum()) and text[end - 1] != " ":
                 code = text[m.start():end].replace(" ", "")
@@ -132,20 +146,26 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
                     break
 
 
-def national_ids(text: str) -> Iterator[tuple[int, int]]:
-    for m in NATIONAL_ID.finditer(text):
+def _apart(text: str, start: int, signs: str) -> bool:
+    """Whether no letter, digit or one of ``signs`` stands right before ``start``."""
+    return start == 0 or not (text[start - 1].isalnum() or text[start - 1] in signs)
+
+
+def national_ids(text: str, runs: list[int]) -> Found:
+    for m in _matches(NATIONAL_ID, text, [r for r in runs if _apart(text, r, "-")]):
         area, group, serial = m.group().split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             yield m.span()
 
 
-def local_phones(text: str) -> Iterator[tuple[int, int]]:
-    for m in LOCAL_PHONE.finditer(text):
+def local_phones(text: str, runs: list[int]) -> Found:
+    starts = [r - 1 if r and text[r - 1] == "(" else r for r in runs]
+    for m in _matches(LOCAL_PHONE, text, [r for r in starts if _apart(text, r, "+.-")]):
         if 8 <= len(digits_of(m.group())) <= 12:
             yield m.span()
 
 
-FINDERS: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
+FINDERS: dict[str, Callable[[str, list[int]], Found]] = {
     "email": emails, "ip": ips, "card": _cards(16, 19), "phone": phones,
     "iban": ibans, "short_card": _cards(13, 15), "national_id": national_ids, "local_phone": local_phones,
 }
@@ -162,10 +182,13 @@ def spans_of(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
     """All spans of a text, by kind in the order of ``KINDS``, then by start."""
     if not text:
         return []
-    out = [Span(kind, a, b, scored(kind, text, a, b)) for kind in BASE for a, b in FINDERS[kind](text)]
+    runs = [m.start() for m in RUN.finditer(text)]
+    out = [Span(kind, a, b, scored(kind, text, a, b)) for kind in BASE for a, b in FINDERS[kind](text, runs)]
+    if not runs:
+        return out
     taken = sorted((s.start, s.end) for s in out)
     for kind in ADDED:
-        for a, b in FINDERS[kind](text):
+        for a, b in FINDERS[kind](text, runs):
             score = scored(kind, text, a, b)
             if score >= threshold and not any(x < b and a < y for x, y in taken):
                 out.append(Span(kind, a, b, score))

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import give_back, held, mixed, slices, small_side, stored
+from wayfind.llm.common import free_name, give_back, held, mixed, slices, small_side, stored
 
 LENGTH = 50
 GRAM = 24
@@ -340,9 +340,9 @@ CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 def _cut_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every row as ``row`` with ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes."""
     base = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("body"),
-        F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"),
+        F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit((1 << 63) - 1)).alias("id"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
     )
     long = F.octet_length("body") >= LENGTH
     total = base.agg(F.sum(F.octet_length("body"))).first()[0] or 0
@@ -410,8 +410,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def readable(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    cut = _cut_docs(docs.withColumn("_was_null", docs[text_col].isNull()) if "_was_null" not in docs.columns else docs, id_col, text_col)
+    null = free_name(docs, "_was_null")
+    cut = _cut_docs(docs.withColumn(null, F.col(f"`{text_col}`").isNull()), id_col, text_col)
     text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(readable(F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.lit(b"").cast("binary"))))
-    if "_was_null" not in docs.columns:
-        text = F.when(~F.col("row._was_null"), text)
+    text = F.when(~F.col(f"row.`{null}`"), text)
     return cut.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
