@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +33,22 @@ def topk_accuracy(scores: DataFrame, truth: DataFrame, ks: Sequence[int], skip:
     """Share of queries whose expected candidate ranks within each ``k``."""
     if skip is not None:
         truth = truth.where(F.col("expected") != skip)
+    return topk_scopes(scores, truth, ks, {"all": F.lit(True)}).drop("scope")
+
+
+def topk_scopes(scores: DataFrame, truth: DataFrame, ks: Sequence[int], scopes: Mapping[str, Column]) -> DataFrame:
+    """The shares of several parts of the queries, ``scopes`` by name, from one ranking: ``(scope, total, top...)``."""
     # Only the first max(ks) ranks matter.
     found = L.top_k(scores, max(ks)).join(
         truth.select("query", F.col("expected").alias("candidate")), ["query", "candidate"]
     ).select("query", "rank")
     joined = truth.join(found, "query", "left")
+    inside = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in scopes.items()]), lambda s: s.isNotNull())
     hits = [F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")).alias(f"top{k}") for k in ks]
-    return joined.agg(F.count(F.lit(1)).alias("total"), *hits)
+    counted = joined.withColumn("scope", F.explode(inside)).groupBy("scope").agg(F.count(F.lit(1)).alias("total"), *hits)
+    # A part without a query has its row too.
+    names = scores.sparkSession.createDataFrame([(name,) for name in scopes], "scope string")
+    return names.join(counted, "scope", "left").fillna(0, ["total"])
 
 
 def confusion(flagged: DataFrame, truth: DataFrame, on: str, predicted: str, actual: str) -> DataFrame:

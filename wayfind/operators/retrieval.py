@@ -52,10 +52,10 @@ def conversation_windows(utterances: DataFrame, key: str, order: Sequence[str],
     ).withColumnRenamed("start", "pos")
 
 
-def encode_passages(windows: DataFrame, key: Column) -> DataFrame:
+def encode_passages(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Word bags of the windows; windows without a word are left out."""
-    tokens = windows.select(key.alias("passage_key"), X.memory_tokens(F.col("passage")).alias("_t"))
-    return tokens.where(F.size("_t") > 0).select("passage_key", F.array_distinct("_t").alias("words"))
+    tokens = windows.select(*keys, X.memory_tokens(F.col("passage")).alias("_t"))
+    return tokens.where(F.size("_t") > 0).select(*keys, F.array_distinct("_t").alias("words"))
 
 
 def encode_questions(questions: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,21 +63,22 @@ def encode_questions(questions: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.where(F.size("_t") > 0).select(key, F.array_distinct("_t").alias("words"))
 
 
-def retrieve(windows: DataFrame, key: Column, questions: DataFrame, question_key: str, text: str, k: int = TOP) -> DataFrame:
-    """Best ``k`` windows per question: ``(query, candidate, score, rank)``."""
-    return S.top_k(
-        encode_questions(questions, question_key, text), encode_passages(windows, key), MEMORY, question_key, "passage_key", k
-    )
+def retrieve(windows: DataFrame, keys: Sequence[str], questions: DataFrame, question_key: str, text: str, k: int = TOP) -> DataFrame:
+    """Best ``k`` windows per question: ``(query, keys..., score, rank)``, for two or more ``keys`` of a window.
+
+    A counted set of questions is scored inside the rows of the windows.
+    """
+    return S.top_k(encode_questions(questions, question_key, text), encode_passages(windows, keys), MEMORY, question_key, list(keys), k)
 
 
-def answer(hits: DataFrame, windows: DataFrame, key: Column) -> DataFrame:
+def answer(hits: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Texts of the hits in score order, joined (at most ``k`` per question).
 
     The passages join back after the cut: the ranking moves keys only.
     """
-    texts = windows.select(key.alias("candidate"), "passage")
+    texts = windows.select(*keys, "passage")
     rows = F.array_sort(F.collect_list(F.struct("rank", "passage")))
-    joined = texts.join(hold_if_small(hits), "candidate").groupBy("query").agg(
+    joined = texts.join(hold_if_small(hits), list(keys)).groupBy("query").agg(
         F.array_join(F.transform(rows, lambda r: r["passage"]), " ").alias("answer")
     )
     return joined

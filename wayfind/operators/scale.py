@@ -28,8 +28,14 @@ def hold_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+BROADCAST_BYTES = 128 << 20
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table fits both bounds, by a count of its first rows and of the text that they would make."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    few = df.limit(max_rows + 1).select(width.cast("bigint").alias("w")).agg(F.count("w").alias("n"), F.sum("w").alias("w")).first()
+    return few["n"] <= max_rows and (few["w"] or 0) <= max_bytes
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int = 5_000_000) -> DataFrame:
@@ -159,6 +165,18 @@ class Ordered:
         packed = F.struct(value.alias("v"))
         return self._neighbour(name, F.lag(packed).over(self._window()), F.max_by(packed, self._position()), 1)
 
+    def first(self, name: str, value: Column) -> Ordered:
+        """The value of the first row of the key."""
+        frame = self._window().rowsBetween(Window.unboundedPreceding, 0)
+        packed = F.struct(value.alias("v"))
+        self._apply(
+            name, F.first(packed).over(frame), F.min_by(packed, self._position()),
+            lambda w: F.first("_total").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            lambda here, before: F.coalesce(before, here),
+        )
+        self.df = self.df.withColumn(name, F.col(f"{name}.v"))
+        return self
+
     def following(self, name: str, value: Column) -> Ordered:
         """The value of the row after; null at the end of a key."""
         packed = F.struct(value.alias("v"))

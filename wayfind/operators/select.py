@@ -62,17 +62,16 @@ def select_gap(scores: DataFrame, gap: float = GAP, ratio: float = RATIO, bound:
     or a previous score of 0 or less.  Nothing is taken if the best is 0 or less,
     except for a lone candidate.
     """
-    best = scores.groupBy("query").agg(F.max("score").alias("_best"), F.count(F.lit(1)).alias("_size"))
-    ordered = _in_order(scores.join(best, "query"), bound)
-    ordered.row_number("rank").previous("_prev", F.col("score"))
+    ordered = _in_order(scores, bound)
+    ordered.row_number("rank").previous("_prev", F.col("score")).first("_best", F.col("score")).following("_more", F.lit(1))
     drop = F.try_divide(F.col("_prev") - F.col("score"), F.col("_prev")) > gap
     low = F.try_divide(F.col("score"), F.col("_best")) < ratio
-    stop = F.when(F.col("rank") == 1, (F.col("_best") <= 0) & (F.col("_size") > 1)).otherwise(
+    stop = F.when(F.col("rank") == 1, (F.col("_best") <= 0) & F.col("_more").isNotNull()).otherwise(
         (F.col("_prev") <= 0) | F.coalesce(drop, F.lit(True)) | F.coalesce(low, F.lit(True))
     )
     ordered.with_column("_stop", stop.cast("int")).running("_stopped", F.col("_stop"))
     kept = ordered.result().where(F.col("_stopped") == 0)
-    return kept.drop("_prev", "_best", "_size", "_stop", "_stopped", "_down")
+    return kept.drop("_prev", "_best", "_more", "_stop", "_stopped", "_down")
 
 
 def prune_classes(scores: DataFrame, cls: str, delta: float = 0.15) -> DataFrame:
@@ -89,15 +88,19 @@ def prune_classes(scores: DataFrame, cls: str, delta: float = 0.15) -> DataFrame
 def merge_candidates(stages: Sequence[DataFrame], bare: Column) -> DataFrame:
     """Merge ranked lists ``(query, candidate, ord)``: earlier stages go first.
 
-    A bare name counts once per query, at its first place.
+    A bare name counts once per query, at its first place.  A query's places are
+    counted in pieces where it has very many.
     """
     union = None
     for number, stage in enumerate(stages):
         rows = stage.select("query", "candidate", F.lit(number).alias("stage"), F.col("ord").cast("double").alias("ord"))
         union = rows if union is None else union.unionByName(rows)
     first = union.groupBy("query", bare.alias("bare")).agg(F.min(F.struct("stage", "ord", "candidate")).alias("_at"))
-    ordered = Window.partitionBy("query").orderBy("_at")
-    return first.select("query", "bare", "_at.candidate", "_at.stage", F.row_number().over(ordered).alias("position"))
+    # Never falls in the order: the stage, and in it the place squeezed between 0 and 1.
+    falls = F.col("stage") + 0.5 + 0.5 * F.col("ord") / (1 + F.abs("ord"))
+    rows = first.select("query", "bare", "_at.*")
+    ordered = Ordered(rows, ["query"], ["stage", "ord", "candidate"], F.coalesce(falls, F.col("stage").cast("double")))
+    return ordered.row_number("position").result().select("query", "bare", "candidate", "stage", F.col("position").cast("int").alias("position"))
 
 
 def suggest(direct: DataFrame, scores: DataFrame, cls: str, per_class: int = 3) -> DataFrame:

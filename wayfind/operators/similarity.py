@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.operators import rowscore
 from wayfind.operators.features import Encoding
 from wayfind.operators.scale import BROADCAST_ROWS, join_lookup, rows_if_small
 
@@ -172,14 +173,34 @@ def _representatives(q: DataFrame, c: DataFrame, encoding: Encoding, k: int) ->
     return pairs.select(*q_names, *c_names, F.lit(None).cast("int").alias("role"))
 
 
-def top_k(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key: str, catalog_key: str,
-          k: int, many_copies: bool = False) -> DataFrame:
+def top_k(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key: str, catalog_key: str | list[str],
+          k: int, many_copies: bool = False, max_queries: int = rowscore.MAX_QUERIES) -> DataFrame:
     """Best ``k`` of the whole catalog per query: ``(query, candidate, score, rank)``.
 
     Equal scores rank by catalog key.  Encoded tables must hold every role.
+    Queries that are few by count are scored inside the catalog's rows (see
+    :mod:`rowscore`); more of them meet the catalog in the inverted index.  Only
+    the former takes several key columns, which then stand for ``candidate``.
     ``many_copies`` first reduces a catalog of few distinct encodings; for one of
     mostly distinct texts that would only shuffle the texts.
     """
+    keys = [catalog_key] if isinstance(catalog_key, str) else list(catalog_key)
+    side = rowscore.query_side(queries, query_key, encoding, max_queries)
+    if side is not None:
+        found = rowscore.raw_top_k(side, catalog, encoding, keys, k, queries.schema[query_key].dataType)
+        found = found.select("query", *keys, F.round("raw", DIGITS).alias("score"))
+        window = Window.partitionBy("query").orderBy(F.desc("score"), *keys)
+        out = found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+        return out.withColumnRenamed(keys[0], "candidate") if len(keys) == 1 else out
+    if len(keys) > 1:
+        single = catalog.withColumn("_key", F.struct(*keys))
+        out = _indexed_top_k(queries, single, encoding, query_key, "_key", k, many_copies)
+        return out.select("query", "candidate.*", "score", "rank")
+    return _indexed_top_k(queries, catalog, encoding, query_key, keys[0], k, many_copies)
+
+
+def _indexed_top_k(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key: str, catalog_key: str,
+                   k: int, many_copies: bool) -> DataFrame:
     few = distinct_catalog(catalog, catalog_key, encoding, k) if many_copies else catalog
     q = _side(queries, query_key, encoding, "q")
     c = _side(few, catalog_key, encoding, "c")

@@ -41,8 +41,7 @@ def w11_documents(t):
     return P.document_windows(t.documents, "doc_id", "text").withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def window_key():
-    return F.format_string("%019d-%09d", F.col("doc_id"), F.col("pos"))
+KEYS = ["doc_id", "pos"]
 
 
 SCORES = f"""{WINDOWS},
@@ -53,12 +52,12 @@ qt AS (SELECT item_id AS key, list_distinct({_mem('text')}) AS words FROM benchm
 
 def hits(t, k):
     windows = P.document_windows(t.documents, "doc_id", "text")
-    return P.retrieve(windows, window_key(), t.benchmark, "item_id", "text", k)
+    return P.retrieve(windows, KEYS, t.benchmark, "item_id", "text", k)
 
 
 @query("e19_window_scores", f"WITH {SCORES} {Q.top_k(50)}")
 def e19(t):
-    return hits(t, 50)
+    return hits(t, 50).select("query", F.format_string("%019d-%09d", *KEYS).alias("candidate"), "score", "rank")
 
 
 ANSWERS = f"""{SCORES}, top AS ({Q.top_k(50)}),
@@ -66,10 +65,10 @@ answers AS (SELECT query, string_agg(passage, ' ' ORDER BY rank) AS answer FROM
 
 
 def answers(t):
-    """Only the documents that were hit are cut into windows again: their ids are in the candidates' keys."""
+    """Only the documents that were hit are cut into windows again."""
     found = hold_if_small(hits(t, 50))
-    ids = found.select(F.substring("candidate", 1, 19).cast("bigint").alias("doc_id")).distinct()
-    return P.answer(found, P.document_windows(t.documents.join(ids, "doc_id", "left_semi"), "doc_id", "text"), window_key())
+    ids = found.select("doc_id").distinct()
+    return P.answer(found, P.document_windows(t.documents.join(ids, "doc_id", "left_semi"), "doc_id", "text"), KEYS)
 
 
 @query("w12_answer", f"WITH {ANSWERS} SELECT * FROM answers")

@@ -17,7 +17,7 @@ from wayfind.plans import sqltext as Q
 from wayfind.plans.join_plans import NUMBERED, numbered
 from wayfind.plans.registry import query
 from wayfind.plans.similarity_plans import (
-    EMBEDDING_SCORES, RELEVANCE_SQL, ROUTE_SQL, WORDS_SQL, benchmark_words, document_words, embedding_scores,
+    EMBEDDING_SCORES, RELEVANCE_SQL, ROUTE_SQL, WORDS_SQL, benchmark_words, centroid_blocks, document_words, embedding_scores,
     relevance_scores, route,
 )
 
@@ -26,7 +26,7 @@ RANKED = f"{EMBEDDING_SCORES}, ranked AS (SELECT *, row_number() OVER (PARTITION
 
 def label_count(t):
     """Size of the label catalog: no query has more candidates."""
-    return t.embeddings.select("label").distinct().count()
+    return centroid_blocks(t).labels
 
 
 @query("w01_rank", f"WITH {RANKED} SELECT * FROM ranked")
@@ -36,7 +36,7 @@ def w01(t):
 
 @query("w02_top_k", f"WITH {RANKED} SELECT * FROM ranked WHERE rank <= 3")
 def w02(t):
-    return L.top_k(embedding_scores(t), 3)
+    return L.top_k(embedding_scores(t, 3), 3)
 
 
 @query("w02_top8_documents", f"WITH {WORDS_SQL}, {Q.all_scores(E.MEMORY)} {Q.top_k(8)}")
@@ -50,7 +50,7 @@ head AS (SELECT doc_id AS candidate, row_number() OVER (ORDER BY doc_id) AS rank
 SELECT * FROM ch UNION ALL SELECT item_id, candidate, rank, true FROM benchmark, head WHERE rank <= 3 AND item_id NOT IN (SELECT query FROM ch)
 """)
 def w03(t):
-    scores = S.score_overlapping(benchmark_words(t), document_words(t), E.MEMORY, "item_id", "doc_id")
+    scores = S.top_k(benchmark_words(t), document_words(t), E.MEMORY, "item_id", "doc_id", 3).drop("rank")
     head = t.documents.select(F.col("doc_id").alias("candidate")).orderBy("candidate").limit(3)
     first = [r["candidate"] for r in head.collect()]
     fallback = t.spark.createDataFrame([(c, i + 1) for i, c in enumerate(first)], "candidate bigint, ord int")
@@ -133,7 +133,7 @@ WITH {RANKED} SELECT query, a.score AS first, b.score AS second, a.score - b.sco
 FROM ranked a JOIN ranked b USING (query) WHERE a.rank = 1 AND b.rank = 2
 """)
 def w10(t):
-    return L.separation(embedding_scores(t))
+    return L.separation(embedding_scores(t, 2))
 
 
 @query("w13_first_distinct", """
@@ -231,7 +231,7 @@ WITH {RANKED}, {TRUTH} SELECT expected, count(*) AS total, CAST(sum(CAST(candida
 FROM truth JOIN ranked USING (query) WHERE rank = 1 GROUP BY expected
 """)
 def k01(t):
-    return M.accuracy(K.eval_single(embedding_scores(t), embedding_truth(t)), ["expected"])
+    return M.accuracy(K.eval_single(embedding_scores(t, 1), embedding_truth(t)), ["expected"])
 
 
 @query("k02_eval_multi", f"""
@@ -251,9 +251,8 @@ UNION ALL SELECT 'without empty', count(*), round(avg(CAST(rank <= 1 AS INTEGER)
 """)
 def k04(t):
     tops = [F.round(f"top{k}", 6).alias(f"top{k}") for k in (1, 3, 5)]
-    everything = K.topk_accuracy(embedding_scores(t), embedding_truth(t), (1, 3, 5))
-    some = K.topk_accuracy(embedding_scores(t), embedding_truth(t), (1, 3, 5), skip=0)
-    return everything.select(F.lit("all").alias("scope"), "total", *tops).unionByName(some.select(F.lit("without empty").alias("scope"), "total", *tops))
+    both = K.topk_scopes(embedding_scores(t, 5), embedding_truth(t), (1, 3, 5), {"all": F.lit(True), "without empty": F.col("expected") != 0})
+    return both.select("scope", "total", *tops)
 
 
 @query("k05_eval_irrelevance", f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -12,9 +11,10 @@ from wayfind.functions import text as X
 from wayfind.functions import vectors as V
 from wayfind.functions import words as W
 from wayfind.operators import features as E
+from wayfind.operators import levels as H
+from wayfind.operators import nearest as N
 from wayfind.operators import rules as R
 from wayfind.operators import similarity as S
-from wayfind.operators.scale import rows_if_small
 from wayfind.plans import sqltext as Q
 from wayfind.plans.registry import query
 from wayfind.plans.rule_plans import PART_WORDS, RULES, part_rules, word_rules
@@ -188,46 +188,21 @@ def e09(t):
 
 
 def centroids(t):
-    """Mean vector per label: one average per place of the widest vector, nothing exploded."""
-    width = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
-    dims = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(width)]
-    return t.embeddings.groupBy("label").agg(F.array(*dims).alias("centroid"))
+    return N.centroids(t.embeddings, "label", "embedding")
 
 
 CENTROIDS = "cen AS (SELECT label, list(m ORDER BY i) AS centroid FROM (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
 COSINE = "list_sum(list_transform(list_zip(a, b), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(a, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"
 
 
-MAX_LABELS = 1_000
+def centroid_blocks(t) -> N.CentroidBlocks:
+    """The label centroids in blocks, made once per query."""
+    return t.once("centroid_blocks", lambda: N.CentroidBlocks(centroids(t), "label"))
 
 
-def embedding_scores(t, max_labels=MAX_LABELS):
-    """Cosine of every vector to every label centroid: ``(query, candidate, score)``.
-
-    The centroids are folded into the plan as arrays of about ``max_labels``, so
-    that a projection scores a vector against all of an array: no join, no shuffle.
-    """
-    means = centroids(t)
-    vectors = t.embeddings.select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows_if_small(means, max_labels)
-    if rows is not None:
-        return _against(vectors, rows)
-    slices = -(-t.embeddings.select("label").distinct().count() // max_labels)
-    scored = None
-    for i in range(slices):
-        part = _against(vectors, means.where(F.pmod(F.xxhash64("label"), F.lit(slices)) == i).collect())
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
-
-
-def _against(vectors, rows):
-    table = F.from_json(
-        F.lit(json.dumps([{"label": r["label"], "centroid": r["centroid"]} for r in rows])),
-        "array<struct<label:int,centroid:array<double>>>",
-    )
-    scored = vectors.select("query", F.explode(F.transform(
-        table, lambda c: F.struct(c["label"].alias("label"), V.cosine(F.col("v"), c["centroid"]).alias("s")))).alias("c"))
-    return scored.select("query", F.col("c.label").alias("candidate"), F.round("c.s", 9).alias("score"))
+def embedding_scores(t, k=None):
+    """Cosine of vectors to label centroids, all or each vector's best ``k`` per block: ``(query, candidate, score)``."""
+    return centroid_blocks(t).scores(t.embeddings, "vec_id", "embedding", k)
 
 
 EMBEDDING_SCORES = f"""{CENTROIDS}, escores AS (SELECT query, candidate, round({COSINE}, 9) AS score
@@ -344,6 +319,34 @@ def e14(t):
     return rows.select("p_name", "p_type", "p_brand", F.round(score, 6).alias("score"))
 
 
+E14_PARTS = f"""s AS (SELECT DISTINCT p_name, p_type, p_brand FROM part),
+c AS (SELECT p_name, p_type, p_brand, {bundle_sql("string_split(lower(p_name), ' ')")} AS n, {bundle_sql("list_distinct([lower(p_type), lower(p_brand)])")} AS d, {bundle_sql("[lower(p_brand)]")} AS p FROM s),
+cl AS (SELECT *, {_up_sql('d', 'p')} AS s FROM c), cc AS (SELECT *, {_up_sql('n', 's')} AS x FROM cl),
+r AS (SELECT DISTINCT p_name, p_type FROM part WHERE p_size <= 2),
+q AS (SELECT p_name || '/' || p_type AS query, {bundle_sql("string_split(lower(p_name || ' ' || p_type), ' ')")} AS n, {bundle_sql("string_split(lower(p_type || ' ' || p_name), ' ')")} AS d, {bundle_sql("[lower(p_type)]")} AS p FROM r),
+ql AS (SELECT *, {_up_sql('d', 'p')} AS s FROM q), qc AS (SELECT *, {_up_sql('n', 's')} AS x FROM ql),
+pairs AS (SELECT query, p_name, p_type, p_brand, round({Q.double(0.05)} * {_cos_sql('qc.x', 'cc.x')} + {Q.double(0.10)} * ({_cos_sql('qc.n', 'cc.n')} + {_cos_sql('qc.s', 'cc.s')}) / 2
+  + {Q.double(0.25)} * ({_cos_sql('qc.n', 'cc.n')} + {_cos_sql('qc.s', 'cc.s')}) / 2 + {Q.double(0.60)} * ({_cos_sql('qc.n', 'cc.n')} + {_cos_sql('qc.d', 'cc.d')} + {_cos_sql('qc.p', 'cc.p')}) / 3, 6) AS score FROM qc CROSS JOIN cc)"""
+
+LEVELS = H.Shape({"name": ("function_name",), "meaning": ("description", "parameters")}, {"name": ("name",), "meaning": ("meaning",)})
+
+
+@query("e14_ranking", f"""
+WITH {E14_PARTS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, p_name, p_type, p_brand) AS rank FROM pairs) WHERE rank <= 5
+""")
+def e14_ranking(t):
+    """Requests for small parts against every kind of part, all pairs weighed by the four levels."""
+    words = lambda *cols: X.split_space(F.lower(F.concat_ws(" ", *cols)))
+    kinds = t.part.select("p_name", "p_type", "p_brand").distinct()
+    catalog = kinds.withColumns({"function_name": words("p_name"), "description": F.array_distinct(words("p_type", "p_brand")), "parameters": words("p_brand")})
+    asked = t.part.where("p_size <= 2").select("p_name", "p_type").distinct()
+    asked = asked.select(
+        F.concat_ws("/", "p_name", "p_type").alias("query"), words("p_name", "p_type").alias("function_name"),
+        words("p_type", "p_name").alias("description"), words("p_type").alias("parameters"),
+    )
+    return H.rank_levels(H.bundled(asked, LEVELS, 42, DIM), H.bundled(catalog, LEVELS, 42, DIM), LEVELS, "query", ["p_name", "p_type", "p_brand"], 5, DIM)
+
+
 # ---- relevance -----------------------------------------------------------
 
 _GEN = W.STOP_WORDS + W.GENERIC_WORDS
