@@ -111,6 +111,26 @@ def test_near_classes_of_awkward_rows(spark):
     assert sorted(r["doc_id"] or -1 for r in collected(kept)) == [-1, -1, 1, 7, 8, 8, 9, 10, 11]
 
 
+def test_slices_of_texts_without_a_word(spark):
+    rows = [(1, prose(30, 1)), (2, None), (3, "x " * 300_000), (4, ""), (5, prose(30, 1) + " more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for parts in (docs.coalesce(1), docs.repartition(5, "doc_id"), docs.where("doc_id in (2, 4)")):
+        found = collected(dart_minhash.near_classes(parts))
+        assert len(found) == parts.count() and {r["class_id"] for r in found if r["doc_id"] in (2, 4)} == {2}
+
+
+@pytest.mark.parametrize("name", ["_was_null", "_WAS_NULL", "a.b", "row.kept"])
+def test_columns_of_any_name_come_back(spark, name):
+    rows = [(1, prose(60, 1), 7), (2, prose(60, 1) + " " + prose(20, 2), 8), (3, None, None), (4, prose(60, 1), 9)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", name])
+    for kept in (exact_dedup.keep_one(docs), suffix_dedup.without_repeats(docs)):
+        assert kept.columns == docs.columns
+        by = {r[0]: (r[1], r[2]) for r in kept.collect()}
+        assert by[3] == (None, None) and by[4][1] == 9 and by[2][1] == 8
+    cut = {r[0]: r[1] for r in suffix_dedup.without_repeats(docs).collect()}
+    assert cut[4] == "" and len(cut[2]) < len(rows[1][1]) and cut[1] == rows[0][1]
+
+
 def test_one_id_with_several_texts(spark):
     rows = [(1, prose(300, 1)), (1, prose(300, 2)), (2, prose(300, 1)), (3, mutated(prose(300, 2), 0.01, 1))]
     found = collected(dart_minhash.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")))

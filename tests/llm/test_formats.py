@@ -78,6 +78,29 @@ def test_packed_awkward_rows(spark):
     assert packing.packed(docs.limit(0), WORDS).count() == 0
 
 
+def test_answers_bear_loss_up_to_a_limit(spark):
+    rows = [(k, prose(20 + k, k), None if k % 7 == 0 else prose(10 + 5 * k % 90, 99 + k)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, answer string").coalesce(1)
+    words = packing.tokens_of(WORDS)
+    sizes = {k: (len(words.encode(t)) // 4, len(words.encode(a or "")) // 4 + 1) for k, t, a in rows}
+    for loss, length in ((48, 256), (256, 256), (1, 64)):
+        found = collected(packing.packed(docs, WORDS, length=length, segments=5, answer_col="answer", loss=loss))
+        by, cover = {}, {}
+        for r in found:
+            by.setdefault(r["sequence_id"], []).append(r)
+            cover.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+            prompt = sizes[r["doc_id"]][0]
+            assert r["loss_tokens"] == sum(at >= prompt for at in range(r["start"], r["start"] + r["length"]))
+        assert all(sum(r["loss_tokens"] for r in s) <= loss and len(s) <= 5 and sum(r["length"] for r in s) <= length for s in by.values())
+        for k, (prompt, answer) in sizes.items():
+            at = 0
+            for start, n in sorted(cover[k]):
+                assert start == at
+                at += n
+            assert at == prompt + answer
+    assert "loss_tokens" not in packing.packed(docs, WORDS).columns
+
+
 PARTS = ["a", "The", " ", "  ", "\n", "\t", "don't", "B.", "..", "x,", "É", "Σ", "İ", "ß", "\x01", "\x1c", "日本", "<|endoftext|>", "12.", "▁", "\U0001f600", "\x00", "</s>", "<0x0A>", "é"]
 
 

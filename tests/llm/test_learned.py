@@ -128,6 +128,31 @@ def test_long_runs_of_single_signs_take_linear_time(channel):
     assert len(channel.restore_word("1@*" * 5_000)) > 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("1406$@!*|ab.-_ "), min_size=1, max_size=200).map("".join))
+def test_writing_down_what_is_shared_changes_nothing(channel, signs):
+    whole = toxicity.UNDECIDED
+    try:
+        found = []
+        for toxicity.UNDECIDED in (10 ** 9, 3, 40):
+            found.append((channel.decode(signs), channel.decode(signs, True)))
+    finally:
+        toxicity.UNDECIDED = whole
+    assert found[0] == found[1] == found[2]
+
+
+def test_remembered_words_change_no_score(spark):
+    texts = [f"{prose(20, k)} m0r0n {prose(10, k + 500)}" for k in range(20)] * 2
+    rows = spark.createDataFrame([(k, t if k % 2 else prose(30, k)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    model = toxicity.fit(rows, labels)
+    channel = toxicity.Channel(model.trigrams)
+    once = model.scores(texts, channel)
+    assert (model.scores(texts, channel) == once).all() and toxicity._MEMORY[0][2]
+    toxicity._MEMORY.clear()
+    assert (model.scores(texts[::-1], channel)[::-1] == once).all()
+
+
 def test_hidden_toxic_words_count(spark):
     plain = [(k, f"{prose(20, k)} moron {prose(10, k + 500)}") for k in range(30)] + [(k, prose(30, k)) for k in range(30, 90)]
     docs = spark.createDataFrame([*plain, (100, f"{prose(10, 7)} m0r0n x"), (101, prose(10, 7) + " m o r o n x"), (102, prose(12, 7))], "doc_id bigint, text string")

@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -281,11 +282,15 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 
 def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-           length: int = LENGTH, segments: int = SEGMENTS, keep_words: bool = True) -> DataFrame:
+           length: int = LENGTH, segments: int = SEGMENTS, keep_words: bool = True, answer_col: str | None = None, loss: int | None = None) -> DataFrame:
     """One row per piece of ``docs``, packed into sequences of at most ``length`` tokens.
 
     A document is its token ids and an end id; null text is empty, so it is the
-    end id alone.  All tokens bear loss here.  Each task packs blocks of about
+    end id alone.  All tokens bear loss, unless ``answer_col`` names a second
+    text (null: empty): then a document is its text, which bears none, the
+    answer's ids and the end id, which do, and the rows tell their
+    ``loss_tokens``.  A sequence holds at most ``loss`` tokens that bear loss
+    (default: ``length``).  Each task packs blocks of about
     ``BLOCK_TOKENS`` tokens as it reads, so nothing is shuffled and memory is
     bounded; a block leaves no padding.  Repeated rows are packed each by
     itself, with their id; a null id stays null.  An empty table gives no rows.
@@ -300,28 +305,34 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         next_id = (task.partitionId() if task else 0) << 36
         ids: list[int | None] = []
         tokens: list[bytes] = []
+        prompts: list[int] = []
         held = 0
 
+        def bearing(doc: int, start: int, n: int) -> int:
+            return max(0, start + n - max(start, prompts[doc]))
+
         def flush() -> pa.RecordBatch:
             nonlocal next_id, held
             rows = []
-            for sequence in pack([len(t) // 4 for t in tokens], length, segments):
+            for sequence in pack([len(t) // 4 for t in tokens], length, segments, loss, bearing if answer_col else None):
                 offset = 0
                 for p in sequence:
                     ids_of = tokens[p.doc]
-                    rows.append((ids[p.doc], p.start, p.length, zlib.crc32(ids_of[4 * p.start:4 * (p.start + p.length)]), len(ids_of) // 4, next_id, offset))
+                    rows.append((ids[p.doc], p.start, p.length, zlib.crc32(ids_of[4 * p.start:4 * (p.start + p.length)]), len(ids_of) // 4, next_id, offset, p.loss)[:len(names)])
                     offset += p.length
                 next_id += 1
             ids.clear()
             tokens.clear()
+            prompts.clear()
             held = 0
-            columns = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text, answer in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2) if answer_col else repeat(None)):
                 ids.append(doc)
-                tokens.append(words.encode(text.as_py()) + end)
+                prompt = words.encode(text.as_py())
+                prompts.append(len(prompt) // 4)
+                tokens.append(prompt + (words.encode(answer.as_py()) if answer_col else b"") + end)
                 held += len(tokens[-1]) // 4
                 if held >= BLOCK_TOKENS:
                     yield flush()
@@ -331,4 +342,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             del words
         give_back()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    schema = SCHEMA + (", loss_tokens bigint" if answer_col else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    texts = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(name) for c, name in ((text_col, "text"), (answer_col, "answer")) if c]
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), *texts).mapInArrow(run, schema)

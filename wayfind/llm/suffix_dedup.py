@@ -334,11 +334,12 @@ def cut_out(raw: list[bytes], whole: list[np.ndarray], single: list[np.ndarray])
     return out
 
 
-CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept "
 
 
-def _cut_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every row as ``row`` with ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes."""
+def _cut_docs(docs: DataFrame, id_col: str, text_col: str, as_text: bool = False) -> DataFrame:
+    """Every row as ``row`` with ``n_bytes``, ``n_removed``, ``n_spans`` and what is ``kept``, as bytes or as text."""
+    kept_type = "string" if as_text else "binary"
     base = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit((1 << 63) - 1)).alias("id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"),
@@ -370,20 +371,22 @@ def _cut_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     touched = small_side(held(names.select(F.col("doc").alias("id")).distinct()))
 
-    @F.pandas_udf(CUT)
+    @F.pandas_udf(CUT + kept_type)
     def cut(bodies: pd.Series, whole: pd.Series, single: pd.Series) -> pd.DataFrame:
         raw = [t.encode() for t in bodies]
         rows = []
         for a, b in slices(map(len, raw), SLICE_BYTES, 20_000):
             rows += cut_out(raw[a:b], [_joined(x) for x in whole[a:b]], [_joined(x) for x in single[a:b]])
+        if as_text:
+            rows = [(*r[:3], r[3].decode("utf-8", "ignore")) for r in rows]
         give_back()
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CUT.split(", ")])
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     size = F.octet_length("body").cast("bigint")
     zero = F.lit(0).cast("bigint")
     out = own.join(touched, "id", "left_semi").join(marks, "id").withColumn("r", cut("body", "whole", "single")).select("row", "r.*")
-    plain = own.join(touched, "id", "left_anti").select("row", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("body").cast("binary").alias("kept"))
-    gone = copies.select("row", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(b"").cast("binary").alias("kept"))
+    plain = own.join(touched, "id", "left_anti").select("row", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("body").cast(kept_type).alias("kept"))
+    gone = copies.select("row", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit("").cast(kept_type).alias("kept"))
     return out.unionByName(plain).unionByName(gone)
 
 
@@ -406,12 +409,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A text from which nothing is cut stays as it is, null included.
     """
 
-    @F.pandas_udf("string")
-    def readable(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
     null = free_name(docs, "_was_null")
-    cut = _cut_docs(docs.withColumn(null, F.col(f"`{text_col}`").isNull()), id_col, text_col)
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(readable(F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.lit(b"").cast("binary"))))
-    text = F.when(~F.col(f"row.`{null}`"), text)
+    cut = _cut_docs(docs.withColumn(null, F.col(f"`{text_col}`").isNull()), id_col, text_col, True)
+    text = F.when(~F.col(f"row.`{null}`"), F.col("kept"))
     return cut.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -11,6 +11,7 @@ labelled documents, and a logistic curve turns the weights found into a score.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,7 +48,9 @@ _SIGN = rf"(?:{_SIGNS}|{_STAR})"
 _BETWEEN = rf"(?:\s*(?:[.\-_]|(?!{_STAR})\*)\s*|\s+)"
 SINGLES = re.compile(rf"(?<!\S){_SIGN}(?:{_BETWEEN}{_SIGN}(?!(?![!¡]){_SIGN})){{2,}}(?:[.,!?;:]*)(?!\S)")
 GAPS = re.compile(r"[\s.\-_*]+")
-UNDECIDED = 1_024  # signs after which the best path so far is taken, if no two plain letters decided it before
+UNDECIDED = 256  # signs after which the part that all paths left share is written down
+REMEMBERED = 300_000  # words of at most LONG_WORD signs whose known features a worker keeps
+LONG_WORD = 64
 
 
 def symbol(char: str) -> int:
@@ -105,6 +108,7 @@ class Channel:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
+        self.name = hashlib.sha256(np.ascontiguousarray(model).tobytes()).digest()
 
     def lattice(self, signs: str, spaced: bool = False) -> Iterator[list[tuple[str, float]]]:
         """For each sign what it may stand for: a letter, "" (nothing) or " " (a gap), with its cost.
@@ -126,10 +130,14 @@ class Channel:
             yield arcs
 
     def decode(self, signs: str, spaced: bool = False) -> str:
-        """The most likely text behind ``signs`` (lower case), by Viterbi over the last two symbols."""
+        """The most likely text behind ``signs`` (lower case), by Viterbi over the last two symbols.
+
+        What all paths left have in common is written down now and then, so
+        that a long word holds little more than its undecided end.
+        """
         model, out = self.model, []
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(GAP, GAP): (0.0, None)}
-        decided = 0
+        looked, wait = 0, UNDECIDED
         for k, arcs in enumerate(self.lattice(signs, spaced)):
             reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in best.items():
@@ -142,12 +150,16 @@ class Channel:
                     if state not in reached or total > reached[state][0]:
                         reached[state] = (total, way)
             best = reached
-            if k - decided >= UNDECIDED:
-                best = dict([max(best.items(), key=lambda x: (x[1][0], x[0]))])
             if len(best) == 1:  # all paths run through this state: what is before it is decided
                 [(state, (total, path))] = best.items()
                 out += _letters(path)
-                best, decided = {state: (total, None)}, k
+                best, looked, wait = {state: (total, None)}, k, UNDECIDED
+            elif k - looked >= wait:
+                told = {state: _letters(path) for state, (_, path) in best.items()}
+                same = _shared(list(told.values()))
+                out += next(iter(told.values()))[:same]
+                best = {state: (total, _chain(told[state][same:])) for state, (total, _) in best.items()}
+                looked, wait = k, UNDECIDED if same else 2 * wait
         (a, b), (_, path) = max(best.items(), key=lambda x: (x[1][0] + model[x[0][0]][x[0][1]][GAP], x[0]))
         return "".join(out + _letters(path))
 
@@ -181,6 +193,19 @@ def _letters(path: tuple | None) -> list[str]:
     return out[::-1]
 
 
+def _chain(letters: list[str]) -> tuple | None:
+    path = None
+    for letter in letters:
+        path = (letter, path)
+    return path
+
+
+def _shared(lists: list[list[str]]) -> int:
+    """How many items all lists begin with."""
+    first, last = min(lists), max(lists)  # what these two share, all between them share
+    return next((k for k, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+
+
 def features(restored: str) -> list[int]:
     """Hashed features of restored words: each word, and its first letters."""
     out = []
@@ -213,6 +238,17 @@ def hidden(texts: list[str], channel: Channel) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], feats[first]
 
 
+#: Of the model that this worker scored with last: its known features, and what they are in words met before.
+_MEMORY: list[tuple[bytes, set[int], dict[str, tuple[int, ...]]]] = []
+
+
+def _memory(keys: np.ndarray, channel: Channel) -> tuple[set[int], dict[str, tuple[int, ...]]]:
+    name = channel.name + hashlib.sha256(keys.tobytes()).digest()
+    if not _MEMORY or _MEMORY[0][0] != name:
+        _MEMORY[:] = [(name, set(keys.tolist()), {})]
+    return _MEMORY[0][1:]
+
+
 @dataclass
 class ToxicityModel:
     trigrams: np.ndarray
@@ -234,8 +270,15 @@ class ToxicityModel:
     def _found(self, texts: list[str], channel: Channel) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of (row, known feature); words without one are dropped before they are spread over rows."""
         row, code, distinct = words_of(texts)
-        known = set(self.keys.tolist())
-        sets = [[f for f in features(channel.restore_word(w)) if f in known] for w in distinct]
+        known, memory = _memory(self.keys, channel)
+        sets = []
+        for word in distinct:
+            found = memory.get(word)
+            if found is None:
+                found = tuple([f for f in features(channel.restore_word(word)) if f in known])
+                if len(word) <= LONG_WORD and len(memory) < REMEMBERED:
+                    memory[word] = found
+            sets.append(found)
         rich = np.array([bool(s) for s in sets], dtype=bool)
         keep = rich[code] if len(code) else np.zeros(0, dtype=bool)
         rows, feats = [], []
