@@ -82,3 +82,17 @@ def test_cost_bills_cached_input_at_its_own_rate(spark):
     prices = spark.createDataFrame([("a", 2.0, 10.0, 3.0, 0.5)], "tier string, p_in double, p_out double, p_cache_write double, p_cache_read double")
     use = spark.createDataFrame([("a", 100, 10, 5, 400, 1, 110)], "tier string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long, api_calls long, total_tokens long")
     assert abs(M.cost(use, prices).first()["cost"] - (5 * 3 + 400 * 0.5 + 10 * 10) / 1e6) < 1e-12
+
+
+def test_gap_and_merge_in_pieces(spark, monkeypatch):
+    """The rules hold when a query's candidates are cut into pieces."""
+    from wayfind.operators import scale, select
+
+    data = [(q, c, float((q * 131 + c * 17) % 97) / 10 - 2.0) for q in (1, 2) for c in range(60)]
+    scores = spark.createDataFrame(data, "query int, candidate int, score double")
+    lists = [spark.createDataFrame([(1, f"{p}.n{k % 40}", float((k * 7) % 50 - 25)) for k in range(60)], "query int, candidate string, ord double") for p in "ab"]
+    bare = F.substring_index("candidate", ".", -1)
+    plain = rows(select.select_gap(scores, 0.9, 0.01)), rows(select.merge_candidates(lists, bare))
+    real = scale.Ordered.__init__
+    monkeypatch.setattr(scale.Ordered, "__init__", lambda self, df, keys, order, split_on, share=7, bound=None: real(self, df, keys, order, split_on, share, None))
+    assert (rows(select.select_gap(scores, 0.9, 0.01)), rows(select.merge_candidates(lists, bare))) == plain

@@ -81,3 +81,12 @@ def test_windows_cross_messages_and_shrink_at_the_end(spark):
     df = spark.createDataFrame([(1, 1, "First clause. Second clause."), (1, 2, "tiny"), (1, 3, "Third clause here")], "c int, turn int, t string")
     out = rows(P.conversation_windows(df, "c", ["turn"], F.col("turn"), "t", 2).select("pos", "passage"))
     assert out == [(0, "First clause. Second clause."), (1, "Second clause. Third clause here"), (2, "Third clause here")]
+
+
+def test_prefix_chain_of_a_long_conversation(spark):
+    data = [(c, p, f"{c}.{p}" if p % 5 else None) for c, n in ((1, 40), (2, 3), (3, 17)) for p in range(1, n + 1)]
+    df = spark.createDataFrame(data, "c int, pos int, q string").repartition(3)
+    got = {(r.c, r.pos): r.recent for r in T.history(df, "c", "pos", F.col("q"), block=3).collect()}
+    assert got == {(c, p): [f"{c}.{i}" for i in range(1, p) if i % 5] for c, p, _ in data}
+    plan = T.history(df, "c", "pos", F.col("q"), block=3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [c#" in plan or "BroadcastHashJoin [c#" in plan

@@ -93,3 +93,40 @@ def test_metrics_stream_counts_late_results(spark, tmp_path):
     stream = io.file_stream(spark, source, late.schema, files_per_trigger=1)
     path = metrics.metrics_stream(stream, "id", "cat", "ok", "s", str(tmp_path))
     assert metrics.report(spark.read.parquet(path), "cat", "ok", "s").first().total == 300
+
+
+def test_slices_skip_whole_ranges(spark):
+    df = spark.range(1_000).select(((F.col("id") * 37) % 1_000).alias("k"), F.lit("x").alias("v")).repartition(5)
+    for offset, n in ((0, 3), (990, 30), (499, 2), (250, 600), (1_000, 5), (0, 0), (2_000, 1)):
+        assert sorted(r.k for r in J.read_slice(df, "k", n, offset).collect()) == list(range(1_000))[offset:offset + n], (offset, n)
+    nulls = spark.createDataFrame([(None, 1), (2, 2), (None, 3), (1, 4)], "k int, v int")
+    assert [r.k for r in J.read_slice(nulls, "k", 3, 1).collect()] == [None, 1, 2]
+    pairs = df.withColumn("at", F.struct("v", "k"))
+    assert [r.k for r in J.read_slice(pairs, "at", 2, 700).select("k").collect()] == [700, 701]
+
+
+def test_categories_in_one_scan(spark, tmp_path):
+    rows_ = spark.createDataFrame([(1, "a b"), (2, "c/d"), (3, "a b")], "id int, kind string")
+    J.write_jsonl(rows_, str(tmp_path / "t"), "kind")
+    paths = J.list_categories(spark, str(tmp_path / "t"), "kind")
+    assert sorted(paths) == ["a b", "c/d"]
+    found = J.read_categories(spark, paths, "id int")
+    assert rows(found.select("id", "category")) == [(1, "a b"), (2, "c/d"), (3, "a b")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    (tmp_path / "one.jsonl").write_text('{"id": 7}\n\n')
+    assert rows(J.read_categories(spark, {"single": str(tmp_path / "one.jsonl")}, "id int").select("id", "category")) == [(7, "single")]
+
+
+def test_upsert_writes_only_touched_files_anew(spark, tmp_path):
+    path = str(tmp_path / "cat")
+    schema = "class_dir string, func_name string, v int, version int"
+    for part in range(4):  # four files of one class
+        made = spark.createDataFrame([("a", f"f{part}{k}", 0, 1) for k in range(5)], schema).coalesce(1)
+        made.write.mode("append").partitionBy("class_dir").parquet(path)
+    files = lambda: {r[0] for r in spark.read.parquet(path).select("_metadata.file_path").distinct().collect()}
+    before = files()
+    K.upsert_catalog(spark, path, spark.createDataFrame([("a", "f10", 9, 2), ("b", "new", 8, 1)], schema), ["class_dir", "func_name"])
+    after = files()
+    assert len(before & after) == 3
+    got = {r.func_name: r.v for r in K.read_catalog(spark, path).collect()}
+    assert len(got) == 21 == K.read_catalog(spark, path).count() and got["f10"] == 9 and got["new"] == 8 and got["f11"] == 0

@@ -140,13 +140,16 @@ def pattern_words(pattern: Column) -> Column:
     return F.when(pattern == L.EMPTY_PATTERN, "none").otherwise(X.bag(words))
 
 
-def pattern_exemplars(turns: DataFrame, order: str, votes: DataFrame, variants: int | None = None) -> DataFrame:
+def pattern_exemplars(turns: DataFrame, order: str, votes: DataFrame, variants: int | None = None, split_on: Column | None = None) -> DataFrame:
     """Exemplars of every pattern.
 
     ``turns(pattern, query, order, action, target, domain)``.  Variant 1 describes
     the first query, variant 2 the functions, variants from 3 on all
     (the first ``variants``) distinct queries.  ``votes(pattern, domain)`` holds the voted domain.
+    ``split_on`` is a number that never falls in the order of ``candidate_order`` (``order`` of
+    a query's first turn); without it, ``order`` is one.
     """
+    split_on = F.col("candidate_order") if split_on is None else split_on
     valid = turns.where(F.length(F.trim("query")) > 0)
     firsts = valid.groupBy("pattern").agg(F.min_by(F.struct("query", "action", "target"), order).alias("f"))
     base = firsts.join(votes, "pattern").select("pattern", "f.query", "f.action", "f.target", "domain")
@@ -173,9 +176,12 @@ def pattern_exemplars(turns: DataFrame, order: str, votes: DataFrame, variants:
     distinct = valid.groupBy("pattern", norm).agg(
         F.min_by(F.struct("query", "action", "target", "domain"), order).alias("q"), F.min(order).alias("candidate_order")
     ).select("pattern", "candidate_order", "q.query", "q.action", "q.target", "q.domain")
-    ranked = distinct.withColumn("score", F.lit(0.0)).withColumnRenamed("pattern", "_p")
-    placed = ranked.withColumn("rank", F.row_number().over(L.by_score("_p", "candidate_order")))
-    kept = (placed if variants is None else placed.where(F.col("rank") <= variants)).withColumnRenamed("_p", "pattern")
+    if variants is None:  # a pattern's queries may be any number: they are numbered in pieces
+        kept = Ordered(distinct, ["pattern"], ["candidate_order"], split_on).row_number("rank").result().withColumn("rank", F.col("rank").cast("int"))
+    else:
+        ranked = distinct.withColumn("score", F.lit(0.0)).withColumnRenamed("pattern", "_p")
+        placed = ranked.withColumn("rank", F.row_number().over(L.by_score("_p", "candidate_order")))
+        kept = placed.where(F.col("rank") <= variants).withColumnRenamed("_p", "pattern")
     return described(base, F.lit(1)).unionByName(second).unionByName(described(kept, F.col("rank") + 2))
 
 

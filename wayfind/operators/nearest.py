@@ -42,7 +42,7 @@ class CentroidBlocks:
         asked = vectors.select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("_v"))
         asked = asked.withColumn("_n", V.norm(F.col("_v")))
         if self.blocks > 1:
-            asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).cast("bigint"))
+            asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.blocks - 1).cast("bigint"))))
         else:
             asked = asked.withColumn("_block", F.lit(0).cast("bigint"))
         met = asked.join(F.broadcast(self.rows) if self.small else self.rows, "_block")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from wayfind.operators.features import Encoding
 
@@ -300,3 +300,54 @@ def raw_top_k(side: QuerySide, catalog: DataFrame, encoding: Encoding, keys: Seq
         [(n, key) for n, key in enumerate(side.keys)], StructType([StructField("_q", LongType()), StructField("query", query_type)])
     )
     return found.join(F.broadcast(numbers), "_q").select("query", *names, "raw")
+
+
+def best_entries(side: QuerySide, rows: DataFrame, encoding: Encoding, key: str, k: int, entry_type) -> DataFrame:
+    """Best ``k`` entries of the counted ``side`` for every row: ``(query, candidate, score, rank)``.
+
+    Each row is scored against all entries by itself and ranks them in place:
+    nothing is shuffled, however many rows there are.
+    """
+    order = sorted(range(len(side.keys)), key=lambda n: (side.keys[n] is not None, _comparable(side.keys[n])))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    fields = {f.name: f.dataType for f in rows.schema.fields}
+    schema = StructType([StructField("query", fields[key]), StructField("raw", ArrayType(DoubleType())), StructField("n", ArrayType(LongType()))])
+    most = min(k, len(order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(side, encoding)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                piece = batch.slice(at, SLICE_ROWS)
+                _, raw = scorer.scores(piece, np.full(len(order), -np.inf))
+                kth = -np.partition(-raw, most - 1, axis=1)[:, most - 1]
+                row, entry = np.nonzero(raw >= kth[:, None] - SLACK)
+                value, n = raw[row, entry], place[entry]
+                sort = np.lexsort([n, -value, row])
+                row, value, n = row[sort], value[sort], n[sort]
+                same = np.concatenate([[True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])])
+                group = np.arange(len(row)) - np.maximum.accumulate(np.where(same, np.arange(len(row)), 0))
+                row, value, n = row[group < k], value[group < k], n[group < k]
+                ends = np.searchsorted(row, np.arange(piece.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(key), pa.ListArray.from_arrays(ends, pa.array(value)), pa.ListArray.from_arrays(ends, pa.array(n))],
+                    names=["query", "raw", "n"],
+                )
+
+    entries = rows.sparkSession.createDataFrame(
+        [(int(place[n]), value) for n, value in enumerate(side.keys)], StructType([StructField("n", LongType()), StructField("candidate", entry_type)])
+    )
+    if not most:
+        nothing = StructType([StructField("query", fields[key]), StructField("candidate", entry_type), StructField("score", DoubleType()), StructField("rank", IntegerType())])
+        return rows.sparkSession.createDataFrame([], nothing)
+    found = rows.select(key, *[r.name for r in encoding.roles]).mapInArrow(run, schema)
+    scored = F.zip_with("raw", "n", lambda s, n: F.struct((-F.round(s, 9)).alias("down"), n.alias("n")))
+    ranked = found.select("query", F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("at", "s"))
+    return ranked.select("query", (-F.col("s.down")).alias("score"), F.col("s.n").alias("n"), (F.col("at") + 1).alias("rank")).join(
+        F.broadcast(entries), "n"
+    ).select("query", "candidate", "score", "rank")
+
+
+def _comparable(value):
+    return value.encode() if isinstance(value, str) else 0 if value is None else value

@@ -46,6 +46,14 @@ def _literal(rows: list[Row]) -> Column:
     return F.from_json(F.lit(json.dumps([r.asDict() for r in ordered])), RULE_TYPE)
 
 
+def _by_word(rows: list[Row]) -> Column:
+    """The rules of each word, in list order, as one map."""
+    found: dict[str, list[dict]] = {}
+    for r in sorted(dict.fromkeys(rows), key=lambda r: r["ordinal"]):
+        found.setdefault(r["pattern"], []).append(r.asDict())
+    return F.from_json(F.lit(json.dumps(found)), f"map<string,{RULE_TYPE}>")
+
+
 def _hit(rule: Column, pos: Column) -> Column:
     return F.struct(
         pos.cast("int").alias("pos"),
@@ -90,15 +98,13 @@ def word_hits(df: DataFrame, key: str, tokens: Column, rules: DataFrame, name: s
         if not rows:
             return df.withColumn(name, F.array().cast(HIT_TYPE))
         words = sorted({r["pattern"] for r in rows})
-        table = _literal(rows)
+        table = _by_word(rows)
         placed = F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
         known = F.filter(placed, lambda p: p["w"].isin(words))
         hits = F.flatten(
             F.transform(
                 known,
-                lambda p: F.transform(
-                    F.filter(table, lambda r: r["pattern"] == p["w"]), lambda r: _hit(r, p["i"])
-                ),
+                lambda p: F.transform(F.element_at(table, p["w"]), lambda r: _hit(r, p["i"])),
             )
         )
         return df.withColumn(name, hits)

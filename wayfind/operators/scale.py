@@ -38,6 +38,12 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
     return few["n"] <= max_rows and (few["w"] or 0) <= max_bytes
 
 
+def checked_literals(df: DataFrame, max_rows: int) -> list | None:
+    """The values of a table's only column, if they are at most ``max_rows``: for a list of literals in the plan."""
+    rows = rows_if_small(df, max_rows)
+    return None if rows is None else [r[0] for r in rows]
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int = 5_000_000) -> DataFrame:
     """Keys that hold more than a task's share of the rows (fewer than 1000), and in ``_salts`` how many shares."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

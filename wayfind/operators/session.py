@@ -108,24 +108,47 @@ def called_before(calls: DataFrame, key: str, func: str, position: str) -> DataF
 def history(utterances: DataFrame, key: str, position: str, value: Column, block: int = BLOCK) -> DataFrame:
     """What was said before each turn of a conversation, in ``recent``, whatever its length.
 
-    The turn's own block of ``block`` turns is a window; the full blocks before
-    it are gathered once each and put in front.  Positions count from 1.
+    The turn's own block of ``block`` turns is a window.  Each block has one row
+    with all that was said before it, which its turns join on conversation and
+    block, so that a long conversation is spread over tasks.  Positions count
+    from 1, without gaps.
     """
-    placed = utterances.withColumn("_block", F.floor((F.col(position) - 1) / block))
+    placed = utterances.withColumn("_block", F.floor((F.col(position) - 1) / block).cast("bigint"))
     before = Window.partitionBy(key, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_own", F.collect_list(value).over(before))
-    full = history_blocks(utterances, key, position, value, block).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("block", "values"))).alias("_full")
-    )
-    joined = placed.join(full, key, "left")
-    earlier = F.flatten(F.transform(F.filter("_full", lambda b: b["block"] < F.col("_block")), lambda b: b["values"]))
-    return joined.withColumn("recent", F.concat(earlier, "_own")).drop("_block", "_own", "_full")
+    last = utterances.agg(F.max(position)).first()[0] or 0
+    if last <= block:
+        return placed.withColumnRenamed("_own", "recent").drop("_block")
+    chain = prefix_chain(history_blocks(utterances, key, position, value, block), key, -(-last // block))
+    chain = chain.select(key, F.col("block").alias("_block"), F.col("before").alias("_before"))
+    joined = placed.join(chain, [key, "_block"], "left")
+    earlier = F.coalesce("_before", F.array().cast(placed.schema["_own"].dataType))
+    return joined.withColumn("recent", F.concat(earlier, "_own")).drop("_block", "_own", "_before")
+
+
+def prefix_chain(blocks: DataFrame, key: str, longest: int) -> DataFrame:
+    """``(key, block, before)``: the values of all earlier blocks, for the blocks numbered 0 to ``longest`` - 1.
+
+    Every round puts in front of a block's values those that end where they
+    begin, so the reach doubles; all rounds join on key and block.
+    """
+    chain = blocks.select(key, (F.col("block") + 1).alias("block"), F.col("values").alias("before"))
+    reach = 1
+    while reach < longest:
+        chain = checkpointed(chain)
+        earlier = chain.select(key, (F.col("block") + reach).alias("block"), F.col("before").alias("_earlier"))
+        chain = chain.join(earlier, [key, "block"], "left")
+        front = F.coalesce("_earlier", F.slice("before", 1, 0))
+        chain = chain.select(key, "block", F.concat(front, "before").alias("before"))
+        reach *= 2
+    return chain
 
 
 def history_blocks(utterances: DataFrame, key: str, position: str, value: Column, block: int = BLOCK) -> DataFrame:
     number = F.floor((F.col(position) - 1) / block).cast("bigint").alias("block")
     rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), value.alias("v"))))
-    return utterances.groupBy(key, number).agg(F.transform(rows, lambda r: r["v"]).alias("values"))
+    said = F.filter(F.transform(rows, lambda r: r["v"]), lambda v: v.isNotNull())
+    return utterances.groupBy(key, number).agg(said.alias("values"))
 
 
 def holdout(turns: DataFrame, added: DataFrame, key: str, position: str, query: str, split_on: Column,

@@ -108,19 +108,32 @@ mk AS (SELECT func, token, r, row_number() OVER (PARTITION BY func ORDER BY r) A
 ml AS (SELECT func, string_agg(token, ' ' ORDER BY rank) AS m FROM mk WHERE rank <= 8 GROUP BY func)"""
 
 
-@query("b03_exemplars", f"""
-WITH {CATALOG}, {MINED_TOP},
+B03 = f"""
+WITH {CATALOG}, {{mined}},
 ds AS (SELECT df.*, {Q.joined('diff')} AS d, m FROM df LEFT JOIN ml USING (func)),
 dn AS (SELECT func, string_agg(w, ' ' ORDER BY i) AS nd FROM (SELECT func, w, min(i) AS i FROM (SELECT func, unnest(list_concat(nt, diff)) AS w, generate_subscripts(list_concat(nt, diff), 1) AS i FROM df) GROUP BY func, w) GROUP BY func)
 SELECT cls AS class_name, cls || '.' || func AS function_name, func AS raw_name, action, 'none' AS target, {Q.joined('nt')} AS function_name_bow, lang || ' text' AS parameters_bow, v AS variant,
  CASE v WHEN 1 THEN concat(action, ' ', d, ' ', d, ' ', d, ' ', lang) WHEN 2 THEN concat(action, ' ', nd, ' ', nd, ' ', lang)
   ELSE CASE WHEN m IS NOT NULL THEN concat(action, ' ', m, ' ', m, ' ', d, ' ', lang) ELSE concat(action, ' ', lang, ' text ', d, ' ', d, ' ', lang) END END AS description
 FROM ds LEFT JOIN dn USING (func), (VALUES (1), (2), (3)) x(v)
-""")
+"""
+
+
+@query("b03_exemplars", B03.replace("{mined}", MINED_TOP))
 def b03(t):
     return B.exemplars(document_catalog(t), document_queries(t), "ord", top=(10, 15, 8))
 
 
+def _uncapped(sql):
+    return sql.replace("WHERE r <= 15 AND NOT EXISTS", "WHERE NOT EXISTS").replace(" WHERE rank <= 8", "")
+
+
+@query("b03_exemplars_all", B03.replace("{mined}", _uncapped(MINED_TOP)))
+def b03_all(t):
+    """The same from all queries and all their tokens."""
+    return B.exemplars(document_catalog(t), document_queries(t), "ord")
+
+
 @query("b04_test_pairs", f"""
 WITH {TURNS}, m AS (SELECT func, query, event_id FROM tq JOIN tc USING (user_id, day)),
 d AS (SELECT func, lower(trim(query)) AS n, arg_min(trim(query), event_id) AS query, min(event_id) AS f FROM m GROUP BY ALL)
@@ -177,7 +190,24 @@ def b06_all(t):
 def pattern_exemplars(t, variants=9):
     turns = patterned(t)
     votes = M.vote(turns.select("pattern", "domain", (F.col("user_id") * 100_000 + F.col("day")).alias("o")), "pattern", "domain", "o")
-    return B.pattern_exemplars(turns, "ord", votes, variants)
+    return B.pattern_exemplars(turns, "ord", votes, variants, F.col("candidate_order.user_id"))
+
+
+def encoded_exemplars(t, variants):
+    ex = pattern_exemplars(t, variants).withColumn("key", F.concat("pattern", F.lit("__v"), "variant"))
+    enc = E.encode_exemplars(ex, "key")
+    return enc.select("key", "action", "target", *[F.array_join(F.array_sort(c), " ").alias(c) for c in ("function_name", "description", "parameters")])
+
+
+ENCODED_EXEMPLARS = """
+SELECT pattern || '__v' || variant AS key, action, target, array_to_string(list_sort(list_distinct(string_split(function_name_bow, ' '))), ' ') AS function_name,
+ array_to_string(list_sort(list_distinct(string_split(description, ' '))), ' ') AS description, array_to_string(list_sort(list_distinct(string_split(parameters_bow, ' '))), ' ') AS parameters FROM ex
+"""
+
+
+@query("e06_encode_exemplars_all", f"WITH {TURNS}, {_pattern_sql().replace(' WHERE r <= 9', '')} {ENCODED_EXEMPLARS}")
+def e06_all(t):
+    return encoded_exemplars(t, None)
 
 
 @query("b07_pattern_tests", f"WITH {TURNS} SELECT query, pattern AS expected, 'c' || (user_id % 4) AS category, 'u' || user_id AS entry_id, day AS turn_idx FROM pt")
@@ -214,15 +244,9 @@ def b09(t):
     return B.task_sequence(best, tasks)
 
 
-@query("e06_encode_exemplars", f"""
-WITH {TURNS}, {_pattern_sql()}
-SELECT pattern || '__v' || variant AS key, action, target, array_to_string(list_sort(list_distinct(string_split(function_name_bow, ' '))), ' ') AS function_name,
- array_to_string(list_sort(list_distinct(string_split(description, ' '))), ' ') AS description, array_to_string(list_sort(list_distinct(string_split(parameters_bow, ' '))), ' ') AS parameters FROM ex
-""")
+@query("e06_encode_exemplars", f"WITH {TURNS}, {_pattern_sql()} {ENCODED_EXEMPLARS}")
 def e06(t):
-    ex = pattern_exemplars(t).withColumn("key", F.concat("pattern", F.lit("__v"), "variant"))
-    enc = E.encode_exemplars(ex, "key")
-    return enc.select("key", "action", "target", *[F.array_join(F.array_sort(c), " ").alias(c) for c in ("function_name", "description", "parameters")])
+    return encoded_exemplars(t, 9)
 
 
 _TOK = Q.tokenize("query", W.STOP_WORDS + W.PATTERN_EXTRA_STOP_WORDS)
@@ -239,7 +263,19 @@ WITH {TURNS}, {_pattern_sql()}, {PATTERN_ROLES}, {Q.all_scores(E.pattern_encodin
 """)
 def e04(t):
     """Match each distinct query to the pattern exemplars."""
-    ex = pattern_exemplars(t).withColumn("key", F.concat("pattern", F.lit("__v"), "variant"))
+    return pattern_scores(t, 9)
+
+
+@query("e04_pattern_scores_all", f"""
+WITH {TURNS}, {_pattern_sql().replace(' WHERE r <= 9', '')}, {PATTERN_ROLES}, {Q.all_scores(E.pattern_encoding())} {Q.top_k(3)}
+""")
+def e04_all(t):
+    """The same with the exemplars of all queries of a pattern."""
+    return pattern_scores(t, None)
+
+
+def pattern_scores(t, variants):
+    ex = pattern_exemplars(t, variants).withColumn("key", F.concat("pattern", F.lit("__v"), "variant"))
     # Mining costs far more than its result: keep the encoded exemplars.
     catalog = checkpointed(E.encode_exemplars(ex, "key", with_domain=True))
     queries = turn_queries(t).select("query", "action", "target", "domain").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfind.functions import text as X
 from wayfind.functions import words as W
+from wayfind.operators import contain as H
 from wayfind.operators import evaluate as K
 from wayfind.operators import features as E
 from wayfind.operators import retrieval as P
@@ -91,6 +92,18 @@ def k06(t):
     return K.contains_any(pairs, "doc_id", F.col("text"), F.col("truth"))
 
 
+@query("k06_contains_all", f"""
+WITH d AS (SELECT doc_id, {_plain('text')} AS r FROM documents), b AS (SELECT item_id, {_plain('text')} AS w FROM benchmark)
+SELECT doc_id, count(*) FILTER (WHERE w <> '' AND contains(r, w)) AS found, bool_or(w <> '' AND contains(r, w)) AS contained FROM d, b GROUP BY doc_id
+""")
+def k06_all(t):
+    """Every benchmark text against every document."""
+    pairs = H.contained_in(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+    found = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"))
+    rows = t.documents.select("doc_id").join(found, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("found", F.lit(0)).alias("found"), F.col("found").isNotNull().alias("contained"))
+
+
 @query("k07_eval_retrieval", f"""
 WITH {ANSWERS} SELECT item_id AS query, {_plain('text')} <> '' AND contains({_plain("coalesce(answer, '')")}, {_plain('text')}) AS contained FROM benchmark LEFT JOIN answers ON query = item_id
 """)

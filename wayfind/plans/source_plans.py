@@ -5,6 +5,8 @@ Files go to a new folder next to the cluster's checkpoints.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from wayfind.config import shared_folder
@@ -66,8 +68,7 @@ def s02(t):
 def s03(t):
     path = shared_folder(t.spark)
     J.write_jsonl(t.events.select("event_id", "value", "event_type"), path, "event_type")
-    kinds = [r[0] for r in t.events.select("event_type").distinct().collect()]  # one folder per category
-    return J.read_categories(t.spark, {k: f"{path}/event_type={k}" for k in kinds}, "event_id bigint, value double")
+    return J.read_categories(t.spark, J.list_categories(t.spark, path, "event_type"), "event_id bigint, value double")
 
 
 def entries(t):
@@ -299,6 +300,18 @@ def _shuffled(t, key, files=3):
     return io.file_stream(t.spark, path, t.events.schema, files_per_trigger=1)
 
 
+@contextmanager
+def keyed_state(spark):
+    """The RocksDB state store, for the streams started inside."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, sessions.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
 @query("r01_route_stream", f"""
 WITH q AS (SELECT conv_id || '-' || turn AS key, {Q.bag_items(Q.tokenize('text'))} AS words FROM conversations WHERE role = 'user'),
 c AS (SELECT item_id AS key, {Q.bag_items(Q.tokenize('text'))} AS words FROM benchmark), {Q.all_scores(E.MEMORY)} {Q.top_k(2)}
@@ -306,7 +319,7 @@ c AS (SELECT item_id AS key, {Q.bag_items(Q.tokenize('text'))} AS words FROM ben
 def r01(t):
     spoken = _stream(t, "conversations").where("role = 'user'").select(
         F.concat_ws("-", "conv_id", "turn").alias("key"), X.bag_items(X.tokenize(F.col("text"))).alias("words"))
-    path = routes.route_stream(spoken, benchmark_words(t), E.MEMORY, "key", "item_id", 2, shared_folder(t.spark))
+    path = routes.route_stream(spoken, lambda: benchmark_words(t), E.MEMORY, "key", "item_id", 2, shared_folder(t.spark))
     return t.spark.read.parquet(path).drop("batch")
 
 
@@ -317,15 +330,10 @@ SELECT cb.user_id AS conversation, cb.event_id AS call, cb.turn, {Q.joined('path
 """)
 def r02(t):
     """The calls come in files that are not in the order of their times."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(provider)
     calls = _shuffled(t, "event_id").select(F.col("user_id").alias("conversation"), "event_id", "ts", F.col("event_type").alias("func"), folder().alias("folder"))
     place = shared_folder(t.spark)
-    t.spark.conf.set(provider, sessions.ROCKSDB)
-    try:
+    with keyed_state(t.spark):
         io.drain(sessions.session_stream(calls), place, lambda b, n: io.replace_batch(b, n, f"{place}/state"))
-    finally:
-        t.spark.conf.set(provider, before)
     return sessions.current(t.spark.read.parquet(f"{place}/state"))
 
 
@@ -335,7 +343,8 @@ SELECT event_type, count(*) AS total, CAST(sum(CAST(value < 10 AS INTEGER)) AS B
 def r03(t):
     """The results come in files that are not in the order of their times."""
     results = _shuffled(t, "event_id").select("event_id", "event_type", (F.col("value") < 10).alias("ok"), "value")
-    path = metrics.metrics_stream(results, "event_id", "event_type", "ok", "value", shared_folder(t.spark))
+    with keyed_state(t.spark):
+        path = metrics.metrics_stream(results, "event_id", "event_type", "ok", "value", shared_folder(t.spark))
     report = metrics.report(t.spark.read.parquet(path), "event_type", "ok", "value")
     return report.withColumn("mean", F.round("mean", 6))
 

@@ -35,16 +35,27 @@ def refresh_classes(df: DataFrame, path: str, by: str = "class_dir") -> None:
 
 def upsert_catalog(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], version: str = "version",
                    by: str = "class_dir") -> None:
-    """Upsert into the stored table: rewrite the touched classes only.
+    """Upsert into the stored table by copy on write: only files that hold an updated key are written anew.
 
-    The merged rows are staged as a table next to the catalog before the
-    partitions they were read from are replaced.
+    The files are found by a semi-join of the table's keys with the updates, so
+    nothing but their names reaches the driver.  The merged rows are staged next
+    to the catalog and appended before the files they were read from are
+    deleted.  If the job stops between the two, keys are there twice; the same
+    upsert again finds both files and leaves the last version of each.
     """
-    classes = [r[0] for r in updates.select(by).distinct().collect()]
-    touched = spark.read.parquet(path).where(F.col(by).isin(classes))
+    table = spark.read.parquet(path)
+    columns = table.columns
+    named = table.select(*keys, F.col("_metadata.file_path").alias("_file"))
+    touched = [r[0] for r in named.join(updates.select(*keys).distinct(), list(keys), "left_semi").select("_file").distinct().collect()]
+    reads = spark.read.option("basePath", path).schema(table.schema)
+    old = reads.parquet(*touched).select(*columns) if touched else table.limit(0)
     staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
-    upsert(touched, updates.select(*touched.columns), keys, version).write.partitionBy(by).parquet(staged)
-    refresh_classes(spark.read.parquet(staged), path, by)
+    upsert(old, updates.select(*columns), keys, version).write.partitionBy(by).parquet(staged)
+    spark.read.schema(table.schema).parquet(staged).write.mode("append").partitionBy(by).parquet(path)
+    for name in touched:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(name))
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, False)
+    spark.catalog.refreshByPath(path)
 
 
 def read_catalog(spark: SparkSession, path: str, classes: Sequence[str] | None = None, by: str = "class_dir") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +31,53 @@ def read_ragged(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_slice(df: DataFrame, order: str, n: int, offset: int = 0) -> DataFrame:
-    """``n`` entries after the first ``offset``, in a fixed order."""
-    return df.orderBy(order).offset(offset).limit(n)
+    """``n`` entries after the first ``offset``, in a fixed order.
+
+    The order is cut into ranges, one per shuffle partition, whose rows are
+    counted.  Ranges before the offset are skipped whole; only the ranges that
+    the slice touches are read again and cut at its edges.
+    """
+    place = F.struct(order)
+    ranged = df.select(place.alias("_at")).repartitionByRange("_at").groupBy(F.spark_partition_id().alias("_part"))
+    ranges = ranged.agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low"), F.max("_at").alias("high"))
+    told = ranges.orderBy("low").collect()  # one row per range
+    skipped, touched = 0, []
+    for r in told:
+        if not touched and skipped + r["n"] <= offset:
+            skipped += r["n"]
+        elif not touched or skipped + sum(x["n"] for x in touched) < offset + n:
+            touched.append(r)
+    if not touched:
+        return df.limit(0)
+    edges = df.sparkSession.createDataFrame([(touched[0]["low"], touched[-1]["high"])], T.StructType([
+        T.StructField("_low", ranges.schema["low"].dataType), T.StructField("_high", ranges.schema["high"].dataType)]))
+    # One row of edges beside every row: a lookup of one row, not a join of two tables.
+    inside = df.withColumn("_one", F.lit(1)).join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one")
+    inside = inside.where((place >= F.col("_low")) & (place <= F.col("_high"))).select(*[F.col(f"`{c}`") for c in df.columns])
+    return inside.orderBy(order).offset(offset - skipped).limit(n)
 
 
 def read_categories(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType | str) -> DataFrame:
-    """One file per category, with the category as a column."""
-    parts = [read_jsonl(spark, path, schema).withColumn("category", F.lit(name)) for name, path in paths.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """One file or folder per category, with the category as a column, in one scan of all."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    names = []
+    for name, path in paths.items():
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        whole = place.getFileSystem(conf).makeQualified(place).toUri().toString()
+        names += [F.lit(re.sub("^file:/+", "file:/", whole)), F.lit(name)]
+    table = F.create_map(*names)
+    read = spark.read.schema(schema).json(list(paths.values()))
+    # Some file systems are told with more slashes than others.
+    file = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+    return read.withColumn("category", F.coalesce(F.element_at(table, file), F.element_at(table, F.regexp_replace(file, "/[^/]*$", ""))))
+
+
+def list_categories(spark: SparkSession, path: str, by: str) -> dict[str, str]:
+    """The folders ``by=value`` below ``path``, by value, from the file system's listing."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    found = [f.getPath() for f in listed if f.isDirectory() and f.getPath().getName().startswith(f"{by}=")]
+    return {unquote(p.getName().split("=", 1)[1]): p.toString() for p in found}
 
 
 def write_jsonl(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:

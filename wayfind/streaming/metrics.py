@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wayfind.operators import metrics as M
 from wayfind.sources import catalog as C
 from wayfind.streaming.io import drain, replace_batch
 
 
+class Once(StatefulProcessor):
+    """Lets the first delivery of an entry pass; all that is kept of an entry is that it was there."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Null sorts first, and False before True.
+        least = min(rows, key=lambda r: [(x is not None, x if x is not None else 0) for x in (r["category"], r["correct"], r["latency"])])
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield Row(category=least["category"], correct=least["correct"], latency=least["latency"])
+
+    def close(self) -> None:
+        pass
+
+
 def metrics_stream(results: DataFrame, entry: str, category: str, correct: str, latency: str, folder: str) -> str:
-    """Results as they complete, each entry once, in a table that grows by a part per batch.
+    """Results as they complete, each entry once, as counts per batch of ``(category, correct, latency)``.
 
-    An entry that is delivered again is known from the table, however late it
-    comes, so no result is dropped for its time and no state is held in memory.
+    Entries are keys of the state store (RocksDB, see :mod:`sessions`): a batch
+    looks up its own entries and reads nothing of what was written before.  Of
+    an entry that is delivered again, however late, the first batch's content
+    stays, and within one batch the least by category, correct and latency.
+    Results without an entry are one entry.
     """
     out = f"{folder}/results"
+    kinds = {f.name: f.dataType for f in results.schema.fields}
+    shape = T.StructType([T.StructField(n, kinds[c]) for n, c in (("category", category), ("correct", correct), ("latency", latency))])
+    told = results.select(F.col(entry).alias("entry"), F.col(category).alias("category"), F.col(correct).alias("correct"), F.col(latency).alias("latency"))
+    fresh = told.groupBy("entry").transformWithState(statefulProcessor=Once(), outputStructType=shape, outputMode="Append", timeMode="None")
 
     def each(batch: DataFrame, number: int) -> None:
-        fresh = batch.select(entry, category, correct, latency).dropDuplicates([entry])
-        if number:
-            known = batch.sparkSession.read.parquet(out).where(F.col("batch") < number).select(entry)
-            fresh = fresh.join(known, entry, "left_anti")
-        replace_batch(fresh, number, out)
+        counts = batch.groupBy("category", "correct", "latency").agg(F.count(F.lit(1)).alias("n"))
+        replace_batch(counts.select(F.col("category").alias(category), F.col("correct").alias(correct), F.col("latency").alias(latency), "n"), number, out)
 
-    drain(results, folder, each)
+    drain(fresh, folder, each)
     return out
 
 
-def report(results: DataFrame, category: str, correct: str, latency: str) -> DataFrame:
-    """Accuracy, mean and p95 of the results so far."""
-    counts = results.groupBy(category, correct, latency).agg(F.count(F.lit(1)).alias("n"))
+def report(counts: DataFrame, category: str, correct: str, latency: str) -> DataFrame:
+    """Accuracy, mean and p95 of the results so far, from the counts ``n`` of all batches."""
+    counts = counts.groupBy(category, correct, latency).agg(F.sum("n").alias("n"))
     sums = counts.groupBy(category).agg(
         F.sum("n").alias("total"), F.sum(F.when(F.col(correct), F.col("n")).otherwise(0)).alias("correct"),
         F.try_divide(F.sum(F.col(latency) * F.col("n")), F.sum("n")).alias("mean"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,70 +15,174 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from wayfind.sources.catalog import latest
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BLOCK = 512
+ROWS_OUT = 2_000
+NO_TIME = -(1 << 63)
 
 OUTPUT = T.StructType([
     T.StructField("conversation", T.LongType()),
+    T.StructField("block", T.StringType()),
     T.StructField("call", T.LongType()),
+    T.StructField("version", T.LongType()),
     T.StructField("turn", T.LongType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("called", T.StringType()),
+    T.StructField("pops", T.IntegerType()),
+    T.StructField("path", T.ArrayType(T.StringType())),
+    T.StructField("called", T.ArrayType(T.StringType())),
 ])
 
 
+class Change:
+    """Levels left, levels entered, functions called and number of calls: of a run of calls, or of all before a block."""
+
+    def __init__(self, n: int = 0, pops: int = 0, path: list[str] | None = None, called: set[str] | None = None):
+        self.n, self.pops, self.path, self.called = n, pops, path or [], called or set()
+
+    def call(self, func: str | None, folder: str | None) -> None:
+        self.n += 1
+        if folder == "..":
+            if self.path:
+                self.path = self.path[:-1]
+            else:
+                self.pops += 1
+        elif folder and folder != ".":
+            self.path = [*self.path, folder]
+        if func is not None:
+            self.called = self.called | {func}
+
+    def then(self, later: Change) -> Change:
+        """Both in a row."""
+        left = max(0, later.pops - len(self.path))
+        path = self.path[:len(self.path) - later.pops] if left == 0 else []
+        return Change(self.n + later.n, self.pops + left, path + later.path, self.called | later.called)
+
+    def told(self) -> tuple:
+        return (self.n, self.pops, json.dumps(self.path), json.dumps(sorted(self.called)))
+
+    @classmethod
+    def of(cls, value: tuple) -> Change:
+        return cls(value[0], value[1], json.loads(value[2]), set(json.loads(value[3])))
+
+
 class Sessions(StatefulProcessor):
     """Working path, functions called before, and number of calls, in the order of the calls' times.
 
-    The state is a conversation's calls.  Calls that arrive late take their place
-    in the order, and every call from there on is told again.
+    A conversation's calls lie in blocks of about ``BLOCK`` in the order of their
+    times, each with a summary that composes.  A call is told relative to its
+    block; of a block, what all calls before it come to.  A late call opens only
+    its own block, and renews the totals of the later ones from their summaries.
     """
 
-    def __init__(self, ttl_ms: int | None = None):
+    def __init__(self, ttl_ms: int | None = None, block: int = BLOCK):
         self.ttl_ms = ttl_ms
+        self.block = block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        call = T.StructType([
-            T.StructField("at", T.LongType()), T.StructField("event_id", T.LongType()),
-            T.StructField("func", T.StringType()), T.StructField("folder", T.StringType()),
-        ])
-        self.calls = handle.getListState("calls", call, self.ttl_ms)
+        # Where each block begins, in order: three numbers or names per block, whatever its calls.
+        self.order = handle.getValueState("order", "version bigint, blocks string", self.ttl_ms)
+        self.calls = handle.getMapState("calls", "block string", "calls string", self.ttl_ms)
+        self.sums = handle.getMapState("sums", "block string", "n bigint, pops int, path string, called string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [c for part in rows for c in part[["at", "event_id", "func", "folder"]].itertuples(index=False, name=None)]
-        first = min(c[:2] for c in new)
-        path: list[str] = []
-        called: set[str] = set()
-        out = []
-        calls = sorted([*self.calls.get(), *new], key=lambda c: tuple(c[:2]))
-        for turn, (at, event_id, func, folder) in enumerate(calls, 1):
-            if folder == "..":
-                path = path[:-1]
-            elif folder and folder != ".":
-                path = [*path, folder]
-            if (at, event_id) >= first:
-                out.append((key[0], event_id, turn, "/".join(path), "|".join(sorted(called))))
-            called.add(func)
-        self.calls.appendList(new)
-        yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
+        version, blocks = 0, []
+        if self.order.exists():
+            version, told = self.order.get()
+            blocks = json.loads(told)
+        first = None
+        for part in rows:
+            new = sorted(part[["at", "event_id", "func", "folder"]].itertuples(index=False, name=None), key=lambda c: (c[0], c[1]))
+            places: dict[int, list] = {}
+            for c in new:
+                places.setdefault(max(0, bisect_right(blocks, [int(c[0]), int(c[1]), "\U0010ffff"]) - 1), []).append(c)
+            for place in sorted(places, reverse=True):  # from the end, so that places before stay as they are
+                version += 1
+                pieces = self._placed(blocks[place][2] if blocks else None, places[place], version)
+                # The first block also holds what comes before its first call.
+                blocks[place:place + 1] = [[int(calls[0][0]), int(calls[0][1]), name] for name, calls in pieces]
+                low = blocks[place][:2]
+                first = low if first is None else min(first, low)
+                out = [row for name, calls in pieces for row in self._told(key[0], name, calls, version)]
+                for a in range(0, len(out), ROWS_OUT):
+                    yield self._frame(out[a:a + ROWS_OUT])
+        version += 1
+        before, out = Change(), []
+        for at, event, name in blocks:
+            if [at, event] >= first:
+                out.append((key[0], name, None, version, before.n, 0, before.path, sorted(before.called)))
+            before = before.then(Change.of(self.sums.getValue((name,))))
+            if len(out) >= ROWS_OUT:
+                yield self._frame(out)
+                out = []
+        self.order.update((version, json.dumps(blocks)))
+        yield self._frame(out)
+
+    def _placed(self, name: str | None, new: list, version: int) -> list[tuple[str, list]]:
+        """The block with the new calls in it, in pieces if it has become long; a call that comes again takes its own place."""
+        held = json.loads(self.calls.getValue((name,))[0]) if name else []
+        merged = {(int(c[0]), int(c[1])): (c[2], c[3]) for c in held}
+        for at, event, func, folder in new:
+            merged[int(at), int(event)] = (func if isinstance(func, str) else None, folder if isinstance(folder, str) else None)
+        calls = [(*at, *merged[at]) for at in sorted(merged)]
+        size = self.block if len(calls) > 2 * self.block else len(calls)
+        pieces = []
+        for a in range(0, len(calls), size):
+            part = calls[a:a + size]
+            # A name is never used twice: by the call that opens the block, and the version.
+            own = name if a == 0 and name else f"{part[0][1]}.{version}.{a}"
+            change = Change()
+            for _, _, func, folder in part:
+                change.call(func, folder)
+            self.calls.updateValue((own,), (json.dumps(part),))
+            self.sums.updateValue((own,), change.told())
+            pieces.append((own, part))
+        return pieces
+
+    @staticmethod
+    def _told(conversation: int, name: str, calls: list, version: int) -> Iterator[tuple]:
+        change = Change()
+        for _, event, func, folder in calls:
+            called = sorted(change.called)
+            change.call(func, folder)
+            yield (conversation, name, event, version, change.n, change.pops, change.path, called)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=[f.name for f in OUTPUT.fields])
+        return frame.astype({"call": "Int64", "version": "int64", "turn": "int64", "pops": "int32"})
 
     def close(self) -> None:
         pass
 
 
-def session_stream(calls: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """State after every call of ``calls(conversation, event_id, ts, func, folder)``.
+def session_stream(calls: DataFrame, ttl_ms: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Changes after every call of ``calls(conversation, event_id, ts, func, folder)``, and totals of blocks.
 
-    A call is told again when an earlier one arrives after it: per call the row
-    of the latest batch holds, see :func:`current`.
-    Needs the RocksDB state store (see :data:`ROCKSDB`).  ``ttl_ms`` drops the
-    state of conversations that have gone quiet.
+    A call's row is relative to its block, and the row of a block (without
+    ``call``) says what comes before it; :func:`current` puts the latest of both
+    together.  A call without a time comes before all others, one that is
+    delivered again replaces itself.  Needs the RocksDB state store (see
+    :data:`ROCKSDB`).  ``ttl_ms`` drops the state of conversations that have gone quiet.
     """
-    calls = calls.select("conversation", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "func", "folder")
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NO_TIME))
+    calls = calls.select("conversation", "event_id", at.alias("at"), "func", "folder")
     return calls.groupBy("conversation").transformWithStateInPandas(
-        statefulProcessor=Sessions(ttl_ms), outputStructType=OUTPUT, outputMode="Append",
+        statefulProcessor=Sessions(ttl_ms, block), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )
 
 
 def current(states: DataFrame) -> DataFrame:
-    """The latest state of every call, from the rows of all batches."""
-    return latest(states, ["conversation", "call"], ["batch"]).drop("batch")
+    """The state after every call, from the rows of all batches: ``(conversation, call, turn, path, called)``.
+
+    Calls meet the totals of their own block, so a long conversation is spread
+    over tasks.
+    """
+    order = ["batch", "version"]
+    calls = latest(states.where(F.col("call").isNotNull()), ["conversation", "call"], order)
+    totals = latest(states.where(F.col("call").isNull()).drop("call", "pops"), ["conversation", "block"], order)
+    before = totals.select("conversation", "block", F.col("turn").alias("_n"), F.col("path").alias("_path"), F.col("called").alias("_called"))
+    joined = calls.join(before, ["conversation", "block"])
+    kept = F.slice("_path", F.lit(1), F.greatest(F.size("_path") - F.col("pops"), F.lit(0)))
+    return joined.select(
+        "conversation", "call", (F.col("_n") + F.col("turn")).alias("turn"), F.array_join(F.concat(kept, "path"), "/").alias("path"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("_called", "called"))), "|").alias("called"),
+    )
