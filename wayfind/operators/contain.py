@@ -39,7 +39,7 @@ def contained_in(texts: DataFrame, key: str, text: str, wanted: DataFrame, wante
     """
     plain = wanted.select(F.col(wanted_key).alias("_w"), X.comparable(F.col(wanted_text)).alias("_wanted")).where(F.length("_wanted") > 0)
     words = _words(F.col("_wanted"))
-    inner = plain.where(F.size(words) >= RUN + 2).withColumn("_inner", F.slice(words, F.lit(2), F.size(words) - 2))
+    inner = plain.where(F.size(words) >= RUN + 2).withColumn("_inner", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
     long = inner.withColumn("_runs", runs("_inner")).drop("_inner")
     told = texts.select(F.col(key).alias("_k"), X.comparable(F.col(text)).alias("_text"))
     by_run = _by_run(told, long, inline_keys)

@@ -116,8 +116,9 @@ def encode_functions(catalog: DataFrame, key: str, verbs: DataFrame, nouns: Data
         catalog.withColumn("_desc", desc)
         .withColumn("_last", F.when(dotted, last).otherwise(""))
         .withColumn("_full", full)
-        .withColumn("_action_words", X.intent_words(F.concat_ws(" ", "_last", "_full", start)))
-        .withColumn("_target_words", X.intent_words(F.concat_ws(" ", F.when(dotted, F.col("_last")).otherwise(F.col("_full")), start)))
+        .withColumn("_desc_words", X.intent_words(start))  # the long part, cut into words once for both
+        .withColumn("_action_words", F.concat(X.intent_words(F.concat_ws(" ", "_last", "_full")), "_desc_words"))
+        .withColumn("_target_words", F.concat(X.intent_words(F.concat_ws(" ", F.when(dotted, F.col("_last")).otherwise(F.col("_full")))), "_desc_words"))
     )
     df = R.word_hits(df, key, F.col("_action_words"), verbs, "_verbs")
     df = R.word_hits(df, key, F.col("_target_words"), nouns, "_nouns")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from wayfind.operators.features import Encoding
+from wayfind.operators.scale import local_table
 
 MAX_QUERIES = 4_096
 MAX_POSTINGS = 200_000
@@ -296,8 +297,9 @@ def raw_top_k(side: QuerySide, catalog: DataFrame, encoding: Encoding, keys: Seq
     needed = catalog.select(*names, *[r.name for r in encoding.roles])
     found = needed.mapInArrow(run, schema)
     # Query numbers become keys again: as many rows as there are queries.
-    numbers = catalog.sparkSession.createDataFrame(
-        [(n, key) for n, key in enumerate(side.keys)], StructType([StructField("_q", LongType()), StructField("query", query_type)])
+    numbers = local_table(
+        catalog.sparkSession, [{"_q": n, "query": key} for n, key in enumerate(side.keys)],
+        StructType([StructField("_q", LongType()), StructField("query", query_type)]),
     )
     return found.join(F.broadcast(numbers), "_q").select("query", *names, "raw")
 
@@ -335,8 +337,9 @@ def best_entries(side: QuerySide, rows: DataFrame, encoding: Encoding, key: str,
                     names=["query", "raw", "n"],
                 )
 
-    entries = rows.sparkSession.createDataFrame(
-        [(int(place[n]), value) for n, value in enumerate(side.keys)], StructType([StructField("n", LongType()), StructField("candidate", entry_type)])
+    entries = local_table(
+        rows.sparkSession, [{"n": int(place[n]), "candidate": value} for n, value in enumerate(side.keys)],
+        StructType([StructField("n", LongType()), StructField("candidate", entry_type)]),
     )
     if not most:
         nothing = StructType([StructField("query", fields[key]), StructField("candidate", entry_type), StructField("score", DoubleType()), StructField("rank", IntegerType())])

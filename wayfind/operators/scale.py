@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+import pyarrow as pa
+from pyspark.errors import PySparkTypeError
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 BROADCAST_ROWS = 200_000
 
@@ -25,7 +29,24 @@ def hold_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     A larger one is returned as it is.
     """
     rows = rows_if_small(df, max_rows)
-    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return df if rows is None else F.broadcast(local_table(df.sparkSession, [r.asDict() for r in rows], df.schema))
+
+
+def local_table(spark: SparkSession, rows: list[dict], schema: StructType) -> DataFrame:
+    """A few rows of the driver as a table that is read without a job; maps and the like go the usual way."""
+    try:
+        return spark.createDataFrame(pa.Table.from_pylist([_plain(r) for r in rows], schema=to_arrow_schema(schema)), schema)
+    except (pa.ArrowInvalid, pa.ArrowTypeError, PySparkTypeError):
+        return spark.createDataFrame([Row(**r) for r in rows], schema)
+
+
+def _plain(value):
+    """Rows inside rows as dictionaries."""
+    if isinstance(value, Row):
+        return {k: _plain(v) for k, v in value.asDict().items()}
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
 
 
 BROADCAST_BYTES = 128 << 20

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wayfind.functions import text as X
 from wayfind.functions import words as W
 from wayfind.operators import rules as R
+from wayfind.operators.scale import local_table
 from wayfind.plans import sqltext as Q
 from wayfind.plans.registry import query
 
@@ -25,8 +27,11 @@ def _word_rules(t, n):
         .orderBy(F.desc("n"), "pattern").limit(n)
     )
     # A rule table is kept as rows (here n): every use would count the words again.
-    rows = [(r["pattern"], f"a{i % 7}", f"c{i % 4}", i, 1 + i % 5) for i, r in enumerate(top.collect(), 1)]
-    return t.spark.createDataFrame(rows, "pattern string, canonical string, cls string, ordinal int, weight int")
+    rows = [
+        {"pattern": r["pattern"], "canonical": f"a{i % 7}", "cls": f"c{i % 4}", "ordinal": i, "weight": 1 + i % 5}
+        for i, r in enumerate(top.collect(), 1)
+    ]
+    return local_table(t.spark, rows, StructType.fromDDL("pattern string, canonical string, cls string, ordinal int, weight int"))
 
 
 CLASSES = ["c0", "c1", "c2", "c3"]
