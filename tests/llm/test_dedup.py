@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -262,6 +263,81 @@ def test_fingerprints_of_awkward_rows(spark):
     assert one[0]["near_next"] == 1.0
 
 
+def plain_fingerprint(text):
+    """The same from its definition: no sorting tricks, every start looked at by itself."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    hash_of = lambda raw, seed=42: xxhash.xxh64_intdigest(raw, seed)
+    long_hash = lambda x, seed=42: hash_of((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    padded = "\x01" * 9 + text
+    own = [hash_of(padded[k:k + 10].encode()) for k in range(len(text))] if text else [hash_of(b"")]
+    part, n = 1 << 59, len(own)
+    near = part if n <= 32 * 24 else int(float(part * 32 * 24) / n)
+    seen, numbers = defaultdict(int), []
+    for place, h in enumerate(own):
+        if h % part < near:
+            cut = h >> 24
+            seen[cut] += 1
+            value = (cut << 24) | place
+            if seen[cut] > 1:
+                run = signed(cut << 24) >> 24
+                value ^= (_pair(run, seen[cut] - 1, long_hash) & 31) << 59
+            numbers.append(value)
+    # numbers are compared as signed ones
+    ordered = sorted(map(signed, numbers))
+    out = []
+    for seed in range(32):
+        start = -(1 << 63) + seed * part
+        after = [v for v in ordered if v >= start] + [v for v in ordered if v < start]
+        places = sorted(v & (1 << 24) - 1 for v in (after * 2)[:2])  # a lone run counts twice
+        h = 42
+        for p in places:
+            h = long_hash(own[p], h)
+        out.append(h)
+    return "".join(f"{h:016x}" for h in out)
+
+
+def _pair(run, number, long_hash):
+    return xxhash.xxh64_intdigest((number & (1 << 32) - 1).to_bytes(4, "little"), long_hash(run))
+
+
+def test_fingerprints_are_those_of_their_definition(spark):
+    texts = ["", "a", "abc", "a" * 50, prose(40, 1), prose(300, 2), "na " * 400, prose(900, 3), "\U0001f600日本 " * 90, "x" * 3_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in collected(fingerprints.edited_fingerprints(docs))}
+    for k, text in enumerate(texts):
+        following = texts[k - 1]
+        half = len(text) // 2
+        edited = text[:len(text) - half] + following[:half]
+        own, changed = plain_fingerprint(text), plain_fingerprint(edited)
+        assert found[k]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert found[k]["fingerprint"] == own, k
+        assert found[k]["edited_fingerprint"] == changed, k
+        alike = lambda a, b: sum(a[i:i + 16] == b[i:i + 16] for i in range(0, len(a), 16)) / 32
+        assert found[k]["near_edited"] == alike(own, changed) and found[k]["near_next"] == alike(own, plain_fingerprint(following))
+
+
+def test_runs_of_edited_texts(spark):
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("ab \U0001f600é") for _ in range(n))
+    rows = [(word(n), word(m)) for n in (0, 1, 2, 5, 9, 10, 17, 18, 19, 20, 40) for m in (0, 1, 4, 8, 9, 10, 30)]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("n", F.length("a")).withColumn("h", F.floor(F.col("n") / 2).cast("int"))
+    df = df.withColumn("own", fingerprints.runs(F.col("a")))
+    edited = F.concat(F.expr("substring(a, 1, n - h)"), F.expr("substring(b, 1, h)"))
+    both = df.select(fingerprints.edited_runs(F.col("a"), F.col("b"), F.col("own"), F.col("n"), F.col("h")).alias("x"), fingerprints.runs(edited).alias("y"))
+    assert all(r.x == r.y for r in both.collect())
+
+
+def test_a_hot_id_is_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "TASK_ROWS", 5)
+    rows = [(7, prose(4, k)) for k in range(60)] + [(k, prose(4, 100 + k)) for k in range(30)] + [(None, prose(4, 200 + k)) for k in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    placed, _ = fingerprints.with_next(docs, "doc_id", "text")
+    assert placed.groupBy("bucket", "piece").count().agg(F.max("count")).first()[0] < 20
+    found = collected(placed.where("ghost = 0").select("id", "body", "next_body", "tie"))
+    order = sorted(found, key=lambda r: (r["id"] is None, -(r["id"] or 0), -r["tie"]))
+    assert [r["next_body"] for r in order] == [r["body"] for r in order[1:] + order[:1]]
+
+
 def test_likeness_falls_with_edits_and_with_moves(spark):
     words = prose(400, 6).split()
     moved = words[200:] + words[:200]

@@ -1,15 +1,15 @@
-"""Long passages that repeat across documents, by families of sparse suffix arrays.
-
-A document's suffixes are sampled where every 50-byte string agrees on one: the
-leftmost smallest hash of a 24-byte run inside the string picks the suffix it
-belongs to (its anchor).  Strings with one anchor lie next to each other; they
-make a stretch of 50 to 76 bytes, which its content names.  A batch of
-documents becomes an array of its stretches in the order of their suffixes'
-fingerprints; arrays are cut at fingerprint ranges (shards), so that each shard
-holds an index of its own.  The index is a logarithmic family: a new batch is
-scanned, in merge order, against each level for stretches that both have, the
-larger document id is marked, and levels of like size merge, so each stretch
-moves through few merges.
+"""Long passages that repeat across documents, by logarithmic families of sorted stretches.
+
+A document is sampled where every 50-byte string agrees on one place: the
+leftmost smallest hash of a 24-byte run inside the string is its anchor.
+Strings with one anchor lie next to each other; they make a stretch of 50 to 76
+bytes, which a hash of its content names.  A batch of documents becomes an array
+of its stretches, sorted by name; arrays are cut at ranges of the anchors'
+hashes (shards), so that each shard holds an index of its own.  The index is a
+logarithmic family: a new batch is looked up in each level, by equality of names,
+the larger document id of a stretch that both have is marked, and levels of
+like size merge, so each stretch moves through few merges.  There is no suffix
+order and no match length: a stretch that both have is the match.
 
 A stretch that an earlier document has whole is repeated whole.  Where an anchor
 has several stretches (the ends of a match), only the first document of each
@@ -121,7 +121,7 @@ class LevelFamily:
         self.levels: list[Run] = []
 
     def add(self, run: Run) -> tuple[np.ndarray, np.ndarray]:
-        """Scan a batch, sorted by name and without repeats, against all levels.
+        """Look up a batch, sorted by name and without repeats, in all levels.
 
         Returns (document, name) of all that turn out to repeat an earlier
         document, in the batch or in a level.
