@@ -37,6 +37,18 @@ def test_rows_and_index_agree_with_all_pairs(spark, monkeypatch, k, slice_rows):
     assert "Exchange hashpartitioning(q_key" not in inside._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("part", [256, 5])
+def test_pairs_above_a_score(spark, monkeypatch, part):
+    monkeypatch.setattr(rowscore, "PART", part)
+    q, c = table(11, 20), table(12, 300)
+    left, right = spark.createDataFrame(q, TYPE), spark.createDataFrame(c, TYPE).repartition(3)
+    want = sorted((a[0], b[0], brute(a, b, E.GENERIC)) for a in q for b in c if brute(a, b, E.GENERIC) >= 0.6)
+    inside = S.pairs_above(left, right, E.GENERIC, "key", "key", 0.6)
+    assert [(a, b, pytest.approx(s)) for a, b, s in rows(inside)] == want and want
+    assert "Exchange hash" not in inside._jdf.queryExecution().executedPlan().toString()
+    assert [(a, b, pytest.approx(s)) for a, b, s in rows(S.pairs_above(left, right, E.GENERIC, "key", "key", 0.6, max_queries=8))] == want
+
+
 def encoded(data):
     """Rows as an Arrow batch, as a task gets them."""
     import pyarrow as pa

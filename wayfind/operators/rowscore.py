@@ -30,6 +30,7 @@ MAX_QUERIES = 4_096
 MAX_POSTINGS = 200_000
 SLICE_ROWS = 1_024
 CELLS = 4_000_000
+PART = 256
 # Scores are compared after rounding to nine digits: what lies this close to a bound may still pass it.
 SLACK = 2e-9
 COMMON_SHARE = 0.25
@@ -265,7 +266,7 @@ def ordered_keys(batch: pa.RecordBatch, names: Sequence[str]) -> list[np.ndarray
     return out
 
 
-def raw_top_k(side: QuerySide, catalog: DataFrame, encoding: Encoding, keys: Sequence[str], k: int, query_type, block: int = 256) -> DataFrame:
+def raw_top_k(side: QuerySide, catalog: DataFrame, encoding: Encoding, keys: Sequence[str], k: int, query_type, block: int = PART) -> DataFrame:
     """(query, keys..., raw): each task's rows that can be among a query's best ``k``.
 
     The true best by rounded score and key are among them.
@@ -352,5 +353,36 @@ def best_entries(side: QuerySide, rows: DataFrame, encoding: Encoding, key: str,
     ).select("query", "candidate", "score", "rank")
 
 
+def pairs_above(side: QuerySide, rows: DataFrame, encoding: Encoding, key: str, threshold: float, query_type) -> DataFrame:
+    """``(query, candidate, score)`` of all pairs with a score of ``threshold`` or more: a similarity join without a shuffle.
+
+    Each row is held against all counted queries by itself and gives away only
+    the pairs that reach the threshold.
+    """
+    fields = {f.name: f.dataType for f in rows.schema.fields}
+    schema = StructType([StructField("_q", LongType()), StructField("candidate", fields[key]), StructField("raw", DoubleType())])
+    width = len(side.keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(a, Scorer(side.part(a, min(a + PART, width)), encoding)) for a in range(0, width, PART)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                piece = batch.slice(at, SLICE_ROWS)
+                for a, scorer in parts:
+                    keep, raw = scorer.scores(piece, np.full(len(scorer.side.keys), threshold))
+                    row, q = np.nonzero(raw >= threshold - SLACK)
+                    if len(row):
+                        candidate = piece.column(key).take(pa.array(keep[row]))
+                        yield pa.RecordBatch.from_arrays([pa.array(q + a), candidate, pa.array(raw[row, q])], names=["_q", "candidate", "raw"])
+
+    numbers = local_table(
+        rows.sparkSession, [{"_q": n, "query": value} for n, value in enumerate(side.keys)],
+        StructType([StructField("_q", LongType()), StructField("query", query_type)]),
+    )
+    found = rows.select(key, *[r.name for r in encoding.roles]).mapInArrow(run, schema)
+    scored = found.join(F.broadcast(numbers), "_q").select("query", "candidate", F.round("raw", 9).alias("score"))
+    return scored.where(F.col("score") >= threshold)
+
+
 def _comparable(value):
     return value.encode() if isinstance(value, str) else 0 if value is None else value

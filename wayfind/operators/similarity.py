@@ -213,6 +213,30 @@ def _indexed_top_k(queries: DataFrame, catalog: DataFrame, encoding: Encoding, q
     return ranked(both, k)
 
 
+def pairs_above(queries: DataFrame, catalog: DataFrame, encoding: Encoding, query_key: str, catalog_key: str, threshold: float,
+                max_queries: int = rowscore.MAX_QUERIES) -> DataFrame:
+    """``(query, candidate, score)`` of all pairs that score ``threshold`` or more.
+
+    Queries that are few by count are held against each row in place.  More of
+    them are asked in parts, dealt by a hash of their keys, each of which reads
+    the catalog once.
+    """
+    kind = queries.schema[query_key].dataType
+    side = rowscore.query_side(queries, query_key, encoding, max_queries)
+    if side is not None:
+        return rowscore.pairs_above(side, catalog, encoding, catalog_key, threshold, kind)
+    asked = queries.count()
+    if asked <= 1:
+        raise ValueError("one query holds more tokens than the index of a task may")
+    parts = 2 * (asked // max_queries) + 2
+    found = None
+    for part in range(parts):
+        few = queries.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == part)
+        one = pairs_above(few, catalog, encoding, query_key, catalog_key, threshold, 2 * max_queries)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     """Rank per query by score; with ``k`` only the first rows are shuffled."""
     window = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")

@@ -248,6 +248,12 @@ def e12(t):
     return S.score_overlapping(benchmark_words(t), document_words(t), E.MEMORY, "item_id", "doc_id")
 
 
+@query("e12_similar_pairs", f"WITH {WORDS_SQL}, {Q.all_scores(E.MEMORY)} SELECT * FROM scores WHERE score >= 0.15")
+def e12_pairs(t):
+    """The pairs worth having: what scores less never leaves its row."""
+    return S.pairs_above(benchmark_words(t), document_words(t), E.MEMORY, "item_id", "doc_id", 0.15)
+
+
 DOC_FUNCTIONS_SQL = f"""dd AS (SELECT doc_id, {Q.split_name("source || '.' || lang")} AS full_name, {Q.split_name('lang')} AS last, {Q.clean_description('text')} AS descr FROM documents),
 dw AS (SELECT *, {Q.intent_words("last || ' ' || full_name || ' ' || descr")} AS a, {Q.intent_words("last || ' ' || descr")} AS g FROM dd),
 c AS (SELECT doc_id AS key, {Q.action('a', 'rules')} AS action, {Q.first_word('g', 'rules')} AS target,
@@ -278,6 +284,12 @@ def e13(t):
     return route(t, 5)
 
 
+@query("j08_similar_pairs", f"{ROUTE_SQL} SELECT query, candidate, score FROM scores WHERE score >= 0.35")
+def j08_pairs(t):
+    """Similarity join on all roles: pairs of a text and a document above a score."""
+    return S.pairs_above(benchmark_roles(t), document_roles(t), E.GENERIC, "item_id", "doc_id", 0.35)
+
+
 def _levels(parts, prefix):
     """Role vectors bundled upwards: roles -> segment = layer -> cortex."""
     names = ["function_name", "description", "parameters"]
