@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from wayfind.config import checkpointed
+
 BROADCAST_ROWS = 200_000
 
 
@@ -24,12 +26,9 @@ def rows_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
 
 
 def hold_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A table that fits ``max_rows``, computed once, as broadcast rows.
-
-    A larger one is returned as it is.
-    """
-    rows = rows_if_small(df, max_rows)
-    return df if rows is None else F.broadcast(local_table(df.sparkSession, [r.asDict() for r in rows], df.schema))
+    """A table computed once and kept, as a broadcast if it fits ``max_rows`` and the bound in bytes."""
+    held = checkpointed(df)
+    return F.broadcast(held) if is_small(held, max_rows) else held
 
 
 def local_table(spark: SparkSession, rows: list[dict], schema: StructType) -> DataFrame:
