@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wayfind.functions import text as X
+from wayfind.operators import joins as J
 from wayfind.operators import metrics as M
 from wayfind.operators import mining as B
 from wayfind.operators import rules as R
@@ -84,3 +85,12 @@ def test_long_turns_have_the_same_form(spark):
     assert out == {1: "x|y|x|y|x|y", 2: "x|y|x|y|x|y", 3: "y|x|y|x|y|x", 4: "[]"}
     short = dict(rows(B.turn_patterns(turns, df, ["turn"], "func", ["at"], F.col("at")).select("turn", "pattern")))
     assert short == out
+
+
+def test_few_entries_that_make_many_rows_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(J, "TASK_ROWS", 50)
+    entries = spark.range(0, 20, 1, 1).select(F.col("id").alias("e"), F.array(F.lit(1), F.lit(2)).alias("classes"))
+    catalog = spark.createDataFrame([(i % 3, i) for i in range(30)], "cls int, func int")
+    out = J.expand_classes(entries, catalog)
+    assert out.rdd.getNumPartitions() == 8
+    assert rows(out, "e", "class_pos", "cls", "func") == sorted((e, c - 1, c, i) for e in range(20) for c in (1, 2) for i in range(30) if i % 3 == c)
