@@ -94,3 +94,15 @@ def test_few_entries_that_make_many_rows_are_dealt_to_tasks(spark, monkeypatch):
     out = J.expand_classes(entries, catalog)
     assert out.rdd.getNumPartitions() == 8
     assert rows(out, "e", "class_pos", "cls", "func") == sorted((e, c - 1, c, i) for e in range(20) for c in (1, 2) for i in range(30) if i % 3 == c)
+
+
+def test_phrases_meet_texts_without_moving_them(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "Old files, old FILE"), (2, "a é thé bcd"), (3, ""), (4, None)], "id int, t string")
+    rules = spark.createDataFrame([("old file", "of", 1), ("é t", "e", 2), ("a", "x", 3), ("old fox", "o", 4)], "pattern string, canonical string, ordinal int")
+    there = R.phrase_hits(texts, "id", F.col("t"), rules, inline=0)
+    monkeypatch.setattr(R, "INLINE_GRAMS", 0)
+    moved = R.phrase_hits(texts, "id", F.col("t"), rules, inline=0)
+    told = lambda d: rows(d.select("id", F.array_sort(F.col("hits.pattern"))))
+    assert told(there) == told(moved) == [(1, ["old file"]), (2, ["a", "é t"]), (3, []), (4, [])]
+    joined = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert (joined(there), joined(moved)) == (2, 3)

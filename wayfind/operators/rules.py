@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from wayfind.operators.scale import join_lookup, rows_if_small
+from wayfind.operators.scale import checked_literals, join_lookup, rows_if_small
 
 INLINE_RULES = 2_000
 COLUMNS = ["pattern", "canonical", "cls", "ordinal", "weight"]
@@ -26,6 +26,7 @@ HIT_TYPE = (
     "array<struct<pos:int,length:int,ordinal:int,pattern:string,canonical:string,cls:string,weight:int>>"
 )
 GRAM = 4
+INLINE_GRAMS = 20_000
 
 
 def rule_table(df: DataFrame) -> DataFrame:
@@ -78,14 +79,23 @@ def phrase_hits(df: DataFrame, key: str, text: Column, rules: DataFrame, name: s
     texts = df.select(key, F.lower(text).alias("_text"))
     size = F.least(F.length("pattern"), F.lit(GRAM))
     keyed = rules.distinct().withColumn("_gram", F.substr("pattern", F.lit(1), size))
+    held = checked_literals(keyed.select("_gram").distinct(), INLINE_GRAMS)
+    sizes = range(1, GRAM + 1) if held is None else sorted({len(g) for g in held})
     # A look-ahead match yields every overlapping run of q characters in one pass.
-    runs = [F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))
-            for q in range(1, GRAM + 1)]
-    all_grams = F.concat(*runs)
-    candidates = join_lookup(texts.select(key, F.explode(all_grams).alias("_gram")), keyed, ["_gram"])
-    verified = candidates.drop("_gram").dropDuplicates([key, *COLUMNS]).join(texts, key).where(
-        F.contains(F.col("_text"), F.col("pattern"))
-    )
+    runs = [F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)) for q in sizes]
+    if held is None:
+        all_grams = F.concat(*[F.array_distinct(r) for r in runs])
+        candidates = join_lookup(texts.select(key, F.explode(all_grams).alias("_gram")), keyed, ["_gram"])
+        verified = candidates.drop("_gram").dropDuplicates([key, *COLUMNS]).join(texts, key).where(
+            F.contains(F.col("_text"), F.col("pattern"))
+        )
+    else:
+        # Texts stay where they are: only runs that open a phrase are kept, and meet their phrases there.
+        opening = [F.array_distinct(F.filter(r, lambda g: g.isin(held))) for r in runs]
+        none = F.array().cast("array<string>")
+        given = texts.select(key, "_text", F.explode_outer(F.concat(none, *opening)).alias("_gram")).where(F.col("_gram").isNotNull())
+        met = join_lookup(given, keyed, ["_gram"]).where(F.contains(F.col("_text"), F.col("pattern")))
+        verified = met.select(key, *COLUMNS).dropDuplicates()
     return _attach(df, key, verified.withColumn("pos", F.lit(0)), name)
 
 
