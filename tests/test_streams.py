@@ -95,3 +95,13 @@ def test_the_catalog_is_encoded_once_per_version(spark, tmp_path):
     version[0] = 2
     assert rows(stored.route(q, "key", 1)) == [(9, 2, 1.0, 1)]
     assert made == [0, 1]
+
+
+def test_results_are_told_apart_without_python(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(metrics, "drain", lambda stream, *rest: kept.append(stream))
+    spark.createDataFrame([(1, "k", True, 2.0)], "id long, cat string, ok boolean, s double").write.parquet(str(tmp_path / "in"))
+    stream = io.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    metrics.metrics_stream(stream, "id", "cat", "ok", "s", str(tmp_path))
+    plan = kept[0]._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan

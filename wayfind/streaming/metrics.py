@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wayfind.operators import metrics as M
 from wayfind.sources import catalog as C
 from wayfind.streaming.io import drain, replace_batch
 
 
-class Once(StatefulProcessor):
-    """Lets the first delivery of an entry pass; all that is kept of an entry is that it was there."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # Null sorts first, and False before True.
-        least = min(rows, key=lambda r: [(x is not None, x if x is not None else 0) for x in (r["category"], r["correct"], r["latency"])])
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield Row(category=least["category"], correct=least["correct"], latency=least["latency"])
-
-    def close(self) -> None:
-        pass
-
-
 def metrics_stream(results: DataFrame, entry: str, category: str, correct: str, latency: str, folder: str) -> str:
     """Results as they complete, each entry once, as counts per batch of ``(category, correct, latency)``.
 
@@ -41,16 +22,18 @@ def metrics_stream(results: DataFrame, entry: str, category: str, correct: str,
     Results without an entry are one entry.
     """
     out = f"{folder}/results"
-    kinds = {f.name: f.dataType for f in results.schema.fields}
-    shape = T.StructType([T.StructField(n, kinds[c]) for n, c in (("category", category), ("correct", correct), ("latency", latency))])
-    told = results.select(F.col(entry).alias("entry"), F.col(category).alias("category"), F.col(correct).alias("correct"), F.col(latency).alias("latency"))
-    fresh = told.groupBy("entry").transformWithState(statefulProcessor=Once(), outputStructType=shape, outputMode="Append", timeMode="None")
+    # All rows of a batch carry its time: an entry of one time only is in its first batch.
+    told = results.select(
+        F.col(entry).alias("entry"), F.current_timestamp().alias("at"),
+        F.struct(F.col(category).alias("category"), F.col(correct).alias("correct"), F.col(latency).alias("latency")).alias("told"))
+    entries = told.groupBy("entry").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("told").alias("told"))
+    fresh = entries.where(F.col("first") == F.col("last")).select("told.*")
 
     def each(batch: DataFrame, number: int) -> None:
         counts = batch.groupBy("category", "correct", "latency").agg(F.count(F.lit(1)).alias("n"))
         replace_batch(counts.select(F.col("category").alias(category), F.col("correct").alias(correct), F.col("latency").alias(latency), "n"), number, out)
 
-    drain(fresh, folder, each)
+    drain(fresh, folder, each, "update")
     return out
 
 
