@@ -106,3 +106,13 @@ def test_phrases_meet_texts_without_moving_them(spark, monkeypatch):
     assert told(there) == told(moved) == [(1, ["old file"]), (2, ["a", "é t"]), (3, []), (4, [])]
     joined = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert (joined(there), joined(moved)) == (2, 3)
+
+
+def test_hits_are_computed_once(spark):
+    from wayfind.plans.join_plans import hit_rows
+
+    texts = spark.range(3).select(F.col("id").alias("doc_id"), F.concat(F.lit("old file "), "id").alias("t"))
+    rules = spark.createDataFrame([("file", "f", 1), ("2", "two", 2)], "pattern string, canonical string, ordinal int")
+    out = hit_rows(R.phrase_hits(texts, "doc_id", F.col("t"), rules))
+    assert "size(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(out) == [(0, "file", "f"), (1, "file", "f"), (2, "2", "two"), (2, "file", "f")]
