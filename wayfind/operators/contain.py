@@ -48,7 +48,8 @@ def contained_in(texts: DataFrame, key: str, text: str, wanted: DataFrame, wante
     phrases = short.select("_wanted").distinct().select(
         F.col("_wanted").alias("pattern"), F.col("_wanted").alias("canonical"), F.hash("_wanted").alias("ordinal"))
     hits = R.phrase_hits(told, "_k", F.col("_text"), phrases, "_hits", inline_rules)
-    found = hits.select("_k", F.explode("_hits.pattern").alias("_wanted"))
+    # A plain explode would make Spark test the array with a filter below, which computes it a second time.
+    found = hits.select("_k", F.explode_outer("_hits.pattern").alias("_wanted")).where(F.col("_wanted").isNotNull())
     by_phrase = join_lookup(found, short, ["_wanted"]).select("_k", "_w")
     return by_run.unionByName(by_phrase).select(F.col("_k").alias(key), F.col("_w").alias(wanted_key))
 
@@ -57,7 +58,7 @@ def _by_run(told: DataFrame, long: DataFrame, inline_keys: int) -> DataFrame:
     asked = long.select("_w", "_wanted", F.explode("_runs").alias("_run"))
     every = told.withColumn("_words", _words(F.col("_text"))).withColumn("_runs", runs("_words")).drop("_words")
     held = checked_literals(asked.select("_run").distinct(), inline_keys)
-    given = every.select("_k", F.explode(_inside("_runs", held)).alias("_run"))
+    given = every.select("_k", F.explode_outer(_inside("_runs", held)).alias("_run")).where(F.col("_run").isNotNull())
     if held is None:
         given = join_lookup(given, asked.select("_run").distinct(), ["_run"], "left_semi")
     counts = given.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
@@ -67,10 +68,10 @@ def _by_run(told: DataFrame, long: DataFrame, inline_keys: int) -> DataFrame:
     keyed = rarest.select("_w", "_wanted", F.col("_r._run").alias("_run"))
     keys = checked_literals(keyed.select("_run").distinct(), inline_keys)
     if keys is not None:  # texts stay where they are: only those with a key go on, with their hits
-        met = every.withColumn("_run", F.explode(_inside("_runs", keys))).select("_k", "_text", "_run")
+        met = every.select("_k", "_text", F.explode_outer(_inside("_runs", keys)).alias("_run")).where(F.col("_run").isNotNull())
         pairs = join_lookup(met, keyed, ["_run"])
     else:
-        met = join_lookup(every.select("_k", F.explode("_runs").alias("_run")), keyed, ["_run"])
+        met = join_lookup(every.select("_k", F.explode_outer("_runs").alias("_run")).where(F.col("_run").isNotNull()), keyed, ["_run"])
         pairs = met.join(told, "_k")
     return pairs.where(F.contains("_text", F.col("_wanted"))).select("_k", "_w").distinct()
 
