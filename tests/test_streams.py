@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,37 @@ def test_results_are_told_apart_without_python(spark, tmp_path, monkeypatch):
     metrics.metrics_stream(stream, "id", "cat", "ok", "s", str(tmp_path))
     plan = kept[0]._jdf.queryExecution().analyzed().toString()
     assert "Aggregate" in plan and "TransformWithState" not in plan
+
+
+class Kept(dict):
+    """A map state that counts what passes between a task and its store."""
+
+    seen = 0
+
+    def getValue(self, key):
+        self.seen += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.seen += 1
+        self[key] = value
+
+
+class Handle:
+    def __init__(self):
+        self.maps = {}
+
+    def getMapState(self, name, *kinds):
+        return self.maps.setdefault(name, Kept())
+
+
+def test_many_conversations_share_a_group_and_its_frames():
+    handle, s = Handle(), sessions.Sessions()
+    s.init(handle)
+    rows = [(str(c), i, 100 * c + i, "f", "a") for i in range(3) for c in range(500)]
+    part = lambda some: iter([pd.DataFrame(some, columns=["conversation", "at", "event_id", "func", "folder"])])
+    first, second = list(s.handleInputRows((0,), part(rows[500:]), None)), list(s.handleInputRows((0,), part(rows[:500]), None))
+    assert len(first) <= 2 and len(second) <= 2  # not a frame or two per conversation
+    assert sum(m.seen for m in handle.maps.values()) == 2 * 2 * 500  # each read and written once per batch
+    last = second[0][second[0]["conversation"] == 7]
+    assert last[["call", "turn", "path"]].astype(object).values.tolist()[:3] == [[700, 1, ["a"]], [701, 2, ["a", "a"]], [702, 3, ["a", "a", "a"]]]

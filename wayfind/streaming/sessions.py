@@ -16,7 +16,9 @@ from wayfind.sources.catalog import latest
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BLOCK = 512
+ROWS_IN = 100_000
 ROWS_OUT = 2_000
+SHARDS = 1_024
 NO_TIME = -(1 << 63)
 
 OUTPUT = T.StructType([
@@ -70,6 +72,10 @@ class Sessions(StatefulProcessor):
     times, each with a summary that composes.  A call is told relative to its
     block; of a block, what all calls before it come to.  A late call opens only
     its own block, and renews the totals of the later ones from their summaries.
+
+    Many conversations share a group, whose rows are read and told in frames of
+    thousands: a frame or two per conversation costs more than its calls.  One
+    that is a single block is one state entry, read once and written once.
     """
 
     def __init__(self, ttl_ms: int | None = None, block: int = BLOCK):
@@ -77,67 +83,88 @@ class Sessions(StatefulProcessor):
         self.block = block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # Where each block begins, in order: three numbers or names per block, whatever its calls.
-        self.order = handle.getValueState("order", "version bigint, blocks string", self.ttl_ms)
-        self.calls = handle.getMapState("calls", "block string", "calls string", self.ttl_ms)
-        self.sums = handle.getMapState("sums", "block string", "n bigint, pops int, path string, called string", self.ttl_ms)
+        # Where each block begins, in order: three numbers or names per block, whatever its calls; the calls of an only block.
+        self.heads = handle.getMapState("heads", "conversation string", "version bigint, blocks string, only string", self.ttl_ms)
+        self.calls = handle.getMapState("calls", "conversation string, block string", "calls string", self.ttl_ms)
+        self.sums = handle.getMapState("sums", "conversation string, block string", "n bigint, pops int, path string, called string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        version, blocks = 0, []
-        if self.order.exists():
-            version, told = self.order.get()
-            blocks = json.loads(told)
-        first = None
+        out = []
+        for arrived in self._gathered(rows):
+            for conversation, new in arrived.items():
+                for row in self._taken(conversation, sorted(new, key=lambda c: (c[0], c[1]))):
+                    out.append(row)
+                    if len(out) >= ROWS_OUT:
+                        yield self._frame(out)
+                        out = []
+        yield self._frame(out)
+
+    @staticmethod
+    def _gathered(rows: Iterator[pd.DataFrame]) -> Iterator[dict[str | None, list]]:
+        """The calls of each conversation, of at most ``ROWS_IN`` rows and a frame at a time."""
+        arrived, n = {}, 0
         for part in rows:
-            new = sorted(part[["at", "event_id", "func", "folder"]].itertuples(index=False, name=None), key=lambda c: (c[0], c[1]))
-            places: dict[int, list] = {}
-            for c in new:
-                places.setdefault(max(0, bisect_right(blocks, [int(c[0]), int(c[1]), "\U0010ffff"]) - 1), []).append(c)
-            for place in sorted(places, reverse=True):  # from the end, so that places before stay as they are
-                version += 1
-                pieces = self._placed(blocks[place][2] if blocks else None, places[place], version)
-                # The first block also holds what comes before its first call.
-                blocks[place:place + 1] = [[int(calls[0][0]), int(calls[0][1]), name] for name, calls in pieces]
-                low = blocks[place][:2]
-                first = low if first is None else min(first, low)
-                out = [row for name, calls in pieces for row in self._told(key[0], name, calls, version)]
-                for a in range(0, len(out), ROWS_OUT):
-                    yield self._frame(out[a:a + ROWS_OUT])
+            for conversation, *c in zip(*(part[x].tolist() for x in ("conversation", "at", "event_id", "func", "folder"))):
+                arrived.setdefault(conversation, []).append(c)
+            n += len(part)
+            if n >= ROWS_IN:
+                yield arrived
+                arrived, n = {}, 0
+        yield arrived
+
+    def _taken(self, conversation: str | None, new: list) -> Iterator[tuple]:
+        """Take in calls of one conversation; the rows to be told anew."""
+        version, told, only = self.heads.getValue((conversation,)) or (0, "[]", None)
+        blocks, own = json.loads(told), None if conversation is None else int(conversation)
+        places: dict[int, list] = {}
+        for c in new:
+            places.setdefault(max(0, bisect_right(blocks, [int(c[0]), int(c[1]), "\U0010ffff"]) - 1), []).append(c)
+        first = None
+        for place in sorted(places, reverse=True):  # from the end, so that places before stay as they are
+            version += 1
+            pieces = self._placed(conversation, blocks[place][2] if blocks else None, only, places[place], version)
+            alone = len(pieces) == 1 and len(blocks) <= 1
+            only = json.dumps(pieces[0][1]) if alone else None
+            for name, calls in () if alone else pieces:
+                self._store(conversation, name, calls)
+            # The first block also holds what comes before its first call.
+            blocks[place:place + 1] = [[int(calls[0][0]), int(calls[0][1]), name] for name, calls in pieces]
+            low = blocks[place][:2]
+            first = low if first is None else min(first, low)
+            for name, calls in pieces:
+                yield from self._told(own, name, calls, version)
         version += 1
-        before, out = Change(), []
-        for at, event, name in blocks:
+        before = Change()
+        for k, (at, event, name) in enumerate(blocks):
             if [at, event] >= first:
-                out.append((key[0], name, None, version, before.n, 0, before.path, sorted(before.called)))
-            before = before.then(Change.of(self.sums.getValue((name,))))
-            if len(out) >= ROWS_OUT:
-                yield self._frame(out)
-                out = []
-        self.order.update((version, json.dumps(blocks)))
-        yield self._frame(out)
+                yield (own, name, None, version, before.n, 0, before.path, sorted(before.called))
+            if k + 1 < len(blocks):
+                before = before.then(Change.of(self.sums.getValue((conversation, name))))
+        self.heads.updateValue((conversation,), (version, json.dumps(blocks), only))
+
+    def _store(self, conversation: str | None, name: str, calls: list) -> None:
+        change = Change()
+        for _, _, func, folder in calls:
+            change.call(func, folder)
+        self.calls.updateValue((conversation, name), (json.dumps(calls),))
+        self.sums.updateValue((conversation, name), change.told())
 
-    def _placed(self, name: str | None, new: list, version: int) -> list[tuple[str, list]]:
+    def _placed(self, conversation: str | None, name: str | None, only: str | None, new: list, version: int) -> list[tuple[str, list]]:
         """The block with the new calls in it, in pieces if it has become long; a call that comes again takes its own place."""
-        held = json.loads(self.calls.getValue((name,))[0]) if name else []
+        held = json.loads(only or self.calls.getValue((conversation, name))[0]) if name else []
         merged = {(int(c[0]), int(c[1])): (c[2], c[3]) for c in held}
         for at, event, func, folder in new:
             merged[int(at), int(event)] = (func if isinstance(func, str) else None, folder if isinstance(folder, str) else None)
         calls = [(*at, *merged[at]) for at in sorted(merged)]
         size = self.block if len(calls) > 2 * self.block else len(calls)
-        pieces = []
-        for a in range(0, len(calls), size):
-            part = calls[a:a + size]
-            # A name is never used twice: by the call that opens the block, and the version.
-            own = name if a == 0 and name else f"{part[0][1]}.{version}.{a}"
-            change = Change()
-            for _, _, func, folder in part:
-                change.call(func, folder)
-            self.calls.updateValue((own,), (json.dumps(part),))
-            self.sums.updateValue((own,), change.told())
-            pieces.append((own, part))
-        return pieces
+        # A name is never used twice: by the call that opens the block, and the version.
+        return [
+            (name if a == 0 and name else f"{calls[a][1]}.{version}.{a}", calls[a:a + size])
+            for a in range(0, len(calls), size)
+        ]
 
     @staticmethod
-    def _told(conversation: int, name: str, calls: list, version: int) -> Iterator[tuple]:
+    def _told(conversation: int | None, name: str, calls: list, version: int) -> Iterator[tuple]:
         change = Change()
         for _, event, func, folder in calls:
             called = sorted(change.called)
@@ -147,7 +174,7 @@ class Sessions(StatefulProcessor):
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(rows, columns=[f.name for f in OUTPUT.fields])
-        return frame.astype({"call": "Int64", "version": "int64", "turn": "int64", "pops": "int32"})
+        return frame.astype({"conversation": "Int64", "call": "Int64", "version": "int64", "turn": "int64", "pops": "int32"})
 
     def close(self) -> None:
         pass
@@ -163,8 +190,10 @@ def session_stream(calls: DataFrame, ttl_ms: int | None = None, block: int = BLO
     :data:`ROCKSDB`).  ``ttl_ms`` drops the state of conversations that have gone quiet.
     """
     at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NO_TIME))
-    calls = calls.select("conversation", "event_id", at.alias("at"), "func", "folder")
-    return calls.groupBy("conversation").transformWithStateInPandas(
+    shard = F.pmod(F.xxhash64("conversation"), F.lit(SHARDS)).cast("int").alias("shard")
+    # As text, a missing conversation doesn't turn the others into floating point numbers.
+    calls = calls.select(shard, F.col("conversation").cast("string").alias("conversation"), "event_id", at.alias("at"), "func", "folder")
+    return calls.groupBy("shard").transformWithStateInPandas(
         statefulProcessor=Sessions(ttl_ms, block), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )
