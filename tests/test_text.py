@@ -5,6 +5,7 @@ from wayfind.functions import calls as C
 from wayfind.functions import schema as S
 from wayfind.functions import text as X
 from wayfind.functions import vectors as V
+from wayfind.operators import rules as R
 
 
 def one(spark, value, fn):
@@ -67,3 +68,12 @@ def test_symbols_are_repeatable_and_bundles_keep_members_near(spark):
     assert near > 0.3
     zero = spark.range(1).select(V.cosine(F.array(F.lit(0), F.lit(0)), F.array(F.lit(1), F.lit(1)))).first()[0]
     assert zero == 0.0
+
+
+def test_a_text_is_lowered_once_for_all_its_rules(spark):
+    rules = spark.createDataFrame([("ab", "x", 1), ("bc", "y", 2)], "pattern string, canonical string, ordinal int")
+    texts = spark.createDataFrame([(1, "ABC"), (2, None), (3, "aBd")], "k int, t string")
+    found = R.phrase_hits(texts, "k", F.col("t"), rules).select("k", F.transform("hits", lambda h: h["canonical"]).alias("c"))
+    assert [(r.k, r.c) for r in found.orderBy("k").collect()] == [(1, ["x", "y"]), (2, []), (3, ["x"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" in plan and "Contains(lower(" not in plan

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from wayfind.functions import text as X
 from wayfind.operators.scale import checked_literals, join_lookup, rows_if_small
 
 INLINE_RULES = 2_000
@@ -73,9 +74,9 @@ def phrase_hits(df: DataFrame, key: str, text: Column, rules: DataFrame, name: s
     rules = rule_table(rules)
     rows = rows_if_small(rules, inline)
     if rows is not None:
-        lowered = df.withColumn("_text", F.lower(text))
-        found = F.filter(_literal(rows), lambda r: F.contains(F.col("_text"), r["pattern"]))
-        return lowered.withColumn(name, F.transform(found, lambda r: _hit(r, F.lit(0)))).drop("_text")
+        # Bound once: a column of its own would be merged into the test, and the text lowered once per rule.
+        found = X.let(F.lower(text), lambda low: F.filter(_literal(rows), lambda r: F.contains(low, r["pattern"])))
+        return df.withColumn(name, F.transform(found, lambda r: _hit(r, F.lit(0))))
     texts = df.select(key, F.lower(text).alias("_text"))
     size = F.least(F.length("pattern"), F.lit(GRAM))
     keyed = rules.distinct().withColumn("_gram", F.substr("pattern", F.lit(1), size))
