@@ -96,3 +96,13 @@ def test_gap_and_merge_in_pieces(spark, monkeypatch):
     real = scale.Ordered.__init__
     monkeypatch.setattr(scale.Ordered, "__init__", lambda self, df, keys, order, split_on, share=7, bound=None: real(self, df, keys, order, split_on, share, None))
     assert (rows(select.select_gap(scores, 0.9, 0.01)), rows(select.merge_candidates(lists, bare))) == plain
+
+
+def test_a_response_meets_all_truths_of_its_key_at_once(spark):
+    said = spark.createDataFrame([(1, 0, "The  Cat, sat"), (2, 0, "dog"), (3, 1, None), (4, 2, "x"), (5, 3, "y")], "k int, g int, r string")
+    truths = spark.createDataFrame([(0, "mouse"), (0, "cat sat!"), (0, "!"), (1, "a"), (2, None), (0, "dogs")], "g int, t string")
+    for block in (1, 2, 256):
+        found = K.contains_any_of(said, truths, ["g"], "k", "r", "t", block)
+        assert rows(found) == [(1, True), (2, False), (3, False), (4, False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(_said") <= 1 and "lists" not in plan and "exists(_wanted" in plan

@@ -76,6 +76,21 @@ def contains_any(pairs: DataFrame, key: str, response: Column, truth: Column, *m
     return pairs.groupBy(key).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("contained"), *more)
 
 
+def contains_any_of(responses: DataFrame, truths: DataFrame, on: Sequence[str], key: str, response: str, truth: str, block: int = 256) -> DataFrame:
+    """As :func:`contains_any`, over the pairs that agree in ``on``.
+
+    The truths of a key are lists of about ``block``, so that a response is brought
+    into its form once per list, not once per pair.
+    """
+    wanted = truths.select(*on, X.comparable(F.col(truth)).alias("_w"))
+    most = wanted.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    part = F.pmod(F.xxhash64("_w"), F.lit(-(-most // block))).alias("_part")
+    lists = wanted.groupBy(*on, part).agg(F.collect_set("_w").alias("_wanted")).drop("_part")
+    pairs = join_lookup(responses.select(*on, key, F.col(response).alias("_said")), lists, on)
+    hit = X.let(X.comparable(F.col("_said")), lambda said: F.exists("_wanted", lambda w: (F.length(w) > 0) & F.contains(said, w)))
+    return pairs.groupBy(key).agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("contained"))
+
+
 def turn_analysis(counted: DataFrame, entry: str, turn: Sequence[str], cls: Column) -> DataFrame:
     """Exact turns, missing and extra calls per class of entries."""
     diff = S.multiset_diff(counted)

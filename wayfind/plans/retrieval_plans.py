@@ -11,7 +11,7 @@ from wayfind.operators import evaluate as K
 from wayfind.operators import features as E
 from wayfind.operators import retrieval as P
 from wayfind.operators import similarity as S
-from wayfind.operators.scale import hold_if_small, join_lookup
+from wayfind.operators.scale import hold_if_small
 from wayfind.plans import sqltext as Q
 from wayfind.plans.registry import query
 from wayfind.plans.text_plans import CLAUSES_SQL
@@ -88,8 +88,7 @@ SELECT doc_id, bool_or(w <> '' AND contains(r, w)) AS contained FROM p GROUP BY
 def k06(t):
     source = F.substring("source", 4, 10).cast("int")
     truths = t.benchmark.select((F.col("item_id") % 20).cast("int").alias("g"), F.col("text").alias("truth"))
-    pairs = join_lookup(t.documents.withColumn("g", source), truths, ["g"])
-    return K.contains_any(pairs, "doc_id", F.col("text"), F.col("truth"))
+    return K.contains_any_of(t.documents.withColumn("g", source), truths, ["g"], "doc_id", "text", "truth")
 
 
 @query("k06_contains_all", f"""
