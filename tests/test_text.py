@@ -5,6 +5,7 @@ from wayfind.functions import calls as C
 from wayfind.functions import schema as S
 from wayfind.functions import text as X
 from wayfind.functions import vectors as V
+from wayfind.operators import retrieval as P
 from wayfind.operators import rules as R
 
 
@@ -77,3 +78,11 @@ def test_a_text_is_lowered_once_for_all_its_rules(spark):
     assert [(r.k, r.c) for r in found.orderBy("k").collect()] == [(1, ["x", "y"]), (2, []), (3, ["x"])]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "lower(" in plan and "Contains(lower(" not in plan
+
+
+def test_windows_get_the_words_of_their_clauses(spark):
+    text = "The first clause here, and a second-clause; don't stop. Third clause follows now! the, of and to. A fifth one: it's e@mail.de, done"
+    texts = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "only one clause"), (5, "The of and to the")], "k int, t string")
+    want = P.encode_passages(P.document_windows(texts, "k", "t"), ["k", "pos"])
+    got = P.encode_documents(texts, "k", "t")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 3

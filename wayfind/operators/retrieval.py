@@ -58,6 +58,19 @@ def encode_passages(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return tokens.where(F.size("_t") > 0).select(*keys, F.array_distinct("_t").alias("words"))
 
 
+def encode_documents(documents: DataFrame, key: str, text: str, size: int = WINDOW) -> DataFrame:
+    """Word bags of the windows inside each document, ``(key, pos, words)``: as :func:`encode_passages` of :func:`document_windows`.
+
+    A window's words are those of its clauses, so each clause is cut into words
+    once, not once per window that it is part of.
+    """
+    clauses = documents.select(key, F.transform(X.clauses(F.col(text)), lambda c: F.array_distinct(X.memory_tokens(c))).alias("_w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1)))
+    bags = F.transform(starts, lambda i: F.array_distinct(F.flatten(F.slice("_w", i, F.lit(size)))))
+    rows = clauses.select(key, F.posexplode_outer(bags).alias("pos", "words"))
+    return rows.where(F.size("words") > 0)
+
+
 def encode_questions(questions: DataFrame, key: str, text: str) -> DataFrame:
     tokens = questions.select(key, X.memory_tokens(F.col(text)).alias("_t"))
     return tokens.where(F.size("_t") > 0).select(key, F.array_distinct("_t").alias("words"))
@@ -68,7 +81,12 @@ def retrieve(windows: DataFrame, keys: Sequence[str], questions: DataFrame, ques
 
     A counted set of questions is scored inside the rows of the windows.
     """
-    return S.top_k(encode_questions(questions, question_key, text), encode_passages(windows, keys), MEMORY, question_key, list(keys), k)
+    return best_passages(encode_passages(windows, keys), keys, questions, question_key, text, k)
+
+
+def best_passages(passages: DataFrame, keys: Sequence[str], questions: DataFrame, question_key: str, text: str, k: int = TOP) -> DataFrame:
+    """The same for windows that are encoded already."""
+    return S.top_k(encode_questions(questions, question_key, text), passages, MEMORY, question_key, list(keys), k)
 
 
 def answer(hits: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -52,8 +52,7 @@ qt AS (SELECT item_id AS key, list_distinct({_mem('text')}) AS words FROM benchm
 
 
 def hits(t, k):
-    windows = P.document_windows(t.documents, "doc_id", "text")
-    return P.retrieve(windows, KEYS, t.benchmark, "item_id", "text", k)
+    return P.best_passages(P.encode_documents(t.documents, "doc_id", "text"), KEYS, t.benchmark, "item_id", "text", k)
 
 
 @query("e19_window_scores", f"WITH {SCORES} {Q.top_k(50)}")
