@@ -116,3 +116,25 @@ def test_hits_are_computed_once(spark):
     out = hit_rows(R.phrase_hits(texts, "doc_id", F.col("t"), rules))
     assert "size(" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert rows(out) == [(0, "file", "f"), (1, "file", "f"), (2, "2", "two"), (2, "file", "f")]
+
+
+def test_queries_and_descriptions_of_exemplars_are_counted_once(spark):
+    catalog = spark.createDataFrame(
+        [("c", i, "a", "none", ["n"], ["same", f"w{i}", *["long"] * (i > 1)], ["p"], "cw") for i in range(6)]
+        + [("d", 5, "a", "none", ["n"], ["lone", "lone"], ["p"], "cw"), ("e", 7, "a", "none", ["n"], None, ["p"], "cw"),
+           ("e", 8, "a", "none", ["n"], ["same"], ["p"], "cw")],
+        "cls string, func int, action string, target string, name_tokens array<string>, tokens array<string>, param_tokens array<string>, class_words string",
+    )
+    asked = [(i, "same green apple apple", i) for i in range(5)] + [(5, "same green pear", 2), (5, "apple pear same", 1), (8, "same green", 1), (9, None, 1)]
+    mined = spark.createDataFrame(asked, "func int, query string, ord int")
+    ranked = M.ranked_tokens(mined, "func", "ord", "query", X.tokenize(F.col("query")))
+    lists = dict(rows(ranked, "func", "ranked"))
+    assert lists == {**{i: ["apple", "same", "green"] for i in range(5)}, 5: ["pear", "same", "apple", "green"], 8: ["same", "green"]}
+    assert rows(M.shared_tokens(catalog, "cls", F.array_distinct("tokens"))) == [("c", "same")]
+    out = {(r.class_name, r.raw_name, r.variant): r.description for r in B.exemplars(catalog, mined, "ord").collect()}
+    assert len(out) == 27
+    assert out["c", 0, 1] == "a w0 w0 w0 cw" and out["c", 0, 3] == "a apple green apple green w0 cw"
+    # A function of two classes leaves out the shared words of both.
+    assert out["d", 5, 3] == "a pear apple green pear apple green lone lone cw"
+    assert out["e", 8, 3] == "a same green same green same cw" and out["e", 7, 1] is None
+    assert out["c", 2, 2] == "a n w2 long n w2 long cw"

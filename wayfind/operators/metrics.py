@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.config import checkpointed
 from wayfind.operators.scale import Ordered, join_lookup
 
 
@@ -158,23 +159,46 @@ def compare_versions(rows: DataFrame, by: str, version: str, value: Column, old,
     return wide.withColumn("delta", F.col("new") - F.col("old"))
 
 
-def top_tokens(queries: DataFrame, func: str, order: str, tokens: Column, shared: DataFrame,
-               first: int | None = None, cut: int | None = None, keep: int | None = None) -> DataFrame:
-    """Frequent tokens of the queries of each function.
-
-    Count over (the first ``first``) queries, (cut at ``cut``) by count (first seen
-    breaks ties), then drop the shared tokens and keep all (``keep``).
-    """
+def _counted_tokens(queries: DataFrame, func: str, order: str, tokens: Column, first: int | None, cut: int | None) -> DataFrame:
     head = queries.withColumn("_q", F.col(order))
     if first is not None:
         head = head.withColumn("_q", F.row_number().over(Window.partitionBy(func).orderBy(order))).where(F.col("_q") <= first)
-    placed = head.select(func, "_q", F.posexplode(tokens).alias("_pos", "token"))
-    counted = placed.groupBy(func, "token").agg(
+    placed = head.select(func, "_q", F.posexplode_outer(tokens).alias("_pos", "token"))
+    # An inner explode would have its filter compute the tokens a second time.
+    counted = placed.where("token is not null").groupBy(func, "token").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_q", "_pos")).alias("_seen")
     )
     by_count = Window.partitionBy(func).orderBy(F.desc("n"), "_seen")
     cut_rows = counted.withColumn("_r", F.row_number().over(by_count))
-    cut_rows = cut_rows if cut is None else cut_rows.where(F.col("_r") <= cut)
+    return cut_rows if cut is None else cut_rows.where(F.col("_r") <= cut)
+
+
+def ranked_tokens(queries: DataFrame, func: str, order: str, text: str, tokens: Column,
+                  first: int | None = None, cut: int | None = None) -> DataFrame:
+    """Tokens of the queries of each function in the order of :func:`top_tokens`, as the array ``ranked``.
+
+    A text that is the only query of its functions is counted once, whatever their number.
+    """
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("_r", "token"))), lambda r: r["token"]).alias("ranked")
+    texts = queries.select(F.col(text).alias("_text")).distinct().withColumn(text, F.col("_text")).withColumn(order, F.lit(0))
+    lists = checkpointed(_counted_tokens(texts, "_text", order, tokens, None, cut).groupBy("_text").agg(ranked))
+    asked = queries.groupBy(func).agg(F.count(F.lit(1)).alias("_n"), F.first(text).alias("_text"))
+    single = join_lookup(asked.where("_n = 1").select(func, "_text"), lists, ["_text"]).select(func, "ranked")
+    several = asked.where("_n > 1").select(func)
+    if several.isEmpty():
+        return single
+    rest = join_lookup(queries, several, [func], "left_semi")
+    return single.unionByName(_counted_tokens(rest, func, order, tokens, first, cut).groupBy(func).agg(ranked))
+
+
+def top_tokens(queries: DataFrame, func: str, order: str, tokens: Column, shared: DataFrame,
+               first: int | None = None, cut: int | None = None, keep: int | None = None) -> DataFrame:
+    """Frequent tokens of the queries of each function.
+
+    Count over (the first ``first``) queries, (cut at ``cut``) by count (first seen
+    breaks ties), then drop the shared tokens and keep all (``keep``).
+    """
+    cut_rows = _counted_tokens(queries, func, order, tokens, first, cut)
     left = cut_rows.join(shared.select(func, "token"), [func, "token"], "left_anti")
     again = F.row_number().over(Window.partitionBy(func).orderBy("_r"))
     placed = left.withColumn("rank", again).select(func, "token", "n", "rank")
@@ -182,9 +206,17 @@ def top_tokens(queries: DataFrame, func: str, order: str, tokens: Column, shared
 
 
 def shared_tokens(catalog: DataFrame, cls: str, distinct_tokens: Column) -> DataFrame:
-    """Tokens found in every description of a class with more than one function."""
-    sizes = catalog.groupBy(cls).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > 1)
-    counts = catalog.select(cls, F.explode(distinct_tokens).alias("token")).groupBy(cls, "token").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    return join_lookup(counts, sizes, [cls]).where(F.col("_n") == F.col("_size")).select(cls, "token")
+    """Tokens found in every description of a class with more than one function.
+
+    They are among the tokens of the class's shortest description: only those are counted.
+    """
+    described = catalog.select(cls, distinct_tokens.alias("_tokens"))
+    length = F.coalesce(F.size("_tokens"), F.lit(-1))
+    sizes = checkpointed(described.groupBy(cls).agg(F.count(F.lit(1)).alias("_size"), F.min(length).alias("_least")).where("_size > 1 and _least > 0"))
+    least = join_lookup(described, sizes, [cls]).where(length == F.col("_least"))
+    shortest = checkpointed(least.groupBy(cls, "_size").agg(F.first("_tokens").alias("_few")))
+    met = join_lookup(described, shortest, [cls])
+    counts = met.select(cls, "_size", F.explode_outer(F.array_intersect("_few", "_tokens")).alias("token"))
+    return counts.groupBy(cls, "_size", "token").agg(F.count(F.lit(1)).alias("_n")).where(
+        (F.col("_n") == F.col("_size")) & F.col("token").isNotNull()
+    ).select(cls, "token")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfind.config import checkpointed
 from wayfind.functions import calls as C
 from wayfind.functions import schema as SC
 from wayfind.functions import text as X
@@ -43,10 +44,13 @@ def differing_words(catalog: DataFrame, cls: str, tokens: str, fallback: int | N
     most the tokens of one description.
     """
     shared = M.shared_tokens(catalog, cls, F.array_distinct(tokens)).groupBy(cls).agg(F.collect_list("token").alias("_shared"))
-    df = join_lookup(catalog, shared, [cls], "left")
+    df = join_lookup(catalog, checkpointed(shared), [cls], "left")
     common = F.coalesce("_shared", F.array().cast("array<string>"))
-    diff = F.filter(tokens, lambda w: ~F.array_contains(common, w))
-    return df.withColumn("diff", F.when(F.size(diff) > 0, diff).otherwise(X.leading(F.col(tokens), fallback)))
+    own = X.let(
+        F.filter(tokens, lambda w: ~F.array_contains(common, w)),
+        lambda d: F.when(F.size(d) > 0, d).otherwise(X.leading(F.col(tokens), fallback)),
+    )
+    return df.withColumn("diff", F.when(F.col("_shared").isNull(), F.col(tokens)).otherwise(own))
 
 
 def _words(*parts: Column) -> Column:
@@ -64,23 +68,25 @@ def exemplars(catalog: DataFrame, mined: DataFrame, order: str, fallback: int |
     holds the limits of :func:`metrics.top_tokens`.
     """
     df = differing_words(catalog, "cls", "tokens", fallback)
-    shared = df.select("func", F.explode(F.coalesce("_shared", F.array().cast("array<string>"))).alias("token"))
-    frequent = M.top_tokens(mined, "func", order, X.tokenize(F.col("query")), shared, *top)
-    per_func = frequent.groupBy("func").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda r: r["token"]).alias("_mined")
-    )
-    df = df.join(per_func, "func", "left")
-    diff = F.array_join("diff", " ")
+    first, cut, keep = top
+    own = df.where(F.col("_shared").isNotNull()).groupBy("func").agg(F.flatten(F.collect_set("_shared")).alias("_own"))
+    # The catalog moves to the functions' tokens as joined words: an array takes several times their bytes.
     both = F.array_join(F.array_distinct(F.concat("name_tokens", "diff")), " ")
+    df = df.withColumns({"_diff": F.array_join("diff", " "), "_both": both}).drop("diff", "tokens", "_shared")
+    ranked = M.ranked_tokens(mined, "func", order, "query", X.tokenize(F.col("query")), first, cut)
+    df = df.join(ranked.join(own, "func", "left"), "func", "left")
+    unshared = F.when(F.col("_own").isNull(), F.col("ranked")).otherwise(F.filter("ranked", lambda w: ~F.array_contains("_own", w)))
+    df = df.withColumn("_mined", X.leading(unshared, keep))
+    diff, both = F.col("_diff"), F.col("_both")
     mined_words = F.array_join("_mined", " ")
     named = F.array_join(X.leading(F.col("param_tokens"), params), " ")
-    first = _words(F.col("action"), diff, diff, diff, F.col("class_words"))
+    repeated = _words(F.col("action"), diff, diff, diff, F.col("class_words"))
     second = _words(F.col("action"), both, both, F.col("class_words"))
     third = F.when(F.size("_mined") > 0, _words(F.col("action"), mined_words, mined_words, diff, F.col("class_words"))).otherwise(
         _words(F.col("action"), named, diff, diff, F.col("class_words"))
     )
     variants = F.array(*[
-        F.struct(F.lit(i).alias("variant"), d.alias("description")) for i, d in ((1, first), (2, second), (3, third))
+        F.struct(F.lit(i).alias("variant"), d.alias("description")) for i, d in ((1, repeated), (2, second), (3, third))
     ])
     return df.select(
         F.col("cls").alias("class_name"), C.qualify(F.col("cls"), F.col("func").cast("string")).alias("function_name"),
