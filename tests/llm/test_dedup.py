@@ -201,6 +201,16 @@ def test_random_passages_as_brute_force(spark):
     assert cut(spark, rows) == brute_cut(rows)
 
 
+def test_passages_where_a_task_has_rows_for_few_shards(spark, monkeypatch):
+    assert len(suffix_dedup._unplaned(suffix_dedup._planes(np.zeros(0, np.int64)), np.int64)) == 0
+    monkeypatch.setattr(suffix_dedup, "SHARD_STRETCHES", 0.1)
+    passage = prose(15, 1)
+    rows = [(k, prose(10, 10 + k) + passage[k:] + prose(10, 30 + k)) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    out = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in collected(suffix_dedup.remove_repeats(docs))]
+    assert sorted(out, key=str) == brute_cut(rows)
+
+
 def test_levels_are_like_one_scan():
     r = np.random.default_rng(2)
     family = suffix_dedup.LevelFamily()

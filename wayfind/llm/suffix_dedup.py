@@ -187,7 +187,7 @@ def by_document(doc: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, list[byt
 
 def _planes(x: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed: high bytes repeat."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
 
 def _unplaned(raw: bytes, kind: type) -> np.ndarray:
