@@ -1,7 +1,9 @@
 """The hot-key and too-large-to-broadcast paths give the plain results."""
 
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,19 @@ def test_few_entries_that_make_many_rows_are_dealt_to_tasks(spark, monkeypatch):
     assert rows(out, "e", "class_pos", "cls", "func") == sorted((e, c - 1, c, i) for e in range(20) for c in (1, 2) for i in range(30) if i % 3 == c)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_expanded_entries_and_functions_go_in_blocks(spark, monkeypatch, small):
+    monkeypatch.setattr(J, "TASK_ROWS", 400)
+    monkeypatch.setattr(J, "BLOCK_BYTES", J.BLOCK_BYTES if small else 0)
+    entries = [(1, [1, 2, 1]), (1, [1, 2, 1]), (None, [2, None, 3]), (2, []), (3, None), *[(k, [1]) for k in range(10, 90)]]
+    functions = [(1, None), (1, 5), (1, 5), (2, 7), (None, 8), (4, 9), *[(1, k) for k in range(100, 400)]]
+    out = J.expand_classes(spark.createDataFrame(entries, "e int, classes array<int>"), spark.createDataFrame(functions, "cls int, func int"))
+    wanted = Counter((c, e, k, f) for e, cs in entries for k, c in enumerate(cs or []) for d, f in functions if c is not None and c == d)
+    assert out.columns == ["cls", "e", "class_pos", "func"] and Counter(tuple(r) for r in out.collect()) == wanted
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 2 and any("_share" in x for x in plan.splitlines() if "Join Inner" in x) == (not small)
+
+
 def test_phrases_meet_texts_without_moving_them(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "Old files, old FILE"), (2, "a é thé bcd"), (3, ""), (4, None)], "id int, t string")
     rules = spark.createDataFrame([("old file", "of", 1), ("é t", "e", 2), ("a", "x", 3), ("old fox", "o", 4)], "pattern string, canonical string, ordinal int")
